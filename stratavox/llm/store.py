@@ -1,0 +1,35 @@
+"""Shared-folder helpers: written tables cut lineage and survive lost executors."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_FALLBACK: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a fresh local one where it is unset (local mode only)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="spark-stratavox-")
+    return _FALLBACK[app]
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/stratavox/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and sizes are known."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
