@@ -7,10 +7,12 @@ Pairs under the distance threshold are confirmed on full shingle sets, and compo
 confirmed links.
 
 Scale: equal sets collapse to one class by a partially aggregated group-by before anything is paired. Within an
-index key, members are first compared with the key's smallest member only (linear); keys that still hold several
-components are compared in blocks of bounded size, their largest component against the rest and the rest among
-themselves, so no link between different texts is lost and no key is gathered in one task. Every stage is a
-DataFrame join, and what is reused is written to the shared folder.
+index key, members are first compared with one pivot only (linear). Keys that then still hold several components are
+taken through their signatures in blocks of bounded size, the largest component against the rest and the rest among
+themselves; what remains close forms clusters of components, whose full sets are compared in such blocks once, by
+matrix products where many pairs remain. Blocks give stars, not pairs. So no link between different texts is lost, no
+key or family is gathered in one task, and no pairs are listed for a group. What is reused is written to the shared
+folder.
 
 Defined cases: null or empty texts and texts without words have no shingles and link with nothing; a text with
 fewer words than a shingle is one shingle; a null doc_id links only through an equal set and is kept if nothing
@@ -52,8 +54,11 @@ class Scheme:
         return rng.integers(0, 2**63, self.size, dtype=np.uint64), rng.integers(0, 2**62, self.size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-#: Members of one block when a key's remaining pairs are compared.
+#: Members and shingles of one block when the remaining pairs are compared.
 BLOCK = 256
+SHINGLES_PER_BLOCK = 500_000
+#: Links whose components one task finds before tasks meet.
+LINKS_PER_TASK = 1_000_000
 #: Ids that may be broadcast to pick the texts whose sets are needed; above it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -175,25 +180,55 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, low: int) -> DataFrame:
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): the links a - b as one star for each of their components, around its smallest node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    top = np.arange(len(nodes))
+    while True:
+        least = np.minimum(top[x], top[y])
+        new = top.copy()
+        np.minimum.at(new, top[x], least)
+        np.minimum.at(new, top[y], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == top).all():
+            own = top != np.arange(len(nodes))
+            return nodes[own], nodes[top[own]]
+        top = new
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """The links of each task, about LINKS_PER_TASK of them, as stars (u, v), v the smaller."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if parts:
+            u, v = forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.coalesce(1 + edges.count() // LINKS_PER_TASK).mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): each linked node's smallest reachable node, by alternating large and small stars."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    """(node, component): each linked node's smallest reachable node.
+
+    The links of each task become stars; then large and small stars alternate between tasks until every node has
+    one parent and no parent has one.
+    """
+    edges = written(_stars(written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), "edges")), "stars")
     for _ in range(rounds):
-        if not mark[0]:
-            break
+        roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        roles = roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not roles.where("up > 1 or (up > 0 and down > 0)").head(1):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         pulled = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(pulled.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        last, mark = mark, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == last:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        edges = written(_stars(written(pulled.union(small.select("u", F.col("m").alias("v"))), "edges")), "stars")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -223,34 +258,38 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _rest(keyed: DataFrame, classes: DataFrame, found: DataFrame, scheme: Scheme, low: int, block: int) -> DataFrame:
-    """Close pairs across components within keys of three or more members, compared in bounded blocks."""
-    limit, size = scheme.distance, scheme.size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 4):
-            side, comp, node, n = (t.column(k).to_numpy() for k in (4, 5, 6, 7))
-            sig = _matrix(t.column(8), "<u2", size)
-            left = np.flatnonzero(side == 0)
-            same = t.column(1)[0].as_py() == 1 and t.column(2)[0].as_py() == t.column(3)[0].as_py()
-            right = left if same else np.flatnonzero(side == 1)
-            a, b = [], []
-            for x in left.tolist():
-                ok = right[(comp[right] != comp[x]) & (100 * n[right] >= low * n[x]) & (100 * n[x] >= low * n[right])]
-                ok = ok[(sig[ok] != sig[x]).sum(1) <= limit]
-                a.append(np.minimum(node[ok], node[x]))
-                b.append(np.maximum(node[ok], node[x]))
-            if a and sum(map(len, a)):
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def _crossing(t: pa.Table, scheme: Scheme, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of a cell's pairs of different components that the sizes and signatures leave as candidates.
 
-    known = keyed.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    known = written(known, "keyed")
-    parts = known.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    heads = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("top"))
-    blocks = lambda c: F.ceil(c / F.lit(block)).cast("int")
-    heads = heads.where("comps > 1 and all > 2").select("key", F.col("top.comp").alias("major"), blocks(F.col("top.m")).alias("ga"), blocks(F.col("all") - F.col("top.m")).alias("gb"))
-    rows = known.join(heads, "key").join(classes, "node")
+    Columns: cell (4), side, comp, node, n, sig. Pairs go from side 0 to side 1, in a diagonal cell from row to row.
+    """
+    side, comp, n = (t.column(k).to_numpy() for k in (4, 5, 7))
+    sig = _matrix(t.column(8), "<u2", scheme.size)
+    left = np.flatnonzero(side == 0)
+    same = t.column(1)[0].as_py() == 1 and t.column(2)[0].as_py() == t.column(3)[0].as_py()
+    right = left if same else np.flatnonzero(side == 1)
+    a, b = [left[:0]], [left[:0]]
+    for x in left.tolist():
+        ok = right[(comp[right] != comp[x]) & (100 * n[right] >= low * n[x]) & (100 * n[x] >= low * n[right])]
+        ok = ok[(sig[ok] != sig[x]).sum(1) <= scheme.distance]
+        ok = ok[ok > x] if same else ok
+        a.append(np.full(len(ok), x))
+        b.append(ok)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _cells(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows (key, comp, node, n, ...) dealt to cells (key, kind, i, j, side, ...) that cover all pairs of different
+    components of a key: its largest component against the rest (kind 0), and the rest among themselves (kind 1).
+
+    A block has about `block` members, and about SHINGLES_PER_BLOCK shingles if that is fewer.
+    """
+    parts = rows.groupBy(key, "comp").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    heads = parts.groupBy(key).agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.sum("s").alias("size"), F.max(F.struct("m", "comp", "s")).alias("top"))
+    blocks = lambda m, s: F.greatest(F.ceil(m / F.lit(block)), F.ceil(s / F.lit(SHINGLES_PER_BLOCK))).cast("int")
+    rest = blocks(F.col("all") - F.col("top.m"), F.col("size") - F.col("top.s"))
+    heads = heads.where("comps > 1 and all > 2").select(key, F.col("top.comp").alias("major"), blocks(F.col("top.m"), F.col("top.s")).alias("ga"), rest.alias("gb"))
+    rows = rows.join(heads, key)
     spread = lambda g: F.pmod(F.xxhash64("node"), F.col(g)).cast("int")
     cell = lambda kind, i, j, s: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), s.alias("side"))
     upto = lambda g: F.sequence(F.lit(0), F.col(g) - 1)
@@ -259,9 +298,85 @@ def _rest(keyed: DataFrame, classes: DataFrame, found: DataFrame, scheme: Scheme
     to_major = F.transform(upto("ga"), lambda i: cell(0, i, F.col("own"), F.lit(1)))
     among = F.transform(upto("gb"), lambda j: cell(1, F.least("own", j), F.greatest("own", j), F.when(F.col("own") <= j, 0).otherwise(1)))
     rows = rows.withColumn("cell", F.explode(F.when(F.col("comp") == F.col("major"), from_major).otherwise(F.concat(to_major, among))))
-    rows = rows.select("key", "cell.kind", "cell.i", "cell.j", "cell.side", "comp", "node", "n", "sig")
-    near = rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j").mapInArrow(run, "a long, b long")
-    return near.distinct()
+    return rows.select(F.col(key).alias("key"), "cell.kind", "cell.i", "cell.j", "cell.side", "comp", "node", "n")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
+
+
+def _families(keyed: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Scheme, low: int, block: int) -> DataFrame:
+    """(node, cluster): clusters hold together all candidates of different components that share a key.
+
+    Within a cell, candidates are joined to the smallest member of their local group, so a cell gives at most a row a
+    member.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, 4):
+            x, y = _crossing(t, scheme, low)
+            if len(x):
+                comp = t.column(5).to_numpy()
+                u, v = forest(comp[x], comp[y])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+
+    known = keyed.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    known = written(known.join(nodes.select("node", "n"), "node"), "known")
+    cells = _cells(known, "key", block).join(nodes.select("node", "sig"), "node")
+    order = ["key", "kind", "i", "j", "side", "comp", "node", "n", "sig"]
+    near = written(_dealt(cells.select(order)).mapInArrow(run, "a long, b long").distinct(), "near")
+    clusters = components(near)
+    clusters = clusters.union(clusters.select("component", "component").distinct())
+    members = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+    return written(members.join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("cluster")), "comp"), "families")
+
+
+def _within(families: DataFrame, nodes: DataFrame, sets: DataFrame, scheme: Scheme, low: int, block: int) -> DataFrame:
+    """Confirmed links between different components of a cluster, as stars within each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, 4):
+            x, y = _crossing(t, scheme, low)
+            if len(x):
+                both = _intersections([np.frombuffer(s.as_buffer(), np.uint64) for s in t.column(9).combine_chunks()], x, y)
+                n, node = t.column(7).to_numpy(), t.column(6).to_numpy()
+                ok = 100 * both >= low * (n[x] + n[y] - both)
+                if ok.any():
+                    u, v = forest(node[x[ok]], node[y[ok]])
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+
+    rows = families.join(nodes.select("node", "n"), "node")
+    cells = _cells(rows, "cluster", block).join(nodes.select("node", "sig"), "node").join(sets, "node")
+    order = ["key", "kind", "i", "j", "side", "comp", "node", "n", "sig", "set"]
+    return _dealt(cells.select(order)).mapInArrow(run, "a long, b long")
+
+
+def _intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered x and y: pair by pair, or by products of 0/1 columns if many."""
+    if len(x) <= 64:
+        out = []
+        for a, b in zip(x.tolist(), y.tolist()):
+            p, q = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
+            out.append(int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()))
+        return np.array(out, np.int64)
+    rows, cols = np.unique(x), np.unique(y)
+    used = np.unique(np.concatenate([rows, cols]))
+    flat = np.concatenate([sets[k] for k in used])
+    owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
+    _, word, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[word] > 1  # others cannot meet
+    word, owner = word[shared], owner[shared]
+    _, word = np.unique(word, return_inverse=True)
+    total = np.zeros((len(rows), len(cols)), np.float32)
+    at_row, at_col = np.searchsorted(used, rows), np.searchsorted(used, cols)
+    order = np.argsort(word, kind="stable")
+    word, owner = word[order], owner[order]
+    for first in range(0, int(word[-1]) + 1 if len(word) else 0, 4096):
+        a, b = np.searchsorted(word, (first, first + 4096))
+        some = np.zeros((len(used), 4096), np.float32)
+        some[owner[a:b], word[a:b] - first] = 1
+        total += some[at_row] @ some[at_col].T
+    return np.rint(total[np.searchsorted(rows, x), np.searchsorted(cols, y)]).astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, low: int = 80, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -276,18 +391,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, low: int = 80, scheme: Sche
     classes = written(classes, "classes")
     nodes = classes.where("node is not null").select("node", "n", "sig")
     keys = index_keys(nodes, scheme)
-    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("key", "pivot")
-    keyed = written(keys.join(pivots, "key"), "keyed")
-    stars = keyed.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    crowded = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    keyed = written(keys.join(crowded, "key"), "keyed")
+    # a key's pivot is its member with most company over all keys: the middle of a family links most of it
+    company = keyed.groupBy("node").agg(F.sum("members").alias("company"))
+    pivots = keyed.join(company, "node").groupBy("key").agg(F.max(F.struct(F.col("company"), (-F.col("node")).alias("node"))).alias("top"))
+    stars = keyed.join(pivots.select("key", (-F.col("top.node")).alias("pivot")), "key").where("node <> pivot")
+    stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     close = written(_close(stars, nodes, scheme, low), "close")
     ids = lambda p: p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
-    sets = written(_sets(docs, ids(close), words, id_col, text_col), "sets")
+    again = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1)
+    once = lambda df: df.dropDuplicates(["node", "set"]) if again else df  # noqa: E731  rows may repeat an id
+    sets = written(once(_sets(docs, ids(close), words, id_col, text_col)), "sets")
     links = written(_confirmed(close, sets, low), "links")
     found = components(links)
-    rest = written(_rest(keyed.select("key", "node"), nodes, found, scheme, low, block).join(close, ["a", "b"], "left_anti"), "rest")
-    if rest.head(1):
-        more = written(_sets(docs, ids(rest).join(sets.select("node"), "node", "left_anti"), words, id_col, text_col), "sets")
-        found = components(links.union(_confirmed(rest, sets.union(more), low)))
+    families = _families(keyed.where("members > 2").select("key", "node"), nodes, found, scheme, low, block)
+    if families.head(1):
+        missing = families.select("node").join(sets.select("node"), "node", "left_anti")
+        more = written(once(_sets(docs, missing, words, id_col, text_col)), "sets")
+        found = components(links.union(_within(families, nodes, sets.union(more), scheme, low, block)))
     named = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = base.join(named, ["set_a", "set_b"], "left")
     lone = F.col("n_shingles") == 0
