@@ -1,13 +1,64 @@
-"""The training-corpus pipeline (stages are added as their operators are)."""
+"""The training-corpus pipeline: language ID, near-duplicates, decontamination, mixing, token packing.
+
+Every stage works on all that its predecessor kept and takes (spark, docs, sf_dir); all but the last return the
+columns of documents. run() writes each stage's rows as Parquet to the shared folder and reads them back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratavox.llm import decontaminate, language_id, mixing, queries, token_pack
+from stratavox.llm.minhash_dedup import near_duplicates
+from stratavox.llm.store import written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is one of the learned ones; those without text or letters go."""
+    columns = docs.columns
+    model = queries.language_model(docs)
+    if not model.languages:
+        return docs.limit(0)
+    out = language_id.predict(docs, model, columns)
+    return out.where(F.col("lang_pred") != "und").select(columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8; the smallest id stays."""
+    gone = near_duplicates(docs, words=5, low=80).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(written(gone, "duplicates"), "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a verified overlap with a benchmark item."""
+    return decontaminate.decontaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: every document at least once, those of small sources repeated."""
+    return mixing.repeated(docs, mixing.mixed(docs, mixing.word_tokens(), **queries.MIX))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed token ids, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_pack.packed(docs, queries.tokenizer_file())
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language),
+    ("minhash_dedup", near_dedup),
+    ("decontaminate", benchmark_free),
+    ("mixing", mix),
+    ("token_pack", tokens),
+]
 
+#: SQL cannot express the n-gram filters, signatures or the tokenizer; the tests compare with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
