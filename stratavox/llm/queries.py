@@ -87,8 +87,8 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # 0: low quality, 1: fair but toxic, 2: good
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality").isNotNull(), 2)
+    # 0: toxic, 1: of low quality, 2: good
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 2)
     return ordinal_quality.graded_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade)
 
 
