@@ -42,7 +42,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIGGER = re.compile(r"[0-9@=]")
-_EDGE = "\"'`<>[]{},;:!?."
+_EDGE = "\"'`<>[]{},;:!?.#*$%&|"
 _SECRET = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api_?key)\s*[=:]\s*[\"']?([0-9a-z_+/-]{12,})|(?-i:\b(AKIA[0-9A-Z]{16})\b)")
 _KEYWORD = re.compile(r"(?i)(password|passwd|pwd|token|secret|api_?key)[\"']?\s*[=:]?$")
 
