@@ -22,6 +22,7 @@ their texts' hashes; an empty table writes no file and reads back as no rows; ex
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,16 +35,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import text as tx
 from .store import new_path, written
 
 MAGIC = b"STVXPACK"
 VERSION = 1
 BLOCK_IDS = 1 << 16
-#: Texts are encoded in batches of about this many characters.
-BATCH_CHARS = 1 << 19
 HEADER = 8 + 6 * 8
 
 
+#: Lead bytes of the characters beyond ASCII that count as white space.
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
@@ -159,6 +164,107 @@ class ShardReader:
             yield (None if self.nulls[d] else int(self.docs[d])), start, ids
 
 
+class SegmentEncoder:
+    """Ids of whole texts from a byte-level BPE tokenizer, with the ids of segments kept.
+
+    Texts are cut before every single space between two characters that are surely not white space (the lead bytes of
+    wider white space are taken as such). The pre-tokenizer starts a piece exactly there whatever stands around it, so the ids of the segments joined are the ids of the text; each
+    distinct segment is encoded by the tokenizer once, until the store is full and starts anew.
+    """
+
+    MAX_SEGMENTS, MAX_IDS = 600_000, 4_000_000
+
+    def __init__(self, file: str, encode_special: bool):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(file)
+        self.model.encode_special_tokens = encode_special
+        state = json.loads(self.model.to_str())
+        pre = state.get("pre_tokenizer") or {}
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and state.get("normalizer") is None
+        #: Bytes of each token: its byte-level string has a character for each; added tokens are their text.
+        lengths = {i: len(t) for t, i in self.model.get_vocab(with_added_tokens=False).items()} | {t["id"]: len(t["content"].encode()) for t in state.get("added_tokens", [])}
+        self.bytes = np.array([lengths.get(i, 0) for i in range(max(lengths, default=0) + 1)], np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _starts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the segments, and which of them are cuts within a text."""
+        cut = np.zeros(len(data), bool)
+        if self.cuts and len(data) > 2:
+            space = tx._SPACE[data]
+            cut[1:-1] = (data[1:-1] == 32) & ~space[:-2] & ~space[2:] & ~_WIDE[data[2:]]
+            cut[2:] &= data[:-2] != 0xC2
+            cut[3:] &= ~_WIDE[data[:-3]]
+        first = offs[:-1][offs[1:] > offs[:-1]]
+        inner = cut.copy()
+        inner[first] = False
+        cut[first] = True
+        starts = np.flatnonzero(cut)
+        return starts, inner[starts]
+
+    def _fresh(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of new segments. Those that are cut at both ends are encoded as runs of text of their
+        own, since the cuts hold there too, and told apart by the lengths of the tokens in bytes."""
+        sizes, ids = np.zeros(len(starts), np.int64), [None] * len(starts)
+        some = np.flatnonzero(joined)
+        runs = [some[k : k + 2048] for k in range(0, len(some), 2048)]
+        texts = [b"".join(raw[a:b] for a, b in zip(starts[r].tolist(), ends[r].tolist())).decode("utf-8") for r in runs]
+        alone = np.flatnonzero(~joined).tolist()
+        texts += [raw[starts[k] : ends[k]].decode("utf-8") for k in alone]
+        got = [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        for r, g in zip(runs, got):
+            place = np.concatenate(([0], np.cumsum(self.bytes[g])))
+            at = np.searchsorted(place, np.concatenate(([0], np.cumsum(ends[r] - starts[r]))))
+            for k, a, b in zip(r.tolist(), at[:-1].tolist(), at[1:].tolist()):
+                ids[k] = g[a:b]
+            sizes[r] = np.diff(at)
+        for k, g in zip(alone, got[len(runs) :]):
+            ids[k], sizes[k] = g, len(g)
+        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), sizes
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a slice, the texts' bounds)."""
+        if len(self.slots) > self.MAX_SEGMENTS or len(self.flat) > self.MAX_IDS:
+            self.clear()
+        starts, inner = self._starts(data, offs)
+        ends = np.append(starts[1:], len(data)).astype(np.int64)[: len(starts)]
+        keys, first, which = np.unique(tx.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        slot = np.array([self.slots.get(k, -1) for k in keys.tolist()], np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            pick = first[new]
+            closed = np.append(inner[1:], False)
+            flat, size = self._fresh(data.tobytes(), starts[pick], ends[pick], inner[pick] & closed[pick])
+            slot[new] = len(self.size) + np.arange(len(new))
+            self.slots.update(zip(keys[new].tolist(), slot[new].tolist()))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, flat])
+        slot = slot[which]
+        size = self.size[slot]
+        total = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(self.begin[slot] - total[:-1], size) + np.arange(total[-1])
+        return self.flat[at], total[np.searchsorted(starts, offs)]
+
+
+_ENCODERS: dict[tuple[str, bool], SegmentEncoder] = {}
+
+
+def encoder(file: str, encode_special: bool = False) -> SegmentEncoder:
+    """The encoder of this Python worker, kept over tasks."""
+    key = (file, encode_special)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = SegmentEncoder(file, encode_special)
+    return _ENCODERS[key]
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -176,32 +282,24 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         shard = TaskContext.get().partitionId()
-        model, writer, out = None, None, None
+        writer, out = None, None
         disk, root = _filesystem(path)
         final = str(PurePosixPath(root) / f"shard-{shard:06d}.bin")
         part = f"{final}.{uuid.uuid4().hex}.tmp"
         try:
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1)
-                at = 0
-                while at < len(ids):
-                    if writer is None:
-                        model = Tokenizer.from_file(tokenizer)
-                        model.encode_special_tokens = encode_special
-                        disk.create_dir(root, recursive=True)
-                        out = disk.open_output_stream(part)
-                        writer = ShardWriter(out, bits, block_ids)
-                    some, size = [], 0
-                    while at + len(some) < len(ids) and (not some or size < BATCH_CHARS):
-                        some.append(texts[at + len(some)].as_py() or "")
-                        size += len(some[-1])
-                    for k, e in enumerate(model.encode_batch_fast(some, add_special_tokens=False)):
-                        writer.add(ids[at + k], np.array([*e.ids, end_id], np.uint32))
-                    at += len(some)
+                if batch.num_rows and writer is None:
+                    disk.create_dir(root, recursive=True)
+                    out = disk.open_output_stream(part)
+                    writer = ShardWriter(out, bits, block_ids)
+                doc_ids = batch.column(0).to_pylist()
+                for i, j, data, offs in tx.slices(batch.column(1)):
+                    ids, bounds = encoder(tokenizer, encode_special).encode(data, offs)
+                    for k in range(j - i):
+                        own = np.empty(bounds[k + 1] - bounds[k] + 1, np.uint32)
+                        own[:-1], own[-1] = ids[bounds[k] : bounds[k + 1]], end_id
+                        writer.add(doc_ids[i + k], own)
             if writer is not None:
                 writer.close()
                 out.close()
