@@ -6,8 +6,8 @@ contain it. A text's per-language popcounts over its n-grams, corrected for each
 decide its language.
 
 Fitting counts n-grams on a bounded sample of labelled rows (`docs_per_language` each, chosen by a hash of the id)
-with a grouped aggregate; a model of at most `grams_per_language` n-grams a language reaches the tasks. Prediction is
-one pass over whole texts without a shuffle.
+with a grouped aggregate; at most 1 / `min_share` n-grams of a language can pass, so the model that reaches the tasks is
+bounded. Prediction is one pass over whole texts without a shuffle.
 
 Defined cases: `und` with score 0 for null texts and texts without a letter, and for every text if nothing could be
 learned; a text with letters but no known n-gram gets the most frequent learned language with score 0; ties go to the
@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .store import written
 
 MAX_LANGUAGES = 64
 HASHES = 4
@@ -87,7 +88,7 @@ def contains(model: Model, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, docs_per_language: int = 4000, grams_per_language: int = 50_000, min_share: float = 2e-6, min_ratio: float = 0.1) -> Model:
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, docs_per_language: int = 4000, min_share: float = 5e-6, min_ratio: float = 0.1) -> Model:
     """Learn from rows with text and language. A language contains an n-gram if the n-gram's share there is at least
     min_share and min_ratio of its share in the language where it is most common."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -112,10 +113,11 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key
                 yield pa.RecordBatch.from_arrays([pa.array((both >> 32).astype(np.int32)), pa.array(both & 0xFFFFFFFF), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     seen = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    seen = seen.withColumn("rate", rate).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
-    held = seen.where((F.col("rate") >= min_share) & (F.col("rate") >= min_ratio * F.col("top")))
-    held = held.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= grams_per_language)
+    seen = written(seen, "grams")
+    totals = seen.groupBy("lang").agg(F.sum("n").alias("all"))  # at most MAX_LANGUAGES rows
+    rates = seen.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("all")).alias("rate")).where(F.col("rate") >= min_share * min_ratio)
+    top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
+    held = rates.where(F.col("rate") >= min_share).join(top, "gram").where(F.col("rate") >= min_ratio * F.col("top"))
     table = held.select("lang", "gram").toPandas()
     return build({x: table.gram[table.lang == k].to_numpy().astype(np.uint32) for k, x in enumerate(names)}, names)
 
@@ -151,7 +153,7 @@ def predict(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "
                     which, score = np.full(j - i, -1), np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(id_cols))), pa.array(names[which], pa.string()), pa.array(score)], [f.name for f in schema])
 
-    return docs.select(*id_cols, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(*id_cols, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
