@@ -162,23 +162,31 @@ def line_distances(f: np.ndarray) -> np.ndarray:
     return (np.arange(n) - j) ** 2 + f[j]
 
 
+def _plane_pass(rows: str, cols: str, both: bool):
+    """Line distances of a dense plane along its columns' axis, then, if `both`, along its rows' axis."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values([rows, cols], ignore_index=True)
+        v = f["value"].to_numpy(float).reshape(f[rows].nunique(), -1)
+        v = np.apply_along_axis(line_distances, 1, v)
+        v = np.apply_along_axis(line_distances, 0, v) if both else v
+        return f.assign(value=v.reshape(-1))
+
+    return run
+
+
 def distance_map(mask: DataFrame, dims: DataFrame, inside: bool = False) -> DataFrame:
     """(C, value): exact Euclidean distance of every voxel to the mask, or from the mask's voxels to what lies outside.
 
-    Three passes over lines of voxels; volumes without any target get null.
+    Three passes over lines: two within a slice, one across slices a plane at a time; without any target, null.
     """
     from ..sources.volumes import to_dense
 
     target = 0 if inside else 1
     df = to_dense(mask, dims).select(*C, F.when(F.col("value") == target, 0.0).otherwise(float("inf")).alias("value"))
-    for axis in ("x", "y", "z"):
-
-        def run(f: pd.DataFrame, axis=axis) -> pd.DataFrame:
-            f = f.sort_values(axis, ignore_index=True)
-            return f.assign(value=line_distances(f["value"].to_numpy(float)))
-
-        others = [c for c in C if c != axis]
-        df = df.groupBy(*others).applyInPandas(run, "volume_id string, z int, y int, x int, value double")
+    schema = "volume_id string, z int, y int, x int, value double"
+    df = df.groupBy("volume_id", "z").applyInPandas(_plane_pass("y", "x", True), schema)
+    df = df.groupBy("volume_id", "y").applyInPandas(_plane_pass("x", "z", False), schema).select(*C, "value")
     d = F.when(F.col("value") != float("inf"), F.sqrt("value"))
     return df.select(*C, d.alias("value"))
 

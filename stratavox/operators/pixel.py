@@ -124,34 +124,39 @@ def resample_z_linear(df: DataFrame, factor: int) -> DataFrame:
     return both.select("volume_id", (F.col("z") * factor + F.col("k")).cast("int").alias("z"), "y", "x", v.alias("value"))
 
 
-def cubic_line(v: np.ndarray, factor: float) -> np.ndarray:
-    """A natural cubic spline through v at round(len * factor) even positions from the first to the last."""
+def resampled(v: np.ndarray, factor: float, order: int = 3) -> np.ndarray:
+    """Columns of v (n, m) at round(n * factor) even positions from the first row to the last: natural cubic splines, or
+    linear for order 1."""
     n, m = len(v), max(1, round(len(v) * factor))
-    if n < 3:
-        return np.interp(np.linspace(0, n - 1, m), np.arange(n), v)
-    a = np.zeros((n, n))
-    a[0, 0] = a[-1, -1] = 1
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = 1, 4, 1
-    r = np.zeros(n)
-    r[1:-1] = 6 * (v[2:] - 2 * v[1:-1] + v[:-2])
-    c = np.linalg.solve(a, r)
     t = np.linspace(0, n - 1, m)
-    i = np.minimum(t.astype(int), n - 2)
-    u, w = t - i, 1 - (t - i)
-    return w * v[i] + u * v[i + 1] + ((w**3 - w) * c[i] + (u**3 - u) * c[i + 1]) / 6
+    i = np.clip(t.astype(int), 0, max(0, n - 2))
+    j = np.minimum(i + 1, n - 1)
+    u = (t - i)[:, None]
+    w = 1 - u
+    out = w * v[i] + u * v[j]
+    if order == 3 and n > 2:
+        a = np.zeros((n, n))
+        a[0, 0] = a[-1, -1] = 1
+        k = np.arange(1, n - 1)
+        a[k, k - 1], a[k, k], a[k, k + 1] = 1, 4, 1
+        r = np.zeros(v.shape)
+        r[1:-1] = 6 * (v[2:] - 2 * v[1:-1] + v[:-2])
+        c = np.linalg.solve(a, r)
+        out += ((w**3 - w) * c[i] + (u**3 - u) * c[j]) / 6
+    return out
 
 
 def resample_z(df: DataFrame, factor: float, order: int = 3) -> DataFrame:
-    """Resample along z, a line of voxels at a time: cubic splines, or linear for order 1."""
+    """Resample dense volumes along z, a (z, x) plane at a time: cubic splines, or linear for order 1."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("z")
-        v = f["value"].to_numpy()
-        out = cubic_line(v, factor) if order == 3 else np.interp(np.linspace(0, len(v) - 1, max(1, round(len(v) * factor))), np.arange(len(v)), v)
-        return pd.DataFrame({"volume_id": f["volume_id"].iloc[0], "z": np.arange(len(out), dtype=np.int32), "y": f["y"].iloc[0], "x": f["x"].iloc[0], "value": out})
+        f = f.sort_values(["z", "x"])
+        xs = np.sort(f["x"].unique())
+        out = resampled(f["value"].to_numpy(float).reshape(-1, len(xs)), factor, order)
+        z, x = np.indices(out.shape)
+        return pd.DataFrame({"volume_id": f["volume_id"].iloc[0], "z": z.reshape(-1).astype(np.int32), "y": f["y"].iloc[0], "x": xs[x.reshape(-1)].astype(np.int32), "value": out.reshape(-1)})
 
-    return df.groupBy("volume_id", "y", "x").applyInPandas(run, "volume_id string, z int, y int, x int, value double")
+    return df.select(*C, "value").groupBy("volume_id", "y").applyInPandas(run, "volume_id string, z int, y int, x int, value double")
 
 
 def augment_patches(rows: DataFrame, ph: int, pw: int, choice: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.derived import C
 from .components import label_by_bins
+from .graph import written
 from .morphology import dilate
 from .pixel import value_bins
 
@@ -38,16 +39,17 @@ def sample_patches(mask: DataFrame, soft: DataFrame, dims: DataFrame, num: int,
     """
     sizes = F.broadcast(dims)
     n = mask.groupBy("volume_id").agg(F.greatest(F.lit(1), F.floor(0.01 * threshold * F.count("*"))).alias("extra"))
-    ranked = soft.join(sizes, "volume_id").withColumn("h", seeded((F.col("z") * F.col("h") + F.col("y")) * F.col("w") + F.col("x"), seed))
-    place = F.row_number().over(Window.partitionBy("volume_id").orderBy("h", "z", "y", "x"))
-    # a global rank of a few extras: the smallest hashes of each slice first
-    local = F.row_number().over(Window.partitionBy("volume_id", "z").orderBy("h", "y", "x"))
+    ranked = soft.join(sizes, "volume_id").select(*C, seeded((F.col("z") * F.col("h") + F.col("y")) * F.col("w") + F.col("x"), seed).alias("hash"))
+    place = F.row_number().over(Window.partitionBy("volume_id").orderBy("hash", "z", "y", "x"))
+    # the extras of a volume are among the smallest hashes of its slices
+    local = F.row_number().over(Window.partitionBy("volume_id", "z").orderBy("hash", "y", "x"))
     few = ranked.withColumn("l", local).join(F.broadcast(n), "volume_id").where(F.col("l") <= F.col("extra"))
     extras = few.withColumn("k", place).where(F.col("k") <= F.col("extra")).select(*C, "k")
     room = lambda df: df.join(sizes, "volume_id").where(
         (F.col("z") >= t) & (F.col("z") <= F.col("d") - t - 1) & (F.col("y") >= ph // 2) & (F.col("y") <= F.col("h") - ph // 2 - 1) & (F.col("x") >= pw // 2) & (F.col("x") <= F.col("w") - pw // 2 - 1)
     )
-    main = order_index(room(mask.select(*C)).select(*C))
+    extras = written(extras, "extras")
+    main = written(order_index(written(room(mask.select(*C)).select(*C), "centres")), "main")
     count = main.groupBy("volume_id").agg(F.count("*").alias("main"))
     tail = room(extras).withColumn("j", F.row_number().over(Window.partitionBy("volume_id").orderBy("k")) - 1)
     tail = tail.join(F.broadcast(count), "volume_id", "left").select(*C, (F.coalesce("main", F.lit(0)) + F.col("j")).cast("long").alias("i"))

@@ -120,27 +120,22 @@ def gaussian_weights(sigma: float) -> list[float]:
 
 
 def gaussian_axis(df: DataFrame, axis: str, sigma: float, dims: DataFrame) -> DataFrame:
-    """One pass: every voxel sends its weighted value to the positions its kernel reaches, folded at the borders."""
+    """One pass: every voxel and its mirror images send their weighted value to the positions within the kernel."""
     if sigma <= 0:
         return df
     weights = gaussian_weights(sigma)
     r = len(weights) // 2
     n = {"z": "d", "y": "h", "x": "w"}[axis]
     both = df.join(F.broadcast(dims.select("volume_id", F.col(n).alias("_n"))), "volume_id")
-    taps = F.array(*[F.struct(F.lit(k - r).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
-    # position p with tap k is read by p - k; a read outside folds back by mirroring with period 2n
-    both = both.withColumn("_tap", F.explode(taps))
-    both = both.withColumn("_to", F.explode(_readers(F.col(axis), F.col("_tap.k"), F.col("_n"), r)))
-    out = both.groupBy(*[F.col(c) if c != axis else F.col("_to").alias(axis) for c in C]).agg(F.sum(F.col("value") * F.col("_tap.w")).alias("value"))
-    return out.select(*C, "value")
-
-
-def _readers(p: Column, k: Column, n: Column, r: int) -> Column:
-    """Positions q in [0, n) for which mirroring q + k gives p."""
-    turns = range(-(r // 2) - 2, r // 2 + 3)
-    same = [p - k + 2 * n * t for t in turns]
-    back = [2 * n * t - 1 - p - k for t in turns]
-    return F.filter(F.array(*same, *back), lambda q: (q >= 0) & (q < n))
+    others = [c for c in C if c != axis]
+    turns = F.sequence(-F.ceil(F.lit(r) / (2 * F.col("_n"))).cast("int") - 1, F.ceil(F.lit(r) / (2 * F.col("_n"))).cast("int") + 1)
+    images = F.concat(F.transform(turns, lambda t: F.col(axis) + 2 * F.col("_n") * t), F.transform(turns, lambda t: 2 * F.col("_n") * t - 1 - F.col(axis)))
+    near = F.filter(images, lambda i: (i >= -r) & (i < F.col("_n") + r))
+    both = both.select(*others, "value", "_n", F.explode(near).alias("_i"))
+    reach = F.sequence(F.greatest(F.lit(0), F.col("_i") - r), F.least(F.col("_n") - 1, F.col("_i") + r))
+    both = both.select(*others, "value", "_i", F.explode(reach).alias(axis))
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), F.col("_i") - F.col(axis) + r + 1)
+    return both.groupBy(*C).agg(F.sum(F.col("value") * w).alias("value"))
 
 
 def gaussian_smooth(df: DataFrame, sigma: tuple[float, float, float], dims: DataFrame) -> DataFrame:

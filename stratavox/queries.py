@@ -380,7 +380,7 @@ def _(t):
     return wi.enhance_by_variance(t.vox, t.pred.select(*C, F.col("edge").alias("value")), 5, t.dims)
 
 
-@query("n6_mode_filter", ", ".join([f"c0 AS (SELECT {CC}, CAST(value // 86 = 0 AS INTEGER) AS n0, CAST(value // 86 = 1 AS INTEGER) AS n1, CAST(value // 86 = 2 AS INTEGER) AS n2 FROM voxels)", sql_win("c1", "c0", "y", 2, 2, "", "sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(n2) OVER w AS n2"), sql_win("c2", "c1", "x", 2, 2, "", "sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(n2) OVER w AS n2")]) + f"; SELECT {CC}, CASE WHEN n0 >= n1 AND n0 >= n2 THEN 0 WHEN n1 >= n2 THEN 1 ELSE 2 END AS label FROM c2")
+@query("n6_mode_filter", ", ".join([f"c0 AS (SELECT {CC}, CAST(floor(value / 86) = 0 AS INTEGER) AS n0, CAST(floor(value / 86) = 1 AS INTEGER) AS n1, CAST(floor(value / 86) = 2 AS INTEGER) AS n2 FROM voxels)", sql_win("c1", "c0", "y", 2, 2, "", "sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(n2) OVER w AS n2"), sql_win("c2", "c1", "x", 2, 2, "", "sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(n2) OVER w AS n2")]) + f"; SELECT {CC}, CASE WHEN n0 >= n1 AND n0 >= n2 THEN 0 WHEN n1 >= n2 THEN 1 ELSE 2 END AS label FROM c2")
 def _(t):
     return wi.mode_filter(t.vox.select(*C, F.floor(F.col("value") / 86).cast("int").alias("label")), [0, 1, 2], 3)
 
@@ -682,7 +682,7 @@ def _(t):
     return ma.filter_by_perimeter_ratio(p(t.flat), p(line), co.overlap_pairs(t.flat, line), 1.2, 3.0)
 
 
-@query("c25_relabel_by_priority", f"cl AS (SELECT {CC}, CAST(value // 86 AS INTEGER) AS label FROM voxels), s AS (SELECT volume_id, label, count(*) FILTER (z < 2 AND y < 8 AND x < 8) AS n FROM cl GROUP BY 1, 2), r AS (SELECT volume_id, label, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY n DESC, label) - 1 AS INTEGER) AS rank FROM s); SELECT {CC}, rank AS label FROM cl JOIN r USING (volume_id, label)")
+@query("c25_relabel_by_priority", f"cl AS (SELECT {CC}, CAST(floor(value / 86) AS INTEGER) AS label FROM voxels), s AS (SELECT volume_id, label, count(*) FILTER (z < 2 AND y < 8 AND x < 8) AS n FROM cl GROUP BY 1, 2), r AS (SELECT volume_id, label, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY n DESC, label) - 1 AS INTEGER) AS rank FROM s); SELECT {CC}, rank AS label FROM cl JOIN r USING (volume_id, label)")
 def _(t):
     return co.relabel_by_priority(t.vox.select(*C, F.floor(F.col("value") / 86).cast("int").alias("label")), (0, 2), (0, 8), (0, 8))
 
@@ -707,7 +707,7 @@ def _(t):
     return sa.extract_patches(_patches(t), t.vox, 12, 12, 1)
 
 
-@query("j6_overlap_pairs", LAB2.replace("lab", "la") + ", " + sql_labels("lb", "gt", FLAT4) + f"; SELECT volume_id, la.label AS label_a, lb.label AS label_b, count(*) AS n FROM la JOIN lb USING ({CC}) GROUP BY 1, 2, 3")
+@query("j6_overlap_pairs", sql_labels("la", "seed", FLAT4) + ", " + sql_labels("lb", "gt", FLAT4) + f"; SELECT volume_id, la.label AS label_a, lb.label AS label_b, count(*) AS n FROM la JOIN lb USING ({CC}) GROUP BY 1, 2, 3")
 def _(t):
     return co.overlap_pairs(t.flat, co.label_2d(t.gt, t.dims))
 
@@ -850,7 +850,7 @@ def _(t):
 
 @query("k1_sample_patches")
 def _(t):
-    return sa.sample_patches(t.seed, t.negative, t.dims, 100, 12, 12, 1)
+    return sa.sample_patches(written(t.seed, "seed"), written(t.negative, "negative"), t.dims, 100, 12, 12, 1)
 
 
 @query("k1_order_index", f"; SELECT {CC}, row_number() OVER (PARTITION BY volume_id ORDER BY z, y, x) - 1 AS i, count(*) OVER (PARTITION BY volume_id) AS n FROM seed")
