@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, decontaminate, language_id, mixing, ordinal_quality, pii_semicrf, quality_forest, token_pack, url_reputation
+from . import chat_rotation, decontaminate, language_id, mixing, oracles, ordinal_quality, pii_semicrf, quality_forest, token_pack, url_reputation
 from .minhash_dedup import near_duplicates
 
 
@@ -108,4 +108,8 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_reputation": oracles.url_reputation(URL_RULES),
+    "op4_mixing": oracles.mixing(**MIX),
+    "op7_chat_rotation": oracles.CHAT_ROTATION,
+}
