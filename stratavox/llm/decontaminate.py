@@ -29,7 +29,7 @@ from . import text as tx
 from .store import written
 
 #: 1 marks the positions that count.
-MASKS = ("11011011", "11101101", "10111101")
+MASKS = ("11010011", "11001011", "10110101", "11100101")
 
 
 class Probe:
@@ -129,7 +129,7 @@ def _block(docs: DataFrame, probe: Probe, id_col: str, text_col: str, penalty: f
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = 5, min_match: int = 10, min_identity: float = 0.8, penalty: float = 2.0, block_chars: int = 16_000_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = 5, min_match: int = 10, min_identity: float = 0.8, penalty: float = 1.0, block_chars: int = 16_000_000) -> DataFrame:
     """(doc_id, item_id, n_match, n_overlap, doc_word, item_word): each verified overlap, the best for a pair.
 
     n_match words of the n_overlap words from the document's word doc_word and the item's word item_word are equal.
