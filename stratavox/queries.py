@@ -28,6 +28,8 @@ from .sources.derived import C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: SQL that spreads labels over large components step by step: for tests on the smallest tables only.
+SMALL_SQL: dict[str, str] = {}
 
 
 class Tables:
@@ -80,8 +82,9 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
-def query(name: str, sql: str | None = None, floats: str = "", base: bool = True):
-    """Register a query; sql may use the derived tables and ends with a SELECT; floats are rounded in it."""
+def query(name: str, sql: str | None = None, floats: str = "", base: bool = True, small: bool = False):
+    """Register a query; sql may use the derived tables and ends with a SELECT; floats are rounded in it. small: the SQL
+    is too slow for whole tables and serves tests only."""
 
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: rounded(f(Tables(spark, sf_dir)))
@@ -89,7 +92,7 @@ def query(name: str, sql: str | None = None, floats: str = "", base: bool = True
             head, _, select = sql.rpartition(";")
             ctes = ", ".join(x for x in ((derived.sql() if base else ""), head.strip().strip(",")) if x)
             rest = f"* REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in floats.split())})" if floats else "*"
-            ORACLE_SQL[name] = f"WITH RECURSIVE {ctes} SELECT {rest} FROM ({select})" if ctes else f"SELECT {rest} FROM ({select})"
+            (SMALL_SQL if small else ORACLE_SQL)[name] = f"WITH RECURSIVE {ctes} SELECT {rest} FROM ({select})" if ctes else f"SELECT {rest} FROM ({select})"
         return f
 
     return add
@@ -504,7 +507,7 @@ def _(t):
 HOLES = f"bg AS (SELECT {CC} FROM voxels WHERE value < 160), " + sql_labels("bl", "bg", FLAT4) + f", outer_ AS (SELECT DISTINCT volume_id, label FROM bl WHERE y IN (0, 31) OR x IN (0, 31)), filled AS (SELECT {CC} FROM seed UNION SELECT {CC} FROM bl WHERE (volume_id, label) NOT IN (SELECT (volume_id, label) FROM outer_))"
 
 
-@query("n20_fill_holes", HOLES + f"; SELECT {CC} FROM filled")
+@query("n20_fill_holes", HOLES + f"; SELECT {CC} FROM filled", small=True)
 def _(t):
     return co.fill_holes(t.seed, t.dims)
 
@@ -532,7 +535,7 @@ def _(t):
     return co.label_3d(t.seed.where("(z + y + x) % 2 = 0 or y % 3 = 0"), t.dims, 26)
 
 
-@query("c3_label_by_bins", f"{BINS}, " + sql_labels("lab", "bins", [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)], "bin") + f"; SELECT {CC}, bin, label FROM lab")
+@query("c3_label_by_bins", f"{BINS}, " + sql_labels("lab", "bins", [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)], "bin") + f"; SELECT {CC}, bin, label FROM lab", small=True)
 def _(t):
     return co.label_by_bins(px.value_bins(t.vox, 3), t.dims)
 
@@ -707,7 +710,7 @@ def _(t):
     return sa.extract_patches(_patches(t), t.vox, 12, 12, 1)
 
 
-@query("j6_overlap_pairs", sql_labels("la", "seed", FLAT4) + ", " + sql_labels("lb", "gt", FLAT4) + f"; SELECT volume_id, la.label AS label_a, lb.label AS label_b, count(*) AS n FROM la JOIN lb USING ({CC}) GROUP BY 1, 2, 3")
+@query("j6_overlap_pairs", sql_labels("la", "seed", FLAT4) + ", " + sql_labels("lb", "gt", FLAT4) + f"; SELECT volume_id, la.label AS label_a, lb.label AS label_b, count(*) AS n FROM la JOIN lb USING ({CC}) GROUP BY 1, 2, 3", small=True)
 def _(t):
     return co.overlap_pairs(t.flat, co.label_2d(t.gt, t.dims))
 
