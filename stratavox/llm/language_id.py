@@ -143,17 +143,19 @@ def predict(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "
     """id_cols plus lang_pred and score, one row per document."""
     names = np.array([*model.languages, "und"], object)
     schema = docs.select(*id_cols).schema.add("lang_pred", "string").add("score", "double")
+    own = id_cols.index(text_col) if text_col in id_cols else len(id_cols)  # the text is not sent twice
+    extra = [] if text_col in id_cols else [F.col(text_col).cast("string").alias("__text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in tx.slices(batch.column(len(id_cols))):
+            for i, j, data, offs in tx.slices(batch.column(own)):
                 if model.languages:
                     which, score = classify(model, data, offs)
                 else:
                     which, score = np.full(j - i, -1), np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(id_cols))), pa.array(names[which], pa.string()), pa.array(score)], [f.name for f in schema])
 
-    return docs.select(*id_cols, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*id_cols, *extra).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
