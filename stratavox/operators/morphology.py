@@ -28,12 +28,12 @@ def inside(mask: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def dilate(mask: DataFrame, size: tuple[int, int, int], dims: DataFrame, iters: int = 1) -> DataFrame:
-    """Box of (z, y, x) sizes; an even size reaches one further to the lower side, as its reflected window does."""
+    """Box of (z, y, x) sizes; an even size reaches one further to the lower side, so that it undoes the erosion's shift."""
     for _ in range(iters):
         for axis, n in zip("zyx", size):
             if n > 1:
                 a, b = frame(n)
-                mask = _shifted(mask, axis, F.sequence(F.lit(-b), F.lit(a))).distinct()
+                mask = _shifted(mask, axis, F.sequence(F.lit(-a), F.lit(b))).distinct()
         mask = inside(mask, dims)
     return mask.select(*C).distinct() if iters == 0 else mask
 

@@ -138,7 +138,7 @@ LAB3 = sql_labels("lab", "seed", SIX)
 
 def sql_dilate(name: str, src: str, sy: int, sx: int | None = None, sz: int = 1) -> str:
     sx = sy if sx is None else sx
-    rng = lambda n: f"range(-{(n - 1) // 2}, {n // 2 + 1})"
+    rng = lambda n: f"range(-{n // 2}, {(n - 1) // 2 + 1})"
     return f"{name} AS MATERIALIZED (SELECT DISTINCT m.volume_id, m.z + oz AS z, m.y + oy AS y, m.x + ox AS x FROM {src} m JOIN dims USING (volume_id), (SELECT CAST(unnest({rng(sz)}) AS INTEGER) AS oz), (SELECT CAST(unnest({rng(sy)}) AS INTEGER) AS oy), (SELECT CAST(unnest({rng(sx)}) AS INTEGER) AS ox) WHERE m.z + oz BETWEEN 0 AND d - 1 AND m.y + oy BETWEEN 0 AND h - 1 AND m.x + ox BETWEEN 0 AND w - 1)"
 
 
