@@ -55,7 +55,7 @@ class Scheme:
 
 
 #: Members and shingles of one block when the remaining pairs are compared.
-BLOCK = 256
+BLOCK = 1024
 SHINGLES_PER_BLOCK = 500_000
 #: Links whose components one task finds before tasks meet.
 LINKS_PER_TASK = 1_000_000
