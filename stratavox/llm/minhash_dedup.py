@@ -288,7 +288,7 @@ def _cells(rows: DataFrame, key: str, block: int) -> DataFrame:
     heads = parts.groupBy(key).agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.sum("s").alias("size"), F.max(F.struct("m", "comp", "s")).alias("top"))
     blocks = lambda m, s: F.greatest(F.ceil(m / F.lit(block)), F.ceil(s / F.lit(SHINGLES_PER_BLOCK))).cast("int")
     rest = blocks(F.col("all") - F.col("top.m"), F.col("size") - F.col("top.s"))
-    heads = heads.where("comps > 1 and all > 2").select(key, F.col("top.comp").alias("major"), blocks(F.col("top.m"), F.col("top.s")).alias("ga"), rest.alias("gb"))
+    heads = heads.where("comps > 1").select(key, F.col("top.comp").alias("major"), blocks(F.col("top.m"), F.col("top.s")).alias("ga"), rest.alias("gb"))
     rows = rows.join(heads, key)
     spread = lambda g: F.pmod(F.xxhash64("node"), F.col(g)).cast("int")
     cell = lambda kind, i, j, s: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), s.alias("side"))

@@ -74,6 +74,18 @@ def test_a_family_that_no_single_member_links(spark):
     check(spark, rows, 2, block=4)
 
 
+def test_two_near_copies_whose_keys_are_led_by_longer_texts(spark):
+    """A family of longer texts with the same passage leads every key that two near copies share (so with this seed)."""
+    rng = random.Random(17)
+    passage, tail = [f"p{i}" for i in range(100)], [f"t{i}" for i in range(45)]
+    near = [*passage[:50], "changed", *passage[51:]]
+    texts = [" ".join(passage), " ".join(near)]
+    for k in range(30):
+        tail[rng.randrange(45)] = f"u{k}"
+        texts.append(" ".join((near if k % 2 else passage) + tail))
+    check(spark, list(enumerate(texts)), 2, scheme=Scheme(chunks=2, slots=2))
+
+
 def test_empty_table_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert near_duplicates(spark.createDataFrame([], schema)).collect() == []
