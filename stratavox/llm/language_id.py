@@ -11,7 +11,8 @@ bounded. Prediction is one pass over whole texts without a shuffle.
 
 Defined cases: `und` with score 0 for null texts and texts without a letter, and for every text if nothing could be
 learned; a text with letters but no known n-gram gets the most frequent learned language with score 0; ties go to the
-more frequent language. At most 64 languages are learned, the most frequent ones. Extra columns are ignored.
+more frequent language. Every language is learned: each 64 of them add one mask word to every filter position. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .store import written
 
-MAX_LANGUAGES = 64
+#: Languages of one mask word.
+WORD_LANGUAGES = 64
 HASHES = 4
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -61,7 +63,7 @@ def _places(codes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """languages: most frequent first; masks: the bit-sliced filter; fpr: false-positive rate of each language."""
+    """languages: most frequent first; masks: the bit-sliced filter, a row for each 64 languages; fpr: false-positive rate of each language."""
 
     languages: list[str]
     bits: int
@@ -72,19 +74,22 @@ class Model:
 def build(grams: dict[str, np.ndarray], languages: list[str]) -> Model:
     most = max([1, *(len(g) for g in grams.values())])
     bits = max(10, int(np.ceil(np.log2(12 * most))))
-    masks = np.zeros(1 << bits, np.uint64)
+    masks = np.zeros((max(1, -(-len(languages) // WORD_LANGUAGES)), 1 << bits), np.uint64)
+    fill = np.zeros(len(languages))
     for k, lang in enumerate(languages):
+        word, bit = masks[k // WORD_LANGUAGES], np.uint64(k % WORD_LANGUAGES)
         for at in _places(grams.get(lang, np.zeros(0, np.uint32)), bits):
-            masks[at] |= np.uint64(1 << k)
-    fill = np.array([((masks >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
+            word[at] |= np.uint64(1) << bit
+        fill[k] = ((word >> bit) & np.uint64(1)).mean()
     return Model(languages, bits, masks, fill**HASHES)
 
 
 def contains(model: Model, codes: np.ndarray) -> np.ndarray:
-    """Masks of all languages containing each n-gram."""
-    out = np.full(len(codes), ~np.uint64(0))
+    """Masks (a row for each 64 languages) of all languages containing each n-gram."""
+    out = np.full((len(model.masks), len(codes)), ~np.uint64(0))
     for at in _places(codes, model.bits):
-        out &= model.masks[at]
+        for word, masks in zip(out, model.masks):
+            word &= masks[at]
     return out
 
 
@@ -93,15 +98,14 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key
     min_share and min_ratio of its share in the language where it is most common."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = F.xxhash64(F.col(text_col)) if key is None else key
-    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
-        return Model([], 10, np.zeros(1024, np.uint64), np.zeros(0))
+        return Model([], 10, np.zeros((1, 1024), np.uint64), np.zeros(0))
     unit = (F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))).alias("unit")
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, docs_per_language / r["count"]))).otherwise(share)
-    sample = rows.where(unit < share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     names = [r["lang"] for r in counts]
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, docs_per_language / r["count"])) for r in counts], "lang string, share double")
+    sample = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), unit)
+    sample = sample.join(F.broadcast(shares), "lang").where("unit < share").select("lang", "text")
     index = {x: k for k, x in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +118,20 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key
 
     seen = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     seen = written(seen, "grams")
-    totals = seen.groupBy("lang").agg(F.sum("n").alias("all"))  # at most MAX_LANGUAGES rows
+    totals = seen.groupBy("lang").agg(F.sum("n").alias("all"))  # a row a language
     rates = seen.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("all")).alias("rate")).where(F.col("rate") >= min_share * min_ratio)
     top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
     held = rates.where(F.col("rate") >= min_share).join(top, "gram").where(F.col("rate") >= min_ratio * F.col("top"))
-    table = held.select("lang", "gram").toPandas()
-    return build({x: table.gram[table.lang == k].to_numpy().astype(np.uint32) for k, x in enumerate(names)}, names)
+    held = held.select("lang", "gram")
+    if len(names) > WORD_LANGUAGES:  # the driver takes the n-grams of 64 languages at a time
+        held = written(held, "held")
+    grams = {}
+    for first in range(0, len(names), WORD_LANGUAGES):
+        table = held.where(F.col("lang").between(first, first + WORD_LANGUAGES - 1)).toPandas().sort_values("lang")
+        lang, gram = table.lang.to_numpy(), table.gram.to_numpy().astype(np.uint32)
+        for k in range(first, min(first + WORD_LANGUAGES, len(names))):
+            grams[names[k]] = gram[np.searchsorted(lang, k) : np.searchsorted(lang, k + 1)]
+    return build(grams, names)
 
 
 def classify(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +144,7 @@ def classify(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
     masks, total = contains(model, codes), np.diff(first)
     counts = np.zeros((len(model.languages), n))
     for k, f in enumerate(model.fpr):
-        hits = np.concatenate(([0], np.cumsum((masks >> np.uint64(k)) & np.uint64(1))))
+        hits = np.concatenate(([0], np.cumsum((masks[k // WORD_LANGUAGES] >> np.uint64(k % WORD_LANGUAGES)) & np.uint64(1))))
         counts[k] = np.maximum(0, (np.diff(hits[first]) - total * f) / (1 - f))
     best = counts.argmax(0)
     score = np.clip(counts[best, np.arange(n)] / np.maximum(total, 1), 0, 1)

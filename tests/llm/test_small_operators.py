@@ -72,6 +72,17 @@ def test_languages_held_out_and_odd_texts(spark):
     assert language_id.predict(docs.limit(0), model, ["doc_id"]).collect() == []
 
 
+def test_more_languages_than_one_mask_word(spark):
+    rng = random.Random(7)
+    vocab = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(140)}
+    rows = [(n, prose(rng, 15, words), lang) for n, (lang, words) in enumerate(4 * list(vocab.items()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs.where("doc_id < 420"))
+    assert sorted(model.languages) == sorted(vocab)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model, ["doc_id"]).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_filters_have_no_false_negatives_and_the_stated_rate():
     rng = np.random.default_rng(1)
     grams = {k: rng.integers(0, 2**32, 3000, dtype=np.uint32) for k in "abc"}
