@@ -1,13 +1,14 @@
 """Personal data: exact base patterns, and a semi-Markov conditional random field that adds spans.
 
 Base kinds (email, ip, card, phone) are leftmost, non-overlapping matches with their checks. The random field works on
-words: every candidate segment of up to `MAX_WORDS` words that starts and ends with a trigger word (a digit, `@` or
-`=`) is scored by features of the whole span; dynamic programming over bounded entities chooses boundaries and types
-jointly. Words far from any trigger can only be outside, so a text falls into short zones and the work is linear in
+words: every candidate segment that starts and ends with a trigger word (a digit, `@`, `=`, or the value after a secret
+keyword with `=` or `:`) is scored by features of the whole span; dynamic programming over bounded entities chooses
+boundaries and types jointly. A segment has up to `SHORT_WORDS` words of any kind, or up to `MAX_WORDS` if it has no letter:
+only cards and phones are written over many words. Words far from any trigger can only be outside, so a text falls into short zones and the work is linear in
 its length. Added spans never touch base spans; a fifth kind, `secret`, comes from the field alone.
 
 The field is fitted by gradient ascent on the likelihood of zones from a bounded sample of documents
-(`sample_docs`, at most `ZONES_PER_DOC` zones of each and none of over `ZONE_WORDS` words), labelled by the base patterns and by assignment patterns for
+(`sample_docs`, at most `ZONES_PER_DOC` zones of each, by a hash of their place, and none of over `ZONE_WORDS` words), labelled by the base patterns and by assignment patterns for
 secrets. Applying it is one pass over whole texts without a shuffle; texts without a trigger are never decoded.
 
 Defined cases: a null or empty text has no spans; without any zone in the sample the field adds nothing; rows
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +33,9 @@ from . import text as tx
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-MAX_WORDS = 4
+SHORT_WORDS = 4
+#: The longest card number, a word for each digit.
+MAX_WORDS = 19
 ZONES_PER_DOC = 20
 ZONE_WORDS = 200
 
@@ -44,7 +49,10 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIGGER = re.compile(r"[0-9@=]")
 _EDGE = "\"'`<>[]{},;:!?.#*$%&|"
 _SECRET = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api_?key)\s*[=:]\s*[\"']?([0-9a-z_+/-]{12,})|(?-i:\b(AKIA[0-9A-Z]{16})\b)")
-_KEYWORD = re.compile(r"(?i)(password|passwd|pwd|token|secret|api_?key)[\"']?\s*[=:]?$")
+_KEYWORD = re.compile(r"(?i)(password|passwd|pwd|token|secret|api_?key)[\"']?\s*[=:]?\s*$")
+_ASSIGN = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api_?key)[\"']?\s*[=:]\s*")
+_COLON = re.compile(r"(?i)\S*(?:password|passwd|pwd|token|secret|api_?key)[\"']?:")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def luhn(digits: str) -> bool:
@@ -91,20 +99,27 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def zones(text: str) -> list[list[tuple[int, int, bool]]]:
-    """Runs of words (start, end, is a trigger) that begin and end with a trigger and have no MAX_WORDS - 1 others in a row."""
+    """Runs of words (start, end, is a trigger) that begin and end with a trigger and have no SHORT_WORDS - 1 others in a row."""
     out: list[list[tuple[int, int, bool]]] = []
-    at = 0
-    while m := _TRIGGER.search(text, at):
-        start = m.start()
+    values = [m.end() for m in _ASSIGN.finditer(text) if m.end() < len(text)]
+    at, mark = 0, -1  # mark: the next plain trigger
+    while True:
+        if mark < at:
+            m = _TRIGGER.search(text, at)
+            mark = m.start() if m else len(text)
+        k = bisect_left(values, at)
+        start = min(mark, values[k] if k < len(values) else mark)
+        if start >= len(text):
+            break
         while start > at and text[start - 1] not in "\x20\t\n\x0b\x0c\r":
             start -= 1
         zone, idle, last = [], 0, at
         for w in _WORD.finditer(text, start):
-            hit = _TRIGGER.search(text, w.start(), w.end()) is not None
+            hit = _TRIGGER.search(text, w.start(), w.end()) is not None or bisect_left(values, w.start()) < bisect_left(values, w.end())
             idle = 0 if hit else idle + 1
             zone.append((w.start(), w.end(), hit))
             last = w.end()
-            if idle >= MAX_WORDS - 1:
+            if idle >= SHORT_WORDS - 1:
                 break
         while not zone[-1][2]:
             zone.pop()
@@ -114,10 +129,12 @@ def zones(text: str) -> list[list[tuple[int, int, bool]]]:
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    """A segment without quoting and sentence marks at its ends, a leading key= and unmatched brackets."""
+    """A segment without quoting and sentence marks at its ends, a leading key= or secret key: and unmatched brackets."""
     cut = text.rfind("=", start, end)
     if start < cut < end - 1 and text[start].isalpha():
         start = cut + 1
+    elif (m := _COLON.match(text, start, end)) and m.end() < end:
+        start = m.end()
     while start < end and text[start] in _EDGE:
         start += 1
     while end > start and text[end - 1] in _EDGE:
@@ -165,12 +182,15 @@ def span_features(text: str, start: int, end: int, n_words: int) -> list[int]:
 def segments(text: str, zone: list[tuple[int, int, bool]]) -> list[tuple[int, int, int, int, list[int]]]:
     """(first word, end word, start, end, features) of the candidate segments of a zone, by end word."""
     out = []
+    plain = 0  # the first of the words up to here that have no letter
     for j in range(1, len(zone) + 1):
+        if _LETTER.search(text, zone[j - 1][0], zone[j - 1][1]):
+            plain = j
         if zone[j - 1][2]:
-            for i in range(max(0, j - MAX_WORDS), j):
+            for i in range(max(0, j - MAX_WORDS, min(plain - 1, j - SHORT_WORDS)), j):
                 if zone[i][2]:
                     s, e = trimmed(text, zone[i][0], zone[j - 1][1])
-                    if e > s:
+                    if e > s and (j - i <= SHORT_WORDS or not _LETTER.search(text, s, e)):
                         out.append((i, j, s, e, span_features(text, s, e, j - i)))
     return out
 
@@ -217,11 +237,13 @@ class Field:
             while k < len(segs) and segs[k][1] == j:
                 ahead[j] = np.logaddexp(ahead[j], ahead[segs[k][0]] + np.logaddexp.reduce(score[k]))
                 k += 1
+        from_word: dict[int, list[int]] = {}
+        for k, g in enumerate(segs):
+            from_word.setdefault(g[0], []).append(k)
         for i in range(n - 1, -1, -1):
             behind[i] = behind[i + 1]
-            for k, g in enumerate(segs):
-                if g[0] == i:
-                    behind[i] = np.logaddexp(behind[i], behind[g[1]] + np.logaddexp.reduce(score[k]))
+            for k in from_word.get(i, ()):
+                behind[i] = np.logaddexp(behind[i], behind[segs[k][1]] + np.logaddexp.reduce(score[k]))
         out = []
         for k, (i, j, s, e, f) in enumerate(segs):
             d = -np.exp(ahead[i] + score[k] + behind[j] - ahead[n])
@@ -252,11 +274,11 @@ def weak_labels(text: str) -> dict[tuple[int, int], int]:
 
 
 _BYTE_TRIGGER = np.zeros(256, bool)
-_BYTE_TRIGGER[list(b"0123456789@=")] = True
+_BYTE_TRIGGER[list(b"0123456789@=:")] = True
 
 
 def _triggered(arr: pa.Array) -> np.ndarray:
-    """Rows whose text has a trigger."""
+    """Rows whose text may have a trigger."""
     out = np.zeros(len(arr), bool)
     for i, j, data, offs in tx.slices(arr):
         out[i:j] = np.diff(np.concatenate(([0], np.cumsum(_BYTE_TRIGGER[data])))[offs]) > 0
@@ -265,7 +287,7 @@ def _triggered(arr: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 8000, seed: int = 23) -> Field:
     """From those of about `sample_docs` documents, chosen by a hash of the id, that have a trigger."""
-    has = docs.where(F.col(text_col).rlike("[0-9@=]")).select(F.col(text_col).cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11).alias("h"))
+    has = docs.where(F.col(text_col).rlike("[0-9@=:]")).select(F.col(text_col).cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11).alias("h"))
     total = docs.count()
     first = has.where(F.col("h") < int((1 << 53) * min(1.0, sample_docs / max(1, total))))
 
@@ -274,7 +296,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
             out: dict[str, list] = {"h": [], "n": [], "at": [], "kind": [], "f": []}
             for h, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
                 gold = weak_labels(text)
-                for zone in [z for z in zones(text) if len(z) <= ZONE_WORDS][:ZONES_PER_DOC]:
+                some = [z for z in zones(text) if len(z) <= ZONE_WORDS]
+                for zone in sorted(some, key=lambda z: (zlib.crc32(f"{h} {z[0][0]}".encode()), z[0][0]))[:ZONES_PER_DOC]:  # noqa: B023
                     segs = segments(text, zone)
                     out["h"].append(h)
                     out["n"].append(len(zone))

@@ -398,6 +398,26 @@ def test_spans_are_added_beside_the_base(spark):
     assert pii_semicrf.find(docs.limit(0), pii_semicrf.fit(docs.limit(0))).collect() == []
 
 
+def test_secrets_of_letters_and_long_numbers(spark):
+    for number in ("06 12 34 56 78", "1 2 3 4 5 6 7 8 9 0 1 2"):
+        for t in (f"call {number} now", f"call tel={number}, now"):
+            spans = {t[s:e] for z in pii_semicrf.zones(t) for _, _, s, e, _ in pii_semicrf.segments(t, z)}
+            assert number in spans
+    rng = random.Random(14)
+    forms = ("token: {}", 'api_key = "{}"', "say token:{} now", "password={}")
+    rows, want = [], {}
+    for i in range(300):
+        value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(14, 30)))
+        head, tail = f"{prose(rng, 10, ['hier', 'word', 'some:', 'x=y'])} " * (i % 2), f" {prose(rng, 10, ['hier', 'word', '7'])}" * (i % 3)
+        rows.append((i, head + forms[i % 4].format(value) + tail))
+        want[i] = rows[-1][1].index(value), rows[-1][1].index(value) + len(value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii_semicrf.find(docs, pii_semicrf.fit(docs.where("doc_id < 150"))).where("doc_id >= 150").collect()
+    hit = [r.doc_id for r in got if ("secret", *want[r.doc_id]) in map(tuple, r.spans)]
+    for k in range(4):
+        assert sum(i % 4 == k for i in hit) >= 0.95 * sum(r.doc_id % 4 == k for r in got), k
+
+
 def test_decoding_takes_the_best_of_all_segmentations():
     rng = np.random.default_rng(3)
     for _ in range(50):
