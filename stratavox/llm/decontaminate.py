@@ -4,14 +4,15 @@ Fixed masks hash the words of a window at the mask's care positions only, so a s
 position does not hide an overlap. The hashes of all windows of every whole document meet those of the benchmark;
 each hit is verified on its diagonal: the best ungapped segment around the hit, where a match gains 1 and a
 substitution costs `penalty`, must hold `min_match` equal words (or all the words of a shorter item) with at least
-`min_identity` of its words equal.
+`min_identity` of its words equal. Of an item of fewer than `SHORT` words, `min_identity` of all its words suffice on the
+diagonal, wherever the others are; the seeds hit every placement of a fifth of substitutions in it.
 
 The benchmark side is a query set: it is sent to the tasks in blocks of at most `block_chars` characters (one block
 for any usual benchmark, one pass over the documents for each block), so its size is checked and bounded. Documents
 are neither shuffled nor grouped; a passage in many documents costs each of them its own check only.
 
 Defined cases: null or empty texts and empty tables give no rows; items of fewer than `min_words` words carry no
-evidence and are left out, those shorter than a mask are matched as a whole; equal items (A-Z lower-cased) count as
+evidence and are left out, those shorter than a mask are sought by masks of their length; equal items (A-Z lower-cased) count as
 one, under the smallest item_id; a null item_id is left out; rows with a null doc_id are reported with it; repeated
 rows are reported each; extra columns are ignored.
 """
@@ -31,6 +32,11 @@ from .store import written
 #: 1 marks the positions that count.
 MASKS = ("11010011", "11001011", "10110101", "11100101")
 
+#: Items of fewer words are judged as a whole; with MASKS, the further mask leaves no placement of a fifth of
+#: substitutions in 10 to 17 words without a seed. Items of 5 to 9 words have masks with each one word left out.
+SHORT = 18
+SHORT_MASK = "10111"
+
 
 class Probe:
     """The spaced-seed index of one benchmark block."""
@@ -48,7 +54,9 @@ class Probe:
         item_of = np.repeat(np.arange(len(items)), length)
         where = np.arange(len(h)) - bounds[item_of]
         span = len(masks[0])
-        shapes = [(m, length >= span) for m in masks] + [("1" * k, length == k) for k in range(min_words, span)]
+        shapes = [(m, length >= span) for m in masks] + [("1" * k, length == k) for k in range(min_words, span) if not 5 <= k < 10]
+        shapes += [("1" * x + "0" + "1" * (k - x - 1), length == k) for k in range(max(5, min_words), 10) for x in range(k)]
+        shapes.append((SHORT_MASK, (length >= max(10, min_words)) & (length < SHORT)))
         self.seeds = []
         for mask, use in shapes:
             code, _ = self.codes(self.words, mask)
@@ -102,7 +110,9 @@ class Probe:
         start = int(np.argmin(total[: end + 1]))
         count, length = int(same[start:end].sum()), end - start
         if count < min(min_match, len(want)) or count < min_identity * length:
-            return None
+            count, length, start = int(same.sum()), high - low, 0
+            if len(want) >= SHORT or count < min_identity * len(want):
+                return None
         return count, length, low + diagonal + start, low + start
 
 

@@ -299,6 +299,19 @@ def test_overlaps_with_substitutions(spark):
     assert decontaminate.overlaps(docs.limit(0), b).collect() == [] == decontaminate.overlaps(docs, b.limit(0)).collect()
 
 
+def test_every_fifth_of_substitutions_in_short_items():
+    from itertools import combinations
+
+    for n in range(5, 18):
+        probe = decontaminate.Probe([(1, " ".join(f"v{k}" for k in range(n)))])
+        for gone in combinations(range(n), n // 5):
+            ids = np.concatenate(([0, 0], np.where(np.isin(np.arange(n), gone), 0, probe.words), [0, 0]))
+            hits = probe.hits(ids, np.zeros(len(ids), np.int64), np.array([0, len(ids)])).tolist()
+            assert any(probe.verify(ids, item, d, 1.0, 10, 0.8) for _, item, d in hits), (n, gone)
+        ids = np.where(np.arange(n) <= n // 5, 0, probe.words)  # one more
+        assert n > 12 or probe.verify(ids, 0, 0, 1.0, 10, 0.8) is None
+
+
 # ---- chat
 
 
