@@ -6,6 +6,7 @@ megabyte (at least one whole text) bound the memory whatever the batch size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,24 +19,6 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C1B)  # odd, 3 mod 8
-_P_INV = np.uint64(pow(int(_P), -1, 2**64))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i mod 2^64 for i < n."""
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES)
-        for k, p in enumerate((_P, _P_INV)):
-            base = np.full(size, p, np.uint64)
-            base[0] = 1
-            _POWERS[k] = np.multiply.accumulate(base)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> np.uint64(30))
@@ -88,13 +71,54 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offs)
 
 
+#: Spans of more bytes are handled one by one.
+LONG = 128
+
+
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one little-endian number, zeros after the end."""
+    wide = np.zeros(len(data) + 8, np.uint8)
+    wide[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", wide, strides=(1,))
+
+
+def _head(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first n (1 or more) of a word's eight bytes."""
+    return word & (~np.uint64(0) >> (np.uint64(64) - np.minimum(n, 8).astype(np.uint64) * np.uint64(8)))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end); equal spans hash alike wherever they stand."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    """64-bit hashes of the byte spans [start, end); equal spans hash alike wherever they stand.
+
+    Eight bytes at a time go through a full mixing step, so no algebra of the bytes carries over; long spans take
+    BLAKE2.
+    """
+    word, n = loads(data), ends - starts
+    h = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+    for k in np.flatnonzero(n > LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    at = np.flatnonzero((n > 0) & (n <= LONG))
+    for done in range(0, LONG, 8):
+        at = at[n[at] > done] if done else at
+        if not len(at):
+            break
+        h[at] = mix(h[at] ^ _head(word[starts[at] + done], n[at] - done))
+    return h
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes of a from a_starts on equal those of b from b_starts on."""
+    out = np.ones(len(n), bool)
+    for k in np.flatnonzero(n > LONG).tolist():
+        out[k] = np.array_equal(a[a_starts[k] : a_starts[k] + n[k]], b[b_starts[k] : b_starts[k] + n[k]])
+    at, x, y = np.flatnonzero((n > 0) & (n <= LONG)), loads(a), loads(b)
+    for done in range(0, LONG, 8):
+        at = at[n[at] > done] if done else at
+        if not len(at):
+            break
+        differ = _head(x[a_starts[at] + done] ^ y[b_starts[at] + done], n[at] - done)
+        out[at[differ != 0]] = False
+    return out
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

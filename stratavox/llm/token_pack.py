@@ -164,12 +164,32 @@ class ShardReader:
             yield (None if self.nulls[d] else int(self.docs[d])), start, ids
 
 
+class Grown:
+    """An array that is appended to; `all` is what it holds."""
+
+    def __init__(self, dtype):
+        self.room, self.n = np.zeros(1024, dtype), 0
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            room = np.zeros(2 * (self.n + len(x)), self.room.dtype)
+            room[: self.n] = self.all
+            self.room = room
+        self.room[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
 class SegmentEncoder:
     """Ids of whole texts from a byte-level BPE tokenizer, with the ids of segments kept.
 
     Texts are cut before every single space between two characters that are surely not white space (the lead bytes of
-    wider white space are taken as such). The pre-tokenizer starts a piece exactly there whatever stands around it, so the ids of the segments joined are the ids of the text; each
-    distinct segment is encoded by the tokenizer once, until the store is full and starts anew.
+    wider white space are taken as such). The pre-tokenizer starts a piece exactly there whatever stands around it, so the
+    ids of the segments joined are the ids of the text; each distinct segment is encoded by the tokenizer once, until
+    the store is full and starts anew. A stored segment is found by a hash and used only if its bytes are equal.
     """
 
     MAX_SEGMENTS, MAX_IDS = 600_000, 4_000_000
@@ -192,7 +212,21 @@ class SegmentEncoder:
 
     def clear(self) -> None:
         self.slots: dict[int, int] = {}
-        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: Ids and bytes of the stored segments, and where each begins.
+        self.ids, self.first_id, self.n_ids = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
+        self.text, self.first_byte, self.n_bytes = Grown(np.uint8), Grown(np.int64), Grown(np.int64)
+
+    def _add(self, raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: np.ndarray) -> np.ndarray:
+        """Encode and store segments; their numbers."""
+        ids, n_ids = self._fresh(raw, starts, ends, joined)
+        n_bytes, number = ends - starts, self.n_ids.n + np.arange(len(starts))
+        self.first_id.add(self.ids.n + np.cumsum(n_ids) - n_ids)
+        self.first_byte.add(self.text.n + np.cumsum(n_bytes) - n_bytes)
+        self.n_ids.add(n_ids)
+        self.n_bytes.add(n_bytes)
+        self.ids.add(ids)
+        self.text.add(data[np.repeat(starts - np.cumsum(n_bytes) + n_bytes, n_bytes) + np.arange(n_bytes.sum())])
+        return number
 
     def _starts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the segments, and which of them are cuts within a text."""
@@ -231,27 +265,28 @@ class SegmentEncoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a slice, the texts' bounds)."""
-        if len(self.slots) > self.MAX_SEGMENTS or len(self.flat) > self.MAX_IDS:
+        if len(self.slots) > self.MAX_SEGMENTS or self.ids.n > self.MAX_IDS:
             self.clear()
         starts, inner = self._starts(data, offs)
         ends = np.append(starts[1:], len(data)).astype(np.int64)[: len(starts)]
         keys, first, which = np.unique(tx.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         slot = np.array([self.slots.get(k, -1) for k in keys.tolist()], np.int64)
-        new = np.flatnonzero(slot < 0)
+        new, raw = np.flatnonzero(slot < 0), None
         if len(new):
-            pick = first[new]
+            pick, raw = first[new], data.tobytes()
             closed = np.append(inner[1:], False)
-            flat, size = self._fresh(data.tobytes(), starts[pick], ends[pick], inner[pick] & closed[pick])
-            slot[new] = len(self.size) + np.arange(len(new))
+            slot[new] = self._add(raw, data, starts[pick], ends[pick], inner[pick] & closed[pick])
             self.slots.update(zip(keys[new].tolist(), slot[new].tolist()))
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, flat])
-        slot = slot[which]
-        size = self.size[slot]
+        slot, n = slot[which], ends - starts
+        same = self.n_bytes.all[slot] == n
+        same &= tx.same_spans(data, starts, self.text.all, self.first_byte.all[slot], np.where(same, n, 0))
+        if not same.all():  # another segment's hash
+            odd = np.flatnonzero(~same)
+            slot[odd] = self._add(raw or data.tobytes(), data, starts[odd], ends[odd], np.zeros(len(odd), bool))
+        size = self.n_ids.all[slot]
         total = np.concatenate(([0], np.cumsum(size)))
-        at = np.repeat(self.begin[slot] - total[:-1], size) + np.arange(total[-1])
-        return self.flat[at], total[np.searchsorted(starts, offs)]
+        at = np.repeat(self.first_id.all[slot] - total[:-1], size) + np.arange(total[-1])
+        return self.ids.all[at], total[np.searchsorted(starts, offs)]
 
 
 _ENCODERS: dict[tuple[str, bool], SegmentEncoder] = {}

@@ -126,6 +126,21 @@ def test_segments_give_the_ids_of_whole_texts():
                 assert ids[bounds[k] : bounds[k + 1]].tolist() == want.ids, texts[i + k]
 
 
+def test_segments_with_one_hash_are_told_apart(monkeypatch):
+    """Every segment has one of four hashes: ids come from the bytes all the same."""
+    from stratavox.llm import text as tx
+
+    path, whole = tokenizer()
+    monkeypatch.setattr(tx, "span_hashes", lambda data, starts, ends: ((ends - starts) % 4).astype(np.uint64))
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randint(0, 30), ["alpha", "beta", "été", "x" * 200, "y" * 200, "a1"]) for _ in range(60)]
+    e = token_pack.SegmentEncoder(path, False)
+    for i, j, data, offs in tx.slices(pa.array(texts), 900):
+        ids, bounds = e.encode(data, offs)
+        for k, want in enumerate(whole.encode_batch(texts[i:j], add_special_tokens=False)):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == want.ids
+
+
 def tx_slices(texts, limit):
     from stratavox.llm import text as tx
 
