@@ -12,27 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.derived import C
-from .graph import connected
+from ..sources.store import Scratch, written
+from .graph import connected, roots
 from .morphology import dilate, erode
 
 LABELLED = "volume_id string, z int, y int, x int, label long"
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each of n items' component under the links a - b."""
-    top = np.arange(n)
-    while True:
-        least = np.minimum(top[a], top[b])
-        new = top.copy()
-        np.minimum.at(new, top[a], least)
-        np.minimum.at(new, top[b], least)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == top).all():
-            return top
-        top = new
-
-
 def plane_labels(y: np.ndarray, x: np.ndarray, eight: bool) -> np.ndarray:
     """Index of the first voxel (row-major) of each voxel's component; y and x must be in row-major order."""
     w = int(x.max()) + 3 if len(x) else 3
@@ -63,17 +49,21 @@ def label_2d(mask: DataFrame, dims: DataFrame, connectivity: int = 4) -> DataFra
 
 def label_3d(mask: DataFrame, dims: DataFrame, connectivity: int = 6) -> DataFrame:
     """(C, label): 6- or 26-connected over slices. Slices are labelled first, then touching labels are linked."""
-    from .graph import written
-
     flat = written(label_2d(mask, dims, 4 if connectivity == 6 else 8), "slices")
     reach = [F.lit(0)] if connectivity == 6 else [F.lit(k) for k in (-1, 0, 1)]
     below = flat.select("volume_id", (F.col("z") + 1).alias("z"), F.explode(F.array(*[F.col("y") + k for k in reach])).alias("y"), "x", F.col("label").alias("other"))
     below = below.select("volume_id", "z", "y", F.explode(F.array(*[F.col("x") + k for k in reach])).alias("x"), "other")
     links = flat.join(below, C).select("volume_id", "label", "other").distinct()
-    # one number for a component of a volume, in the order of the ids within it
-    code = F.struct("volume_id", "label")
-    found = connected(links.select(code.alias("a"), F.struct("volume_id", F.col("other").alias("label")).alias("b")))
-    found = found.select(F.col("node.volume_id").alias("volume_id"), F.col("node.label").alias("label"), F.col("component.label").alias("top"))
+    with Scratch(mask.sparkSession) as passing:
+        # one number for a component of a volume, in the order of the ids within it; a row a volume
+        width = dims.agg(F.max(F.col("d").cast("long") * F.col("h") * F.col("w")).alias("width"))
+        place = F.row_number().over(Window.orderBy("volume_id")).cast("long")
+        codes = passing.written(dims.select("volume_id", place.alias("place")).crossJoin(F.broadcast(width)), "codes")
+        code = lambda c: F.col("place") * F.col("width") + F.col(c)
+        found = connected(links.join(codes, "volume_id").select(code("label").alias("a"), code("other").alias("b")))
+        wide = codes.agg(F.max("width")).first()[0] or 1
+        found = found.select(F.expr(f"node div {wide}L").alias("place"), (F.col("node") % wide).alias("label"), (F.col("component") % wide).alias("top"))
+        found = written(found.join(codes.select("place", "volume_id"), "place").drop("place"), "tops")
     return flat.join(found, ["volume_id", "label"], "left").select(*C, F.coalesce("top", "label").alias("label"))
 
 

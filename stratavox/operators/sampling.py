@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.derived import C
+from ..sources.store import written
 from .components import label_by_bins
-from .graph import written
 from .morphology import dilate
 from .pixel import value_bins
 

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..operators.components import edge_regions, fill_holes, filter_by_line_overlap, intersect_regions, label_2d, label_3d, refine_label, relabel_by_priority, remove_small
 from ..operators.features import distance_map, distance_weight
-from ..operators.graph import written
 from ..operators.matching import filter_by_shape, fill_edge_boxes
 from ..operators.morphology import dilate, mask_except, mask_union
 from ..operators.pixel import apply_mask, percentile_threshold, resample_z
 from ..operators.regions import region_solidity, shape_vectors
 from ..operators.windows import gaussian_smooth, local_contrast_normalize, mode_filter
 from ..sources.derived import C
+from ..sources.store import written
 from ..sources.volumes import write_labels
 from .scoring import cluster_voxels
 

@@ -21,10 +21,10 @@ from .operators import pixel as px
 from .operators import regions as re_
 from .operators import sampling as sa
 from .operators import windows as wi
-from .operators.graph import shared_dir, written
 from .plans import jobs, scoring
 from .sources import derived, volumes
 from .sources.derived import C
+from .sources.store import new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -153,16 +153,14 @@ def sql_erode(name: str, src: str, sy: int, sx: int | None = None, sz: int = 1)
 
 @query("s1_read_voxels", f"; SELECT {CC}, value FROM voxels", "value")
 def _(t):
-    path = f"{shared_dir(t.spark)}/volumes/s1"
-    t.vox.write.mode("overwrite").parquet(path)
+    path = new_path(t.spark, "s1")
+    t.vox.write.parquet(path)
     return volumes.read_voxels(t.spark, path)
 
 
 @query("s2_read_layer", f"; SELECT {CC}, value FROM voxels WHERE value > 0", "value")
 def _(t):
-    import uuid
-
-    root = f"{shared_dir(t.spark)}/volumes/layers-{uuid.uuid4().hex}"
+    root = new_path(t.spark, "layers")
     raw = t.vox.select("*", F.lit("raw").alias("layer"), F.lit("s3").alias("resolution"))
     volumes.write_layer(raw.where("value > 0").unionByName(raw.select(*C, "value", F.lit("raw").alias("layer"), F.lit("s4").alias("resolution"))), root)
     return volumes.read_layer(t.spark, root, "raw", "s3").select(*C, "value")
@@ -964,12 +962,10 @@ def _(t):
 
 @query("l4_propagate_labels")
 def _(t):
-    import uuid
-
     def scorer(normal, labels, k):
         return normal.select(*C, F.col("value").alias("area"), (1 - F.col("value")).alias("edge"))
 
-    return jobs.propagate_labels(t.vox, t.seed, t.negative, t.dims, scorer, f"{shared_dir(t.spark)}/volumes/rounds-{uuid.uuid4().hex}", 2)
+    return jobs.propagate_labels(t.vox, t.seed, t.negative, t.dims, scorer, new_path(t.spark, "rounds"), 2)
 
 
 @query("t1_streaming_iou", f"{P3}; SELECT run, volume_id, tp, fp, fn, iou, fpr, dice FROM iou", "iou fpr dice")
@@ -978,7 +974,7 @@ def _(t):
 
     from .streaming.iou import prediction_stream, streaming_iou
 
-    root = f"{shared_dir(t.spark)}/volumes/stream-{uuid.uuid4().hex}"
+    root = new_path(t.spark, "stream")
     hit = px.percentile_threshold(derived.predictions(t.vox), 0.9, 0.5, ("run", "volume_id"), "area").select("run", *C)
     hit.repartition(4, "z").write.parquet(f"{root}/in")
     out = streaming_iou(written(t.gt, "gt"), prediction_stream(t.spark, f"{root}/in", files=2), t.dims, f"iou_{uuid.uuid4().hex}", f"{root}/checkpoint")
