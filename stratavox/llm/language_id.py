@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import Scratch
 from . import text as tx
-from .store import written
 
 #: Languages of one mask word.
 WORD_LANGUAGES = 64
@@ -117,20 +117,21 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key
                 yield pa.RecordBatch.from_arrays([pa.array((both >> 32).astype(np.int32)), pa.array(both & 0xFFFFFFFF), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     seen = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    seen = written(seen, "grams")
-    totals = seen.groupBy("lang").agg(F.sum("n").alias("all"))  # a row a language
-    rates = seen.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("all")).alias("rate")).where(F.col("rate") >= min_share * min_ratio)
-    top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
-    held = rates.where(F.col("rate") >= min_share).join(top, "gram").where(F.col("rate") >= min_ratio * F.col("top"))
-    held = held.select("lang", "gram")
-    if len(names) > WORD_LANGUAGES:  # the driver takes the n-grams of 64 languages at a time
-        held = written(held, "held")
     grams = {}
-    for first in range(0, len(names), WORD_LANGUAGES):
-        table = held.where(F.col("lang").between(first, first + WORD_LANGUAGES - 1)).toPandas().sort_values("lang")
-        lang, gram = table.lang.to_numpy(), table.gram.to_numpy().astype(np.uint32)
-        for k in range(first, min(first + WORD_LANGUAGES, len(names))):
-            grams[names[k]] = gram[np.searchsorted(lang, k) : np.searchsorted(lang, k + 1)]
+    with Scratch(rows.sparkSession) as passing:
+        seen = passing.written(seen, "grams")
+        totals = seen.groupBy("lang").agg(F.sum("n").alias("all"))
+        rates = seen.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("all")).alias("rate")).where(F.col("rate") >= min_share * min_ratio)
+        top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
+        held = rates.where(F.col("rate") >= min_share).join(top, "gram").where(F.col("rate") >= min_ratio * F.col("top"))
+        held = held.select("lang", "gram")
+        if len(names) > WORD_LANGUAGES:  # the driver takes the n-grams of 64 languages at a time
+            held = passing.written(held, "held")
+        for first in range(0, len(names), WORD_LANGUAGES):
+            table = held.where(F.col("lang").between(first, first + WORD_LANGUAGES - 1)).toPandas().sort_values("lang")
+            lang, gram = table.lang.to_numpy(), table.gram.to_numpy().astype(np.uint32)
+            for k in range(first, min(first + WORD_LANGUAGES, len(names))):
+                grams[names[k]] = gram[np.searchsorted(lang, k) : np.searchsorted(lang, k + 1)]
     return build(grams, names)
 
 
@@ -170,6 +171,24 @@ def predict(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "
     return docs.select(*id_cols, *extra).mapInArrow(run, schema)
 
 
+def known(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The rows of docs in a learned language with at least min_score; all rows where no language was learned.
+
+    Rows pass through whole, so columns of any name may stand beside the text.
+    """
+    if not model.languages:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offs in tx.slices(batch.column(at)):
+                which, score = classify(model, data, offs)
+                yield batch.slice(i, j - i).filter(pa.array((which >= 0) & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True where crc32 of the id's text leaves 2 modulo 4 (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -12,11 +12,11 @@ taken through their signatures in blocks of bounded size, the largest component
 themselves; what remains close forms clusters of components, whose full sets are compared in such blocks once, by
 matrix products where many pairs remain. Blocks give stars, not pairs. So no link between different texts is lost, no
 key or family is gathered in one task, and no pairs are listed for a group. What is reused is written to the shared
-folder.
+folder, and removed once the links it led to are written.
 
 Defined cases: null or empty texts and texts without words have no shingles and link with nothing; a text with
-fewer words than a shingle is one shingle; a null doc_id links only through an equal set and is kept if nothing
-with an id equals it; rows repeating one doc_id and text share a class; extra columns are ignored.
+fewer words than a shingle is one shingle; where ids are null or repeat, rows get numbers of their own first, so every row
+links by its own text, and a component bears its smallest id (null if it has none); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected, forest
+from ..sources.store import Scratch, written
 from . import text as tx
-from .store import written
 
 
 @dataclass(frozen=True)
@@ -57,8 +58,6 @@ class Scheme:
 #: Members and shingles of one block when the remaining pairs are compared.
 BLOCK = 1024
 SHINGLES_PER_BLOCK = 500_000
-#: Links whose components one task finds before tasks meet.
-LINKS_PER_TASK = 1_000_000
 #: Ids that may be broadcast to pick the texts whose sets are needed; above it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -77,7 +76,7 @@ def _matrix(col: pa.Array | pa.ChunkedArray, dtype: str, width: int) -> np.ndarr
     return raw[offs[0] : offs[-1]].view(dtype).reshape(-1, width)
 
 
-def signatures(docs: DataFrame, words: int, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, sig): set_a and set_b hash the whole set, sig holds the slots (null if empty)."""
     xor, mul = scheme.constants()
 
@@ -101,8 +100,7 @@ def signatures(docs: DataFrame, words: int, scheme: Scheme, id_col: str = "doc_i
                         sig[some, k] = tx.mix(least) >> np.uint64(48)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), _fixed_binary(sig)], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
 
 
 def index_keys(classes: DataFrame, scheme: Scheme) -> DataFrame:
@@ -143,7 +141,7 @@ def _close(pairs: DataFrame, classes: DataFrame, scheme: Scheme, low: int) -> Da
     return both.select("a", "b", "siga", "sigb").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, need: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
     """(node, set): the full shingle sets of the needed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +152,7 @@ def _sets(docs: DataFrame, need: DataFrame, words: int, id_col: str, text_col: s
                 sets = tx.shingle_sets(tx.span_hashes(data, starts, ends), bounds, words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").alias("node"), "text")
     few = need.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(need) if few else need, "node", "left_semi").mapInArrow(run, "node long, set binary")
 
@@ -180,57 +178,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, low: int) -> DataFrame:
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root): the links a - b as one star for each of their components, around its smallest node."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    top = np.arange(len(nodes))
-    while True:
-        least = np.minimum(top[x], top[y])
-        new = top.copy()
-        np.minimum.at(new, top[x], least)
-        np.minimum.at(new, top[y], least)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == top).all():
-            own = top != np.arange(len(nodes))
-            return nodes[own], nodes[top[own]]
-        top = new
-
-
-def _stars(edges: DataFrame) -> DataFrame:
-    """The links of each task, about LINKS_PER_TASK of them, as stars (u, v), v the smaller."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if parts:
-            u, v = forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    return edges.coalesce(1 + edges.count() // LINKS_PER_TASK).mapInArrow(run, "u long, v long")
-
-
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): each linked node's smallest reachable node.
-
-    The links of each task become stars; then large and small stars alternate between tasks until every node has
-    one parent and no parent has one.
-    """
-    edges = written(_stars(written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), "edges")), "stars")
-    for _ in range(rounds):
-        roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
-        roles = roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        if not roles.where("up > 1 or (up > 0 and down > 0)").head(1):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        pulled = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(_stars(written(pulled.union(small.select("u", F.col("m").alias("v"))), "edges")), "stars")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Tables of the rows of one key each, from batches sorted by their first `keys` columns."""
     held: list[pa.RecordBatch] = []
@@ -305,7 +252,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
 
 
-def _families(keyed: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Scheme, low: int, block: int) -> DataFrame:
+def _families(keyed: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Scheme, low: int, block: int, passing: Scratch) -> DataFrame:
     """(node, cluster): clusters hold together all candidates of different components that share a key.
 
     Within a cell, candidates are joined to the smallest member of their local group, so a cell gives at most a row a
@@ -321,14 +268,14 @@ def _families(keyed: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Sche
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
 
     known = keyed.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    known = written(known.join(nodes.select("node", "n"), "node"), "known")
+    known = passing.written(known.join(nodes.select("node", "n"), "node"), "known")
     cells = _cells(known, "key", block).join(nodes.select("node", "sig"), "node")
     order = ["key", "kind", "i", "j", "side", "comp", "node", "n", "sig"]
-    near = written(_dealt(cells.select(order)).mapInArrow(run, "a long, b long").distinct(), "near")
-    clusters = components(near)
+    near = passing.written(_dealt(cells.select(order)).mapInArrow(run, "a long, b long").distinct(), "near")
+    clusters = connected(near)
     clusters = clusters.union(clusters.select("component", "component").distinct())
     members = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
-    return written(members.join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("cluster")), "comp"), "families")
+    return passing.written(members.join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("cluster")), "comp"), "families")
 
 
 def _within(families: DataFrame, nodes: DataFrame, sets: DataFrame, scheme: Scheme, low: int, block: int) -> DataFrame:
@@ -379,39 +326,85 @@ def _intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.n
     return np.rint(total[np.searchsorted(rows, x), np.searchsorted(cols, y)]).astype(np.int64)
 
 
+#: A row's own number where ids do not tell rows apart.
+ROW = "__row"
+
+
+def _clear_ids(docs: DataFrame) -> bool:
+    """Whether every row has an id of its own."""
+    return not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").head(1)
+
+
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _components(docs: DataFrame, words: int, low: int, scheme: Scheme, block: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows (doc_id, text) with ids of their own."""
+    with Scratch(docs.sparkSession) as passing:
+        base = passing.written(signatures(docs, words, scheme), "signatures")
+        classes = base.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
+        classes = passing.written(classes, "classes")
+        found = _linked(docs, classes, words, low, scheme, block)
+        named = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
+        out = base.join(named, ["set_a", "set_b"], "left")
+        component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
+        return written(out.select("doc_id", "n_shingles", component.alias("component_id")), "components")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, low: int = 80, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: component_id is the smallest doc_id reachable over links.
 
     Two documents are linked if 100 * |intersection| >= low * |union| of their sets of `words`-word shingles
     (A-Z lower-cased). kept is true for the document whose id the component bears.
     """
-    scheme = scheme or Scheme()
-    base = written(signatures(docs, words, scheme, id_col, text_col), "signatures")
-    classes = base.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = written(classes, "classes")
-    nodes = classes.where("node is not null").select("node", "n", "sig")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if _clear_ids(slim):
+        return _components(slim, words, low, scheme or Scheme(), block).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    with Scratch(docs.sparkSession) as passing:
+        rows = _numbered(slim, passing)
+        out = _components(rows.select(F.col(ROW).alias("doc_id"), "text"), words, low, scheme or Scheme(), block)
+        out = out.withColumnRenamed("doc_id", ROW).join(rows.select(ROW, "doc_id"), ROW)
+        names = out.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        out = out.join(names, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
+        return written(out, "components")
+
+
+def deduplicated(docs: DataFrame, words: int = 5, low: int = 80, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row of docs for each component, that with the smallest id; rows without words all stay."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if _clear_ids(slim):
+        found = near_duplicates(docs, words, low, scheme, id_col, text_col, block)
+        gone = written(found.where("not kept").select(F.col("doc_id").alias(ROW)), "duplicates")
+        return docs.join(gone, F.col(id_col).cast("long") == F.col(ROW), "left_anti").select(docs.columns)
+    rows = _numbered(docs, Scratch(docs.sparkSession))
+    out = _components(rows.select(F.col(ROW).alias("doc_id"), F.col(text_col).cast("string").alias("text")), words, low, scheme or Scheme(), block)
+    out = out.withColumnRenamed("doc_id", ROW).join(rows.select(ROW, F.col(id_col).alias("id")), ROW)
+    first = out.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("first"))
+    stay = written(first.select(f"first.{ROW}"), "firsts")
+    return rows.join(stay, ROW, "left_semi").select(docs.columns)
+
+
+def _linked(docs: DataFrame, classes: DataFrame, words: int, low: int, scheme: Scheme, block: int) -> DataFrame:
+    """(node, component) of all classes with a confirmed link."""
+    nodes = classes.select("node", "n", "sig")
     keys = index_keys(nodes, scheme)
-    crowded = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    keyed = written(keys.join(crowded, "key"), "keyed")
-    # a key's pivot is its member with most company over all keys: the middle of a family links most of it
-    company = keyed.groupBy("node").agg(F.sum("members").alias("company"))
-    pivots = keyed.join(company, "node").groupBy("key").agg(F.max(F.struct(F.col("company"), (-F.col("node")).alias("node"))).alias("top"))
-    stars = keyed.join(pivots.select("key", (-F.col("top.node")).alias("pivot")), "key").where("node <> pivot")
-    stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    close = written(_close(stars, nodes, scheme, low), "close")
-    ids = lambda p: p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
-    again = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1)
-    once = lambda df: df.dropDuplicates(["node", "set"]) if again else df  # noqa: E731  rows may repeat an id
-    sets = written(once(_sets(docs, ids(close), words, id_col, text_col)), "sets")
-    links = written(_confirmed(close, sets, low), "links")
-    found = components(links)
-    families = _families(keyed.where("members > 2").select("key", "node"), nodes, found, scheme, low, block)
-    if families.head(1):
-        missing = families.select("node").join(sets.select("node"), "node", "left_anti")
-        more = written(once(_sets(docs, missing, words, id_col, text_col)), "sets")
-        found = components(links.union(_within(families, nodes, sets.union(more), scheme, low, block)))
-    named = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    out = base.join(named, ["set_a", "set_b"], "left")
-    lone = F.col("n_shingles") == 0
-    out = out.select("doc_id", "n_shingles", F.when(lone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    with Scratch(docs.sparkSession) as passing:
+        crowded = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        keyed = passing.written(keys.join(crowded, "key"), "keyed")
+        # a key's pivot is its member with most company over all keys: the middle of a family links most of it
+        company = keyed.groupBy("node").agg(F.sum("members").alias("company"))
+        pivots = keyed.join(company, "node").groupBy("key").agg(F.max(F.struct(F.col("company"), (-F.col("node")).alias("node"))).alias("top"))
+        stars = keyed.join(pivots.select("key", (-F.col("top.node")).alias("pivot")), "key").where("node <> pivot")
+        stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        close = passing.written(_close(stars, nodes, scheme, low), "close")
+        ids = lambda p: p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
+        sets = passing.written(_sets(docs, ids(close), words), "sets")
+        links = passing.written(_confirmed(close, sets, low), "links")
+        found = connected(links)
+        families = _families(keyed.where("members > 2").select("key", "node"), nodes, found, scheme, low, block, passing)
+        if families.head(1):
+            missing = families.select("node").join(sets.select("node"), "node", "left_anti")
+            more = passing.written(_sets(docs, missing, words), "sets")
+            found = connected(links.union(_within(families, nodes, sets.union(more), scheme, low, block)))
+    return found

@@ -10,7 +10,7 @@ anew for each repetition, until the source's share of the budget is used; the st
 `block_tokens` tokens that each hold every source at its weight, and a block's rows are permuted. Without a budget,
 the smallest one that uses every document at least once is taken, so no document is dropped.
 
-Scale: texts are not moved; rows are (source, id, tokens). A source's running token count is a prefix sum over hash
+Scale: texts are not moved to plan the mix; rows are (source, id, tokens). A source's running token count is a prefix sum over hash
 ranges of a few thousand rows each (range totals first, then within a range), so a source with a third of all rows is
 spread over its ranges.
 
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from ..sources.store import written
 
 #: Halvings evaluated by one pass, and passes: 30 halvings in all.
 STEPS, PASSES = 5, 6
@@ -133,8 +133,9 @@ def mixed(docs: DataFrame, tokens: Column, target_entropy: float | None = None,
     return blocks(*plan(docs, tokens, target_entropy, max_repeats, budget, block_tokens, seed, id_col, source_col), seed)
 
 
-def repeated(docs: DataFrame, mix_rows: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The documents, each as many times as the mix has it, with their own columns."""
-    times = mix_rows.groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source")).agg(F.count("*").cast("int").alias("__mix_times"))
-    both = docs.join(times, F.col(id_col).eqNullSafe(F.col("__mix_id")) & F.col(source_col).eqNullSafe(F.col("__mix_source")))
-    return both.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(docs.columns)
+def arranged(docs: DataFrame, mix_rows: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The documents with their own columns, each as often as the mix has it, block after block in the blocks' orders:
+    partitions are ranges of that order and sorted, so the files that are written of it hold it too."""
+    mix = mix_rows.select(*(F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "block", "position")))
+    both = docs.join(mix, F.col(id_col).eqNullSafe(F.col("__mix_doc_id")) & F.col(source_col).eqNullSafe(F.col("__mix_source")))
+    return both.repartitionByRange("__mix_block", "__mix_position").sortWithinPartitions("__mix_block", "__mix_position").select(docs.columns)

@@ -58,8 +58,11 @@ c4 AS (SELECT doc_id, source, copy, tokens, shuffle, CAST(CASE WHEN whole * tota
 SELECT doc_id, source, copy, tokens, block, row_number() OVER (PARTITION BY block ORDER BY shuffle, doc_id, source, copy) AS position FROM c4"""
 
 
-CHAT_ROTATION = """WITH t AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text, CAST(floor(turn / 32) AS BIGINT) AS chunk FROM conversations),
+CHAT_ROTATION = """WITH t AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+p AS (SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS said FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, md5(text))),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY place // 256 + CAST(said AS BIGINT) // 1000000) - 1 AS part FROM p),
 who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
-s AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head, text || '<|end|>' || chr(10) AS body FROM t JOIN who ON t.conv_id IS NOT DISTINCT FROM who.conv_id),
-o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM s)
-SELECT conv_id, perspective, chunk, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (speaker = perspective) AS n_own, string_agg(head || body, '' ORDER BY turn NULLS FIRST, speaker, text) AS text, coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY turn NULLS FIRST, speaker, text) FILTER (speaker = perspective), '') AS loss_spans FROM o GROUP BY conv_id, perspective, chunk"""
+s AS (SELECT d.*, perspective, CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head, text || '<|end|>' || chr(10) AS body FROM d JOIN who ON d.conv_id IS NOT DISTINCT FROM who.conv_id),
+o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_, length(head) AS h FROM s),
+b AS (SELECT *, min(at_) OVER (PARTITION BY conv_id, perspective, part) AS start FROM o)
+SELECT conv_id, perspective, part, min(place) AS first_turn, CAST(any_value(start) AS BIGINT) AS start, count(*) AS n_turns, count(*) FILTER (speaker = perspective) AS n_own, string_agg(head || body, '' ORDER BY place) AS text, coalesce(string_agg((at_ - start + h) || ':' || (at_ - start + h + length(body)), ',' ORDER BY place) FILTER (speaker = perspective), '') AS loss_spans FROM b GROUP BY conv_id, perspective, part"""

@@ -3,15 +3,16 @@
 P(grade <= k) = sigmoid(threshold_k - w . x): one weight vector over hashed text features, shared by all grades, and
 ordered thresholds. Features are the presence of lower-cased words, of their first four and five bytes and of
 punctuation runs, and coarse levels of the share of capitals and of words that repeat the word before them; features
-of few rated documents are left out, weights are at most 0 and an L1 penalty leaves them only on telling features, so
-clean text adds nothing however long it is and cannot make up for what is wrong.
+of few rated documents are left out, and an L1 penalty leaves weights, of either sign, on telling features only.
 
-The model is fitted on a bounded sample of rated documents (`docs_per_grade` each, by a hash of the id); the selected
-ids are broadcast (bounded), their features fetched, and one pass without a shuffle scores every whole text.
+The model is fitted on a bounded sample of rated documents: `docs_per_grade` each, and no more of them than have
+`features_per_grade` features together, by a hash of the id; their ids are broadcast (bounded) and only the sample's
+features reach the driver. One pass without a shuffle scores every whole text.
 
 Defined cases: a null or empty text has only level features; with fewer than two grades among the rated rows every
 document gets that grade (0 without any) and is kept; rows repeating a doc_id are scored each; of repeated ratings the
-lowest counts; extra columns are ignored.
+lowest counts; more than MAX_GRADES grades are an error (a continuous rating must be binned first); extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import Scratch
 from . import text as tx
 
 BITS = 19
+MAX_GRADES = 100
 _SPACE = tx._SPACE
 _PUNCT = np.zeros(256, bool)
 _PUNCT[33:48] = _PUNCT[58:65] = _PUNCT[91:97] = _PUNCT[123:127] = True
@@ -81,75 +84,114 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, grades: np.ndarray, epochs: int = 15, batch: int = 128, rate: float = 0.3, l1: float = 1e-3, min_docs: int = 5, seed: int = 3) -> Model:
-    """Proximal adaptive gradient descent; y are indices into grades. Features of under min_docs rows get no weight."""
-    k = len(grades)
-    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= min_docs
-    rows = [r[seen[r]] for r in rows]
-    w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-4)
-    cum = np.cumsum(np.bincount(y, minlength=k))[:-1] / max(1, len(y))
+def gradient(s: np.ndarray, y: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sum of -log P(grade = y): with respect to each row's w . x, and to the thresholds."""
+    edge = np.concatenate(([-np.inf], theta, [np.inf]))
+    hi, lo = _sigmoid(edge[y + 1] - s), _sigmoid(edge[y] - s)
+    p = np.maximum(hi - lo, 1e-9)
+    dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    k = len(theta) + 1
+    return dhi - dlo, np.bincount(y, dlo, minlength=k)[1:] - np.bincount(y, dhi, minlength=k)[:-1]
+
+
+def train(flat: np.ndarray, cuts: np.ndarray, y: np.ndarray, grades: np.ndarray, l1: float = 5e-4, min_docs: int = 5, rounds: int = 400) -> Model:
+    """Weights and thresholds of the least mean loss plus l1 times the weights' absolute values, by accelerated proximal
+    steps. Row i has the features flat[cuts[i]:cuts[i + 1]]; y are indices into grades. Features of under min_docs rows
+    get no weight."""
+    k, n = len(grades), len(y)
+    keep = (np.bincount(flat, minlength=1 << BITS) >= min_docs)[flat]
+    cuts = np.concatenate(([0], np.cumsum(keep)))[cuts]
+    used, col = np.unique(flat[keep], return_inverse=True)
+    m, row = len(used), np.repeat(np.arange(n), np.diff(cuts))
+    by_col = np.argsort(col, kind="stable")
+    col_rows, col_starts = row[by_col], np.searchsorted(col[by_col], np.arange(m))
+    some = np.flatnonzero(np.diff(cuts))
+
+    def sums(v: np.ndarray) -> np.ndarray:
+        s = np.zeros(n)
+        if m:
+            s[some] = np.add.reduceat(v[col], cuts[some])
+        return s
+
+    def loss(v: np.ndarray) -> float:
+        edge, s = np.concatenate(([-np.inf], v[m:], [np.inf])), sums(v)
+        return float(-np.log(np.maximum(_sigmoid(edge[y + 1] - s) - _sigmoid(edge[y] - s), 1e-9)).mean())
+
+    def slope(v: np.ndarray) -> np.ndarray:
+        gs, gt = gradient(sums(v), y, v[m:])
+        return np.concatenate([np.add.reduceat(gs[col_rows], col_starts) if m else gs[:0], gt]) / n
+
+    cum = np.cumsum(np.bincount(y, minlength=k))[:-1] / max(1, n)
     theta = np.log(np.clip(cum, 1e-3, 1 - 1e-3) / np.clip(1 - cum, 1e-3, 1))
-    theta = np.maximum.accumulate(theta + 1e-3 * np.arange(k - 1))
-    t2 = np.full(k - 1, 1e-4)
-    rng = np.random.Generator(np.random.PCG64(seed))
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), batch):
-            pick = order[at : at + batch]
-            idx = np.concatenate([rows[p] for p in pick])
-            doc = np.repeat(np.arange(len(pick)), [len(rows[p]) for p in pick])
-            s = np.bincount(doc, w[idx], minlength=len(pick))
-            edge = np.concatenate(([-np.inf], theta, [np.inf]))
-            hi, lo = _sigmoid(edge[y[pick] + 1] - s), _sigmoid(edge[y[pick]] - s)
-            p = np.maximum(hi - lo, 1e-9)
-            dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
-            gs = (dhi - dlo) / len(pick)  # d(-log p)/ds
-            u, inv = np.unique(idx, return_inverse=True)
-            g = np.bincount(inv, gs[doc], minlength=len(u))
-            g2[u] += g * g
-            step = rate / np.sqrt(g2[u])
-            v = w[u] - step * g
-            w[u] = np.minimum(v + step * l1, 0)
-            gt = (np.bincount(y[pick], dlo, minlength=k)[1:] - np.bincount(y[pick], dhi, minlength=k)[:-1]) / len(pick)
-            t2 += gt * gt
-            theta = np.maximum.accumulate(theta - rate / np.sqrt(t2) * gt)
-    return Model(grades, w, theta)
-
-
-def _selected(docs: DataFrame, rated: DataFrame, docs_per_grade: int, id_col: str, text_col: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    counts = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().orderBy("grade").collect()}
+    x = np.concatenate([np.zeros(m), np.maximum.accumulate(theta + 1e-3 * np.arange(k - 1))])
+    z, pull, step, last, held = x, 1.0, 1.0, np.inf, 0
+    for _ in range(rounds):
+        at, g = loss(z), slope(z)
+        for _ in range(40):  # halve the step until the loss is below its bound
+            new = z - step * g
+            new[:m] = np.sign(new[:m]) * np.maximum(np.abs(new[:m]) - step * l1, 0)
+            new[m:] = np.maximum.accumulate(new[m:])
+            move, there = new - z, loss(new)
+            if there <= at + g @ move + move @ move / (2 * step) + 1e-12:
+                break
+            step /= 2
+        else:
+            break
+        now = there + l1 * np.abs(new[:m]).sum()
+        held = held + 1 if abs(last - now) <= 1e-5 * now else 0
+        if now > last:  # the pull went too far: start it anew
+            z, pull, last = x, 1.0, np.inf
+            continue
+        after = (1 + np.sqrt(1 + 4 * pull * pull)) / 2
+        z, x, pull, last, step = new + (pull - 1) / after * (new - x), new, after, now, 1.1 * step
+        z[m:] = np.maximum.accumulate(z[m:])
+        if held == 5:
+            break
+    w = np.zeros(1 << BITS)
+    w[used] = x[:m]
+    return Model(grades, w, x[m:])
+
+
+def _selected(docs: DataFrame, rated: DataFrame, docs_per_grade: int, features_per_grade: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, cuts between rows, the rows' grades, all grades) of the sample."""
+    counts = rated.groupBy("grade").count().limit(MAX_GRADES + 1).collect()
+    if len(counts) > MAX_GRADES:
+        raise ValueError(f"more than {MAX_GRADES} grades: bin the ratings first")
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11) / F.lit(float(1 << 53))
-    share = F.lit(0.0)
-    for grade, n in counts.items():
-        share = F.when(F.col("grade") == grade, F.lit(min(1.0, docs_per_grade / n))).otherwise(share)
-    picked = rated.where(unit < share)
+    shares = rated.sparkSession.createDataFrame([(r["grade"], min(1.0, docs_per_grade / r["count"])) for r in counts], "grade double, share double")
+    picked = rated.join(F.broadcast(shares), "grade").where(unit < F.col("share")).select("doc_id", "grade", "share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in tx.slices(batch.column(2)):
+            for i, j, data, offs in tx.slices(batch.column(3)):
                 t, f = distinct(*features(data, offs))
                 cut = np.searchsorted(t, np.arange(j - i + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(f.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], ["doc_id", "grade", "f"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), lists], ["doc_id", "grade", "share", "f"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade double, f array<int>").toArrow()
-    grade = table.column(1).to_numpy()
-    lists = [np.asarray(x, np.int64) for x in table.column(2).to_pylist()]
-    order = sorted(range(len(lists)), key=lambda p: (table.column(0)[p].as_py(), lists[p].tolist()))
-    return [lists[p] for p in order], grade[order], np.array(sorted(counts))
-
-
-def graded_quality(docs: DataFrame, labels: DataFrame, grade: Column, keep_grade: float | None = None, min_tail: float = 0.5, docs_per_grade: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    with Scratch(docs.sparkSession) as passing:
+        found = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "share", "text")
+        found = passing.written(found.mapInArrow(run, "doc_id long, grade double, share double, f array<int>"), "sample")
+        totals = found.groupBy("grade").agg(F.sum(F.size("f")).alias("total"))
+        within = F.col("share") * F.least(F.lit(1.0), F.lit(float(features_per_grade)) / F.greatest(F.col("total"), F.lit(1)))
+        table = found.join(F.broadcast(totals), "grade").where(unit < within).orderBy("doc_id", F.xxhash64("f")).select("grade", "f").toArrow()
+    lists = table.column(1).combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return flat, cuts, table.column(0).to_numpy(), np.array(sorted(r["grade"] for r in counts))
+
+
+def graded_quality(docs: DataFrame, labels: DataFrame, grade: Column, keep_grade: float | None = None, min_tail: float = 0.5, docs_per_grade: int = 4000, features_per_grade: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_grade, p_tail, kept) for every document: p_tail = P(grade >= keep_grade), kept if >= min_tail.
 
     grade: the rating, a column over labels (doc_id, ...); keep_grade: the highest grade if None.
     """
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("double").alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    rows, got, grades = _selected(docs, rated, docs_per_grade, id_col, text_col)
+    flat, cuts, got, grades = _selected(docs, rated, docs_per_grade, features_per_grade, id_col, text_col)
     keep = keep_grade if keep_grade is not None else (float(grades[-1]) if len(grades) else 0.0)
     grades = np.array(sorted(set(got.tolist()))) if len(got) else grades
-    model = train(rows, np.searchsorted(grades, got), grades) if len(grades) > 1 and len(rows) else None
+    model = train(flat, cuts, np.searchsorted(grades, got), grades) if len(grades) > 1 and len(got) else None
     fitted = model is not None
     used = np.flatnonzero(model.weights) if fitted else np.zeros(0, np.int64)
     weights, thresholds = (model.weights[used], model.thresholds) if fitted else (None, None)

@@ -59,7 +59,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_forest.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(f"anomaly_{g}" for g in quality_forest.GROUPS))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

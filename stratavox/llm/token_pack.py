@@ -11,7 +11,8 @@ vocabulary. A shard file is
 so one block is read by its offset and unpacked by vectorised numpy, and any position of any document is found without
 reading the rest.
 
-Shards are ranges of the ascending (doc_id, text hash) order. A task encodes its range in bounded batches, appends
+Shards are ranges of the ascending (doc_id, text hash) order, or of another one that is given (`stored_order`: as the rows
+lie in their files). A task encodes its range in bounded batches, appends
 finished blocks to a temporary file in the shared folder and renames it when complete; the name is fixed by the
 range, so a task that runs again after a lost executor replaces it with the same bytes. Only the manifest (a row for
 each shard) travels; global starts are prefix sums over it.
@@ -32,11 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import Scratch, new_path
 from . import text as tx
-from .store import new_path, written
 
 MAGIC = b"STVXPACK"
 VERSION = 1
@@ -304,17 +306,30 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, encode_special: bool = False) -> DataFrame:
+def stored_order(docs: DataFrame) -> list[Column] | None:
+    """The order in which the rows of docs, as read from the files of one write, were written; None for other tables."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    file = F.col("_metadata.file_path")
+    return [F.regexp_extract(file, "part-([0-9]+)[^/]*$", 1).try_cast("long"), file, F.col("_metadata.row_index")]
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, encode_special: bool = False, order: list[Column] | None = None) -> DataFrame:
     """Encode and write the shards under path; the manifest (shard, file, n_docs, n_ids, start), also written there.
 
     tokenizer: a tokenizers JSON file that every executor can open. encode_special: read special tokens' strings in a
-    text as ordinary text.
+    text as ordinary text. order: columns over docs by which documents are stored, ascending ids by default.
     """
     from tokenizers import Tokenizer
 
     bits = bits_for(max(end_id + 1, Tokenizer.from_file(tokenizer).get_vocab_size()))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    keys = [k.alias(f"k{n}") for n, k in enumerate(order or [doc_id, F.xxhash64(text)])]
+    names = [f"k{n}" for n in range(len(keys))]
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), *keys)
+    rows = rows.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -347,11 +362,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
                     disk.delete_file(part)
             raise
 
-    shards = written(rows.mapInArrow(run, "shard int, file string, n_docs long, n_ids long"), "shards")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    manifest = shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    manifest.write.parquet(f"{path}/manifest")
-    return docs.sparkSession.read.schema(manifest.schema).parquet(f"{path}/manifest")
+    with Scratch(docs.sparkSession) as passing:
+        shards = passing.written(rows.mapInArrow(run, "shard int, file string, n_docs long, n_ids long"), "shards")
+        before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
+        manifest = shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+        manifest.write.parquet(f"{path}/manifest")
+        return docs.sparkSession.read.schema(manifest.schema).parquet(f"{path}/manifest")
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

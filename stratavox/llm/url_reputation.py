@@ -23,9 +23,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 #: (action, host, path prefix)
 Rule = tuple[str, str, str]
-#: Suffixes of two labels under which names are registered; a parameter, this default is short.
+#: Suffixes of two labels under which names are registered: a short default; unlisted ones pool their sites as one domain.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,6 +59,28 @@ def domain_of(name: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Col
     return F.when(name.rlike("^[0-9.]+$") | (found == ""), name).otherwise(found)
 
 
+def site_levels(hosts: DataFrame, suffixes: Sequence[str] | DataFrame) -> DataFrame:
+    """hosts with the registered domain and the suffix of every host.
+
+    suffixes: those of more than one label, as a short list or as a table with the column `suffix` (of a public list, say),
+    which the hosts' trailing labels join; the longest that fits counts, and the last label where none does.
+    """
+    name = site_name(F.col("host"))
+    if not isinstance(suffixes, DataFrame):
+        return hosts.withColumns({"domain": domain_of(name, suffixes), "suffix": suffix_of(name, suffixes)})
+    known = suffixes.select(F.lower("suffix").alias("tail")).where("tail is not null").distinct()
+    labels = F.split("name", "\\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: F.array_join(F.slice("labels", k, F.size("labels")), "."))
+    rows = hosts.select("host", name.alias("name")).where(~name.rlike("^[0-9.]+$")).withColumn("labels", labels)
+    found = rows.select("host", F.explode(tails).alias("tail")).join(known, "tail").groupBy("host").agg(F.max_by("tail", F.length("tail")).alias("tail"))
+    both = hosts.join(found, "host", "left").withColumn("name", name).withColumn("labels", labels)
+    last = F.element_at("labels", -1)
+    suffix = F.when(F.col("name").rlike("^[0-9.]+$"), F.col("name")).otherwise(F.coalesce("tail", last))
+    own = F.size("labels") - F.size(F.split(suffix, "\\."))  # labels before the suffix
+    domain = F.when(F.col("name").rlike("^[0-9.]+$") | (own < 1), F.col("name")).otherwise(F.concat_ws(".", F.element_at("labels", F.greatest(own, F.lit(1))), suffix))
+    return both.withColumns({"suffix": suffix, "domain": domain}).drop("tail", "name", "labels")
+
+
 def rule_fit(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Column, Column]:
     """(rule string, action) of the longest rule that fits, null without one."""
     text, action = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -83,15 +107,15 @@ def _shrunk(groups: DataFrame, strength: float) -> Column:
     return (s * F.col("p") + F.col("k")) / (s + F.col("n"))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] | DataFrame = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, n, k, bad, bad_low) for every host of pages (id, host): labelled and bad pages, posterior mean and lower bound.
 
     outcomes: (id, bad boolean).
     """
     worst = outcomes.where("id is not null and bad is not null").groupBy("id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     hosts = pages.join(worst, "id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    name = site_name(F.col("host"))
-    hosts = hosts.select("host", domain_of(name, suffixes).alias("domain"), suffix_of(name, suffixes).alias("suffix"), "n", "k")
+    # a row a host: every level and the verdicts come from it, pages and outcomes are read once
+    hosts = written(site_levels(hosts, suffixes).select("host", "domain", "suffix", "n", "k"), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     p0 = ((total["k"] or 0) + 1) / ((total["n"] or 0) + 2)
     count = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -106,11 +130,11 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suf
     return hosts.select("host", "n", "k", F.round(a / (a + b), 6).alias("bad"), F.round(a / (a + b) - F.lit(z) * sd, 6).alias("bad_low"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], max_bad: float = 0.3, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, host_bad, host_bad_low) of every page."""
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], max_bad: float = 0.3, z: float = 1.645, id_col: str = "page_id", url_col: str = "url", suffixes: Sequence[str] | DataFrame = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """(page_id, host, path, rule, verdict, host_bad, host_bad_low) of every page; suffixes: see site_levels."""
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    known = host_reputation(rows.select("id", "host"), outcomes, z)
+    known = host_reputation(rows.select("id", "host"), outcomes, z, suffixes)
     text, action = rule_fit(rules, F.col("host"), F.col("path"))
     method = F.when(F.col("bad_low") > max_bad, "block").otherwise("allow")
     rows = rows.join(known, "host")

@@ -1,7 +1,7 @@
 import random
 import re
 
-from stratavox.llm.minhash_dedup import Scheme, near_duplicates
+from stratavox.llm.minhash_dedup import Scheme, deduplicated, near_duplicates
 
 
 def brute(rows, words, low):
@@ -94,6 +94,29 @@ def test_empty_table_and_null_ids(spark):
     assert got == sorted([(None, 3, 3, False), (None, 1, None, True), (3, 3, 3, True), (4, 0, 4, True), (4, 0, 4, True)], key=str)
 
 
+def test_rows_stay_by_text_where_ids_repeat_or_lack(spark):
+    """A text of its own is not lost with the copy that bears its id, and one of equal rows stays."""
+    a, b, c = ("p q r s t u v", "another text with seven words here", "x1 x2 x3 x4 x5 x6")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, "n o t h i n g"), (None, "n o t h i n g"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "s", 1.0) for i, t in rows], "doc_id long, text string, component_id string, kept double")
+    got = deduplicated(docs, 2)
+    assert got.columns == docs.columns
+    want = [(3, a), (5, b), (7, c), (None, "n o t h i n g"), (8, None), (8, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    clear = docs.where("doc_id in (3, 5)").where(docs.text == a)
+    assert [r.doc_id for r in deduplicated(clear, 2).collect()] == [3]
+    assert deduplicated(docs.limit(0)).collect() == []
+    near = near_duplicates(spark.createDataFrame([(None, f"{a} w x y z {k}") for k in range(2)], "doc_id long, text string"), 2)
+    assert {(r.component_id, r.kept) for r in near.collect()} == {(None, True)}
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got)
+
+
 def test_pigeonhole_guarantee():
     s = Scheme(chunks=4, slots=3)
     assert (s.size, s.distance) == (12, 7)

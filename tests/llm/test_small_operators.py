@@ -48,6 +48,18 @@ def test_site_names(spark):
         assert (r.d, r.s) == hosts[r.h]
 
 
+def test_suffixes_of_a_table(spark):
+    hosts = {"a.b.co.kr": ("b.co.kr", "co.kr"), "x.github.io": ("x.github.io", "github.io"), "y.x.github.io": ("x.github.io", "github.io"), "co.kr": ("co.kr", "co.kr"), "a.example.net": ("example.net", "net"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "": ("", "")}
+    df = spark.createDataFrame([(h, 1) for h in hosts], "host string, suffixes int")
+    table = spark.createDataFrame([("co.kr", 1), ("GitHub.io", 2), ("kr", 3), ("co.kr", 1), (None, 1)], "suffix string, name int")
+    got = {r.host: (r.domain, r.suffix) for r in url_reputation.site_levels(df, table).collect()}
+    assert got == hosts
+    urls = [(i, "http://bad.github.io/") for i in range(40)] + [(100 + i, f"http://s{i % 20}.github.io/") for i in range(200)]
+    pages, outcomes = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame([(i, True) for i in range(40)] + [(100 + i, False) for i in range(200)], "id long, bad boolean")
+    out = {r.host: r for r in url_reputation.judge(pages, outcomes, (), suffixes=table).collect()}
+    assert out["bad.github.io"].verdict == "block" and out["s9.github.io"].verdict == "allow"
+
+
 # ---- languages
 
 
@@ -225,8 +237,12 @@ def test_mix_meets_its_targets_and_keeps_all(spark):
         assert abs(share - want) < 0.2
     again = mixing.mixed(docs.repartition(7), mixing.word_tokens(), 0.9, 6.0, None, 500, 1).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
-    back = mixing.repeated(docs, mixing.mixed(docs, mixing.word_tokens(), 0.9, 6.0, None, 500, 1))
-    assert back.columns == docs.columns and back.count() >= len(rows)
+    rows_of = mixing.mixed(docs, mixing.word_tokens(), 0.9, 6.0, None, 500, 1)
+    back = mixing.arranged(docs, rows_of)
+    assert back.columns == docs.columns
+    place = [(r.source, r.doc_id) for r in sorted(got, key=lambda r: (r.block, r.position))]
+    twice = {("big", 0)}  # two rows of one source and id: they stand together
+    assert [(r.source, r.doc_id) for r in back.collect()] == [k for k in place for _ in range(2 if k in twice else 1)]
 
 
 def test_mix_of_a_budget_and_of_nothing(spark):
@@ -310,7 +326,10 @@ def test_overlaps_with_substitutions(spark):
         assert next(r.n_match for r in got if r.doc_id == 1) >= 10
     kept = decontaminate.decontaminated(docs, b)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 100) == [5, 6, 7]
+    left = kept.collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None and r.doc_id < 100) == [5, 6, 7]
+    assert all(r.doc_id is not None for r in left)
+    assert decontaminate.decontaminated(docs, b, block_chars=60).count() == len(left)
     assert decontaminate.overlaps(docs.limit(0), b).collect() == [] == decontaminate.overlaps(docs, b.limit(0)).collect()
 
 
@@ -322,54 +341,140 @@ def test_every_fifth_of_substitutions_in_short_items():
         for gone in combinations(range(n), n // 5):
             ids = np.concatenate(([0, 0], np.where(np.isin(np.arange(n), gone), 0, probe.words), [0, 0]))
             hits = probe.hits(ids, np.zeros(len(ids), np.int64), np.array([0, len(ids)])).tolist()
-            assert any(probe.verify(ids, item, d, 1.0, 10, 0.8) for _, item, d in hits), (n, gone)
+            assert any(probe.verify(ids, item, d, 10, 0.8) for _, item, d in hits), (n, gone)
         ids = np.where(np.arange(n) <= n // 5, 0, probe.words)  # one more
-        assert n > 12 or probe.verify(ids, 0, 0, 1.0, 10, 0.8) is None
+        assert n > 12 or probe.verify(ids, 0, 0, 10, 0.8) is None
+
+
+def test_seeds_are_complete_up_to_24_words():
+    """Every placement of substitutions in a segment that passes leaves a window of a mask whole."""
+    from itertools import combinations
+
+    for n in range(10, 25):
+        for k in range(n // 5 + 1):
+            if n - k >= 10:
+                gone = np.array([sum(1 << i for i in c) for c in combinations(range(n), k)])
+                left = np.ones(len(gone), bool)
+                for mask in decontaminate.MASKS:
+                    bits = sum(1 << i for i, c in enumerate(mask) if c == "1")
+                    for at in range(n - len(mask) + 1):
+                        left &= (gone & (bits << at)) != 0
+                assert not left.any(), (n, k)
+
+
+def test_overlaps_against_all_segments_of_all_alignments(spark):
+    rng = random.Random(31)
+    vocab = [f"v{i}" for i in range(40)]
+    items = [[rng.choice(vocab) for _ in range(n)] for n in (29, 12, 18, 40, 7, 10, 24)]
+
+    def noisy(w):
+        return [rng.choice(vocab) if rng.random() < 0.18 else x for x in w]
+
+    docs = []
+    for k in range(120):
+        w = [rng.choice(vocab) for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 2)):
+            item = rng.choice(items)
+            a = rng.randint(0, len(item) // 2)
+            w += noisy(item[a : rng.randint(a, len(item))] if rng.random() < 0.5 else item) + [rng.choice(vocab) for _ in range(rng.randint(0, 12))]
+        docs.append(w)
+    docs.append(items[0][:10] + ["f"] * 9 + items[0][19:])  # two runs with foreign words between
+
+    def passes(doc, item):
+        n = len(item)
+        for d in range(-n, len(doc) + 1):
+            same = [x == y for x, y in ((doc[d + k] if 0 <= d + k < len(doc) else None, item[k]) for k in range(n))]
+            if n < 18 and sum(same) >= 0.8 * n:
+                return True
+            for i in range(n):
+                for j in range(i + 1, n + 1):
+                    if sum(same[i:j]) >= min(10, n) and 10 * sum(same[i:j]) >= 8 * (j - i):
+                        return True
+        return False
+
+    want = {(k, m) for k, doc in enumerate(docs) for m, item in enumerate(items) if passes(doc, item)}
+    table = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(m, " ".join(i)) for m, i in enumerate(items)], "item_id long, text string")
+    got = decontaminate.overlaps(table, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 50 and (120, 0) in want
+    for r in got:
+        same = sum(x == y for x, y in zip(docs[r.doc_id][r.doc_word :], items[r.item_id][r.item_word : r.item_word + r.n_overlap]))
+        assert same == r.n_match
+    clean = decontaminate.decontaminated(table, bench)
+    assert {r.doc_id for r in clean.collect()} == set(range(len(docs))) - {k for k, _ in want}
 
 
 # ---- chat
 
 
-def brute_rotation(rows, chunk):
+def brute_rotation(rows):
+    """The whole rendering and its loss spans, by conversation and participant."""
+    import hashlib
+
     safe = lambda s: s.replace("<|", "< |")
     turns = {(c, t, safe(r if r is not None else "unknown"), safe(x or "")) for c, t, r, x in rows}
     out = {}
     for c in {t[0] for t in turns}:
-        for me in {t[2] for t in turns if t[0] == c and t[2] != "system"}:
-            for n in {None if t[1] is None else t[1] // chunk for t in turns if t[0] == c}:
-                text, spans = "", []
-                for _, t, r, x in sorted((t for t in turns if t[0] == c and (None if t[1] is None else t[1] // chunk) == n), key=lambda t: (t[1] is not None, t[1] or 0, t[2], t[3])):
-                    text += "<|assistant|>\n" if r == me else "<|system|>\n" if r == "system" else f"<|user name={r}|>\n"
-                    end = x + "<|end|>\n"
-                    if r == me:
-                        spans.append((len(text), len(text) + len(end)))
-                    text += end
-                out[c, me, n] = (text, spans)
+        mine = sorted((t for t in turns if t[0] == c), key=lambda t: (t[1] is not None, t[1] or 0, t[2], hashlib.md5(t[3].encode()).hexdigest()))
+        for me in {t[2] for t in mine if t[2] != "system"}:
+            text, spans = "", []
+            for _, t, r, x in mine:
+                text += "<|assistant|>\n" if r == me else "<|system|>\n" if r == "system" else f"<|user name={r}|>\n"
+                end = x + "<|end|>\n"
+                if r == me:
+                    spans.append((len(text), len(text) + len(end)))
+                text += end
+            out[c, me] = (text, spans, len(mine))
     return out
 
 
-def test_rotation_against_brute_force(spark):
-    rng = random.Random(5)
+def check_rotation(spark, rows, **more):
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, part int, conv string").repartition(4)
+    parts = {}
+    for r in chat_rotation.rotate(df, **more).collect():
+        parts.setdefault((r.conv_id, r.perspective), []).append(r)
+    want = brute_rotation(rows)
+    assert parts.keys() == want.keys()
+    for key, mine in parts.items():
+        text, spans, turns = want[key]
+        mine.sort(key=lambda r: r.part)
+        assert [r.part for r in mine] == list(range(len(mine)))
+        assert "".join(r.text for r in mine) == text and sum(r.n_turns for r in mine) == turns
+        got, at, first = [], 0, 0
+        for r in mine:
+            assert (r.start, r.first_turn, r.n_own) == (at, first, len(r.loss_spans))
+            got += [(at + s.start, at + s.end) for s in r.loss_spans]
+            at, first = at + len(r.text), first + r.n_turns
+        assert got == spans
+    return parts
+
+
+def dialogues(seed, conversations, longest):
+    rng = random.Random(seed)
     rows = []
-    for c in [*range(12), None]:
+    for c in [*range(conversations), None]:
         people = rng.sample(["ann", "bob", "cyd", "system", None], rng.randint(1, 4))
-        for t in range(rng.randint(1, 9)):
+        for t in range(rng.randint(1, longest)):
             rows.append((c, rng.choice([t, t, 0, None]), rng.choice(people), rng.choice(["hi", "", None, "é <|end|> x", "long " * 20])))
-    rows += rows[:5] + [(77, 0, "system", "alone")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, chunk int").repartition(4)
-    got = chat_rotation.rotate(df, chunk=4).collect()
-    want = brute_rotation(rows, 4)
-    assert len(got) == len(want)
-    for r in got:
-        text, spans = want[r.conv_id, r.perspective, r.chunk]
-        assert r.text == text and [(s.start, s.end) for s in r.loss_spans] == spans and r.part == 0
+    return rows + rows[:5] + [(77, 0, "system", "alone")]
+
+
+def test_rotation_against_brute_force(spark):
+    rows = dialogues(5, 12, 9)
+    parts = check_rotation(spark, rows)
+    assert max(map(len, parts.values())) == 1
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert chat_rotation.rotate(df.limit(0)).collect() == []
 
 
-def test_a_crowded_turn_is_divided_and_whole(spark):
-    df = spark.createDataFrame([(1, 0, "ann" if i % 2 else "bob", f"t{i}") for i in range(300)], "conv_id long, turn long, role string, text string")
-    got = chat_rotation.rotate(df, most=32).where("perspective = 'ann'").collect()
-    assert len(got) > 5 and sum(r.n_turns for r in got) == 300 and max(r.n_turns for r in got) < 64
+def test_long_dialogues_come_in_ordered_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat_rotation, "GROUP", 3)
+    parts = check_rotation(spark, dialogues(6, 4, 60), most=4)
+    assert max(map(len, parts.values())) > 8 and max(r.n_turns for p in parts.values() for r in p) <= 4
+    parts = check_rotation(spark, dialogues(7, 4, 60), chars=150)
+    assert max(len(r.text) for p in parts.values() for r in p) < 150 + 100 + 30 * 60
+    tied = [(1, 0, "ann" if i % 2 else "bob", f"t{i}") for i in range(300)] + [(1, 1, "cyd", "late")]
+    assert len(check_rotation(spark, tied, most=32)[1, "cyd"]) == 10
 
 
 # ---- personal data
@@ -463,6 +568,43 @@ def test_decoding_takes_the_best_of_all_segmentations():
         assert abs(got - best(n)) < 1e-9
 
 
+def test_field_gradient_against_all_segmentations():
+    """Observed minus expected kinds, by listing every segmentation of a zone."""
+    rng = np.random.default_rng(5)
+    kinds = len(pii_semicrf.KINDS)
+    for _ in range(20):
+        n = 4
+        segs = [(i, j, i, j, rng.integers(0, 40, 3).tolist()) for j in range(1, n + 1) for i in range(max(0, j - 3), j) if rng.random() < 0.8]
+        field = pii_semicrf.Field(np.zeros((pii_semicrf.FEATURES, kinds)))
+        field.weights[:40] = rng.normal(size=(40, kinds))
+        score = field.scores(segs)
+        gold = {(s[2], s[3]): int(rng.integers(kinds)) for s in segs[:: max(1, len(segs) // 2)]}
+
+        def paths(j):
+            """(segments with kinds, score) of all segmentations of the first j words."""
+            if j == 0:
+                return [((), 0.0)]
+            out = list(paths(j - 1))  # the last word is outside
+            for k, g in enumerate(segs):
+                if g[1] == j:
+                    out += [((*p, (k, c)), v + score[k, c]) for p, v in paths(g[0]) for c in range(kinds)]
+            return out
+
+        every = paths(n)
+        top = max(v for _, v in every)
+        total = sum(np.exp(v - top) for _, v in every)
+        want = np.zeros((len(segs), kinds))
+        for p, v in every:
+            for k, c in p:
+                want[k, c] -= np.exp(v - top) / total
+        for k, g in enumerate(segs):
+            if (g[2], g[3]) in gold:
+                want[k, gold[g[2], g[3]]] += 1
+        got = field.gradient(n, segs, gold)
+        assert [f for f, _ in got] == [g[4] for g in segs]
+        assert np.allclose([d for _, d in got], want, atol=1e-9)
+
+
 # ---- ordinal quality
 
 
@@ -494,3 +636,43 @@ def test_grades_are_ordered_and_held_out_rows_right(spark):
     assert all(0 <= r.p_tail <= 1 for r in got.values())
     assert ordinal_quality.graded_quality(docs.limit(0), rated, rated.stars).collect() == []
     assert all(r.kept for r in ordinal_quality.graded_quality(docs, rated.limit(0), rated.stars).collect())
+
+
+def test_cumulative_link_gradient_against_differences():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        theta, s, y = np.cumsum(rng.random(3) + 0.3), rng.normal(size=12), rng.integers(0, 4, 12)
+
+        def loss(s, theta):
+            edge = np.concatenate(([-np.inf], theta, [np.inf]))
+            p = [1 / (1 + np.exp(s - edge[y + 1 - k])) for k in (0, 1)]
+            return -np.log(p[0] - p[1]).sum()
+
+        gs, gt = ordinal_quality.gradient(s, y, theta)
+        for x, g, f in ((s, gs, lambda v: loss(v, theta)), (theta, gt, lambda v: loss(s, v))):
+            for k in range(len(x)):
+                d = np.zeros(len(x))
+                d[k] = 1e-5
+                assert abs((f(x + d) - f(x - d)) / 2e-5 - g[k]) < 1e-4
+
+
+def test_weights_speak_for_and_against_a_document():
+    """Presence of word 1 raises the grade, of word 2 lowers it; word 3 says nothing."""
+    rng = np.random.default_rng(2)
+    rows, y = [], []
+    for _ in range(600):
+        f = [k for k in (1, 2, 3) if rng.random() < 0.5]
+        rows.append(np.array(sorted({10, *f})))
+        y.append(int(np.clip(1 + (1 in f) - (2 in f), 0, 2)))
+    cuts = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    m = ordinal_quality.train(np.concatenate(rows), cuts, np.array(y), np.array([0.0, 1.0, 2.0]))
+    assert m.weights[1] > 1 and m.weights[2] < -1 and abs(m.weights[3]) < 0.5 and m.thresholds[0] < m.thresholds[1]
+
+
+def test_sample_bounds_and_too_many_grades(spark):
+    docs = spark.createDataFrame([(i, f"word{i} other{i % 7}") for i in range(300)], "doc_id long, text string")
+    rated = spark.createDataFrame([(i, float(i % 2)) for i in range(300)], "doc_id long, grade double")
+    flat, cuts, got, grades = ordinal_quality._selected(docs, rated, 100, 120, "doc_id", "text")
+    assert grades.tolist() == [0, 1] and 0 < len(got) < 100 and cuts[-1] == len(flat) < 600
+    with pytest.raises(ValueError):
+        ordinal_quality.graded_quality(docs, rated, rated.doc_id.cast("double"))
