@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.derived import C
 from ..sources.store import Scratch, written
 from .graph import connected, roots
-from .morphology import dilate, erode
+from .morphology import dilate, erode, mask_except
 
 LABELLED = "volume_id string, z int, y int, x int, label long"
 
@@ -42,7 +42,7 @@ def label_2d(mask: DataFrame, dims: DataFrame, connectivity: int = 4) -> DataFra
         f["label"] = i[plane_labels(f["y"].to_numpy(), f["x"].to_numpy(), eight)]
         return f[[*C, "label"]]
 
-    both = mask.select(*C).distinct().join(F.broadcast(dims.select("volume_id", "h", "w")), "volume_id")
+    both = mask.select(*C).distinct().join(dims.select("volume_id", "h", "w"), "volume_id")
     rows = both.select(*C, ((F.col("z").cast("long") * F.col("h") + F.col("y")) * F.col("w") + F.col("x")).alias("i"))
     return rows.groupBy("volume_id", "z").applyInPandas(run, LABELLED)
 
@@ -122,7 +122,7 @@ def relabel_by_priority(labels: DataFrame, z: tuple[int, int], y: tuple[int, int
     """Labels numbered by their frequency in a box (most frequent 0, ties by label); those unseen there come after."""
     seen = labels.groupBy("volume_id", "label").agg(F.sum(F.when(F.col("z").between(z[0], z[1] - 1) & F.col("y").between(y[0], y[1] - 1) & F.col("x").between(x[0], x[1] - 1), 1).otherwise(0)).alias("n"))
     place = F.row_number().over(Window.partitionBy("volume_id").orderBy(F.desc("n"), "label")) - 1
-    return labels.join(F.broadcast(seen.select("volume_id", "label", place.alias("rank"))), ["volume_id", "label"]).select(*C, F.col("rank").alias("label"))
+    return labels.join(seen.select("volume_id", "label", place.alias("rank")), ["volume_id", "label"]).select(*C, F.col("rank").alias("label"))
 
 
 def fill_plane(y: np.ndarray, x: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -143,21 +143,22 @@ def fill_holes(mask: DataFrame, dims: DataFrame) -> DataFrame:
         y, x = np.nonzero(fill_plane(f["y"].to_numpy(), f["x"].to_numpy(), int(f["h"].iloc[0]), int(f["w"].iloc[0])))
         return pd.DataFrame({"volume_id": f["volume_id"].iloc[0], "z": f["z"].iloc[0], "y": y.astype(np.int32), "x": x.astype(np.int32)})
 
-    both = mask.select(*C).join(F.broadcast(dims.select("volume_id", "h", "w")), "volume_id")
+    both = mask.select(*C).join(dims.select("volume_id", "h", "w"), "volume_id")
     return both.groupBy("volume_id", "z").applyInPandas(run, "volume_id string, z int, y int, x int")
 
 
 def closed_region_fill(mask: DataFrame, dims: DataFrame) -> DataFrame:
-    """Close 3 x 3 twice, fill the interiors that cannot reach the border, keep them, open 3 x 3 twice."""
-    closed = erode(dilate(mask, (1, 3, 3), dims, 2), (1, 3, 3), 2)
-    filled = fill_holes(closed, dims)
-    return dilate(erode(filled, (1, 3, 3), 2), (1, 3, 3), dims, 2)
+    """Close 3 x 3 twice, take the interiors (background that cannot reach the border) without the lines that close them,
+    open 3 x 3 twice."""
+    closed = written(erode(dilate(mask, (1, 3, 3), dims, 2), (1, 3, 3), 2), "closed")
+    return dilate(erode(mask_except(fill_holes(closed, dims), closed), (1, 3, 3), 2), (1, 3, 3), dims, 2)
 
 
-def edge_regions(df: DataFrame, dims: DataFrame, threshold: float = 0.7, lo: int = 1, hi: int = 1 << 30, r: float = 0.4) -> DataFrame:
-    """Scale to at most 1 by volume, threshold, keep thin components of the slices, fill the regions they close."""
-    top = df.groupBy("volume_id").agg(F.max("value").alias("m"))
-    high = df.join(F.broadcast(top), "volume_id").where(F.col("value") > threshold * F.greatest(F.col("m"), F.lit(1.0))).select(*C)
+def edge_regions(df: DataFrame, dims: DataFrame, threshold: float = 0.7, lo: int = 100, hi: int = 20_000, r: float = 0.4) -> DataFrame:
+    """Scale to at most 1 by volume, threshold, keep thin components of the slices with lo to hi pixels, fill the regions
+    they close."""
+    top = written(df.groupBy("volume_id").agg(F.max("value").alias("m")), "tops")
+    high = df.join(top, "volume_id").where(F.col("value") > threshold * F.greatest(F.col("m"), F.lit(1.0))).select(*C)
     return closed_region_fill(filter_thin(label_2d(high, dims), lo, hi, r), dims)
 
 

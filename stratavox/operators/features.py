@@ -16,7 +16,7 @@ from .windows import gaussian_weights
 
 SIGMAS = (3, 5, 7)
 #: Maps of feature_maps, in order.
-MAPS = ["value", "mean", "variance", "gradient", *[f"gauss{s}" for s in SIGMAS], *[f"log{s}" for s in SIGMAS], "eigen1", "eigen2", "line", "low", "high", "band", "wiener3", "wiener5"]
+MAPS = ["mean", "gradient", "variance", *[f"{k}{s}" for s in SIGMAS for k in ("gauss", "line", "log")], "band", "high", "low", "wiener1", "wiener3", "wiener5"]
 
 
 def _mirror(v: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -29,11 +29,25 @@ def box_mean(v: np.ndarray, k: int) -> np.ndarray:
     return (s[k:, k:] - s[:-k, k:] - s[k:, :-k] + s[:-k, :-k]) / (k * k)
 
 
+def _convolved(v: np.ndarray, by_row: np.ndarray, by_col: np.ndarray) -> np.ndarray:
+    """v with mirrored ends under a kernel down the rows and one along the columns."""
+    for axis, w in ((0, by_row), (1, by_col)):
+        r = len(w) // 2
+        v = np.apply_along_axis(lambda t: np.convolve(np.pad(t, r, mode="symmetric"), w, "valid"), axis, v)  # noqa: B023
+    return v
+
+
 def gauss(v: np.ndarray, sigma: float) -> np.ndarray:
     w = np.array(gaussian_weights(sigma))
-    r = len(w) // 2
-    rows = np.apply_along_axis(lambda t: np.convolve(np.pad(t, r, mode="symmetric"), w, "valid"), 0, v)
-    return np.apply_along_axis(lambda t: np.convolve(np.pad(t, r, mode="symmetric"), w, "valid"), 1, rows)
+    return _convolved(v, w, w)
+
+
+def laplace(v: np.ndarray, sigma: float) -> np.ndarray:
+    """Laplacian of Gaussian: the second derivative of the kernel along each axis."""
+    w = np.array(gaussian_weights(sigma))
+    x = np.arange(len(w)) - len(w) // 2
+    bent = (x * x / sigma**4 - 1 / sigma**2) * w
+    return _convolved(v, bent, w) + _convolved(v, w, bent)
 
 
 def second(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,36 +59,45 @@ def second(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def radial(v: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Frequencies with radius in [low, high) of the centred spectrum."""
+    """Frequencies with radius in [low, high] of the centred spectrum."""
     h, w = v.shape
     y, x = np.ogrid[:h, :w]
     r = np.hypot(y - h // 2, x - w // 2)
-    return np.real(np.fft.ifft2(np.fft.ifftshift(np.fft.fftshift(np.fft.fft2(v)) * ((r >= low) & (r < high)))))
+    return np.real(np.fft.ifft2(np.fft.ifftshift(np.fft.fftshift(np.fft.fft2(v)) * ((r >= low) & (r <= high)))))
 
 
 def wiener(v: np.ndarray, k: int) -> np.ndarray:
-    m = box_mean(v, k)
-    var = np.maximum(0, box_mean(v * v, k) - m * m)
+    """Wiener filter over k x k windows with zeros outside; what is not finite becomes 0 (all of it for k = 1)."""
+    mean = lambda a: np.lib.stride_tricks.sliding_window_view(np.pad(a, k // 2), (k, k)).mean((2, 3))
+    m = mean(v)
+    var = mean(v * v) - m * m if k > 1 else np.zeros_like(v)
     noise = var.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         out = np.where(var < noise, m, m + (v - m) * (1 - noise / var))
     return np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def feature_maps(v: np.ndarray, beta: float = 0.5, c: float = 15.0) -> np.ndarray:
+def line_response(v: np.ndarray, beta: float = 0.5, c: float = 15.0) -> np.ndarray:
+    """How line-like the second differences of a smoothed slice are."""
+    yy, xx, yx = second(v)
+    half, root = (yy + xx) / 2, np.sqrt(((yy - xx) / 2) ** 2 + yx**2)
+    a, b = half + root, half - root
+    l1, l2 = np.where(np.abs(a) > np.abs(b), b, a), np.where(np.abs(a) > np.abs(b), a, b)
+    ratio = np.abs(l1) / (np.abs(l2) + 1e-12)
+    return np.exp(-(ratio**2) / (2 * beta**2)) * (1 - np.exp(-(l1**2 + l2**2) / (2 * c**2)))
+
+
+def feature_maps(v: np.ndarray) -> np.ndarray:
     """MAPS of a slice, stacked first."""
     h = v.shape[0]
     m = box_mean(v, 5)
     gy, gx = np.gradient(v) if min(v.shape) > 1 else (np.zeros_like(v), np.zeros_like(v))
-    smooth = [gauss(v, s) for s in SIGMAS]
-    logs = [sum(second(g)[:2]) for g in smooth]
-    yy, xx, yx = second(smooth[0])
-    half, root = (yy + xx) / 2, np.sqrt(((yy - xx) / 2) ** 2 + yx**2)
-    a, b = half + root, half - root
-    l1, l2 = np.where(np.abs(a) > np.abs(b), b, a), np.where(np.abs(a) > np.abs(b), a, b)
-    ratio = np.divide(l1, l2, out=np.zeros_like(l1), where=l2 != 0)
-    line = np.where(l2 > 0, 0, np.exp(-(ratio**2) / (2 * beta**2)) * (1 - np.exp(-(l1**2 + l2**2) / (2 * c**2))))
-    return np.stack([v, m, np.maximum(0, box_mean(v * v, 5) - m * m), np.hypot(gy, gx), *smooth, *logs, l1, l2, line, radial(v, 0, h / 8), radial(v, h / 8, np.inf), radial(v, h / 16, h / 6), wiener(v, 3), wiener(v, 5)])
+    maps = [m, np.hypot(gy, gx), box_mean(v * v, 5) - m * m]
+    for s in SIGMAS:
+        smooth = gauss(v, s)
+        maps += [smooth, line_response(smooth), laplace(v, s)]
+    maps += [radial(v, h // 16, h // 6), radial(v, h // 8, np.inf), radial(v, 0, h // 8)]
+    return np.nan_to_num(np.stack(maps + [wiener(v, k) for k in (1, 3, 5)]), nan=0.0, posinf=0.0, neginf=0.0)
 
 
 def slice_features(df: DataFrame) -> DataFrame:
@@ -95,7 +118,7 @@ def feature_bank(df: DataFrame, dims: DataFrame, thickness: int = 2) -> DataFram
     flat = slice_features(df).withColumn("t", F.explode(F.sequence(F.col("z") - thickness, F.col("z") + thickness)))
     k = range(len(MAPS))
     sums = flat.groupBy("volume_id", F.col("t").alias("z"), "y", "x").agg(*[F.sum(F.col("f")[i].cast("double")).alias(f"s{i}") for i in k], *[F.sum(F.col("f")[i].cast("double") ** 2).alias(f"q{i}") for i in k])
-    both = sums.join(F.broadcast(dims), "volume_id").where((F.col("z") >= 0) & (F.col("z") < F.col("d")))
+    both = sums.join(dims, "volume_id").where((F.col("z") >= 0) & (F.col("z") < F.col("d")))
     inner = (F.col("z") >= thickness) & (F.col("z") < F.col("d") - thickness)
     mean = [F.col(f"s{i}") / n for i in k]
     var = [F.greatest(F.lit(0.0), F.col(f"q{i}") / n - (F.col(f"s{i}") / n) ** 2) for i in k]

@@ -1,24 +1,48 @@
-"""Matching of regions to template regions by shape. Templates are few and are broadcast behind a check of their number."""
+"""Matching of regions to template regions by shape.
+
+Templates may be many: candidates meet those of the same bands of a few elements in an equi-join (a template is listed at
+the two or three bands its tolerance reaches), and the exact test follows. Grids of 3-D shapes are compared with the
+templates' grids in blocks of bounded size.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import all_within_rel, cosine
+from ..functions.scalar import all_within_rel, cosine, norm
 from ..sources.derived import C
+from ..sources.store import Scratch, written
 from .components import intersect_regions, label_3d
-from .morphology import mask_union
 
 R = ["volume_id", "label"]
-#: Templates beyond this number are not broadcast but meet the candidates of their Euler number and size band by an equi-join.
-MAX_BROADCAST = 10_000
+#: Templates whose grids one pass over the candidates holds.
+TEMPLATES_PER_PASS = 2048
+
+
+def _relative_bands(v: Column, tol: float) -> Column:
+    """The band of a value of at least 0, and -1 for 0: a value within tol of a template, relative to it, lies in one of
+    the template's bands."""
+    width = math.log((1 + tol) / (1 - tol))
+    return F.when(v > 0, F.floor(F.log(v) / width) + 1_000_000).otherwise(-1)
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+def _within_bands(cand: DataFrame, templates: DataFrame, tol: float, elements: list[int]) -> DataFrame:
+    """Pairs of candidates and templates (column tv) that agree in the relative bands of some elements of v."""
+    names = [f"b{k}" for k in elements]
+    left = cand.withColumns({n: _relative_bands(F.col("v")[k], tol) for n, k in zip(names, elements)})
+    right = templates
+    for n, k in zip(names, elements):
+        t = F.col("tv")[k]
+        ends = [_relative_bands(t * (1 - tol) - F.lit(1e-8), tol), _relative_bands(t * (1 + tol) + F.lit(1e-8), tol)]
+        right = right.withColumn(n, F.explode(F.array_distinct(F.array(*ends, *([F.lit(-1)] if tol >= 1 else []), ends[0] + 1))))
+    return left.join(right.dropDuplicates([*names, "tv"]), names).drop(*names)
 
 
 def match_shapes(cand: DataFrame, templates: DataFrame, threshold: float, min_ratio: float) -> DataFrame:
@@ -36,8 +60,10 @@ def match_shapes(cand: DataFrame, templates: DataFrame, threshold: float, min_ra
     both = cand.where("euler = 1").join(F.broadcast(stats), (F.col("size") >= F.col("lo") * min_ratio) & (F.col("size") <= F.col("hi") / min_ratio))
     near = F.forall(F.arrays_zip("v", "mean", "range"), lambda t: F.abs(t["v"] - t["mean"]) < (1 + tol) / 2 * (t["range"] + F.lit(1e-8)))
     both = both.where(near).select(*R, "v")
-    t = _few(templates.select(F.col("v").alias("tv")))
-    return both.join(t, all_within_rel(F.col("v"), F.col("tv"), tol), "left_semi").select(*R)
+    t = templates.select(F.col("v").alias("tv")).distinct()
+    # extent, solidity and circularity are positive
+    pairs = _within_bands(both, t, max(tol, 1e-6), [2, 3, 0]) if tol < 1 else both.crossJoin(t)  # beyond 1 all but fits
+    return pairs.where(all_within_rel(F.col("v"), F.col("tv"), tol)).select(*R).distinct()
 
 
 def filter_by_shape(cand_labels: DataFrame, cand: DataFrame, templates: DataFrame, threshold: float, min_ratio: float, dims: DataFrame | None = None, max_height: int = 0) -> DataFrame:
@@ -58,66 +84,109 @@ def hu_vector() -> Column:
     return F.array(*[signed_log(F.col(f"hu{k}")) for k in range(1, 8)])
 
 
-def best_cosine(cand: DataFrame, templates: DataFrame) -> DataFrame:
-    """(volume_id, label, size, best): the best cosine of each candidate's v over the templates."""
-    t = _few(templates.select(F.col("v").alias("tv")))
-    return cand.crossJoin(t).groupBy(*R, "size").agg(F.max(cosine(F.col("v"), F.col("tv"))).alias("best"))
+def _alike(a: DataFrame, b: DataFrame, t: float, on: list[str]) -> DataFrame:
+    """Pairs (va from a, vb from b) of equal columns `on` whose cosine can be t or more.
+
+    The unit vectors of such a pair differ by at most sqrt(2 - 2t) in every element: the pair shares a cell of the first
+    three elements, cells being that wide and b listed at the neighbours of its cell.
+    """
+    wide = max(math.sqrt(max(0.0, 2 - 2 * t)), 1e-3) + 1e-6
+    cells = [f"c{k}" for k in range(3)]
+    for k, c in enumerate(cells):
+        at = lambda v: F.floor(F.coalesce(F.try_divide(F.get(v, F.lit(k)), norm(v)), F.lit(0.0)) / wide)  # noqa: B023, E731
+        a = a.withColumn(c, at(F.col("va")))
+        b = b.withColumn(c, F.explode(F.array(*[at(F.col("vb")) + d for d in (-1, 0, 1)])))
+    return a.join(b, [*on, *cells]).drop(*cells)
 
 
 def filter_by_hu(cand: DataFrame, templates: DataFrame, t: float, min_ratio: float, min_size: int = 10) -> DataFrame:
-    """Regions of at least min_size whose signed-log Hu vector has a cosine of at least t with some template."""
+    """Regions of at least min_size whose vector v has a cosine of at least t with some template's."""
     ends = templates.agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     rows = cand.where(F.col("size") >= min_size).join(F.broadcast(ends), (F.col("size") >= F.col("lo") * min_ratio) & (F.col("size") <= F.col("hi") / min_ratio))
-    return best_cosine(rows, templates).where(F.col("best") >= t).select(*R)
+    pairs = _alike(rows.select(*R, F.col("v").alias("va")), templates.select(F.col("v").alias("vb")).distinct(), t, [])
+    return pairs.where(cosine(F.col("va"), F.col("vb")) >= t).select(*R).distinct()
 
 
 filter_by_geometry = filter_by_hu
 
 
-def hu_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(label_a, label_b, sim): cosines of Hu vectors of regions of the same volume, clipped to 0..1."""
+def hu_similarity(a: DataFrame, b: DataFrame, least: float = 0.999) -> DataFrame:
+    """(volume_id, label_a, label_b, sim): pairs of regions of a volume whose Hu vectors have a cosine of at least `least`,
+    clipped to 0..1."""
     left = a.select("volume_id", F.col("label").alias("label_a"), F.col("v").alias("va"))
     right = b.select("volume_id", F.col("label").alias("label_b"), F.col("v").alias("vb"))
     sim = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("va"), F.col("vb"))))
-    return left.join(right, "volume_id").select("volume_id", "label_a", "label_b", sim.alias("sim"))
+    return _alike(left, right, least, ["volume_id"]).select("volume_id", "label_a", "label_b", sim.alias("sim")).where(F.col("sim") >= least)
 
 
-def aligned(p: np.ndarray, size: int = 32) -> np.ndarray:
-    """Occupied cells of a size^3 grid by voxels p turned to their principal axes and scaled by their largest extent."""
-    q = p - p.mean(0)
-    if len(q) < 2:
-        return np.zeros(0, np.int64)
-    val, vec = np.linalg.eigh(np.cov(q.T))
-    vec = vec[:, np.argsort(-val)]
-    vec = vec * np.where(((q @ vec) ** 3).sum(0) < 0, -1, 1)  # a fixed sign
-    q = q @ vec
-    top = np.abs(q).max()
-    if top < 1e-5:
-        return np.zeros(0, np.int64)
-    k = np.clip(np.rint((q / top + 1) * (size - 1) / 2).astype(int), 0, size - 1)
-    return np.unique((k[:, 0] * size + k[:, 1]) * size + k[:, 2])
+SIDE = 32
 
 
-def shape_cells(labels: DataFrame) -> DataFrame:
-    """(volume_id, label, size, cell) of every region's aligned occupancy grid."""
+def _axes(moments: DataFrame) -> DataFrame:
+    """(R, centre, axes): the principal axes of every region, widest first, from its moments; a row a region."""
+    pairs = ["zz", "zy", "zx", "yy", "yx", "xx"]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        cells = aligned(f[["z", "y", "x"]].to_numpy(float))
-        return pd.DataFrame({"volume_id": f["volume_id"].iloc[0], "label": f["label"].iloc[0], "size": len(f), "cell": cells})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            c = {p: f[p].to_numpy(float) for p in pairs}
+            m = np.stack([np.stack([c["zz"], c["zy"], c["zx"]], -1), np.stack([c["zy"], c["yy"], c["yx"]], -1), np.stack([c["zx"], c["yx"], c["xx"]], -1)], -2)
+            vec = np.linalg.eigh(m)[1][:, :, ::-1]
+            yield f[[*R, "size", "cz", "cy", "cx"]].assign(axes=list(vec.transpose(0, 2, 1).reshape(len(f), 9)))
 
-    return labels.groupBy(*R).applyInPandas(run, "volume_id string, label long, size long, cell long")
+    centre = moments.groupBy(*R).agg(F.count("*").alias("size"), *[F.avg(a).alias(f"c{a}") for a in "zyx"], *[F.covar_samp(F.col(p[0]).cast("double"), F.col(p[1]).cast("double")).alias(p) for p in pairs])
+    schema = "volume_id string, label long, size long, cz double, cy double, cx double, axes array<double>"
+    return centre.where("size > 1").mapInPandas(run, schema)
+
+
+def shape_cells(labels: DataFrame) -> DataFrame:
+    """(volume_id, label, size, cell): occupied cells of a SIDE^3 grid by every region's voxels, turned to its principal axes
+    (each towards its longer tail) and scaled by their largest extent; regions without an extent have none.
+
+    Moments, extents and cells are aggregates over voxels, so a region of any size is spread.
+    """
+    axes = written(_axes(labels), "axes")
+    d = [F.col(a) - F.col(f"c{a}") for a in "zyx"]
+    turned = [sum((d[j] * F.col("axes")[3 * k + j] for j in range(1, 3)), d[0] * F.col("axes")[3 * k]) for k in range(3)]
+    rows = labels.join(axes, R).select(*R, "size", *[t.alias(f"p{k}") for k, t in enumerate(turned)])
+    reach = F.greatest(*[F.abs(F.col(f"p{k}")) for k in range(3)])
+    scale = written(rows.groupBy(*R).agg(F.max(reach).alias("top"), *[F.sum(F.col(f"p{k}") ** 3).alias(f"t{k}") for k in range(3)]), "scales")
+    rows = rows.join(scale.where("top >= 1e-5"), R)
+    at = [F.greatest(F.lit(0), F.least(F.lit(SIDE - 1), F.rint((F.when(F.col(f"t{k}") < 0, -F.col(f"p{k}")).otherwise(F.col(f"p{k}")) / F.col("top") + 1) * (SIDE - 1) / 2))).cast("long") for k in range(3)]
+    return rows.select(*R, "size", ((at[0] * SIDE + at[1]) * SIDE + at[2]).alias("cell")).distinct()
 
 
 def filter_by_shape_3d(labels: DataFrame, templates: DataFrame, t: float = 0.1, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """Regions within the templates' size band whose best Dice of aligned grids with a template is at least t."""
-    a, b = shape_cells(labels), shape_cells(templates)
-    ends = b.agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    a = a.join(F.broadcast(ends), (F.col("size") >= F.col("lo") * low) & (F.col("size") <= F.col("hi") * high)).select(*R, "cell")
-    na = a.groupBy(*R).agg(F.count("*").alias("na"))
-    b = b.select(F.concat_ws(":", "volume_id", F.col("label").cast("string")).alias("t"), "cell")
-    nb = b.groupBy("t").agg(F.count("*").alias("nb"))
-    both = a.join(b, "cell").groupBy(*R, "t").agg(F.count("*").alias("n")).join(na, R).join(nb, "t")
-    return both.where(2 * F.col("n") / (F.col("na") + F.col("nb")) >= t).select(*R).distinct()
+    """Regions within the templates' size band whose best Dice of aligned grids with a template is at least t.
+
+    A grid is at most SIDE^3 cells; the templates' are sent to the candidates TEMPLATES_PER_PASS at a time.
+    """
+    grids = lambda cells: cells.groupBy(*R, "size").agg(F.collect_list("cell").alias("cells"))
+    with Scratch(labels.sparkSession) as passing:
+        a, b = passing.written(grids(shape_cells(labels)), "grids"), passing.written(grids(shape_cells(templates)), "templates")
+        ends = b.agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.count("*").alias("n")).first()
+        a = a.where((F.col("size") >= (ends["lo"] or 0) * low) & (F.col("size") <= (ends["hi"] or 0) * high)).select(*R, "cells")
+        found = []
+        for k in range(-(-ends["n"] // TEMPLATES_PER_PASS)):
+            block = b.where(F.pmod(F.xxhash64(*R), F.lit(-(-ends["n"] // TEMPLATES_PER_PASS))) == k).select("cells").toArrow().column(0)
+            wanted = [np.asarray(x.values) for x in block]
+
+            def run(batches: Iterator[pa.RecordBatch], wanted: list = wanted) -> Iterator[pa.RecordBatch]:
+                size = np.array([len(w) for w in wanted])
+                owner, cell = np.repeat(np.arange(len(wanted)), size), np.concatenate([*wanted, np.zeros(0, np.int64)])
+                for batch in batches:
+                    keep = np.zeros(batch.num_rows, bool)
+                    for i, x in enumerate(batch.column(2)):
+                        own = np.zeros(SIDE**3, bool)
+                        own[np.asarray(x.values)] = True
+                        both = np.bincount(owner, own[cell], minlength=len(wanted))
+                        keep[i] = (2 * both / (size + own.sum()) >= t).any()
+                    yield batch.filter(pa.array(keep)).select([0, 1])
+
+            found.append(passing.written(a.mapInArrow(run, "volume_id string, label long"), "fits"))
+        out = a.select(*R).limit(0)
+        for f in found:
+            out = out.union(f)
+        return written(out.distinct(), "fitting")
 
 
 def pca_iou(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -128,7 +197,7 @@ def pca_iou(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def fill_edge_boxes(labels: DataFrame, hulls: DataFrame, min_size: int = 5, times: float = 3.0) -> DataFrame:
-    """Hollow lines: regions of at least min_size whose hull has `times` their size or more are filled to their box.
+    """The boxes (C) of hollow lines: regions of at least min_size whose hull has `times` their size or more.
 
     hulls: region_solidity of labels.
     """
@@ -137,13 +206,15 @@ def fill_edge_boxes(labels: DataFrame, hulls: DataFrame, min_size: int = 5, time
     keep = hulls.where((F.col("size") >= min_size) & (F.col("hull") >= times * F.col("size"))).select(*R)
     box = region_basics(labels).join(keep, R, "left_semi")
     cells = box.withColumn("z", F.explode(F.sequence(F.col("z0"), F.col("z1") - 1))).withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))).withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
-    return mask_union(labels, cells)
+    return cells.select(*C).distinct()
 
 
 def filter_by_perimeter_ratio(area_perimeters: DataFrame, line_perimeters: DataFrame, pairs: DataFrame, lo: float = 1.8, hi: float = 2.2) -> DataFrame:
-    """Area regions with an overlapping line region of lo to hi times their perimeter (perimeters: R, perimeter)."""
+    """Area regions with an overlapping line region of lo to hi times their perimeter (perimeters: R, perimeter; those of
+    regions over several slices are sums over slices). Regions without a perimeter fit none."""
     a = area_perimeters.select("volume_id", F.col("label").alias("label_a"), F.col("perimeter").alias("pa"))
     b = line_perimeters.select("volume_id", F.col("label").alias("label_b"), F.col("perimeter").alias("pb"))
     both = pairs.select("volume_id", "label_a", "label_b").join(a, ["volume_id", "label_a"]).join(b, ["volume_id", "label_b"])
-    ratio = F.try_divide(F.col("pb"), F.col("pa"))
+    ratio = F.col("pb") / (F.col("pa") + F.lit(1e-6))
+    both = both.where("pa > 0 and pb > 0")
     return both.where((ratio >= lo) & (ratio <= hi)).select("volume_id", F.col("label_a").alias("label")).distinct()

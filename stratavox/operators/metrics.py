@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import dot, sigmoid
 from ..sources.derived import C
 from .morphology import edge_mask
+from .pixel import quantiles
 from .windows import line
 
 EPS = 1e-8
@@ -27,7 +28,7 @@ def overlap_counts(gt: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
     both = pred.select(*keys, *C).join(truth.withColumn("hit", F.lit(1)), C, "left")
     per = both.groupBy(*keys, "volume_id").agg(F.count("hit").alias("tp"), (F.count("*") - F.count("hit")).alias("fp"))
     size = truth.groupBy("volume_id").agg(F.count("*").alias("n"))
-    per = per.join(F.broadcast(size), "volume_id", "left")
+    per = per.join(size, "volume_id", "left")
     per = per.select(*keys, "volume_id", "tp", "fp", (F.coalesce("n", F.lit(0)) - F.col("tp")).alias("fn"))
     return per if "volume_id" in by else per.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
@@ -43,10 +44,28 @@ def rates(counts: DataFrame, total: Column) -> DataFrame:
 
 def iou_fpr(gt: DataFrame, pred: DataFrame, dims: DataFrame, by: list[str]) -> DataFrame:
     """by (with volume_id) and tp, fp, fn, iou, fpr, dice."""
-    both = overlap_counts(gt, pred, by).join(F.broadcast(dims), "volume_id")
+    both = overlap_counts(gt, pred, by).join(dims, "volume_id")
     return rates(both, F.col("d").cast("long") * F.col("h") * F.col("w")).drop("d", "h", "w")
 
 
+def evaluate_grid(gt: DataFrame, preds: DataFrame, runs: DataFrame, dims: DataFrame, keys: list[str], q: float | None = None, floor: float = 0.5) -> DataFrame:
+    """(keys, volume_id, tp, fp, fn, iou, fpr, dice) of every run of a grid such as cell type, organelle, ratio, trial, method.
+
+    runs: (keys, volume_id), the runs there are; one whose prediction has no voxel counts with its misses. preds: (keys, C)
+    masks, or (keys, C, value) maps that are cut at their q-quantile or floor, whichever is higher, run by run.
+    """
+    by = [*keys, "volume_id"]
+    if q is not None:
+        cut = quantiles(preds, by, "value", {"cut": q})
+        preds = preds.join(cut, by).where(F.col("value") >= F.greatest(F.col("cut"), F.lit(floor)))
+    counts = overlap_counts(gt, preds, by).drop("fn")
+    size = gt.select(*C).distinct().groupBy("volume_id").agg(F.count("*").alias("n"))
+    full = runs.select(*by).distinct().join(counts, by, "left").join(size, "volume_id", "left").join(dims, "volume_id")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    full = full.select(*by, zero("tp").alias("tp"), zero("fp").alias("fp"), (zero("n") - zero("tp")).alias("fn"), (F.col("d").cast("long") * F.col("h") * F.col("w")).alias("total"))
+    return rates(full, F.col("total")).drop("total")
+
+
 def cross_model_matrix(metrics: DataFrame, columns: list) -> DataFrame:
     """Mean IoU with the model's cell type down and the tested one across."""
     return metrics.groupBy("model_cell").pivot("data_cell", columns).agg(F.avg("iou"))
@@ -54,11 +73,9 @@ def cross_model_matrix(metrics: DataFrame, columns: list) -> DataFrame:
 
 def box_summary(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """Quartiles and whiskers (the last values within 1.5 interquartile ranges) of each group."""
-    q = df.groupBy(*by).agg(F.count(col).alias("n"), F.percentile(col, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("q"))
-    q = q.select(*by, "n", *[F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))])
-    both = df.join(F.broadcast(q), by)
+    both = df.join(quantiles(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    ends = both.groupBy(*by, "n", "q1", "median", "q3").agg(F.min(F.when(F.col(col) >= F.col("q1") - reach, F.col(col))).alias("low"), F.max(F.when(F.col(col) <= F.col("q3") + reach, F.col(col))).alias("high"))
+    ends = both.groupBy(*by, "q1", "median", "q3").agg(F.count(col).alias("n"), F.min(F.when(F.col(col) >= F.col("q1") - reach, F.col(col))).alias("low"), F.max(F.when(F.col(col) <= F.col("q3") + reach, F.col(col))).alias("high"))
     return ends.select(*by, "n", "q1", "median", "q3", "low", "high")
 
 
@@ -90,15 +107,23 @@ def normal_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def mann_whitney(df: DataFrame, group: str, col: str, a: str, b: str) -> DataFrame:
+def mann_whitney(df: DataFrame, group: str, col: str, a: str, b: str, ranges: int = 4096) -> DataFrame:
     """(n_a, n_b, u, p): two-sided, tie-corrected normal approximation with continuity correction; null and NaN dropped.
 
-    Ranks come from counts of distinct values.
+    Ranks come from counts of distinct values, by `ranges` ranges of values first and then within a range.
     """
     rows = df.where(F.col(group).isin(a, b) & F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-    counts = rows.groupBy(F.col(col).alias("v")).agg(F.count(F.when(F.col(group) == a, 1)).alias("ca"), F.count(F.when(F.col(group) == b, 1)).alias("cb"))
-    before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select("ca", "cb", (F.col("ca") + F.col("cb")).alias("t"), F.coalesce(F.sum(F.col("ca") + F.col("cb")).over(before), F.lit(0)).alias("below"))
+    counts = rows.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.when(F.col(group) == a, 1)).alias("ca"), F.count(F.when(F.col(group) == b, 1)).alias("cb"))
+    counts = counts.withColumn("t", F.col("ca") + F.col("cb"))
+    ends = rows.agg(F.min(F.col(col).cast("double")).alias("lo"), F.max(F.col(col).cast("double")).alias("hi"))
+    span = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges)).otherwise(0)
+    counts = counts.crossJoin(F.broadcast(ends)).withColumn("span", span)
+    totals = counts.groupBy("span").agg(F.sum("t").alias("all"))
+    earlier = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row a range of values
+    totals = totals.select("span", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("span").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("in", F.coalesce(F.sum("t").over(inside), F.lit(0))).join(totals, "span")
+    ranked = ranked.select("ca", "cb", "t", (F.col("before") + F.col("in")).alias("below"))
     rank = F.col("below") + (F.col("t") + 1) / 2
     s = ranked.agg(F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"), F.sum(F.col("ca") * rank).alias("ra"), F.sum((F.col("t") ** 3 - F.col("t"))).alias("ties"))
     na, nb = F.col("n_a"), F.col("n_b")

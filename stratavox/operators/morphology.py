@@ -21,7 +21,7 @@ def _shifted(mask: DataFrame, axis: str, offsets: Column) -> DataFrame:
 
 
 def inside(mask: DataFrame, dims: DataFrame) -> DataFrame:
-    both = mask.join(F.broadcast(dims), "volume_id")
+    both = mask.join(dims, "volume_id")
     for axis, n in _LENGTH.items():
         both = both.where((F.col(axis) >= 0) & (F.col(axis) < F.col(n)))
     return both.select(*C)
@@ -68,7 +68,7 @@ def dilate_diamond(mask: DataFrame, r: int, dims: DataFrame) -> DataFrame:
 
 def erode_open_border(mask: DataFrame, size: tuple[int, int, int], dims: DataFrame) -> DataFrame:
     """Erosion that ignores what lies outside of the volume."""
-    both = mask.join(F.broadcast(dims), "volume_id")
+    both = mask.join(dims, "volume_id")
     for axis, n in zip("zyx", size):
         if n > 1:
             a, b = frame(n)

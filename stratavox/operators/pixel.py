@@ -1,6 +1,6 @@
 """Pixel-wise normalisation, thresholds, padding, resampling and augmentation.
 
-Statistics are one partially aggregated row a volume, joined back by broadcast (one row a volume).
+Statistics are one partially aggregated row a volume, written and joined back, so that Spark knows their size.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import scrub
 from ..sources.derived import C, grid
+from ..sources.store import written
 
 
 def binarize(df: DataFrame, thr: float = 0.0) -> DataFrame:
@@ -22,7 +23,41 @@ fixed_threshold = binarize
 
 
 def _with_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
-    return df.join(F.broadcast(df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])), by)
+    return df.join(written(df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]), "stats"), by)
+
+
+def quantiles(df: DataFrame, by: list[str], col: str, qs: dict[str, float], bins: int = 4096, rest: int = 20_000) -> DataFrame:
+    """(by, a column for each of qs): exact quantiles with linear interpolation, null and NaN left out.
+
+    Each wanted rank has a range of values that holds it. As long as more than `rest` values lie in a range, a pass over the
+    rows counts them in `bins` parts of it and takes the part with the rank; then the few distinct values left are
+    counted. Counts are aggregated partially, so no group is held anywhere whatever its size.
+    """
+    rows = df.select(*by, F.col(col).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for name, q in qs.items()]))
+    ranks = ends.withColumn("w", wanted).select("*", "w.q", F.col("w.at").alias("at")).withColumn("k", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    # rank k is the (k - below)-th value of [lo, hi]
+    ranks = written(ranks.select(*by, "q", "at", "k", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside")), "ranks")
+    part = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
+    for _ in range(12):
+        if not ranks.where((F.col("inside") > rest) & (F.col("lo") < F.col("hi"))).head(1):
+            break
+        spans = ranks.select(*by, "lo", "hi").distinct()
+        counts = rows.join(spans, by).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        counts = counts.withColumn("part", F.when(F.col("lo") < F.col("hi"), part).otherwise(0)).groupBy(*by, "lo", "hi", "part").agg(F.count("*").alias("m"), F.min("v").alias("first"), F.max("v").alias("last"))
+        before = Window.partitionBy(*by, "lo", "hi").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
+        both = ranks.join(counts, [*by, "lo", "hi"]).where((F.col("k") - F.col("below") >= F.col("before")) & (F.col("k") - F.col("below") < F.col("before") + F.col("m")))
+        ranks = written(both.select(*by, "q", "at", "k", F.col("first").alias("lo"), F.col("last").alias("hi"), (F.col("below") + F.col("before")).alias("below"), F.col("m").alias("inside")), "ranks")
+    spans = ranks.select(*by, "lo", "hi").distinct()
+    counts = rows.join(spans, by).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).groupBy(*by, "lo", "hi", "v").agg(F.count("*").alias("m"))
+    before = Window.partitionBy(*by, "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    both = ranks.join(counts, [*by, "lo", "hi"]).where((F.col("k") - F.col("below") >= F.col("before")) & (F.col("k") - F.col("below") < F.col("before") + F.col("m")))
+    low, high = F.min_by("v", "k"), F.max_by("v", "k")
+    cut = both.groupBy(*by, "q").agg((low + (high - low) * (F.max("at") - F.floor(F.max("at")))).alias("cut"))
+    return written(cut.groupBy(*by).agg(*[F.max(F.when(F.col("q") == name, F.col("cut"))).alias(name) for name in qs]), "quantiles")
 
 
 def minmax_normalize(df: DataFrame) -> DataFrame:
@@ -34,14 +69,14 @@ def minmax_normalize(df: DataFrame) -> DataFrame:
 
 def percentile_threshold(df: DataFrame, q: float = 0.9, floor: float = 0.5, by: tuple[str, ...] = ("volume_id",), col: str = "value") -> DataFrame:
     """Voxels with value >= max(q-quantile, floor); the quantile interpolates linearly."""
-    both = _with_stats(df, list(by), cut=F.percentile(col, F.lit(q)))
+    both = df.join(quantiles(df, list(by), col, {"cut": q}), list(by))
     keys = [*[b for b in by if b not in C], *C]
     return both.where(F.col(col) >= F.greatest(F.col("cut"), F.lit(floor))).select(*keys)
 
 
 def percentile_binarize(df: DataFrame, q: float, by: tuple[str, ...] = ("volume_id", "z"), below: bool = False) -> DataFrame:
     """value >= the group's q-quantile (or <= it) as 0/1."""
-    both = _with_stats(df, list(by), cut=F.percentile("value", F.lit(q)))
+    both = df.join(quantiles(df, list(by), "value", {"cut": q}), list(by))
     test = F.col("value") <= F.col("cut") if below else F.col("value") >= F.col("cut")
     return both.select(*C, test.cast("int").alias("value"))
 
@@ -49,7 +84,7 @@ def percentile_binarize(df: DataFrame, q: float, by: tuple[str, ...] = ("volume_
 def clip_normalize(df: DataFrame, q: float = 0.995, by: tuple[str, ...] = ("volume_id", "z")) -> DataFrame:
     """Clip to the (1-q, q) quantiles and scale to 0..1; NaN and infinities are 0, flat groups 0."""
     clean = df.select(*C, scrub(F.col("value")).alias("value"))
-    both = _with_stats(clean, list(by), lo=F.percentile("value", F.lit(1 - q)), hi=F.percentile("value", F.lit(q)))
+    both = clean.join(quantiles(clean, list(by), "value", {"lo": 1 - q, "hi": q}), list(by))
     v = F.greatest(F.col("lo"), F.least(F.col("hi"), F.col("value")))
     return both.select(*C, F.coalesce(F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)).alias("value"))
 
@@ -65,12 +100,12 @@ def pad_to_multiple(df: DataFrame, dims: DataFrame, m: int) -> tuple[DataFrame,
     sizes = dims.select("volume_id", "d", F.col("h").alias("h0"), F.col("w").alias("w0"), up("h").alias("h"), up("w").alias("w"))
     half = lambda a, b: F.floor((F.col(a) - F.col(b)) / 2).cast("int")
     sizes = sizes.withColumn("top", half("h", "h0")).withColumn("left", half("w", "w0"))
-    moved = df.join(F.broadcast(sizes), "volume_id").select("volume_id", "z", (F.col("y") + F.col("top")).alias("y"), (F.col("x") + F.col("left")).alias("x"), "value")
+    moved = df.join(sizes, "volume_id").select("volume_id", "z", (F.col("y") + F.col("top")).alias("y"), (F.col("x") + F.col("left")).alias("x"), "value")
     return grid(sizes).join(moved, C, "left").select(*C, F.coalesce("value", F.lit(0.0)).alias("value")), sizes
 
 
 def unpad(df: DataFrame, padded: DataFrame) -> DataFrame:
-    back = df.join(F.broadcast(padded), "volume_id").select("volume_id", "z", (F.col("y") - F.col("top")).alias("y"), (F.col("x") - F.col("left")).alias("x"), "value", "h0", "w0")
+    back = df.join(padded, "volume_id").select("volume_id", "z", (F.col("y") - F.col("top")).alias("y"), (F.col("x") - F.col("left")).alias("x"), "value", "h0", "w0")
     return back.where("y >= 0 and y < h0 and x >= 0 and x < w0").select(*C, "value")
 
 

@@ -28,7 +28,7 @@ def order_index(rows: DataFrame) -> DataFrame:
     before = w.orderBy("z").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("volume_id", "z", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(w).alias("n"))
     inside = F.row_number().over(Window.partitionBy("volume_id", "z").orderBy("y", "x")) - 1
-    return rows.withColumn("r", inside).join(F.broadcast(slices), ["volume_id", "z"]).select(*C, (F.col("before") + F.col("r")).cast("long").alias("i"), "n")
+    return rows.withColumn("r", inside).join(slices, ["volume_id", "z"]).select(*C, (F.col("before") + F.col("r")).cast("long").alias("i"), "n")
 
 
 def sample_patches(mask: DataFrame, soft: DataFrame, dims: DataFrame, num: int, ph: int, pw: int, t: int = 2, threshold: float = 1.0, seed: int = 0) -> DataFrame:
@@ -37,13 +37,13 @@ def sample_patches(mask: DataFrame, soft: DataFrame, dims: DataFrame, num: int,
     Centres are the mask's voxels in row-major order, then max(1, int(0.01 * threshold * n)) of the soft negatives by a
     seeded hash; valid ones leave room for t slices and half a patch. Origins are clamped into the slice.
     """
-    sizes = F.broadcast(dims)
+    sizes = dims
     n = mask.groupBy("volume_id").agg(F.greatest(F.lit(1), F.floor(0.01 * threshold * F.count("*"))).alias("extra"))
     ranked = soft.join(sizes, "volume_id").select(*C, seeded((F.col("z") * F.col("h") + F.col("y")) * F.col("w") + F.col("x"), seed).alias("hash"))
     place = F.row_number().over(Window.partitionBy("volume_id").orderBy("hash", "z", "y", "x"))
     # the extras of a volume are among the smallest hashes of its slices
     local = F.row_number().over(Window.partitionBy("volume_id", "z").orderBy("hash", "y", "x"))
-    few = ranked.withColumn("l", local).join(F.broadcast(n), "volume_id").where(F.col("l") <= F.col("extra"))
+    few = ranked.withColumn("l", local).join(n, "volume_id").where(F.col("l") <= F.col("extra"))
     extras = few.withColumn("k", place).where(F.col("k") <= F.col("extra")).select(*C, "k")
     room = lambda df: df.join(sizes, "volume_id").where(
         (F.col("z") >= t) & (F.col("z") <= F.col("d") - t - 1) & (F.col("y") >= ph // 2) & (F.col("y") <= F.col("h") - ph // 2 - 1) & (F.col("x") >= pw // 2) & (F.col("x") <= F.col("w") - pw // 2 - 1)
@@ -52,7 +52,7 @@ def sample_patches(mask: DataFrame, soft: DataFrame, dims: DataFrame, num: int,
     main = written(order_index(written(room(mask.select(*C)).select(*C), "centres")), "main")
     count = main.groupBy("volume_id").agg(F.count("*").alias("main"))
     tail = room(extras).withColumn("j", F.row_number().over(Window.partitionBy("volume_id").orderBy("k")) - 1)
-    tail = tail.join(F.broadcast(count), "volume_id", "left").select(*C, (F.coalesce("main", F.lit(0)) + F.col("j")).cast("long").alias("i"))
+    tail = tail.join(count, "volume_id", "left").select(*C, (F.coalesce("main", F.lit(0)) + F.col("j")).cast("long").alias("i"))
     valid = main.select(*C, "i").unionByName(tail)
     total = valid.groupBy("volume_id").agg(F.count("*").alias("n"))
     picks = total.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(num - 1)))).select("volume_id", "k", F.expr("cast(k * n div %d as bigint)" % num).alias("i"))
@@ -84,7 +84,7 @@ def sample_patches_by_ratio(origins: DataFrame, image: DataFrame, mask: DataFram
 
 def sample_point(mask: DataFrame, dims: DataFrame, ph: int, pw: int, t: int, seed: int) -> DataFrame:
     """(volume_id, z, y, x): one voxel of each volume by a seeded hash, moved to where a patch fits."""
-    both = mask.join(F.broadcast(dims), "volume_id")
+    both = mask.join(dims, "volume_id")
     h = seeded((F.col("z") * F.col("h") + F.col("y")) * F.col("w") + F.col("x"), seed)
     one = both.groupBy("volume_id", "d", "h", "w").agg(F.min(F.struct(h.alias("k"), "z", "y", "x")).alias("p"))
     fit = lambda a, low, n: F.greatest(F.lit(low), F.least(F.col(n) - low - 1, F.col(f"p.{a}"))).cast("int").alias(a)
@@ -117,7 +117,7 @@ def sparse_annotations(df: DataFrame, dims: DataFrame, ratios: list[int], bins:
     # components of different bins stay apart: number them by bin
     labels = labels.select(*C, (F.col("label") * bins + F.col("bin") - 1).alias("label"))
     n = labels.groupBy("volume_id").agg((F.count_distinct("label") + 1).alias("n"))
-    both = labels.join(F.broadcast(n), "volume_id")
+    both = labels.join(n, "volume_id")
     few, lots = both.where(F.col("n") < many).select(*C, "label"), both.where(F.col("n") >= many).select(*C, "label")
     out = None
     for r in ratios:
@@ -130,7 +130,7 @@ def soften_mask(mask: DataFrame, dims: DataFrame, density: float, bias: float, s
     """The mask without dilated picks: in each slice the int(density * n) voxels with the least -ln(u) / weight, where the
     weight falls off from the slice's centroid with `bias`."""
     c = mask.groupBy("volume_id", "z").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.count("*").alias("n"))
-    both = mask.join(F.broadcast(c), ["volume_id", "z"]).join(F.broadcast(dims), "volume_id")
+    both = mask.join(c, ["volume_id", "z"]).join(dims, "volume_id")
     u = (seeded((F.col("z") * F.col("h") + F.col("y")) * F.col("w") + F.col("x"), seed) + 1) / 4294967297.0
     dist = F.sqrt((F.col("y") - F.col("cy")) ** 2 + (F.col("x") - F.col("cx")) ** 2)
     key = -F.log(u) / F.exp(-bias * dist)

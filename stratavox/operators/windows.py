@@ -2,8 +2,8 @@
 
 A box filter is three passes of window functions partitioned by the two other coordinates, so every pass is spread
 over all lines of a volume. Frames are ranges of coordinates: an even size n covers [-n/2, n/2 - 1]. Maxima and
-minima over truncated frames equal those under mirroring; sums mirror the border rows first (sizes up to twice an
-axis' length).
+minima over truncated frames equal those under mirroring; sums mirror the border rows first, as often as the frame is
+longer than the axis. dims (volume_id, d, h, w) is a row a volume; Spark broadcasts it by its measured size.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.derived import C
+from ..sources.store import written
 
 
 def frame(size: int) -> tuple[int, int]:
@@ -35,14 +36,13 @@ def box_extreme(df: DataFrame, col: str, size: dict[str, int], fn) -> DataFrame:
 
 
 def mirrored(df: DataFrame, axis: str, before: int, after: int, dims: DataFrame) -> DataFrame:
-    """df with border rows mirrored (d c b a | a b c d | d c b a) as far as the frame reaches."""
-    n = {"z": "d", "y": "h", "x": "w"}[axis]
-    p = F.col(axis)
-    low = F.when(p < before, -1 - p)
-    high = F.when(p >= F.col("_n") - after, 2 * F.col("_n") - 1 - p)
-    both = df.join(F.broadcast(dims.select("volume_id", F.col(n).alias("_n"))), "volume_id")
-    at = F.explode(F.filter(F.array(p, low, high), lambda a: a.isNotNull()))
-    return both.withColumn("_at", at).drop(axis).withColumnRenamed("_at", axis)
+    """df with its lines mirrored at their ends (d c b a | a b c d | d c b a), again and again as far as the frame reaches."""
+    n = F.col("_n")
+    turns = F.sequence(-F.ceil(F.lit(max(before, after)) / (2 * n)).cast("int") - 1, F.ceil(F.lit(max(before, after)) / (2 * n)).cast("int") + 1)
+    images = F.concat(F.transform(turns, lambda t: F.col(axis) + 2 * n * t), F.transform(turns, lambda t: 2 * n * t - 1 - F.col(axis)))
+    near = F.filter(images, lambda i: (i >= -before) & (i < n + after))
+    both = df.join(dims.select("volume_id", F.col({"z": "d", "y": "h", "x": "w"}[axis]).alias("_n")), "volume_id")
+    return both.withColumn("_at", F.explode(near)).drop(axis).withColumnRenamed("_at", axis)
 
 
 def box_sum(df: DataFrame, cols: list[str], size: dict[str, int], dims: DataFrame) -> DataFrame:
@@ -86,20 +86,25 @@ def local_variance(df: DataFrame, size: tuple[int, int, int], dims: DataFrame) -
 
 
 def local_standardize(df: DataFrame, k: int, dims: DataFrame, eps: float = 1e-2) -> DataFrame:
-    """(v - mean) / (std + eps): the mean over (k, k, 3), the second moment of what is left over (2k, 2k, 3), axes z, y, x."""
+    """(v - m) / (sqrt(max(q - m^2, 0)) + eps): the mean m over (k, k, 3), the mean square q over (2k, 2k, 3), axes z, y, x."""
     mean = box_sum(df.select(*C, F.col("value").alias("s")), ["s"], {"z": k, "y": k, "x": 3}, dims)
-    centred = mean.join(df.select(*C, "value"), C).select(*C, (F.col("value") - F.col("s") / (3 * k * k)).alias("c"))
-    second = box_sum(centred.select(*C, (F.col("c") * F.col("c")).alias("s")), ["s"], {"z": 2 * k, "y": 2 * k, "x": 3}, dims)
-    both = second.join(centred, C)
-    return both.select(*C, (F.col("c") / (F.sqrt(F.col("s") / (12 * k * k)) + F.lit(eps))).alias("value"))
+    square = box_sum(df.select(*C, (F.col("value") * F.col("value")).alias("q")), ["q"], {"z": 2 * k, "y": 2 * k, "x": 3}, dims)
+    m = F.col("s") / (3 * k * k)
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / (12 * k * k) - m * m))
+    return df.select(*C, "value").join(mean, C).join(square, C).select(*C, ((F.col("value") - m) / (std + F.lit(eps))).alias("value"))
 
 
-def enhance_by_variance(df: DataFrame, edge: DataFrame, win: int, dims: DataFrame) -> DataFrame:
-    """An edge map weighted by 1 minus the local variance scaled to its slice's range."""
-    v = local_variance(df, (1, win, win), dims)
-    ends = v.groupBy("volume_id", "z").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    scaled = v.join(F.broadcast(ends), ["volume_id", "z"]).select(*C, ((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo") + F.lit(1e-8))).alias("rel"))
-    return edge.join(scaled, C).select(*C, (F.col("value") * (1 - F.col("rel"))).alias("value"))
+def enhance_by_variance(edge: DataFrame, win: int, dims: DataFrame) -> DataFrame:
+    """(C, value, weight): an edge map weighted by 1 minus its relative local variance (variance over the mean square, in a
+    cube of win), scaled to the volume's range."""
+    n = win**3
+    sums = box_sum(edge.select(*C, F.col("value").alias("s"), (F.col("value") * F.col("value")).alias("q")), ["s", "q"], {a: win for a in "zyx"}, dims)
+    m, q = F.col("s") / n, F.col("q") / n
+    rel = written(sums.select(*C, ((q - m * m) / (q + F.lit(1e-6))).alias("rel")), "relative")
+    ends = written(rel.groupBy("volume_id").agg(F.min("rel").alias("lo"), F.max("rel").alias("hi")), "ends")
+    weight = 1 - (F.col("rel") - F.col("lo")) / (F.col("hi") - F.col("lo") + F.lit(1e-8))
+    both = edge.join(rel, C).join(ends, "volume_id")
+    return both.select(*C, (F.col("value") * weight).alias("value"), weight.alias("weight"))
 
 
 def mode_filter(labels: DataFrame, classes: list[int], w: int) -> DataFrame:
@@ -120,22 +125,17 @@ def gaussian_weights(sigma: float) -> list[float]:
 
 
 def gaussian_axis(df: DataFrame, axis: str, sigma: float, dims: DataFrame) -> DataFrame:
-    """One pass: every voxel and its mirror images send their weighted value to the positions within the kernel."""
+    """One pass over dense lines with mirrored ends: a weighted sum of each voxel's neighbours on its line, in one window."""
     if sigma <= 0:
         return df
     weights = gaussian_weights(sigma)
     r = len(weights) // 2
-    n = {"z": "d", "y": "h", "x": "w"}[axis]
-    both = df.join(F.broadcast(dims.select("volume_id", F.col(n).alias("_n"))), "volume_id")
-    others = [c for c in C if c != axis]
-    turns = F.sequence(-F.ceil(F.lit(r) / (2 * F.col("_n"))).cast("int") - 1, F.ceil(F.lit(r) / (2 * F.col("_n"))).cast("int") + 1)
-    images = F.concat(F.transform(turns, lambda t: F.col(axis) + 2 * F.col("_n") * t), F.transform(turns, lambda t: 2 * F.col("_n") * t - 1 - F.col(axis)))
-    near = F.filter(images, lambda i: (i >= -r) & (i < F.col("_n") + r))
-    both = both.select(*others, "value", "_n", F.explode(near).alias("_i"))
-    reach = F.sequence(F.greatest(F.lit(0), F.col("_i") - r), F.least(F.col("_n") - 1, F.col("_i") + r))
-    both = both.select(*others, "value", "_i", F.explode(reach).alias(axis))
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), F.col("_i") - F.col(axis) + r + 1)
-    return both.groupBy(*C).agg(F.sum(F.col("value") * w).alias("value"))
+    wide = mirrored(df.select(*C, "value"), axis, r, r, dims)
+    w = Window.partitionBy(*[c for c in C if c != axis]).orderBy(axis)
+    total = weights[r] * F.col("value")
+    for k in range(1, r + 1):
+        total = total + weights[r + k] * (F.lag("value", k).over(w) + F.lead("value", k).over(w))
+    return wide.select(*C, "_n", total.alias("value")).where((F.col(axis) >= 0) & (F.col(axis) < F.col("_n"))).select(*C, "value")
 
 
 def gaussian_smooth(df: DataFrame, sigma: tuple[float, float, float], dims: DataFrame) -> DataFrame:
@@ -157,8 +157,9 @@ def dog_energy(df: DataFrame, s1: float, s2: float, dims: DataFrame) -> DataFram
 
 
 def _over_mean(df: DataFrame) -> DataFrame:
-    mean = df.groupBy("volume_id").agg(F.avg("value").alias("m"))
-    return df.join(F.broadcast(mean), "volume_id").select(*C, F.coalesce(F.try_divide(F.col("value"), F.col("m")), F.lit(0.0)).alias("value"))
+    df = written(df, "energy")
+    mean = written(df.groupBy("volume_id").agg(F.avg("value").alias("m")), "means")
+    return df.join(mean, "volume_id").select(*C, F.coalesce(F.try_divide(F.col("value"), F.col("m")), F.lit(0.0)).alias("value"))
 
 
 def second_differences(df: DataFrame) -> DataFrame:
@@ -184,10 +185,10 @@ def hessian_response(df: DataFrame, beta: float = 0.5, c: float = 15.0) -> DataF
     d = d.select(*C, (half + root).alias("a"), (half - root).alias("b"))
     swap = F.abs(F.col("a")) > F.abs(F.col("b"))
     d = d.select(*C, F.when(swap, F.col("b")).otherwise(F.col("a")).alias("l1"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("l2"))
-    ratio = F.coalesce(F.try_divide(F.col("l1"), F.col("l2")), F.lit(0.0))
+    ratio = F.abs(F.col("l1")) / (F.abs(F.col("l2")) + F.lit(1e-12))
     s2 = F.col("l1") ** 2 + F.col("l2") ** 2
     line_of = F.exp(-(ratio**2) / (2 * beta * beta)) * (1 - F.exp(-s2 / (2 * c * c)))
-    return d.select(*C, "l1", "l2", F.when(F.col("l2") > 0, F.lit(0.0)).otherwise(line_of).alias("line"))
+    return d.select(*C, "l1", "l2", line_of.alias("line"))
 
 
 def gradient_magnitude(df: DataFrame, kind: str = "central") -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators.components import edge_regions, fill_holes, filter_by_line_over
 from ..operators.features import distance_map, distance_weight
 from ..operators.matching import filter_by_shape, fill_edge_boxes
 from ..operators.morphology import dilate, mask_except, mask_union
-from ..operators.pixel import apply_mask, percentile_threshold, resample_z
+from ..operators.pixel import apply_mask, percentile_threshold, quantiles, resample_z
 from ..operators.regions import region_solidity, shape_vectors
 from ..operators.windows import gaussian_smooth, local_contrast_normalize, mode_filter
 from ..sources.derived import C
@@ -25,29 +25,39 @@ def fuse_labels(new: DataFrame, base: DataFrame, seed: DataFrame, negative: Data
     return mask_except(mask_union(mask_union(new, base), seed), negative)
 
 
-def candidate_mask(pred: DataFrame, dims: DataFrame, method: int = 2, q: float = 0.9) -> DataFrame:
-    """Candidates of (C, area, edge): 0: area above its quantile or 0.2; 1: those that meet a region closed by the edges;
-    2: area above its quantile or 0.5, holes filled."""
+def candidate_mask(pred: DataFrame, dims: DataFrame, method: int = 2, q: float = 0.9, **edges) -> DataFrame:
+    """Candidates of (C, area, edge): 0: area above its quantile or 0.2; 1: those that meet a region closed by the edges
+    (edges: see edge_regions); 2: area above its quantile or 0.5, holes filled."""
     area = pred.select(*C, F.col("area").alias("value"))
     if method == 0:
         return percentile_threshold(area, q, 0.2)
     high = percentile_threshold(area, q, 0.5)
     if method == 2:
         return fill_holes(high, dims)
-    closed = edge_regions(pred.select(*C, F.col("edge").alias("value")), dims)
+    closed = edge_regions(pred.select(*C, F.col("edge").alias("value")), dims, **edges)
     return intersect_regions(closed, label_3d(high, dims, 6), 0.01)
 
 
-def refine_round(pred: DataFrame, base: DataFrame, seed: DataFrame, negative: DataFrame, dims: DataFrame, method: int = 2, threshold: float = 0.5, min_ratio: float = 0.5, line_share: float = 0.1) -> DataFrame:
-    """One round: candidates, those shaped like the seed's regions, hollow lines filled, kept where the edges cover them,
+def shaped_like(mask: DataFrame, seed: DataFrame, dims: DataFrame, threshold: float, min_ratio: float, max_height: int) -> DataFrame:
+    """The mask's regions that are shaped like the seed's slice regions; whole 3-D components for max_height > 5."""
+    labels = written(label_2d(mask, dims), "regions")
+    templates = written(shape_vectors(written(label_2d(seed, dims), "seeds")), "templates")
+    return filter_by_shape(labels, written(shape_vectors(labels), "vectors"), templates, threshold, min_ratio, dims, max_height)
+
+
+def vetted_labels(base: DataFrame, seed: DataFrame, dims: DataFrame, threshold: float = 0.5, max_height: int = 10) -> DataFrame:
+    """What a round learns from: the last round's labels as far as they are shaped like the seed, and the seed itself."""
+    return mask_union(shaped_like(base, seed, dims, threshold, 0.8, max_height), seed)
+
+
+def refine_round(pred: DataFrame, base: DataFrame, seed: DataFrame, negative: DataFrame, dims: DataFrame, method: int = 2, threshold: float = 0.5, min_ratio: float = 1.0, max_height: int = 10, line: float = 0.5, min_line: int = 5, hull_times: float = 3.0, line_share: float = 0.6, **edges) -> DataFrame:
+    """One round: candidates shaped like the seed's regions are accepted where the boxes of hollow edge lines (edge above
+    `line`, at least min_line pixels, a hull of hull_times their size) cover a share of at least line_share of them, and
     fused with what is known."""
-    seeds = shape_vectors(written(label_2d(seed, dims), "seeds"))
-    labels = written(label_2d(candidate_mask(pred, dims, method), dims), "candidates")
-    kept = filter_by_shape(labels, shape_vectors(labels), seeds, threshold, min_ratio)
-    kept = written(label_2d(kept, dims), "kept")
-    filled = fill_edge_boxes(kept, region_solidity(kept))
-    line = percentile_threshold(pred.select(*C, F.col("edge").alias("value")), 0.9, 0.2)
-    accepted = filter_by_line_overlap(label_2d(filled, dims), line, line_share)
+    shaped = shaped_like(candidate_mask(pred, dims, method, **edges), seed, dims, threshold, min_ratio, max_height)
+    lines = written(label_2d(pred.where(F.col("edge") > line).select(*C), dims), "lines")
+    boxes = fill_edge_boxes(lines, region_solidity(lines), min_line, hull_times)
+    accepted = filter_by_line_overlap(label_2d(shaped, dims), boxes, line_share)
     return fuse_labels(accepted, base, seed, negative)
 
 
@@ -55,16 +65,18 @@ def soft_negatives(labels: DataFrame, dims: DataFrame, radius: float = 30.0) ->
     return distance_weight(distance_map(labels, dims), radius)
 
 
-def propagate_labels(voxels: DataFrame, seed: DataFrame, negative: DataFrame, dims: DataFrame, scorer: Callable[[DataFrame, DataFrame, int], DataFrame], path: str, rounds: int = 5, **params) -> DataFrame:
+def propagate_labels(voxels: DataFrame, seed: DataFrame, negative: DataFrame, dims: DataFrame, scorer: Callable[[DataFrame, DataFrame, int], DataFrame], path: str, rounds: int = 5, max_height: int = 10, **params) -> DataFrame:
     """Rounds of refinement, each reading what the last one wrote under path; the last round's labels.
 
-    scorer(normalised voxels, labels so far, round) gives predictions (C, area, edge): this is where a model trains.
+    scorer(normalised voxels, vetted labels so far, round) gives predictions (C, area, edge): this is where a model trains.
     """
     spark = voxels.sparkSession
     normal = written(local_contrast_normalize(voxels), "normal")
     labels = seed
     for k in range(rounds):
-        write_labels(refine_round(scorer(normal, labels, k), labels, seed, negative, dims, **params), path, k)
+        vetted = written(vetted_labels(labels, seed, dims, max_height=max_height), "vetted")
+        pred = written(scorer(normal, vetted, k), "scores")
+        write_labels(refine_round(pred, labels, seed, negative, dims, max_height=max_height, **params), path, k)
         labels = spark.read.parquet(path).where(F.col("iteration") == k).select(*C)
     return labels
 
@@ -85,8 +97,7 @@ def clean_volume(pred: DataFrame, dims: DataFrame, threshold: float | None = Non
     sizes = dims.drop("d").join(deep, "volume_id").select("volume_id", "d", "h", "w")
     smooth = written(gaussian_smooth(fine, sigma, sizes), "smooth")
     if threshold is None:
-        cut = smooth.groupBy("volume_id").agg(F.percentile("value", F.lit(0.9)).alias("cut"))
-        mask = smooth.join(F.broadcast(cut), "volume_id").where(F.col("value") > F.col("cut")).select(*C)
+        mask = smooth.join(quantiles(smooth, ["volume_id"], "value", {"cut": 0.9}), "volume_id").where(F.col("value") > F.col("cut")).select(*C)
     else:
         mask = smooth.where(F.col("value") > threshold).select(*C)
     kept = remove_small(label_3d(mask, sizes, 6), min_voxels)

@@ -61,15 +61,15 @@ def merge_tiles(scores: DataFrame, dims: DataFrame, fuse: str = "avg", threshold
     how = F.avg(p) if fuse == "avg" else F.max((p > threshold).cast("double"))
     merged = scores.groupBy(*C).agg(how.alias("value"), F.lit(True).alias("seen"))
     lit = scores.select("volume_id", "z").distinct().withColumn("scored", F.lit(True))
-    full = grid(dims).join(F.broadcast(lit), ["volume_id", "z"], "left").join(merged, C, "left")
+    full = grid(dims).join(lit, ["volume_id", "z"], "left").join(merged, C, "left")
     return full.select(*C, F.when(F.col("scored").isNull(), F.lit(0.0)).otherwise(F.col("value")).alias("value"))
 
 
-def score_tiles(features: DataFrame, scorer: Callable, dims: DataFrame, patch: int = 160, stride: int = 120, thickness: int = 2, fuse: str = "avg", sigma: tuple | None = None, dedupe: bool = False) -> DataFrame:
+def score_tiles(features: DataFrame, scorer: Callable, dims: DataFrame, patch: int = 160, stride: int = 120, thickness: int = 2, fuse: str = "avg", sigma: tuple | None = None, dedupe: bool = False, threshold: float = 0.5) -> DataFrame:
     """(C, value) of features (C, f): sliding tiles, overlaps fused, then smoothed if sigma is given."""
     origins = tile_origins(dims, patch, stride, thickness, dedupe)
     pixels = extract_patches(origins, features.withColumnRenamed("f", "value"), patch, patch)
-    out = merge_tiles(_scored(pixels, origins, scorer, patch), dims, fuse)
+    out = merge_tiles(_scored(pixels, origins, scorer, patch), dims, fuse, threshold)
     return gaussian_smooth(out.na.fill(0.0, ["value"]), sigma, dims) if sigma else out
 
 
@@ -83,7 +83,7 @@ def score_slices(features: DataFrame, scorer: Callable, dims: DataFrame, thickne
         return f[[*C]].assign(value=1 / (1 + np.exp(-s)))
 
     out = features.select(*C, "f").groupBy("volume_id", "z").applyInPandas(run, "volume_id string, z int, y int, x int, value double")
-    out = out.join(F.broadcast(dims), "volume_id")
+    out = out.join(dims, "volume_id")
     inner = (F.col("z") >= thickness) & (F.col("z") < F.col("d") - thickness)
     return gaussian_smooth(out.select(*C, F.when(inner, F.col("value")).otherwise(0.0).alias("value")), sigma, dims)
 

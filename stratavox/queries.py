@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ class Tables:
 
     @cached_property
     def dims(self) -> DataFrame:
-        return derived.dims(self.spark, self.sf_dir)
+        return written(derived.dims(self.spark, self.sf_dir), "dims")
 
     @cached_property
     def gt(self) -> DataFrame:
@@ -148,6 +149,9 @@ def sql_erode(name: str, src: str, sy: int, sx: int | None = None, sz: int = 1)
     return f"{name} AS MATERIALIZED (SELECT volume_id, z, y, x FROM (SELECT m.volume_id, m.z + oz AS z, m.y + oy AS y, m.x + ox AS x FROM {src} m, (SELECT CAST(unnest({rng(sz)}) AS INTEGER) AS oz), (SELECT CAST(unnest({rng(sy)}) AS INTEGER) AS oy), (SELECT CAST(unnest({rng(sx)}) AS INTEGER) AS ox)) GROUP BY ALL HAVING count(*) = {sy * sx * sz})"
 
 
+EV = "ev AS (SELECT event_type AS cell, CAST(user_id % 10 AS INTEGER) AS trial, CAST(user_id % 3 AS INTEGER) AS method, CAST(30 + 10 * (user_id % 5) AS INTEGER) AS ratio, value FROM events)"
+
+
 # ---- sources and sinks
 
 
@@ -171,6 +175,38 @@ def _(t):
     return volumes.transpose_axes(t.vox, (1, 2, 0))
 
 
+@query("s4_ensure_features", f"; SELECT a.volume_id, a.z, a.y, a.x, avg(b.value) AS mean FROM voxels a JOIN dims USING (volume_id) JOIN voxels b ON a.volume_id = b.volume_id AND a.y = b.y AND a.x = b.x AND b.z BETWEEN a.z - 1 AND a.z + 1 WHERE a.z BETWEEN 1 AND d - 2 GROUP BY 1, 2, 3, 4", "mean")
+def _(t):
+    path = new_path(t.spark, "store")
+    slab = lambda rows: fe.z_aggregate(rows, 1).select(*C, F.col("value").alias("mean"))
+    volumes.ensure_features(t.spark, t.vox.where("z < 2"), path, slab, 1)  # the first slices only; then the rest
+    return volumes.ensure_features(t.spark, t.vox, path, slab, 1).select(*C, "mean")
+
+
+@query("s6_write_labels", f"; SELECT {CC}, CAST(k AS INTEGER) AS iteration FROM voxels, (SELECT unnest([0, 1]) AS k) WHERE value > CASE k WHEN 0 THEN 200 ELSE 180 END")
+def _(t):
+    path = new_path(t.spark, "labels")
+    for k, cut in ((0, 128), (1, 180), (0, 200)):  # a round that is written again replaces itself alone
+        volumes.write_labels(derived.mask_above(t.vox, cut), path, k)
+    return t.spark.read.parquet(path).select(*C, "iteration")
+
+
+@query("s10_write_regions_csv", f"{LAB2}, b AS (SELECT volume_id, label, count(*) AS size, min(y) AS y0, max(x) + 1 AS x1 FROM lab GROUP BY 1, 2); SELECT * FROM b")
+def _(t):
+    path = new_path(t.spark, "csv")
+    volumes.write_regions_csv(re_.region_basics(t.flat).select("volume_id", "label", "size", "y0", "x1"), path)
+    return t.spark.read.option("header", True).schema("volume_id string, label long, size long, y0 int, x1 int").csv(path)
+
+
+@query("s11_append_results", f"{EV}; SELECT cell, trial, count(*) AS n, sum(CAST(floor(value) AS BIGINT)) AS total FROM ev GROUP BY 1, 2", base=False)
+def _(t):
+    path, keys = new_path(t.spark, "results"), ["cell", "trial"]
+    runs = t.events.select(*keys).distinct()
+    evaluate = lambda pending: t.events.join(pending, keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.floor("value")).alias("total"))
+    volumes.append_results(t.spark, runs.where("trial < 4"), path, keys, evaluate)  # stopped early, then started again
+    return volumes.append_results(t.spark, runs, path, keys, evaluate)
+
+
 @query("s5_resolve_negative", """; SELECT volume_id AS request_id, z, y, x FROM voxels WHERE (volume_id = 'A' AND value < 8) OR (volume_id = 'N' AND value < 16)""")
 def _(t):
     req = t.dims.select(F.col("volume_id").alias("request_id"), F.col("volume_id").alias("mask_id"), F.col("volume_id").alias("raw_id"))
@@ -197,12 +233,11 @@ def _(t):
     return volumes.overlay_classes(t.vox, preds, colors)
 
 
-EV = "ev AS (SELECT event_type AS cell, CAST(user_id % 10 AS INTEGER) AS trial, CAST(user_id % 3 AS INTEGER) AS method, CAST(30 + 10 * (user_id % 5) AS INTEGER) AS ratio, value FROM events)"
 
 
 @query("s11_pending_runs", f"""{EV}; SELECT c.cell, t.trial FROM (SELECT DISTINCT cell FROM ev) c, (SELECT DISTINCT trial FROM ev) t WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.cell = c.cell AND ev.trial = t.trial AND ev.value > 200)""", base=False)
 def _(t):
-    expected = t.events.select("cell").distinct().crossJoin(F.broadcast(t.events.select("trial").distinct()))
+    expected = t.events.select("cell").distinct().crossJoin(t.events.select("trial").distinct())
     return volumes.pending_runs(expected, t.events.where("value > 200"), ["cell", "trial"])
 
 
@@ -371,14 +406,22 @@ def _(t):
     return wi.local_variance(t.vox, (1, 20, 20), t.dims)
 
 
-@query("n4_local_standardize", ", ".join([f"a0 AS (SELECT {CC}, value AS s FROM voxels)", sql_sum("a1", "a0", "z", 1, 1, ["s"]), sql_sum("a2", "a1", "y", 1, 1, ["s"]), sql_sum("a3", "a2", "x", 1, 1, ["s"]), f"c0 AS (SELECT {CC}, value - s / 27 AS c FROM a3 JOIN voxels USING ({CC}))", f"b0 AS (SELECT {CC}, c * c AS s FROM c0)", sql_sum("b1", "b0", "z", 3, 2, ["s"]), sql_sum("b2", "b1", "y", 3, 2, ["s"]), sql_sum("b3", "b2", "x", 1, 1, ["s"])]) + f"; SELECT {CC}, c / (sqrt(s / 108) + 1e-2) AS value FROM b3 JOIN c0 USING ({CC})", "value")
+_N4 = [f"a0 AS (SELECT {CC}, value AS s FROM voxels)", f"b0 AS (SELECT {CC}, value * value AS q FROM voxels)"]
+_N4 += [sql_sum(f"a{k + 1}", f"a{k}", a, 1, 1, ["s"]) for k, a in enumerate("zyx")]
+_N4 += [sql_sum(f"b{k + 1}", f"b{k}", a, *((1, 1) if a == "x" else (3, 2)), ["q"]) for k, a in enumerate("zyx")]
+
+
+@query("n4_local_standardize", ", ".join(_N4) + f"; SELECT {CC}, (value - s / 27) / (sqrt(greatest(0, q / 108 - s / 27 * (s / 27))) + 1e-2) AS value FROM voxels JOIN a3 USING ({CC}) JOIN b3 USING ({CC})", "value")
 def _(t):
     return wi.local_standardize(t.vox, 3, t.dims)
 
 
-@query("n5_enhance_by_variance", _moments((1, 5, 5)) + f", q AS (SELECT volume_id, z, min(value) AS lo, max(value) AS hi FROM lv GROUP BY 1, 2), {PRED0}; SELECT {CC}, edge * (1 - (value - lo) / (hi - lo + 1e-8)) AS value FROM lv JOIN q USING (volume_id, z) JOIN pred USING ({CC})", "value")
+_N5 = [PRED0, f"e0 AS (SELECT {CC}, edge AS s, edge * edge AS q FROM pred)", *(sql_sum(f"e{k + 1}", f"e{k}", a, 2, 2, ["s", "q"]) for k, a in enumerate("zyx"))]
+
+
+@query("n5_enhance_by_variance", ", ".join(_N5) + f", rl AS MATERIALIZED (SELECT {CC}, (q / 125 - s / 125 * (s / 125)) / (q / 125 + 1e-6) AS rel FROM e3), en AS (SELECT volume_id, min(rel) AS lo, max(rel) AS hi FROM rl GROUP BY 1); SELECT {CC}, edge * (1 - (rel - lo) / (hi - lo + 1e-8)) AS value, 1 - (rel - lo) / (hi - lo + 1e-8) AS weight FROM pred JOIN rl USING ({CC}) JOIN en USING (volume_id)", "value weight")
 def _(t):
-    return wi.enhance_by_variance(t.vox, t.pred.select(*C, F.col("edge").alias("value")), 5, t.dims)
+    return wi.enhance_by_variance(t.pred.select(*C, F.col("edge").alias("value")), 5, t.dims)
 
 
 @query("n6_mode_filter", ", ".join([f"c0 AS (SELECT {CC}, CAST(floor(value / 86) = 0 AS INTEGER) AS n0, CAST(floor(value / 86) = 1 AS INTEGER) AS n1, CAST(floor(value / 86) = 2 AS INTEGER) AS n2 FROM voxels)", sql_win("c1", "c0", "y", 2, 2, "", "sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(n2) OVER w AS n2"), sql_win("c2", "c1", "x", 2, 2, "", "sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(n2) OVER w AS n2")]) + f"; SELECT {CC}, CASE WHEN n0 >= n1 AND n0 >= n2 THEN 0 WHEN n1 >= n2 THEN 1 ELSE 2 END AS label FROM c2")
@@ -487,7 +530,7 @@ def _(t):
 
 @query("n18c_hessian_response", f"""d1 AS (SELECT {CC}, value, coalesce(lag(value) OVER wy, value) + coalesce(lead(value) OVER wy, value) - 2 * value AS yy, coalesce(lag(value) OVER wx, value) + coalesce(lead(value) OVER wx, value) - 2 * value AS xx, (coalesce(lead(value) OVER wy, value) - coalesce(lag(value) OVER wy, value)) / 2 AS dy FROM voxels WINDOW wx AS (PARTITION BY volume_id, z, y ORDER BY x), wy AS (PARTITION BY volume_id, z, x ORDER BY y)),
 d2 AS (SELECT {CC}, yy, xx, (coalesce(lead(dy) OVER wx, dy) - coalesce(lag(dy) OVER wx, dy)) / 2 AS yx FROM d1 WINDOW wx AS (PARTITION BY volume_id, z, y ORDER BY x)), d3 AS (SELECT {CC}, (yy + xx) / 2 + sqrt(((yy - xx) / 2) * ((yy - xx) / 2) + yx * yx) AS a, (yy + xx) / 2 - sqrt(((yy - xx) / 2) * ((yy - xx) / 2) + yx * yx) AS b FROM d2),
-d4 AS (SELECT {CC}, CASE WHEN abs(a) > abs(b) THEN b ELSE a END AS l1, CASE WHEN abs(a) > abs(b) THEN a ELSE b END AS l2 FROM d3); SELECT {CC}, l1, l2, CASE WHEN l2 > 0 THEN 0 ELSE exp(-coalesce(l1 / nullif(l2, 0), 0) * coalesce(l1 / nullif(l2, 0), 0) / 0.5) * (1 - exp(-(l1 * l1 + l2 * l2) / 450)) END AS line FROM d4""", "l1 l2 line")
+d4 AS (SELECT {CC}, CASE WHEN abs(a) > abs(b) THEN b ELSE a END AS l1, CASE WHEN abs(a) > abs(b) THEN a ELSE b END AS l2 FROM d3); SELECT {CC}, l1, l2, exp(-pow(abs(l1) / (abs(l2) + 1e-12), 2) / 0.5) * (1 - exp(-(l1 * l1 + l2 * l2) / 450)) AS line FROM d4""", "l1 l2 line")
 def _(t):
     return wi.hessian_response(t.vox)
 
@@ -567,12 +610,12 @@ def _(t):
 CENT = "cent AS (SELECT volume_id, label, count(*) AS n, avg(y) AS cy, avg(x) AS cx FROM lab GROUP BY 1, 2)"
 MU = ", ".join(f"sum(pow(y - cy, {p}) * pow(x - cx, {q})) AS mu{p}{q}" for p in range(4) for q in range(4) if 2 <= p + q <= 3)
 MOM = f"{CENT}, mom AS (SELECT volume_id, label, any_value(n) AS n, any_value(cy) AS cy, any_value(cx) AS cx, {MU} FROM lab JOIN cent USING (volume_id, label) GROUP BY 1, 2)"
-HU = "hu AS (SELECT *, " + ", ".join(f"mu{p}{q} / pow(n, {(p + q) / 2 + 1}) AS e{p}{q}" for p in range(4) for q in range(4) if 2 <= p + q <= 3) + " FROM mom), hv AS (SELECT *, e20 + e02 AS hu1, (e20 - e02) * (e20 - e02) + 4 * e11 * e11 AS hu2, (e30 - 3 * e12) * (e30 - 3 * e12) + (3 * e21 - e03) * (3 * e21 - e03) AS hu3, (mu20 / n + mu02 / n) / 2 + sqrt(pow((mu20 / n - mu02 / n) / 2, 2) + pow(mu11 / n, 2)) AS l1, greatest(0, (mu20 / n + mu02 / n) / 2 - sqrt(pow((mu20 / n - mu02 / n) / 2, 2) + pow(mu11 / n, 2))) AS l2r FROM hu), hw AS (SELECT *, CASE WHEN l2r < 1e-12 THEN 0 ELSE l2r END AS l2 FROM hv)"
+HU = "hu AS (SELECT *, " + ", ".join(f"mu{p}{q} / pow(n, {(p + q) / 2 + 1}) AS e{p}{q}" for p in range(4) for q in range(4) if 2 <= p + q <= 3) + " FROM mom), hv AS (SELECT *, e20 + e02 AS hu1, (e20 - e02) * (e20 - e02) + 4 * e11 * e11 AS hu2, (e30 - 3 * e12) * (e30 - 3 * e12) + (3 * e21 - e03) * (3 * e21 - e03) AS hu3, (e30 + e12) * (e30 + e12) + (e21 + e03) * (e21 + e03) AS hu4, (e30 - 3 * e12) * (e30 + e12) * (pow(e30 + e12, 2) - 3 * pow(e21 + e03, 2)) + (3 * e21 - e03) * (e21 + e03) * (3 * pow(e30 + e12, 2) - pow(e21 + e03, 2)) AS hu5, (e20 - e02) * (pow(e30 + e12, 2) - pow(e21 + e03, 2)) + 4 * e11 * (e30 + e12) * (e21 + e03) AS hu6, (3 * e21 - e03) * (e30 + e12) * (pow(e30 + e12, 2) - 3 * pow(e21 + e03, 2)) - (e30 - 3 * e12) * (e21 + e03) * (3 * pow(e30 + e12, 2) - pow(e21 + e03, 2)) AS hu7, (mu20 / n + mu02 / n) / 2 + sqrt(pow((mu20 / n - mu02 / n) / 2, 2) + pow(mu11 / n, 2)) AS l1, greatest(0, (mu20 / n + mu02 / n) / 2 - sqrt(pow((mu20 / n - mu02 / n) / 2, 2) + pow(mu11 / n, 2))) AS l2r FROM hu), hw AS (SELECT *, CASE WHEN l2r < 1e-12 THEN 0 ELSE l2r END AS l2 FROM hv)"
 
 
-@query("c8_region_moments", f"{LAB2}, {MOM}, {HU}; SELECT volume_id, label, n AS size, cy, cx, 4 * sqrt(l1) AS major, 4 * sqrt(l2) AS minor, coalesce(sqrt(greatest(0, 1 - pow(sqrt(l2) / nullif(sqrt(l1), 0), 2))), 0) AS eccentricity, hu1, hu2, hu3 FROM hw WHERE n >= 4", "cy cx major minor eccentricity hu1 hu2 hu3")
+@query("c8_region_moments", f"{LAB2}, {MOM}, {HU}; SELECT volume_id, label, n AS size, cy, cx, 4 * sqrt(l1) AS major, 4 * sqrt(l2) AS minor, coalesce(sqrt(greatest(0, 1 - pow(sqrt(l2) / nullif(sqrt(l1), 0), 2))), 0) AS eccentricity, hu1, hu2, hu3 FROM hw", "cy cx major minor eccentricity hu1 hu2 hu3")
 def _(t):
-    return re_.region_moments(t.flat).where("size >= 4").select("volume_id", "label", "size", "cy", "cx", "major", "minor", "eccentricity", "hu1", "hu2", "hu3")
+    return re_.region_moments(t.flat).select("volume_id", "label", "size", "cy", "cx", "major", "minor", "eccentricity", "hu1", "hu2", "hu3")
 
 
 PERIM = f"""inner_ AS (SELECT a.volume_id, a.z, a.y, a.x, a.label FROM lab a JOIN lab b ON a.volume_id = b.volume_id AND a.z = b.z AND a.label = b.label AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY ALL HAVING count(*) = 5),
@@ -638,22 +681,20 @@ def _(t):
     return ma.filter_by_geometry(v, _templates(v), 0.9999, 0.5)
 
 
-@query("c18_hu_similarity")
+@query("c18_hu_similarity", f"{LAB2}, {MOM}, {HU}, u AS MATERIALIZED (SELECT volume_id, label, [{', '.join(f'-sign(hu{k}) * log10(abs(hu{k}) + 1e-10)' for k in range(1, 8))}] AS v FROM hw); SELECT * FROM (SELECT a.volume_id, a.label AS label_a, b.label AS label_b, greatest(0, least(1, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-8))) AS sim FROM u a JOIN u b USING (volume_id)) WHERE sim >= 0.9999", "sim", small=True)
 def _(t):
-    v = _hu_vectors(t).where("size >= 40")
-    return ma.hu_similarity(v, v)
+    v = _hu_vectors(t)
+    return ma.hu_similarity(v, v, 0.9999)
 
 
 @query("c18_pca_iou")
 def _(t):
-    big = co.remove_small(t.solid, 30)
-    return ma.pca_iou(big, big.where("z % 2 = 0 or y % 2 = 0"))
+    return ma.pca_iou(t.solid, t.solid.where("z % 2 = 0 or y % 2 = 0"))
 
 
 @query("c19_filter_by_shape_3d")
 def _(t):
-    big = written(co.remove_small(t.solid, 20), "big")
-    return ma.filter_by_shape_3d(big, big.where("label % 3 = 0"), 0.3)
+    return ma.filter_by_shape_3d(t.solid, t.solid.where("label % 3 = 0"), 0.3)
 
 
 @query("c20_filter_thin", f"{LAB2}, " + sql_erode("er", "seed", 3) + f", o AS (SELECT l.volume_id, l.label, count(*) AS size, count(e.volume_id) AS hit FROM lab l LEFT JOIN er e ON l.volume_id = e.volume_id AND l.z = e.z AND l.y = e.y AND l.x = e.x GROUP BY 1, 2); SELECT {CC} FROM lab JOIN o USING (volume_id, label) WHERE size BETWEEN 4 AND 1000 AND hit / size < 0.2")
@@ -663,7 +704,7 @@ def _(t):
 
 @query("c21_edge_regions")
 def _(t):
-    return co.edge_regions(t.pred.select(*C, F.col("edge").alias("value")), t.dims)
+    return co.edge_regions(t.pred.select(*C, F.col("edge").alias("value")), t.dims, 0.6, 5)
 
 
 @query("c22_fill_edge_boxes")
@@ -678,9 +719,9 @@ def _(t):
 
 @query("c24_perimeter_ratio")
 def _(t):
-    line = written(co.label_2d(t.gt, t.dims), "line")
+    line = written(co.label_3d(t.gt, t.dims, 6), "line")
     p = lambda df: re_.region_perimeter(df, 8).select("volume_id", "label", "perimeter")
-    return ma.filter_by_perimeter_ratio(p(t.flat), p(line), co.overlap_pairs(t.flat, line), 1.2, 3.0)
+    return ma.filter_by_perimeter_ratio(p(t.solid), p(line), co.overlap_pairs(t.solid, line), 1.2, 3.0)
 
 
 @query("c25_relabel_by_priority", f"cl AS (SELECT {CC}, CAST(floor(value / 86) AS INTEGER) AS label FROM voxels), s AS (SELECT volume_id, label, count(*) FILTER (z < 2 AND y < 8 AND x < 8) AS n FROM cl GROUP BY 1, 2), r AS (SELECT volume_id, label, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY n DESC, label) - 1 AS INTEGER) AS rank FROM s); SELECT {CC}, rank AS label FROM cl JOIN r USING (volume_id, label)")
@@ -696,11 +737,9 @@ def _(t):
 # ---- joins
 
 
-@query("j1_align_layers", f"{PRED0}; SELECT v.volume_id, v.z, v.y, v.x, value, area, s.z IS NOT NULL AS is_seed, value < 8 AS is_negative FROM voxels v JOIN pred USING ({CC}) LEFT JOIN seed s ON v.volume_id = s.volume_id AND v.z = s.z AND v.y = s.y AND v.x = s.x", "value area")
+@query("j1_align_layers", f"{PRED0}; SELECT p.volume_id, p.z, p.y, p.x, v.value, area, v.value >= 160 AS is_seed, v.value < 8 AS is_negative FROM pred p JOIN voxels v USING ({CC})", "value area")
 def _(t):
-    flag = lambda df, n: df.withColumn(n, F.lit(True))
-    both = t.vox.join(t.pred.select(*C, "area"), C).join(flag(t.seed, "is_seed"), C, "left").join(flag(t.negative, "is_negative"), C, "left")
-    return both.na.fill(False, ["is_seed", "is_negative"])
+    return volumes.align_layers(t.vox, {"area": t.pred.select(*C, F.col("area").alias("value"))}, {"is_seed": t.seed, "is_negative": t.negative})
 
 
 @query("j2_extract_patches", f"{PATCHES}; SELECT patch_id, v.z - p.z AS dz, v.y - y0 AS py, v.x - x0 AS px, value FROM patches p JOIN voxels v ON v.volume_id = p.volume_id AND v.z BETWEEN p.z - 1 AND p.z + 1 AND v.y BETWEEN y0 AND y0 + 11 AND v.x BETWEEN x0 AND x0 + 11", "value")
@@ -715,7 +754,7 @@ def _(t):
 
 @query("x3_linear_index", f"; SELECT {CC}, (z::BIGINT * h + y) * w + x AS i FROM seed JOIN dims USING (volume_id)")
 def _(t):
-    return t.seed.join(F.broadcast(t.dims), "volume_id").select(*C, linear_index(F.col("z"), F.col("y"), F.col("x"), F.col("h"), F.col("w")).alias("i"))
+    return t.seed.join(t.dims, "volume_id").select(*C, linear_index(F.col("z"), F.col("y"), F.col("x"), F.col("h"), F.col("w")).alias("i"))
 
 
 # ---- sets
@@ -758,9 +797,17 @@ def _(t):
     return me.iou_fpr(t.gt, t.seed, t.dims, ["volume_id"]).select("volume_id", "dice")
 
 
-@query("e3_evaluate_grid", f"{P3}; SELECT run, avg(iou) AS iou, avg(fpr) AS fpr, count(*) AS n FROM iou GROUP BY 1", "iou fpr")
+GRID_KEYS = "lower(volume_id) AS cell, 'mito' AS organelle, 30 + 20 * run AS ratio, run AS trial, CASE WHEN run % 2 = 0 THEN 'own' ELSE 'other' END AS method"
+
+
+@query("e3_evaluate_grid", f"{P3}; SELECT {GRID_KEYS}, volume_id, tp, fp, fn, iou, fpr, dice FROM iou UNION ALL SELECT lower(volume_id), 'mito', 99, 9, 'own', volume_id, 0, 0, count(*), 0, 0, 0 FROM gt GROUP BY volume_id", "iou fpr dice")
 def _(t):
-    return evaluated(t).groupBy("run").agg(F.avg("iou").alias("iou"), F.avg("fpr").alias("fpr"), F.count("*").alias("n"))
+    keys = ["cell", "organelle", "ratio", "trial", "method"]
+    named = [F.lower("volume_id").alias("cell"), F.lit("mito").alias("organelle"), (30 + 20 * F.col("run")).alias("ratio"), F.col("run").alias("trial"), F.when(F.col("run") % 2 == 0, "own").otherwise("other").alias("method")]
+    preds = derived.predictions(t.vox).select(*named, *C, F.col("area").alias("value"))
+    runs = preds.select(*keys, "volume_id").distinct()
+    empty = t.dims.select(F.lower("volume_id"), F.lit("mito"), F.lit(99), F.lit(9), F.lit("own"), "volume_id")  # a run without a prediction
+    return me.evaluate_grid(t.gt, preds, runs.union(empty), t.dims, keys, 0.9, 0.5)
 
 
 @query("e4_cross_model_matrix", f"{EV}; SELECT cell AS model_cell, avg(value) FILTER (method = 0) AS \"0\", avg(value) FILTER (method = 1) AS \"1\", avg(value) FILTER (method = 2) AS \"2\" FROM ev GROUP BY 1", '"0" "1" "2"', base=False)
@@ -778,9 +825,12 @@ def _(t):
     return me.histogram_correlation(t.events, "cell", "value", 50, True)
 
 
-@query("e7_mann_whitney", f"{EV}, s AS (SELECT cell, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS rk FROM ev WHERE cell IN ('view', 'click')); SELECT count(*) FILTER (cell = 'view') AS n_a, count(*) FILTER (cell = 'click') AS n_b, sum(rk) FILTER (cell = 'view') - count(*) FILTER (cell = 'view') * (count(*) FILTER (cell = 'view') + 1) / 2 AS u FROM s", "u", base=False)
+ERFC = "(SELECT t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-zz * zz) FROM (SELECT zz, 1 / (1 + 0.3275911 * zz) AS t FROM (SELECT z / sqrt(2) AS zz)))"
+
+
+@query("e7_mann_whitney", f"{EV}, s AS (SELECT cell, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS rk FROM ev WHERE cell IN ('view', 'click')), m AS (SELECT count(*) FILTER (cell = 'view') AS n_a, count(*) FILTER (cell = 'click') AS n_b, sum(rk) FILTER (cell = 'view') - count(*) FILTER (cell = 'view') * (count(*) FILTER (cell = 'view') + 1) / 2 AS u FROM s), ti AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM s GROUP BY value)), zs AS (SELECT n_a, n_b, u, greatest(0, abs(u - n_a * n_b / 2) - 0.5) / sqrt(n_a * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1)))) AS z FROM m, ti); SELECT n_a, n_b, u, {ERFC} AS p FROM zs", "u p", base=False)
 def _(t):
-    return me.mann_whitney(t.events, "cell", "value", "view", "click").drop("p")
+    return me.mann_whitney(t.events, "cell", "value", "view", "click")
 
 
 @query("e8_mean_diff_projection", "u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), w AS (SELECT k, avg(v) FILTER (label = 0) - avg(v) FILTER (label = 1) AS w FROM u GROUP BY 1), n AS (SELECT sqrt(sum(w * w)) + 1e-8 AS n FROM w), p AS (SELECT vec_id, sum(v * w / n) AS p FROM u JOIN w USING (k), n GROUP BY 1); SELECT vec_id, (p - min(p) OVER ()) / (max(p) OVER () - min(p) OVER () + 1e-8) AS p FROM p", "p", base=False)
@@ -898,19 +948,19 @@ def _(t):
 TILES = """og AS (SELECT volume_id, z, least(sy, 32 - 12) AS y0, least(sx, 32 - 12) AS x0 FROM vols, zs, (SELECT unnest(range(0, 32, 9)) AS sy), (SELECT unnest(range(0, 32, 9)) AS sx) WHERE z >= 1 AND z < (SELECT max(d) FROM dims) - 1)"""
 
 
-def _tiles(t, fuse):
-    o = scoring.tile_origins(t.dims, 12, 9, 1)
-    return scoring.merge_tiles(scoring.linear_scores(sa.extract_patches(o, t.vox, 12, 12), o, 1 / 64, -2.0), t.dims, fuse, 0.6)
+def _scores(t, fuse: str, threshold: float = 0.6) -> DataFrame:
+    features = t.vox.select(*C, F.array("value", F.lit(1.0)).alias("f"))
+    return scoring.score_tiles(features, lambda b: b["features"] @ np.array([1 / 64, -2.0]), t.dims, 12, 9, 1, fuse, threshold=threshold)
 
 
-@query("i1_score_tiles", f"{TILES}, sc AS (SELECT v.volume_id, v.z, v.y, v.x, 1 / (1 + exp(-(v.value * 0.015625::DOUBLE + -2.0::DOUBLE))) AS p FROM og JOIN voxels v ON v.volume_id = og.volume_id AND v.z = og.z AND v.y BETWEEN y0 AND y0 + 11 AND v.x BETWEEN x0 AND x0 + 11), m AS (SELECT {CC}, avg(p) AS value FROM sc GROUP BY ALL); SELECT v.volume_id, v.z, v.y, v.x, CASE WHEN v.z IN (SELECT z FROM og) THEN m.value ELSE 0 END AS value FROM voxels v LEFT JOIN m USING ({CC})", "value")
+@query("i1_score_tiles", f"{TILES}, m AS (SELECT DISTINCT {CC}, 1 / (1 + exp(-(v.value / 64 - 2))) AS value FROM og JOIN voxels v USING (volume_id, z) WHERE v.y BETWEEN y0 AND y0 + 11 AND v.x BETWEEN x0 AND x0 + 11); SELECT v.volume_id, v.z, v.y, v.x, CASE WHEN v.z BETWEEN 1 AND d - 2 THEN m.value ELSE 0 END AS value FROM voxels v JOIN dims USING (volume_id) LEFT JOIN m USING ({CC})", "value")
 def _(t):
-    return _tiles(t, "avg")
+    return _scores(t, "avg")
 
 
 @query("i3_max_fusion", f"{TILES}; SELECT {CC}, CASE WHEN z IN (SELECT z FROM og) AND 1 / (1 + exp(-(value * 0.015625::DOUBLE - 2))) > 0.6 THEN 1.0::DOUBLE ELSE 0 END AS value FROM voxels", "value")
 def _(t):
-    return _tiles(t, "max")
+    return _scores(t, "max")
 
 
 @query("i2_score_slices")
@@ -947,7 +997,7 @@ def _(t):
 
 @query("l2_candidate_mask_1")
 def _(t):
-    return jobs.candidate_mask(t.pred, t.dims, 1)
+    return jobs.candidate_mask(t.pred, t.dims, 1, threshold=0.6, lo=5)
 
 
 @query("l2_candidate_mask_2")
@@ -957,7 +1007,7 @@ def _(t):
 
 @query("l3_refine_round")
 def _(t):
-    return jobs.refine_round(t.pred, derived.mask_above(t.vox, 240), t.seed, t.negative, t.dims)
+    return jobs.refine_round(t.pred, derived.mask_above(t.vox, 240), t.seed, t.negative, t.dims, hull_times=1.3, line_share=0.3)
 
 
 @query("l4_propagate_labels")
@@ -965,7 +1015,7 @@ def _(t):
     def scorer(normal, labels, k):
         return normal.select(*C, F.col("value").alias("area"), (1 - F.col("value")).alias("edge"))
 
-    return jobs.propagate_labels(t.vox, t.seed, t.negative, t.dims, scorer, new_path(t.spark, "rounds"), 2)
+    return jobs.propagate_labels(t.vox, t.seed, t.negative, t.dims, scorer, new_path(t.spark, "rounds"), 2, hull_times=1.3, line_share=0.3)
 
 
 @query("t1_streaming_iou", f"{P3}; SELECT run, volume_id, tp, fp, fn, iou, fpr, dice FROM iou", "iou fpr dice")

@@ -77,12 +77,12 @@ _AXES = "zs AS (SELECT CAST(unnest(range(0, (SELECT max(z) + 1 FROM points))) AS
 
 def sql(h: int = H, w: int = W) -> str:
     """The same tables as common table expressions: points, dims, voxels, gt (value > 128), seed (value >= 160)."""
-    return f"""points AS (SELECT l_returnflag AS volume_id, CAST(l_suppkey // {PER_SLICE} AS INTEGER) AS z, CAST(l_partkey % {h} AS INTEGER) AS y, CAST(l_orderkey % {w} AS INTEGER) AS x, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+    return f"""points AS MATERIALIZED (SELECT l_returnflag AS volume_id, CAST(l_suppkey // {PER_SLICE} AS INTEGER) AS z, CAST(l_partkey % {h} AS INTEGER) AS y, CAST(l_orderkey % {w} AS INTEGER) AS x, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
 {_AXES.format(h=h, w=w)},
 vols AS (SELECT DISTINCT volume_id FROM points),
-dims AS (SELECT volume_id, (SELECT CAST(max(z) + 1 AS INTEGER) FROM points) AS d, {h} AS h, {w} AS w FROM vols),
+dims AS MATERIALIZED (SELECT volume_id, (SELECT CAST(max(z) + 1 AS INTEGER) FROM points) AS d, {h} AS h, {w} AS w FROM vols),
 fine AS (SELECT volume_id, z, y, x, sum(q) % 56 AS f FROM points GROUP BY ALL),
 coarse AS (SELECT volume_id, z // 2 AS bz, y // 4 AS b_y, x // 4 AS bx, sum(q) % 200 AS c FROM points GROUP BY ALL),
-voxels AS (SELECT g.volume_id, g.z, g.y, g.x, CAST(coalesce(c.c, 0) + coalesce(f.f, 0) AS DOUBLE) AS value FROM (SELECT * FROM vols, zs, ys, xs) g LEFT JOIN fine f ON f.volume_id = g.volume_id AND f.z = g.z AND f.y = g.y AND f.x = g.x LEFT JOIN coarse c ON c.volume_id = g.volume_id AND c.bz = g.z // 2 AND c.b_y = g.y // 4 AND c.bx = g.x // 4),
+voxels AS MATERIALIZED (SELECT g.volume_id, g.z, g.y, g.x, CAST(coalesce(c.c, 0) + coalesce(f.f, 0) AS DOUBLE) AS value FROM (SELECT * FROM vols, zs, ys, xs) g LEFT JOIN fine f ON f.volume_id = g.volume_id AND f.z = g.z AND f.y = g.y AND f.x = g.x LEFT JOIN coarse c ON c.volume_id = g.volume_id AND c.bz = g.z // 2 AND c.b_y = g.y // 4 AND c.bx = g.x // 4),
 gt AS (SELECT volume_id, z, y, x FROM voxels WHERE value > 128),
 seed AS (SELECT volume_id, z, y, x FROM voxels WHERE value >= 160)"""

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .derived import C, grid
+from .store import written
 
 
 def read_voxels(spark: SparkSession, path: str) -> DataFrame:
@@ -67,17 +69,26 @@ def write_labels(df: DataFrame, path: str, iteration: int) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("iteration", "volume_id").parquet(path)
 
 
-def ensure_features(spark: SparkSession, df: DataFrame, path: str, compute) -> DataFrame:
-    """Slices missing from the store at path are computed by compute(rows) and appended; returns the store."""
+def ensure_features(spark: SparkSession, df: DataFrame, path: str, compute, thickness: int = 2) -> DataFrame:
+    """Slices missing from the store at path are computed and appended; returns the store.
+
+    compute(rows) gets the missing slices and `thickness` slices on either side of them, so that slabs are whole; of what
+    it gives, the missing slices alone are kept.
+    """
+    slices = ["volume_id", "z"]
+    missing = df.select(*slices).distinct()
     try:
-        done = spark.read.parquet(path).select("volume_id", "z").distinct()
-        missing = df.join(done, ["volume_id", "z"], "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        missing = missing.join(spark.read.parquet(path).select(*slices).distinct(), slices, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        missing = df
-    compute(missing).write.mode("append").partitionBy("volume_id").parquet(path)
-    return spark.read.parquet(path)
+    missing = written(missing, "missing")
+    made = compute(df.limit(0))
+    if missing.head(1):
+        near = missing.withColumn("z", F.explode(F.sequence(F.col("z") - thickness, F.col("z") + thickness))).distinct()
+        made = compute(df.join(near, slices, "left_semi")).join(missing, slices, "left_semi")
+        made.write.mode("append").partitionBy("volume_id").parquet(path)
+    return spark.read.schema(made.schema).parquet(path).select(made.columns)
 
 
 def to_sparse(df: DataFrame, col: str = "value") -> DataFrame:
@@ -119,8 +130,8 @@ def to_voxels(blocks: DataFrame) -> DataFrame:
 
 def scaled_minmax(df: DataFrame, cols: list[str], eps: float = 1e-8) -> DataFrame:
     """Each column by its volume's range: (v - min) / (max - min + eps)."""
-    ends = df.groupBy("volume_id").agg(*[F.min(c).alias(f"{c}_lo") for c in cols], *[F.max(c).alias(f"{c}_hi") for c in cols])
-    both = df.join(F.broadcast(ends), "volume_id")
+    ends = written(df.groupBy("volume_id").agg(*[F.min(c).alias(f"{c}_lo") for c in cols], *[F.max(c).alias(f"{c}_hi") for c in cols]), "ends")
+    both = df.join(ends, "volume_id")
     return both.select(*C, *[((F.col(c) - F.col(f"{c}_lo")) / (F.col(f"{c}_hi") - F.col(f"{c}_lo") + F.lit(eps))).alias(c) for c in cols])
 
 
@@ -141,7 +152,7 @@ def overlay_classes(raw: DataFrame, preds: DataFrame, colors: DataFrame, thresho
 
     preds: (C, class, p); colors: (class, place, r, g, b), a later place overwrites.
     """
-    hit = preds.where(F.col("p") > threshold).join(F.broadcast(colors), "class")
+    hit = preds.where(F.col("p") > threshold).join(colors, "class")
     top = hit.groupBy(*C).agg(F.max_by(F.struct("r", "g", "b"), "place").alias("c"))
     grey = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("value")))).cast("int")
     return raw.join(top, C, "left").select(*C, *[F.coalesce(F.col(f"c.{k}"), grey).alias(k) for k in "rgb"])
@@ -164,6 +175,33 @@ def pending_runs(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataF
     return expected.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def append_results(spark: SparkSession, expected: DataFrame, path: str, keys: list[str], evaluate) -> DataFrame:
+    """Evaluate the expected runs that the table at path lacks and append their rows (keys and results) to it; returns it.
+
+    evaluate(runs) gives the rows of the pending runs; a job that is started again goes on where the table ends.
+    """
+    try:
+        pending = pending_runs(expected, spark.read.parquet(path), keys)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        pending = expected
+    pending = written(pending, "pending")
+    if pending.head(1):
+        evaluate(pending).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def align_layers(base: DataFrame, values: dict[str, DataFrame], masks: dict[str, DataFrame]) -> DataFrame:
+    """base (C, ...) with a column for each further layer: the value of (C, value) layers, null where they lack the voxel,
+    and whether (C) masks hold it. One equi-join on voxels a layer, all on the same key."""
+    for name, layer in values.items():
+        base = base.join(layer.select(*C, F.col("value").alias(name)), C, "left")
+    for name, mask in masks.items():
+        base = base.join(mask.select(*C).distinct().withColumn(name, F.lit(True)), C, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return base
+
+
 def available_runs(expected: DataFrame, present: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """Runs with a prediction, and whether they have a baseline: a missing baseline drops the baseline alone."""
     own = expected.join(present.select(*keys).distinct(), keys, "left_semi")

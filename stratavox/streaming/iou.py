@@ -24,7 +24,7 @@ def streaming_counts(gt: DataFrame, stream: DataFrame) -> DataFrame:
 def finished_rates(counts: DataFrame, gt: DataFrame, dims: DataFrame) -> DataFrame:
     """iou, fpr and dice of the counts (a table the stream wrote)."""
     size = gt.select(*C).distinct().groupBy("volume_id").agg(F.count("*").alias("n"))
-    both = counts.join(F.broadcast(size), "volume_id", "left").join(F.broadcast(dims), "volume_id")
+    both = counts.join(size, "volume_id", "left").join(dims, "volume_id")
     both = both.select("run", "volume_id", "tp", "fp", (F.coalesce("n", F.lit(0)) - F.col("tp")).alias("fn"), (F.col("d").cast("long") * F.col("h") * F.col("w")).alias("total"))
     return rates(both, F.col("total")).drop("total")
 
