@@ -105,6 +105,27 @@ def test_filters_have_no_false_negatives_and_the_stated_rate():
     assert abs(float(((other >> np.uint64(0)) & np.uint64(1)).mean()) - model.fpr[0]) < 0.002
 
 
+def test_languages_against_sets_of_ngrams():
+    """The corrected popcounts lie near the counts in true sets, and decide as these do where they differ clearly."""
+    rng = random.Random(17)
+    vocab = {f"l{k}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(150)] for k in range(70)}
+    grams, texts = {}, [prose(rng, rng.randint(5, 60), [rng.choice(v) for v in vocab.values() for _ in range(3)] + vocab["l3"] * (k % 3)) for k in range(80)]
+    for lang, words in vocab.items():
+        _, _, data, offs = next(tx_slices([" ".join(words)], 1 << 20))
+        grams[lang] = np.unique(language_id._grams(data, offs)[0])
+    model = language_id.build(grams, list(vocab))
+    for i, j, data, offs in tx_slices(texts, 1 << 20):
+        which, score = language_id.classify(model, data, offs)
+        codes, first = language_id._grams(data, offs)
+        for k in range(j - i):
+            own = codes[first[k] : first[k + 1]]
+            true = np.array([np.isin(own, grams[x]).sum() for x in vocab])
+            assert abs(score[k] * len(own) - true[which[k]]) <= 5 + 3 * np.sqrt(len(own) * max(model.fpr))
+            order = np.sort(true)
+            if order[-1] - order[-2] > 10 + 6 * np.sqrt(len(own) * max(model.fpr)):
+                assert which[k] == true.argmax()
+
+
 # ---- tokens
 
 
@@ -300,6 +321,45 @@ def test_rule_counts_and_verdicts(spark):
     assert len(quality_forest.quality_rules(docs, labels.limit(0)).collect()) == len(rows)
 
 
+def test_path_lengths_and_thresholds_against_brute_force():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(200, 2)), [[9, 9], [-8, 7]]])
+    f = quality_forest.grow(x, 60, 32, 3)
+    c = lambda n: 0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    assert abs(f.norm - c(32)) < 1e-6
+
+    def walk(row):
+        total = 0.0
+        for feature, value, link in f.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = int(link[at]) + int(row[feature[at]] >= value[at])
+            total += link[at]
+        return 2 ** (-total / len(f.trees) / f.norm)
+
+    score = f.score(x)
+    assert np.allclose(score, [walk(r) for r in x]) and set(np.argsort(-score)[:2]) == {200, 201}
+    good = rng.random(202) < 0.8
+    for loss in (0.0, 0.02, 0.2):
+        t = quality_forest.calibrate(score, good, loss)
+        gain = lambda v: (score[~good] > v).mean() - (score[good] > v).mean()
+        fair = [v for v in score if (score[good] > v).mean() <= loss + 1e-12]
+        assert (score[good] > t).mean() <= loss + 1e-12 and gain(t) >= max(map(gain, fair)) - 1e-12
+
+
+def test_repetition_alone_can_reject(spark):
+    """Lines that repeat between varying ones: symbols, word lengths and length are ordinary, and no base rule fails."""
+    rng = random.Random(19)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = [(k, "\n".join(prose(rng, 8, vocab) for _ in range(12)), 1) for k in range(400)]
+    odd = [(1000 + k, "\n".join(["home about us", prose(rng, 8, vocab)][i % 2] for i in range(22)), 1) for k in range(3)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, kept int")
+    labels = spark.createDataFrame([(k, int(k % 40 != 0)) for k in range(400)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_forest.quality_rules(docs, labels, trees=100).collect()}
+    assert all(not got[1000 + k].kept and not got[1000 + k].base_failed and got[1000 + k].n_dup_lines == 10 for k in range(3))
+    assert sum(got[k].kept for k in range(400) if k % 40) >= 380
+
+
 # ---- decontamination
 
 
