@@ -180,8 +180,14 @@ def hull_voxels(p: np.ndarray) -> int:
     axes = np.array([(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)], float)
     ways = np.concatenate([axes, ways])
     limit = (pts @ ways.T).max(0)
-    box = np.stack(np.meshgrid(*[np.arange(a, b + 1) for a, b in zip(lo, hi)], indexing="ij"), -1).reshape(-1, 3)
-    return int(((box @ ways.T) <= limit + 1e-9).all(1).sum())
+    rows = np.stack(np.meshgrid(*[np.arange(a, b + 1) for a, b in zip(lo[1:], hi[1:])], indexing="ij"), -1).reshape(-1, 2)
+    inside = 0
+    for z in range(int(lo[0]), int(hi[0]) + 1):  # plane by plane, as far as a plane's rows may still be inside
+        left = rows
+        for w, top in zip(ways, limit):
+            left = left[left @ w[1:] <= top - z * w[0] + 1e-9]
+        inside += len(left)
+    return inside
 
 
 def region_surface(labels: DataFrame) -> DataFrame:

@@ -704,7 +704,7 @@ def _(t):
 
 @query("c21_edge_regions")
 def _(t):
-    return co.edge_regions(t.pred.select(*C, F.col("edge").alias("value")), t.dims, 0.6, 5)
+    return co.edge_regions(t.pred.select(*C, F.col("edge").alias("value")), t.dims, 0.45, 5)
 
 
 @query("c22_fill_edge_boxes")
@@ -997,7 +997,7 @@ def _(t):
 
 @query("l2_candidate_mask_1")
 def _(t):
-    return jobs.candidate_mask(t.pred, t.dims, 1, threshold=0.6, lo=5)
+    return jobs.candidate_mask(t.pred, t.dims, 1, threshold=0.45, lo=5)
 
 
 @query("l2_candidate_mask_2")
@@ -1020,12 +1020,10 @@ def _(t):
 
 @query("t1_streaming_iou", f"{P3}; SELECT run, volume_id, tp, fp, fn, iou, fpr, dice FROM iou", "iou fpr dice")
 def _(t):
-    import uuid
-
     from .streaming.iou import prediction_stream, streaming_iou
 
     root = new_path(t.spark, "stream")
     hit = px.percentile_threshold(derived.predictions(t.vox), 0.9, 0.5, ("run", "volume_id"), "area").select("run", *C)
     hit.repartition(4, "z").write.parquet(f"{root}/in")
-    out = streaming_iou(written(t.gt, "gt"), prediction_stream(t.spark, f"{root}/in", files=2), t.dims, f"iou_{uuid.uuid4().hex}", f"{root}/checkpoint")
+    out = streaming_iou(written(t.gt, "gt"), prediction_stream(t.spark, f"{root}/in", files=2), t.dims, f"{root}/counts", f"{root}/checkpoint")
     return out.select("run", "volume_id", "tp", "fp", "fn", "iou", "fpr", "dice")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.metrics import rates
 from ..sources.derived import C
@@ -29,8 +30,19 @@ def finished_rates(counts: DataFrame, gt: DataFrame, dims: DataFrame) -> DataFra
     return rates(both, F.col("total")).drop("total")
 
 
-def streaming_iou(gt: DataFrame, stream: DataFrame, dims: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run the stream over all that is there and return its final rates."""
-    query = streaming_counts(gt, stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def streaming_iou(gt: DataFrame, stream: DataFrame, dims: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run the stream over all that is there and return its final rates.
+
+    Each micro-batch writes the counts so far, a row a run and volume, to a folder of its number under path; a batch that
+    runs again replaces its own.
+    """
+
+    def write(counts: DataFrame, batch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    counts = streaming_counts(gt, stream)
+    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return finished_rates(gt.sparkSession.table(name), gt, dims)
+    spark = gt.sparkSession
+    rows = spark.read.schema(StructType(counts.schema.fields).add("batch", "long")).parquet(path)
+    return finished_rates(rows.join(rows.agg(F.max("batch").alias("batch")), "batch").drop("batch"), gt, dims)
