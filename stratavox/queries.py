@@ -100,6 +100,7 @@ def query(name: str, sql: str | None = None, floats: str = "", base: bool = True
 
 
 CC = "volume_id, z, y, x"
+HASH = "((({0}) % 2147483648) * 2654435761 + {1}) % 4294967296"
 PREDS = "preds AS (SELECT r.run, v.volume_id, v.z, v.y, v.x, (value + 7 * ((z * 31 + y * 17 + x * 13 + run) % 11)) / 330.0::DOUBLE AS area FROM voxels v, (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS run) r)"
 PRED0 = "pred AS (SELECT volume_id, z, y, x, (value + 7 * ((z * 31 + y * 17 + x * 13) % 11)) / 330.0::DOUBLE AS area, (value + 5 * ((z * 31 + y * 17 + x * 13 + 3) % 11)) / 330.0::DOUBLE AS edge FROM voxels)"
 
@@ -483,22 +484,35 @@ def _(t):
     return wi.gaussian_axis(t.vox, "x", 3.0, t.dims)
 
 
-@query("n13_gaussian_smooth")
+def sql_gauss(name: str, src: str, sigma: tuple[float, float, float]) -> str:
+    """Smoothing by (z, y, x): weights by their formula, positions mirrored as often as needed."""
+    out, prev = [], src
+    for axis, s in zip("zyx", sigma):
+        if s > 0:
+            r, n, now = int(4 * s + 0.5), {"z": "d", "y": "h", "x": "w"}[axis], f"{name}{axis}"
+            same = " AND ".join(f"b.{c} = a.{c}" for c in C if c != axis)
+            out.append(f"{now}w AS (SELECT k, e / sum(e) OVER () AS wt FROM (SELECT k, exp(-0.5 * k * k / ({s!r}::DOUBLE * {s!r})) AS e FROM (SELECT CAST(unnest(range({-r}, {r + 1})) AS INTEGER) AS k)))")
+            out.append(f"{now} AS MATERIALIZED (SELECT a.volume_id, a.z, a.y, a.x, sum(wt * b.value) AS value FROM (SELECT {CC}, wt, {n} AS n, (({axis} + k) % (2 * {n}) + 2 * {n}) % (2 * {n}) AS m FROM {prev} JOIN dims USING (volume_id), {now}w) a JOIN {prev} b ON {same} AND b.{axis} = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL)")
+            prev = now
+    return ", ".join([*out, f"{name} AS (SELECT * FROM {prev})"])
+
+
+@query("n13_gaussian_smooth", sql_gauss("sm", "voxels", (1, 3, 3)) + f"; SELECT {CC}, value FROM sm", "value")
 def _(t):
     return wi.gaussian_smooth(t.vox, (1, 3, 3), t.dims)
 
 
-@query("n14_smooth_and_threshold")
+@query("n14_smooth_and_threshold", sql_gauss("sm", "voxels", (0, 1, 1)) + f"; SELECT {CC} FROM sm WHERE value > 128")
 def _(t):
     return wi.smooth_and_threshold(t.vox, (0, 1, 1), 128, t.dims)
 
 
-@query("n15_dog_energy")
+@query("n15_dog_energy", sql_gauss("sa", "voxels", (0, 1, 1)) + ", " + sql_gauss("sb", "voxels", (0, 2, 2)) + f", dg AS (SELECT {CC}, abs(sa.value - sb.value) AS v FROM sa JOIN sb USING ({CC})); SELECT {CC}, v / avg(v) OVER (PARTITION BY volume_id) AS value FROM dg", "value")
 def _(t):
     return wi.dog_energy(t.vox, 1, 2, t.dims)
 
 
-@query("n15_log_energy")
+@query("n15_log_energy", sql_gauss("sm", "voxels", (0, 1.5, 1.5)) + f", lp AS (SELECT {CC}, abs(coalesce(lag(value) OVER wy, value) + coalesce(lead(value) OVER wy, value) + coalesce(lag(value) OVER wx, value) + coalesce(lead(value) OVER wx, value) - 4 * value) AS v FROM sm WINDOW wx AS (PARTITION BY volume_id, z, y ORDER BY x), wy AS (PARTITION BY volume_id, z, x ORDER BY y)); SELECT {CC}, v / avg(v) OVER (PARTITION BY volume_id) AS value FROM lp", "value")
 def _(t):
     return wi.log_energy(t.vox, 1.5, t.dims)
 
@@ -668,7 +682,11 @@ def _hu_vectors(t):
     return written(m.select("volume_id", "label", "size", ma.hu_vector().alias("v")), "hu")
 
 
-@query("c16_filter_by_hu")
+HU_V = f"{LAB2}, {MOM}, {HU}, u AS MATERIALIZED (SELECT volume_id, label, n AS size, [{', '.join(f'-sign(hu{k}) * log10(abs(hu{k}) + 1e-10)' for k in range(1, 8))}] AS v FROM hw)"
+COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})) + 1e-8)"
+
+
+@query("c16_filter_by_hu", f"{HU_V}, tp AS MATERIALIZED (SELECT size, v AS tv FROM u WHERE size >= 10 AND label % 3 = 0), e AS (SELECT min(size) AS lo, max(size) AS hi FROM tp); SELECT DISTINCT volume_id, label FROM u, e, (SELECT DISTINCT tv FROM tp) WHERE u.size >= 10 AND u.size >= lo * 0.5 AND u.size <= hi / 0.5 AND {COS.format('v', 'tv')} >= 0.999")
 def _(t):
     v = _hu_vectors(t)
     return ma.filter_by_hu(v, _templates(v), 0.999, 0.5)
@@ -681,7 +699,7 @@ def _(t):
     return ma.filter_by_geometry(v, _templates(v), 0.9999, 0.5)
 
 
-@query("c18_hu_similarity", f"{LAB2}, {MOM}, {HU}, u AS MATERIALIZED (SELECT volume_id, label, [{', '.join(f'-sign(hu{k}) * log10(abs(hu{k}) + 1e-10)' for k in range(1, 8))}] AS v FROM hw); SELECT * FROM (SELECT a.volume_id, a.label AS label_a, b.label AS label_b, greatest(0, least(1, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-8))) AS sim FROM u a JOIN u b USING (volume_id)) WHERE sim >= 0.9999", "sim", small=True)
+@query("c18_hu_similarity", f"{HU_V}; SELECT * FROM (SELECT a.volume_id, a.label AS label_a, b.label AS label_b, greatest(0, least(1, {COS.format('a.v', 'b.v')})) AS sim FROM u a JOIN u b USING (volume_id)) WHERE sim >= 0.9999", "sim")
 def _(t):
     v = _hu_vectors(t)
     return ma.hu_similarity(v, v, 0.9999)
@@ -729,7 +747,10 @@ def _(t):
     return co.relabel_by_priority(t.vox.select(*C, F.floor(F.col("value") / 86).cast("int").alias("label")), (0, 2), (0, 8), (0, 8))
 
 
-@query("c26_refine_label")
+REFINED = "wide AS (SELECT volume_id, z, CAST(y // 4 * 4 + oy AS INTEGER) AS y, CAST(x // 4 * 4 + ox AS INTEGER) AS x FROM voxels, (SELECT unnest(range(0, 4)) AS oy), (SELECT unnest(range(0, 4)) AS ox) WHERE floor(value / 86) = 2 AND y % 4 = 2 AND x % 4 = 2), " + sql_dilate("gr", "wide", 3) + ", " + sql_erode("cl", "gr", 3)
+
+
+@query("c26_refine_label", f"{REFINED}, " + sql_labels("rl", "cl", FLAT4) + f", big AS (SELECT volume_id, label FROM rl GROUP BY 1, 2 HAVING count(*) >= 16); SELECT {CC} FROM rl JOIN big USING (volume_id, label)", small=True)
 def _(t):
     return co.refine_label(t.vox.select(*C, F.floor(F.col("value") / 86).cast("int").alias("label")), 2, t.dims, 4, 3, 16)
 
@@ -914,12 +935,11 @@ def _(t):
     return sa.sample_patches_by_ratio(_patches(t), t.vox, t.seed, 12, 12, 0.5, 0.2, 5)
 
 
-@query("k3_sample_point")
+@query("k3_sample_point", f"p AS (SELECT volume_id, d, h, w, min({{'k': {HASH.format('(z::BIGINT * h + y) * w + x', 3 * 40503)}, 'z': z, 'y': y, 'x': x}}) AS p FROM seed JOIN dims USING (volume_id) GROUP BY ALL); SELECT volume_id, CAST(greatest(0, least(d - 1, p.z)) AS INTEGER) AS z, CAST(greatest(4, least(h - 5, p.y)) AS INTEGER) AS y, CAST(greatest(4, least(w - 5, p.x)) AS INTEGER) AS x FROM p")
 def _(t):
     return sa.sample_point(t.seed, t.dims, 8, 8, 0, 3)
 
 
-HASH = "((({0}) % 2147483648) * 2654435761 + {1}) % 4294967296"
 
 
 @query("k4_drop_regions", f"{LAB2}, k AS (SELECT volume_id, label, row_number() OVER (PARTITION BY volume_id ORDER BY {HASH.format('label', 5 * 40503)}, label) AS k, count(*) OVER (PARTITION BY volume_id) AS n FROM (SELECT DISTINCT volume_id, label FROM lab)); SELECT {CC}, label FROM lab JOIN k USING (volume_id, label) WHERE k > floor(n * 0.5)")
@@ -937,7 +957,7 @@ def _(t):
     return sa.sparse_annotations(t.vox, t.dims, [30, 50, 70, 80, 95])
 
 
-@query("k7_soften_mask")
+@query("k7_soften_mask", f"c AS (SELECT volume_id, z, avg(y) AS cy, avg(x) AS cx, count(*) AS n FROM seed GROUP BY 1, 2), k AS (SELECT {CC}, n, row_number() OVER (PARTITION BY volume_id, z ORDER BY -ln(({HASH.format('(z::BIGINT * h + y) * w + x', 7 * 40503)} + 1) / 4294967297.0::DOUBLE) / exp(-0.1::DOUBLE * sqrt(pow(y - cy, 2) + pow(x - cx, 2))), y, x) AS k FROM seed JOIN c USING (volume_id, z) JOIN dims USING (volume_id)), picks AS (SELECT {CC} FROM k WHERE k <= floor(n * 0.05::DOUBLE)), " + sql_dilate("near", "picks", 3) + f"; SELECT {CC} FROM seed EXCEPT SELECT {CC} FROM near")
 def _(t):
     return sa.soften_mask(t.seed, t.dims, 0.05, 0.1, 7)
 
@@ -963,7 +983,7 @@ def _(t):
     return _scores(t, "max")
 
 
-@query("i2_score_slices")
+@query("i2_score_slices", f"sl AS (SELECT {CC}, CASE WHEN z BETWEEN 1 AND d - 2 THEN 1 / (1 + exp(2 - value / 64)) ELSE 0 END AS value FROM voxels JOIN dims USING (volume_id)), " + sql_gauss("sm", "sl", (0, 1, 1)) + f"; SELECT {CC}, value FROM sm", "value")
 def _(t):
     f = t.vox.select(*C, F.array(F.col("value").cast("float")).alias("f"))
     return scoring.score_slices(f, lambda b: b["features"][..., 0] / 64 - 2, t.dims, 1, (0, 1, 1))
