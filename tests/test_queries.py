@@ -37,6 +37,7 @@ def test_equals_sql(spark, duck, name):
             assert same[0] == same[1], c
 
 
+#: Run on drawn volumes in test_volumes.py instead.
 SLOW = {"l4_propagate_labels", "l2_candidate_mask_1", "i6_clean_volume", "k6_sparse_annotations"}
 
 
