@@ -48,12 +48,6 @@ def _scored(pixels: DataFrame, origins: DataFrame, scorer: Callable, patch: int)
     return both.select("volume_id", "z", (F.col("y0") + F.col("py")).alias("y"), (F.col("x0") + F.col("px")).alias("x"), "score")
 
 
-def linear_scores(pixels: DataFrame, origins: DataFrame, weight: float, bias: float) -> DataFrame:
-    """The same for a scorer that is linear in one value: no Python at all."""
-    both = pixels.join(origins, "patch_id")
-    return both.select("volume_id", "z", (F.col("y0") + F.col("py")).alias("y"), (F.col("x0") + F.col("px")).alias("x"), (F.col("value") * weight + bias).alias("score"))
-
-
 def merge_tiles(scores: DataFrame, dims: DataFrame, fuse: str = "avg", threshold: float = 0.5) -> DataFrame:
     """(C, value): sigmoids of the tiles' scores, averaged (or 1 where any is above the threshold); null without a tile,
     0 in the margin slices."""

@@ -750,7 +750,7 @@ def _(t):
 REFINED = "wide AS (SELECT volume_id, z, CAST(y // 4 * 4 + oy AS INTEGER) AS y, CAST(x // 4 * 4 + ox AS INTEGER) AS x FROM voxels, (SELECT unnest(range(0, 4)) AS oy), (SELECT unnest(range(0, 4)) AS ox) WHERE floor(value / 86) = 2 AND y % 4 = 2 AND x % 4 = 2), " + sql_dilate("gr", "wide", 3) + ", " + sql_erode("cl", "gr", 3)
 
 
-@query("c26_refine_label", f"{REFINED}, " + sql_labels("rl", "cl", FLAT4) + f", big AS (SELECT volume_id, label FROM rl GROUP BY 1, 2 HAVING count(*) >= 16); SELECT {CC} FROM rl JOIN big USING (volume_id, label)", small=True)
+@query("c26_refine_label", f"{REFINED}, " + sql_labels("rl", "cl", FLAT4) + f", big AS (SELECT volume_id, label FROM rl GROUP BY 1, 2 HAVING count(*) >= 16); SELECT {CC} FROM rl JOIN big USING (volume_id, label)")
 def _(t):
     return co.refine_label(t.vox.select(*C, F.floor(F.col("value") / 86).cast("int").alias("label")), 2, t.dims, 4, 3, 16)
 
