@@ -185,6 +185,39 @@ class Grown:
         self.n += len(x)
 
 
+class Slots:
+    """Numbers of distinct 64-bit hashes: an open-addressed table that takes whole arrays at a time."""
+
+    def __init__(self, bits: int = 21):
+        self.keys, self.numbers = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.mask, self.n = np.uint64((1 << bits) - 1), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' numbers, -1 for new ones."""
+        at, out, todo = (keys & self.mask).astype(np.int64), np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(todo):
+            n = self.numbers[at[todo]]
+            hit = (n >= 0) & (self.keys[at[todo]] == keys[todo])
+            out[todo[hit]] = n[hit]
+            todo = todo[(n >= 0) & ~hit]
+            at[todo] = (at[todo] + 1) & int(self.mask)
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Keys that find does not know."""
+        at, todo = (keys & self.mask).astype(np.int64), np.arange(len(keys))
+        self.n += len(keys)
+        while len(todo):
+            free = todo[self.numbers[at[todo]] < 0]
+            self.numbers[at[free]] = numbers[free]  # of several that want one place, one gets it
+            won = free[self.numbers[at[free]] == numbers[free]]
+            self.keys[at[won]] = keys[won]
+            left = np.ones(len(keys), bool)
+            left[won] = False
+            todo = todo[left[todo]]
+            at[todo] = (at[todo] + 1) & int(self.mask)
+
+
 class SegmentEncoder:
     """Ids of whole texts from a byte-level BPE tokenizer, with the ids of segments kept.
 
@@ -213,16 +246,16 @@ class SegmentEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots = Slots()
         #: Ids and bytes of the stored segments, and where each begins.
         self.ids, self.first_id, self.n_ids = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
         self.text, self.first_byte, self.n_bytes = Grown(np.uint8), Grown(np.int64), Grown(np.int64)
 
     def _add(self, raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: np.ndarray) -> np.ndarray:
         """Encode and store segments; their numbers."""
-        ids, n_ids = self._fresh(raw, starts, ends, joined)
+        ids, first, n_ids = self._fresh(raw, starts, ends, joined)
         n_bytes, number = ends - starts, self.n_ids.n + np.arange(len(starts))
-        self.first_id.add(self.ids.n + np.cumsum(n_ids) - n_ids)
+        self.first_id.add(self.ids.n + first)
         self.first_byte.add(self.text.n + np.cumsum(n_bytes) - n_bytes)
         self.n_ids.add(n_ids)
         self.n_bytes.add(n_bytes)
@@ -245,40 +278,37 @@ class SegmentEncoder:
         starts = np.flatnonzero(cut)
         return starts, inner[starts]
 
-    def _fresh(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids) of new segments. Those that are cut at both ends are encoded as runs of text of their
-        own, since the cuts hold there too, and told apart by the lengths of the tokens in bytes."""
-        sizes, ids = np.zeros(len(starts), np.int64), [None] * len(starts)
-        some = np.flatnonzero(joined)
+    def _fresh(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, each segment's first id, number of ids) of new segments. Those that are cut at both ends are encoded as
+        runs of text of their own, since the cuts hold there too, and told apart by the lengths of the tokens in bytes."""
+        some, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
         runs = [some[k : k + 2048] for k in range(0, len(some), 2048)]
-        texts = [b"".join(raw[a:b] for a, b in zip(starts[r].tolist(), ends[r].tolist())).decode("utf-8") for r in runs]
-        alone = np.flatnonzero(~joined).tolist()
-        texts += [raw[starts[k] : ends[k]].decode("utf-8") for k in alone]
+        texts = [b"".join([raw[a:b] for a, b in zip(starts[r].tolist(), ends[r].tolist())]).decode("utf-8") for r in runs]
+        texts += [raw[starts[k] : ends[k]].decode("utf-8") for k in alone.tolist()]
         got = [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        for r, g in zip(runs, got):
+        before = np.concatenate(([0], np.cumsum([len(g) for g in got]))).astype(np.int64)
+        first, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for r, g, at in zip(runs, got, before.tolist()):
             place = np.concatenate(([0], np.cumsum(self.bytes[g])))
-            at = np.searchsorted(place, np.concatenate(([0], np.cumsum(ends[r] - starts[r]))))
-            for k, a, b in zip(r.tolist(), at[:-1].tolist(), at[1:].tolist()):
-                ids[k] = g[a:b]
-            sizes[r] = np.diff(at)
-        for k, g in zip(alone, got[len(runs) :]):
-            ids[k], sizes[k] = g, len(g)
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), sizes
+            cut = np.searchsorted(place, np.concatenate(([0], np.cumsum(ends[r] - starts[r]))))
+            first[r], size[r] = at + cut[:-1], np.diff(cut)
+        first[alone], size[alone] = before[len(runs) : -1], np.diff(before[len(runs) :])
+        return (np.concatenate(got) if got else np.zeros(0, np.uint32)), first, size
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a slice, the texts' bounds)."""
-        if len(self.slots) > self.MAX_SEGMENTS or self.ids.n > self.MAX_IDS:
+        if self.slots.n > self.MAX_SEGMENTS or self.ids.n > self.MAX_IDS:
             self.clear()
         starts, inner = self._starts(data, offs)
         ends = np.append(starts[1:], len(data)).astype(np.int64)[: len(starts)]
         keys, first, which = np.unique(tx.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        slot = np.array([self.slots.get(k, -1) for k in keys.tolist()], np.int64)
+        slot = self.slots.find(keys)
         new, raw = np.flatnonzero(slot < 0), None
         if len(new):
             pick, raw = first[new], data.tobytes()
             closed = np.append(inner[1:], False)
             slot[new] = self._add(raw, data, starts[pick], ends[pick], inner[pick] & closed[pick])
-            self.slots.update(zip(keys[new].tolist(), slot[new].tolist()))
+            self.slots.add(keys[new], slot[new])
         slot, n = slot[which], ends - starts
         same = self.n_bytes.all[slot] == n
         same &= tx.same_spans(data, starts, self.text.all, self.first_byte.all[slot], np.where(same, n, 0))

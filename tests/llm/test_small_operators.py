@@ -174,6 +174,20 @@ def test_segments_with_one_hash_are_told_apart(monkeypatch):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == want.ids
 
 
+def test_slots_keep_numbers():
+    rng = np.random.default_rng(6)
+    slots, known = token_pack.Slots(10), {}
+    for _ in range(20):
+        keys = np.unique(rng.integers(0, 2**63, 40, dtype=np.uint64) << np.uint64(rng.integers(0, 12)))
+        assert slots.find(keys).tolist() == [known.get(k, -1) for k in keys.tolist()]
+        new = keys[slots.find(keys) < 0]
+        slots.add(new, len(known) + np.arange(len(new)))
+        known |= {k: len(known) + n for n, k in enumerate(new.tolist())}
+        assert slots.n == len(known)
+    every = np.array(list(known), np.uint64)
+    assert slots.find(every).tolist() == list(known.values())
+
+
 def tx_slices(texts, limit):
     from stratavox.llm import text as tx
 
