@@ -102,7 +102,8 @@ def train(flat: np.ndarray, cuts: np.ndarray, y: np.ndarray, grades: np.ndarray,
     keep = (np.bincount(flat, minlength=1 << BITS) >= min_docs)[flat]
     cuts = np.concatenate(([0], np.cumsum(keep)))[cuts]
     used, col = np.unique(flat[keep], return_inverse=True)
-    m, row = len(used), np.repeat(np.arange(n), np.diff(cuts))
+    col = col.astype(np.int32)
+    m, row = len(used), np.repeat(np.arange(n, dtype=np.int32), np.diff(cuts))
     by_col = np.argsort(col, kind="stable")
     col_rows, col_starts = row[by_col], np.searchsorted(col[by_col], np.arange(m))
     some = np.flatnonzero(np.diff(cuts))
@@ -113,25 +114,28 @@ def train(flat: np.ndarray, cuts: np.ndarray, y: np.ndarray, grades: np.ndarray,
             s[some] = np.add.reduceat(v[col], cuts[some])
         return s
 
-    def loss(v: np.ndarray) -> float:
-        edge, s = np.concatenate(([-np.inf], v[m:], [np.inf])), sums(v)
+    def loss(s: np.ndarray, theta: np.ndarray) -> float:
+        edge = np.concatenate(([-np.inf], theta, [np.inf]))
         return float(-np.log(np.maximum(_sigmoid(edge[y + 1] - s) - _sigmoid(edge[y] - s), 1e-9)).mean())
 
-    def slope(v: np.ndarray) -> np.ndarray:
-        gs, gt = gradient(sums(v), y, v[m:])
+    def slope(s: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        gs, gt = gradient(s, y, theta)
         return np.concatenate([np.add.reduceat(gs[col_rows], col_starts) if m else gs[:0], gt]) / n
 
     cum = np.cumsum(np.bincount(y, minlength=k))[:-1] / max(1, n)
     theta = np.log(np.clip(cum, 1e-3, 1 - 1e-3) / np.clip(1 - cum, 1e-3, 1))
     x = np.concatenate([np.zeros(m), np.maximum.accumulate(theta + 1e-3 * np.arange(k - 1))])
-    z, pull, step, last, held = x, 1.0, 1.0, np.inf, 0
+    # sx, sz: the rows' sums at x and z; they are linear, so those at z need no pass over the features
+    z, sx, pull, step, last, held = x, np.zeros(n), 1.0, 1.0, np.inf, 0
+    sz = sx
     for _ in range(rounds):
-        at, g = loss(z), slope(z)
+        at, g = loss(sz, z[m:]), slope(sz, z[m:])
         for _ in range(40):  # halve the step until the loss is below its bound
             new = z - step * g
             new[:m] = np.sign(new[:m]) * np.maximum(np.abs(new[:m]) - step * l1, 0)
             new[m:] = np.maximum.accumulate(new[m:])
-            move, there = new - z, loss(new)
+            move, s = new - z, sums(new)
+            there = loss(s, new[m:])
             if there <= at + g @ move + move @ move / (2 * step) + 1e-12:
                 break
             step /= 2
@@ -140,11 +144,13 @@ def train(flat: np.ndarray, cuts: np.ndarray, y: np.ndarray, grades: np.ndarray,
         now = there + l1 * np.abs(new[:m]).sum()
         held = held + 1 if abs(last - now) <= 1e-5 * now else 0
         if now > last:  # the pull went too far: start it anew
-            z, pull, last = x, 1.0, np.inf
+            z, sz, pull, last = x, sx, 1.0, np.inf
             continue
         after = (1 + np.sqrt(1 + 4 * pull * pull)) / 2
-        z, x, pull, last, step = new + (pull - 1) / after * (new - x), new, after, now, 1.1 * step
+        far = (pull - 1) / after
+        z, sz = new + far * (new - x), s + far * (s - sx)
         z[m:] = np.maximum.accumulate(z[m:])
+        x, sx, pull, last, step = new, s, after, now, 1.1 * step
         if held == 5:
             break
     w = np.zeros(1 << BITS)
