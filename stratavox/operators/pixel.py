@@ -26,7 +26,7 @@ def _with_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
     return df.join(written(df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]), "stats"), by)
 
 
-def quantiles(df: DataFrame, by: list[str], col: str, qs: dict[str, float], bins: int = 4096, rest: int = 20_000) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], col: str, qs: dict[str, float], bins: int = 4096, rest: int = 200_000) -> DataFrame:
     """(by, a column for each of qs): exact quantiles with linear interpolation, null and NaN left out.
 
     Each wanted rank has a range of values that holds it. As long as more than `rest` values lie in a range, a pass over the

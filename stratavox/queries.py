@@ -43,6 +43,11 @@ class Tables:
     def vox(self) -> DataFrame:
         return derived.voxels(self.spark, self.sf_dir)
 
+    def kept(self) -> Tables:
+        """Store the voxels first: for queries that pass over them again and again."""
+        self.__dict__["vox"] = written(self.vox, "voxels")
+        return self
+
     @cached_property
     def dims(self) -> DataFrame:
         return written(derived.dims(self.spark, self.sf_dir), "dims")
@@ -279,6 +284,7 @@ def _(t):
 
 @query("p3_percentile_threshold", f"{PREDS}, cut AS (SELECT run, volume_id, quantile_cont(area, 0.9) AS c FROM preds GROUP BY 1, 2); SELECT run, {CC} FROM preds JOIN cut USING (run, volume_id) WHERE area >= greatest(c, 0.5)")
 def _(t):
+    t.kept()
     return px.percentile_threshold(derived.predictions(t.vox), 0.9, 0.5, ("run", "volume_id"), "area").select("run", *C)
 
 
@@ -289,11 +295,13 @@ def _(t):
 
 @query("p5_percentile_binarize", f"; SELECT {CC}, CAST(value <= quantile_cont(value, 0.2) OVER (PARTITION BY volume_id, z) AS INTEGER) AS value FROM voxels")
 def _(t):
+    t.kept()
     return px.percentile_binarize(t.vox, 0.2, below=True)
 
 
 @query("p6_clip_normalize", f"q AS (SELECT volume_id, z, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi FROM voxels GROUP BY 1, 2); SELECT {CC}, coalesce((greatest(lo, least(hi, value)) - lo) / nullif(hi - lo, 0), 0) AS value FROM voxels JOIN q USING (volume_id, z)", "value")
 def _(t):
+    t.kept()
     return px.clip_normalize(t.vox)
 
 
@@ -804,6 +812,7 @@ P3 = f"{PREDS}, cut AS (SELECT run, volume_id, quantile_cont(area, 0.9) AS c FRO
 
 def evaluated(t: Tables) -> DataFrame:
     """The minimum slice: percentile threshold of every run's prediction, IoU and FPR against the truth."""
+    t.kept()
     hit = px.percentile_threshold(derived.predictions(t.vox), 0.9, 0.5, ("run", "volume_id"), "area")
     return me.iou_fpr(t.gt, hit, t.dims, ["run", "volume_id"])
 
@@ -823,6 +832,7 @@ GRID_KEYS = "lower(volume_id) AS cell, 'mito' AS organelle, 30 + 20 * run AS rat
 
 @query("e3_evaluate_grid", f"{P3}; SELECT {GRID_KEYS}, volume_id, tp, fp, fn, iou, fpr, dice FROM iou UNION ALL SELECT lower(volume_id), 'mito', 99, 9, 'own', volume_id, 0, 0, count(*), 0, 0, 0 FROM gt GROUP BY volume_id", "iou fpr dice")
 def _(t):
+    t.kept()
     keys = ["cell", "organelle", "ratio", "trial", "method"]
     named = [F.lower("volume_id").alias("cell"), F.lit("mito").alias("organelle"), (30 + 20 * F.col("run")).alias("ratio"), F.col("run").alias("trial"), F.when(F.col("run") % 2 == 0, "own").otherwise("other").alias("method")]
     preds = derived.predictions(t.vox).select(*named, *C, F.col("area").alias("value"))
@@ -1002,6 +1012,7 @@ def _(t):
 
 @query("i6_clean_volume")
 def _(t):
+    t.kept()
     return jobs.clean_volume(t.pred.select(*C, F.col("area").alias("value")), t.dims)
 
 
@@ -1012,21 +1023,26 @@ def _(t):
 
 @query("l2_candidate_mask_0", f"{PRED0}, c AS (SELECT volume_id, quantile_cont(area, 0.9) AS c FROM pred GROUP BY 1); SELECT {CC} FROM pred JOIN c USING (volume_id) WHERE area >= greatest(c, 0.2)")
 def _(t):
+    t.kept()
     return jobs.candidate_mask(t.pred, t.dims, 0)
 
 
 @query("l2_candidate_mask_1")
 def _(t):
-    return jobs.candidate_mask(t.pred, t.dims, 1, threshold=0.45, lo=5)
+    t.kept()
+    # dark lines around bright regions
+    return jobs.candidate_mask(t.pred.withColumn("edge", 1 - F.col("edge")), t.dims, 1, threshold=0.6, lo=5)
 
 
 @query("l2_candidate_mask_2")
 def _(t):
+    t.kept()
     return jobs.candidate_mask(t.pred, t.dims, 2)
 
 
 @query("l3_refine_round")
 def _(t):
+    t.kept()
     return jobs.refine_round(t.pred, derived.mask_above(t.vox, 240), t.seed, t.negative, t.dims, hull_times=1.3, line_share=0.3)
 
 
@@ -1040,6 +1056,7 @@ def _(t):
 
 @query("t1_streaming_iou", f"{P3}; SELECT run, volume_id, tp, fp, fn, iou, fpr, dice FROM iou", "iou fpr dice")
 def _(t):
+    t.kept()
     from .streaming.iou import prediction_stream, streaming_iou
 
     root = new_path(t.spark, "stream")
