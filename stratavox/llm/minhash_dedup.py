@@ -178,33 +178,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, low: int) -> DataFrame:
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of the rows of one key each, from batches sorted by their first `keys` columns."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in cols)
-        change[0] = last is not None and first != last
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows] if not change[0] else [*np.flatnonzero(change).tolist(), batch.num_rows]
-        if change[0] and held:
-            yield pa.Table.from_batches(held)
-            held = []
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            held.append(batch.slice(x, y - x))
-            if y < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held = []
-        last = tuple(c[-1] for c in cols)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _crossing(t: pa.Table, scheme: Scheme, low: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of a cell's pairs of different components that the sizes and signatures leave as candidates.
 
@@ -260,7 +233,7 @@ def _families(keyed: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Sche
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 4):
+        for t in tx.grouped(batches, 4):
             x, y = _crossing(t, scheme, low)
             if len(x):
                 comp = t.column(5).to_numpy()
@@ -282,7 +255,7 @@ def _within(families: DataFrame, nodes: DataFrame, sets: DataFrame, scheme: Sche
     """Confirmed links between different components of a cluster, as stars within each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 4):
+        for t in tx.grouped(batches, 4):
             x, y = _crossing(t, scheme, low)
             if len(x):
                 both = _intersections([np.frombuffer(s.as_buffer(), np.uint64) for s in t.column(9).combine_chunks()], x, y)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, decontaminate, language_id, mixing, oracles, ordinal_quality, pii_semicrf, quality_forest, token_pack, url_reputation
+from . import chat_rotation, decontaminate, language_id, mixing, oracles, ordinal_quality, periodic_runs, pii_semicrf, quality_forest, spelling, suffix_merge, token_pack, url_reputation
 from .minhash_dedup import near_duplicates
 
 
@@ -84,14 +84,30 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, low=80)
 
 
-
-
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     # 0: toxic, 1: of low quality, 2: good
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 2)
     return ordinal_quality.graded_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade)
 
 
+def op11_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_merge.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.stop - x.start)
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find_runs(table(spark, sf_dir, "documents"), arranged=periodic_runs.cycled).withColumn("best", periodic_runs.best_run())
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))))
+    exponent = F.expr("best.length * 1000 div best.period").alias("exponent_milli")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spelling.variants(table(spark, sf_dir, "documents"), thin=97)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,6 +121,9 @@ QUERIES = {
         op8_pii_semicrf,
         op9_minhash_dedup,
         op10_ordinal_quality,
+        op11_suffix_merge,
+        op12_periodic_runs,
+        op13_spelling_variants,
     )
 }
 

@@ -154,3 +154,51 @@ def shingle_sets(h: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
         else:
             out.append(h[:0])
     return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of the rows of one key each, from batches sorted by their first `keys` columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        change[0] = last is not None and first != last
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows] if not change[0] else [*np.flatnonzero(change).tolist(), batch.num_rows]
+        if change[0] and held:
+            yield pa.Table.from_batches(held)
+            held = []
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            held.append(batch.slice(x, y - x))
+            if y < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows (at least one key's) that hold all rows of their keys, from batches sorted likewise."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n >= rows:
+            last = [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in range(keys)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+            other = np.flatnonzero(np.logical_or.reduce([c != v for c, v in zip(cols, last)]))
+            if len(other):
+                cut = int(other[0])
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, n, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
