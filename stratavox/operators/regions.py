@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.derived import C
@@ -34,37 +34,90 @@ def region_basics(labels: DataFrame) -> DataFrame:
     return out.select(*R, "size", *box, (F.col("size") / (side["z"] * side["y"] * side["x"])).alias("extent"), (longest / shortest).alias("bbox_aspect"))
 
 
-def central_moments(labels: DataFrame, order: int = 3) -> DataFrame:
-    """n, centroid (cy, cx) and central sums mu_pq of y and x of slice regions up to an order."""
-    c = labels.groupBy(*R).agg(F.count("*").alias("n"), F.avg("y").alias("cy"), F.avg("x").alias("cx"))
-    both = labels.join(c, R)
-    dy, dx = F.col("y") - F.col("cy"), F.col("x") - F.col("cx")
-    terms = [F.sum(F.pow(dy, F.lit(p)) * F.pow(dx, F.lit(q))).alias(f"mu{p}{q}") for p in range(order + 1) for q in range(order + 1) if 2 <= p + q <= order]
-    return both.groupBy(*R, "n", "cy", "cx").agg(*terms)
+#: Exact whole numbers of up to 38 digits.
+WHOLE = "decimal(38,0)"
+
+
+def integer_moments(labels: DataFrame) -> DataFrame:
+    """n, the centroid (cy, cx) and the central sums of powers of y and x of slice regions as whole numbers: k20, k11, k02
+    are n times, k30, k21, k12, k03 n * n times the sums.
+
+    Powers are summed exactly, so results depend on neither order nor partitioning; the digits suffice for regions of
+    some 10^8 pixels of slices of up to 10^6 a side, beyond which Spark raises an overflow.
+    """
+    y, x = F.col("y").cast("long"), F.col("x").cast("long")
+    powers = [(p, q) for p in range(4) for q in range(4) if 1 <= p + q <= 3]
+    product = lambda p, q: F.lit(1).cast("long") if p + q == 0 else (y * product(p - 1, q) if p else x * product(p, q - 1))
+    sums = [F.sum(product(p, q).cast("decimal(20,0)")).cast(WHOLE).alias(f"t{p}{q}") for p, q in powers]
+    m = labels.groupBy(*R).agg(F.count("*").alias("n"), F.min("y").cast(WHOLE).alias("y0"), F.min("x").cast(WHOLE).alias("x0"), *sums)
+    m = m.withColumn("t00", F.col("n").cast(WHOLE))
+    times = lambda *factors: factors[0] if len(factors) == 1 else (factors[0] * times(*factors[1:])).cast(WHOLE)
+    whole = lambda v: F.lit(v).cast(WHOLE)
+
+    def moved(p: int, q: int) -> Column:
+        """The sum of (y - y0)^p (x - x0)^q."""
+        out = whole(0)
+        for i in range(p + 1):
+            for j in range(q + 1):
+                sign = -1 if (p - i + q - j) % 2 else 1
+                out = out + times(whole(sign * math.comb(p, i) * math.comb(q, j)), *[F.col("y0")] * (p - i), *[F.col("x0")] * (q - j), F.col(f"t{i}{j}"))
+                out = out.cast(WHOLE)
+        return out
+
+    m = m.select(*R, "n", "t00", "y0", "x0", *[moved(p, q).alias(f"s{p}{q}") for p, q in powers])
+    s = lambda name: F.col(f"s{name}")
+    n = F.col("t00")
+    k = {
+        "20": times(n, s("20")) - times(s("10"), s("10")),
+        "11": times(n, s("11")) - times(s("10"), s("01")),
+        "02": times(n, s("02")) - times(s("01"), s("01")),
+        "30": times(n, n, s("30")) - times(whole(3), n, s("10"), s("20")) + times(whole(2), s("10"), s("10"), s("10")),
+        "03": times(n, n, s("03")) - times(whole(3), n, s("01"), s("02")) + times(whole(2), s("01"), s("01"), s("01")),
+        "21": times(n, n, s("21")) - times(whole(2), n, s("10"), s("11")) - times(n, s("01"), s("20")) + times(whole(2), s("10"), s("10"), s("01")),
+        "12": times(n, n, s("12")) - times(whole(2), n, s("01"), s("11")) - times(n, s("10"), s("02")) + times(whole(2), s("01"), s("01"), s("10")),
+    }
+    centre = [(F.col(f"{a}0").cast("double") + F.col(t).cast("double") / F.col("n")).alias(f"c{a}") for a, t in (("y", "s10"), ("x", "s01"))]
+    return m.select(*R, "n", *centre, *[v.cast(WHOLE).alias(f"k{p}") for p, v in k.items()])
 
 
 def hu_moments(m: DataFrame) -> DataFrame:
-    """m (central_moments) plus hu1..hu7 of the normalised central moments."""
-    e = {f"{p}{q}": F.col(f"mu{p}{q}") / F.pow(F.col("n").cast("double"), F.lit((p + q) / 2 + 1)) for p in range(4) for q in range(4) if 2 <= p + q <= 3}
-    a, b = e["30"] + e["12"], e["21"] + e["03"]
-    c, d = e["30"] - 3 * e["12"], 3 * e["21"] - e["03"]
-    s, t = e["20"] + e["02"], e["20"] - e["02"]
+    """m (integer_moments) plus hu1..hu7 of the normalised central moments.
+
+    Sums and differences of moments are taken in whole numbers: those of symmetric regions are exactly 0.
+    """
+    n = F.col("n").cast("double")
+    second, third = n * n * n, n * n * n * n * F.sqrt(n)
+    k = lambda p: F.col(f"k{p}")
+    whole = lambda v: F.lit(v).cast(WHOLE)
+    of = lambda c, scale: c.cast("double") / scale
+    steps = {
+        "s_": of(k("20") + k("02"), second),
+        "t_": of(k("20") - k("02"), second),
+        "u_": of(k("11"), second),
+        "a_": of(k("30") + k("12"), third),
+        "b_": of(k("21") + k("03"), third),
+        "c_": of(k("30") - (whole(3) * k("12")).cast(WHOLE), third),
+        "d_": of((whole(3) * k("21")).cast(WHOLE) - k("03"), third),
+    }
+    m = m.select("*", *[v.alias(name) for name, v in steps.items()])
+    s, t, u, a, b, c, d = (F.col(name) for name in steps)
     hu = [
         s,
-        t * t + 4 * e["11"] * e["11"],
+        t * t + 4 * u * u,
         c * c + d * d,
         a * a + b * b,
-        c * a * (a * a - 3 * b * b) + d * b * (3 * a * a - b * b),
-        t * (a * a - b * b) + 4 * e["11"] * a * b,
-        d * a * (a * a - 3 * b * b) - c * b * (3 * a * a - b * b),
+        c * a * (a * a - 3 * (b * b)) + d * b * (3 * (a * a) - b * b),
+        t * (a * a - b * b) + 4 * u * (a * b),
+        d * a * (a * a - 3 * (b * b)) - c * b * (3 * (a * a) - b * b),
     ]
-    return m.select("*", *[h.alias(f"hu{k + 1}") for k, h in enumerate(hu)])
+    return m.select("*", *[h.alias(f"hu{i + 1}") for i, h in enumerate(hu)]).drop(*steps)
 
 
 def region_moments(labels: DataFrame) -> DataFrame:
     """Centroid, axis lengths, elongation, eccentricity and Hu invariants of slice regions."""
-    m = hu_moments(central_moments(labels))
-    a, b, c = F.col("mu20") / F.col("n"), F.col("mu11") / F.col("n"), F.col("mu02") / F.col("n")
+    m = hu_moments(integer_moments(labels))
+    area = F.col("n").cast("double") * F.col("n")
+    a, b, c = (F.col(k).cast("double") / area for k in ("k20", "k11", "k02"))
     root = F.sqrt(((a - c) / 2) ** 2 + b * b)
     l1, l2 = (a + c) / 2 + root, F.greatest(F.lit(0.0), (a + c) / 2 - root)
     l2 = F.when(l2 < 1e-12, F.lit(0.0)).otherwise(l2)

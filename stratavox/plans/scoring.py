@@ -73,7 +73,7 @@ def score_slices(features: DataFrame, scorer: Callable, dims: DataFrame, thickne
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["y", "x"], ignore_index=True)
         h, w = int(f["y"].max()) + 1, int(f["x"].max()) + 1
-        s = np.asarray(scorer({"features": np.stack(f["f"].to_numpy()).reshape(1, h, w, -1)})).reshape(-1)
+        s = np.asarray(scorer({"features": np.stack(f["f"].to_numpy()).reshape(1, h, w, -1)}), float).reshape(-1)
         return f[[*C]].assign(value=1 / (1 + np.exp(-s)))
 
     out = features.select(*C, "f").groupBy("volume_id", "z").applyInPandas(run, "volume_id string, z int, y int, x int, value double")

@@ -629,15 +629,17 @@ def _(t):
     return re_.region_basics(t.solid)
 
 
-CENT = "cent AS (SELECT volume_id, label, count(*) AS n, avg(y) AS cy, avg(x) AS cx FROM lab GROUP BY 1, 2)"
-MU = ", ".join(f"sum(pow(y - cy, {p}) * pow(x - cx, {q})) AS mu{p}{q}" for p in range(4) for q in range(4) if 2 <= p + q <= 3)
-MOM = f"{CENT}, mom AS (SELECT volume_id, label, any_value(n) AS n, any_value(cy) AS cy, any_value(cx) AS cx, {MU} FROM lab JOIN cent USING (volume_id, label) GROUP BY 1, 2)"
-HU = "hu AS (SELECT *, " + ", ".join(f"mu{p}{q} / pow(n, {(p + q) / 2 + 1}) AS e{p}{q}" for p in range(4) for q in range(4) if 2 <= p + q <= 3) + " FROM mom), hv AS (SELECT *, e20 + e02 AS hu1, (e20 - e02) * (e20 - e02) + 4 * e11 * e11 AS hu2, (e30 - 3 * e12) * (e30 - 3 * e12) + (3 * e21 - e03) * (3 * e21 - e03) AS hu3, (e30 + e12) * (e30 + e12) + (e21 + e03) * (e21 + e03) AS hu4, (e30 - 3 * e12) * (e30 + e12) * (pow(e30 + e12, 2) - 3 * pow(e21 + e03, 2)) + (3 * e21 - e03) * (e21 + e03) * (3 * pow(e30 + e12, 2) - pow(e21 + e03, 2)) AS hu5, (e20 - e02) * (pow(e30 + e12, 2) - pow(e21 + e03, 2)) + 4 * e11 * (e30 + e12) * (e21 + e03) AS hu6, (3 * e21 - e03) * (e30 + e12) * (pow(e30 + e12, 2) - 3 * pow(e21 + e03, 2)) - (e30 - 3 * e12) * (e21 + e03) * (3 * pow(e30 + e12, 2) - pow(e21 + e03, 2)) AS hu7, (mu20 / n + mu02 / n) / 2 + sqrt(pow((mu20 / n - mu02 / n) / 2, 2) + pow(mu11 / n, 2)) AS l1, greatest(0, (mu20 / n + mu02 / n) / 2 - sqrt(pow((mu20 / n - mu02 / n) / 2, 2) + pow(mu11 / n, 2))) AS l2r FROM hu), hw AS (SELECT *, CASE WHEN l2r < 1e-12 THEN 0 ELSE l2r END AS l2 FROM hv)"
+SUMS = ", ".join(f"sum({'*'.join(['v'] * p + ['u'] * q)}) AS s{p}{q}" for p in range(4) for q in range(4) if 1 <= p + q <= 3)
+WHOLES = "n * s20 - s10 * s10 AS k20, n * s11 - s10 * s01 AS k11, n * s02 - s01 * s01 AS k02, n * n * s30 - 3 * n * s10 * s20 + 2 * s10 * s10 * s10 AS k30, n * n * s03 - 3 * n * s01 * s02 + 2 * s01 * s01 * s01 AS k03, n * n * s21 - 2 * n * s10 * s11 - n * s01 * s20 + 2 * s10 * s10 * s01 AS k21, n * n * s12 - 2 * n * s01 * s11 - n * s10 * s02 + 2 * s01 * s01 * s10 AS k12"
+MOM = f"corner AS (SELECT volume_id, label, count(*)::HUGEINT AS n, min(y) AS y0, min(x) AS x0 FROM lab GROUP BY 1, 2), sums AS (SELECT volume_id, label, any_value(n) AS n, any_value(y0) AS y0, any_value(x0) AS x0, {SUMS} FROM (SELECT volume_id, label, n, y0, x0, (y - y0)::BIGINT AS v, (x - x0)::BIGINT AS u FROM lab JOIN corner USING (volume_id, label)) GROUP BY 1, 2), mom AS (SELECT volume_id, label, n::BIGINT AS n, n::DOUBLE AS m, y0 + s10::DOUBLE / n::DOUBLE AS cy, x0 + s01::DOUBLE / n::DOUBLE AS cx, {WHOLES} FROM sums)"
+HU = "hu AS (SELECT *, (k20 + k02)::DOUBLE / (m * m * m) AS s, (k20 - k02)::DOUBLE / (m * m * m) AS t, k11::DOUBLE / (m * m * m) AS u, (k30 + k12)::DOUBLE / (m * m * m * m * sqrt(m)) AS a, (k21 + k03)::DOUBLE / (m * m * m * m * sqrt(m)) AS b, (k30 - 3 * k12)::DOUBLE / (m * m * m * m * sqrt(m)) AS c, (3 * k21 - k03)::DOUBLE / (m * m * m * m * sqrt(m)) AS d, k20::DOUBLE / (m * m) AS v20, k11::DOUBLE / (m * m) AS v11, k02::DOUBLE / (m * m) AS v02 FROM mom), hv AS (SELECT *, s AS hu1, t * t + 4 * u * u AS hu2, c * c + d * d AS hu3, a * a + b * b AS hu4, c * a * (a * a - 3 * (b * b)) + d * b * (3 * (a * a) - b * b) AS hu5, t * (a * a - b * b) + 4 * u * (a * b) AS hu6, d * a * (a * a - 3 * (b * b)) - c * b * (3 * (a * a) - b * b) AS hu7, (v20 + v02) / 2 + sqrt(((v20 - v02) / 2) * ((v20 - v02) / 2) + v11 * v11) AS l1, greatest(0, (v20 + v02) / 2 - sqrt(((v20 - v02) / 2) * ((v20 - v02) / 2) + v11 * v11)) AS l2r FROM hu), hw AS (SELECT *, CASE WHEN l2r < 1e-12 THEN 0 ELSE l2r END AS l2 FROM hv)"
+HUS = ", ".join(f"hu{k}" for k in range(1, 8))
 
 
-@query("c8_region_moments", f"{LAB2}, {MOM}, {HU}; SELECT volume_id, label, n AS size, cy, cx, 4 * sqrt(l1) AS major, 4 * sqrt(l2) AS minor, coalesce(sqrt(greatest(0, 1 - pow(sqrt(l2) / nullif(sqrt(l1), 0), 2))), 0) AS eccentricity, hu1, hu2, hu3 FROM hw", "cy cx major minor eccentricity hu1 hu2 hu3")
+@query("c8_region_moments", f"{LAB2}, {MOM}, {HU}; SELECT volume_id, label, n AS size, cy, cx, 4 * sqrt(l1) AS major, 4 * sqrt(l2) AS minor, coalesce(sqrt(greatest(0, 1 - pow(sqrt(l2) / nullif(sqrt(l1), 0), 2))), 0) AS eccentricity, {HUS}, CAST(sign(hu5) * 9 + sign(hu6) * 3 + sign(hu7) AS INTEGER) AS signs FROM hw", f"cy cx major minor eccentricity {HUS.replace(',', '')}")
 def _(t):
-    return re_.region_moments(t.flat).select("volume_id", "label", "size", "cy", "cx", "major", "minor", "eccentricity", "hu1", "hu2", "hu3")
+    signs = (F.signum("hu5") * 9 + F.signum("hu6") * 3 + F.signum("hu7")).cast("int").alias("signs")
+    return re_.region_moments(t.flat).select("volume_id", "label", "size", "cy", "cx", "major", "minor", "eccentricity", *HUS.split(", "), signs)
 
 
 PERIM = f"""inner_ AS (SELECT a.volume_id, a.z, a.y, a.x, a.label FROM lab a JOIN lab b ON a.volume_id = b.volume_id AND a.z = b.z AND a.label = b.label AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY ALL HAVING count(*) = 5),

@@ -541,3 +541,27 @@ def test_clean_volume_of_a_ball(spark):
     assert got.max() > 1 and got[0, 0, 0] < 0.05
     assert np.unravel_index(got.argmax(), got.shape)[1] in (5, 6)
     assert np.allclose(dense(jobs.clean_volume(df, dims, 2.0, 8), (12, 12, 12)), 0)
+
+
+def test_moments_do_not_depend_on_partitions(spark):
+    """Symmetric and odd regions, far from the origin: whole numbers, so the same bits under any partitioning."""
+    rng = np.random.default_rng(11)
+    shapes = [[(0, 0), (0, 1), (1, 0), (1, 1)], [(0, 1), (1, 0), (1, 1), (1, 2), (2, 1)], [(y, x) for y in range(9) for x in range(9) if (y - 4) ** 2 + (x - 4) ** 2 < 18], [(y, 0) for y in range(7)] + [(6, x) for x in range(1, 7)]]
+    shapes += [[(int(y), int(x)) for y, x in {tuple(p) for p in rng.integers(0, 12, (60, 2))}] for _ in range(6)]
+    rows = [("v", 0, 90_000 + y, 70_001 + x, k) for k, cells in enumerate(shapes) for y, x in cells]
+    out = []
+    for n in (1, 7, 64):
+        labels = spark.createDataFrame(rows, "volume_id string, z int, y int, x int, label long").repartition(n)
+        out.append([tuple(r) for r in re_.region_moments(labels).orderBy("label").collect()])
+    assert out[0] == out[1] == out[2]
+    for r, cells in zip(out[0], shapes):
+        y, x = (np.array(c, float) for c in zip(*cells))
+        m = len(y)
+        y, x = y - y.mean(), x - x.mean()
+        e = {(p, q): (y**p * x**q).sum() / m ** ((p + q) / 2 + 1) for p in range(4) for q in range(4)}
+        a, b, c, d = e[3, 0] + e[1, 2], e[2, 1] + e[0, 3], e[3, 0] - 3 * e[1, 2], 3 * e[2, 1] - e[0, 3]
+        want = [e[2, 0] + e[0, 2], (e[2, 0] - e[0, 2]) ** 2 + 4 * e[1, 1] ** 2, c * c + d * d, a * a + b * b, c * a * (a * a - 3 * b * b) + d * b * (3 * a * a - b * b), (e[2, 0] - e[0, 2]) * (a * a - b * b) + 4 * e[1, 1] * a * b, d * a * (a * a - 3 * b * b) - c * b * (3 * a * a - b * b)]
+        assert np.allclose(r[-7:], want, rtol=1e-9, atol=1e-15)
+    for r in out[0][:3]:  # twofold symmetry: exactly no third moments
+        assert r[-5:] == (0.0, 0.0, 0.0, 0.0, 0.0)
+    assert out[0][3][-1] == 0.0 and out[0][3][-3] != 0.0  # symmetry about a diagonal
