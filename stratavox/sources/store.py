@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,21 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Has Spark delete a query's shuffle files when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of the queries run within end with them; for queries whose results are read from elsewhere."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 class Scratch:
     """Tables that are written on the way and removed together; as a context, at its end."""
 
@@ -43,7 +60,8 @@ class Scratch:
         """Write df as Parquet to the shared folder and read it back: lineage ends there, and sizes are known."""
         path = new_path(self.spark, tag)
         self.paths.append(path)
-        df.write.parquet(path)
+        with _shuffles_end(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:
