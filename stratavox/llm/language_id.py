@@ -61,6 +61,10 @@ def _places(codes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h + np.uint64(k) * step) & mask).astype(np.int64) for k in range(HASHES)]
 
 
+#: Values of the language column that may be learned; more of them are an error, none is left out.
+MAX_LANGUAGES = 10_000
+
+
 @dataclass
 class Model:
     """languages: most frequent first; masks: the bit-sliced filter, a row for each 64 languages; fpr: false-positive rate of each language."""
@@ -94,11 +98,13 @@ def contains(model: Model, codes: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, docs_per_language: int = 4000, min_share: float = 5e-6, min_ratio: float = 0.1) -> Model:
-    """Learn from rows with text and language. A language contains an n-gram if the n-gram's share there is at least
+    """Learn from rows with text and language, those of a language chosen by `key` (a hash of the text, or of more). A language contains an n-gram if the n-gram's share there is at least
     min_share and min_ratio of its share in the language where it is most common."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = F.xxhash64(F.col(text_col)) if key is None else key
-    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
+    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: reduce the column to codes first")
     if not counts:
         return Model([], 10, np.zeros((1, 1024), np.uint64), np.zeros(0))
     unit = (F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))).alias("unit")

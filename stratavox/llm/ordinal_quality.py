@@ -165,23 +165,24 @@ def _selected(docs: DataFrame, rated: DataFrame, docs_per_grade: int, features_p
         raise ValueError(f"more than {MAX_GRADES} grades: bin the ratings first")
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11) / F.lit(float(1 << 53))
     shares = rated.sparkSession.createDataFrame([(r["grade"], min(1.0, docs_per_grade / r["count"])) for r in counts], "grade double, share double")
-    picked = rated.join(F.broadcast(shares), "grade").where(unit < F.col("share")).select("doc_id", "grade", "share")
+    picked = rated.join(F.broadcast(shares), "grade").where(unit < F.col("share")).select("doc_id", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in tx.slices(batch.column(3)):
+            for i, j, data, offs in tx.slices(batch.column(2)):
                 t, f = distinct(*features(data, offs))
                 cut = np.searchsorted(t, np.arange(j - i + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(f.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), lists], ["doc_id", "grade", "share", "f"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(2)), lists], ["doc_id", "grade", "f"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(docs.sparkSession) as passing:
-        found = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "share", "text")
-        found = passing.written(found.mapInArrow(run, "doc_id long, grade double, share double, f array<int>"), "sample")
+        found = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text")
+        found = passing.written(found.mapInArrow(run, "doc_id long, grade double, f array<int>"), "sample")
         totals = found.groupBy("grade").agg(F.sum(F.size("f")).alias("total"))
-        within = F.col("share") * F.least(F.lit(1.0), F.lit(float(features_per_grade)) / F.greatest(F.col("total"), F.lit(1)))
-        table = found.join(F.broadcast(totals), "grade").where(unit < within).orderBy("doc_id", F.xxhash64("f")).select("grade", "f").toArrow()
+        within = F.least(F.lit(1.0), F.lit(float(features_per_grade)) / F.greatest(F.col("total"), F.lit(1)))
+        own = F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("f")), 11) / F.lit(float(1 << 53))  # rows of an id one by one
+        table = found.join(F.broadcast(totals), "grade").where(own < within).orderBy("doc_id", F.xxhash64("f")).select("grade", "f").toArrow()
     lists = table.column(1).combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     cuts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)

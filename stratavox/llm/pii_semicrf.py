@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import Scratch
 from . import text as tx
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -285,9 +286,10 @@ def _triggered(arr: pa.Array) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 8000, seed: int = 23) -> Field:
-    """From those of about `sample_docs` documents, chosen by a hash of the id, that have a trigger."""
-    has = docs.where(F.col(text_col).rlike("[0-9@=:]")).select(F.col(text_col).cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11).alias("h"))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 8000, sample_features: int = 4_000_000, seed: int = 23) -> Field:
+    """From those of about `sample_docs` documents, chosen by a hash of id and text, that have a trigger, and of their zones
+    as many as have about sample_features features of candidate segments."""
+    has = docs.where(F.col(text_col).rlike("[0-9@=:]")).select(F.col(text_col).cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64(id_col, text_col, F.lit(seed)), 11).alias("h"))
     total = docs.count()
     first = has.where(F.col("h") < int((1 << 53) * min(1.0, sample_docs / max(1, total))))
 
@@ -307,7 +309,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
             types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, types)], list(out))
 
-    table = first.mapInArrow(run, "h long, n int, at array<int>, kind array<int>, f array<array<int>>").toArrow().to_pylist()
+    with Scratch(docs.sparkSession) as passing:
+        found = passing.written(first.mapInArrow(run, "h long, n int, at array<int>, kind array<int>, f array<array<int>>"), "zones")
+        total = found.agg(F.sum(F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + F.size(x)))).first()[0] or 0
+        unit = F.shiftrightunsigned(F.xxhash64("h", "n", "at", "f"), 11) / F.lit(float(1 << 53))
+        table = found.where(unit < min(1.0, sample_features / max(1, total))).toArrow().to_pylist()
     rows = []
     for r in sorted(table, key=lambda r: (r["h"], r["n"], r["at"], r["f"])):
         at = list(zip(r["at"][::2], r["at"][1::2]))

@@ -29,7 +29,7 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_model(docs: DataFrame) -> language_id.Model:
     """Learned from the documents that are not held out."""
-    key = F.xxhash64(F.col("doc_id"), F.lit(29))
+    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(29))  # null and repeated ids differ by their texts
     return language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"), key=key)
 
 
