@@ -38,7 +38,7 @@ from . import text as tx
 #: Bytes of an anchor's gram; a window of n bytes has n - GRAM + 1 of them, at most 63.
 GRAM = 40
 #: Contexts of one gram that are merged in one task; suffixes of one piece of a shard, or of one merge.
-HOT = 20_000
+HOT = 10_000
 PIECE = 100_000
 #: Anchors among which a task folds equal grams before they leave it.
 FOLD = 1_000_000
@@ -112,14 +112,14 @@ def _firsts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(key, gram, known, row, place) of every anchor of texts (row, text). The first of a gram in a task is keyed by it;
-    the others are known to repeat and are spread."""
+    """(key, known, row, place) of every anchor of texts (row, text). The first of a gram in a task is keyed by it; the
+    others are known to repeat and are spread."""
 
     def emit(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         gram, row, place = (np.concatenate(x) for x in zip(*held))
         first, many = _firsts(gram)
         key = np.where(first, gram, tx.mix(gram + tx.mix(row.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(gram.view(np.int64), mask=first), pa.array(many), pa.array(row), pa.array(place.astype(np.int32))], ["key", "gram", "known", "row", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(many), pa.array(row), pa.array(place.astype(np.int32))], ["key", "known", "row", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, held, n = Grams(), [], 0
@@ -139,14 +139,14 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield emit(held)
 
-    return texts.mapInArrow(run, "key long, gram long, known boolean, row long, place int")
+    return texts.mapInArrow(run, "key long, known boolean, row long, place int")
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(row, place, gram) of the anchors whose gram occurs more than once."""
+    """(row, place) of the anchors whose gram occurs more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None  # the row before, if its fate is open
+        last: pa.RecordBatch | None = None  # the row before: its fate may depend on the next
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -154,22 +154,16 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
             key = batch.column(0).to_numpy()
             same = key[1:] == key[:-1]
-            keep = batch.column(2).to_numpy(zero_copy_only=False).copy()
+            keep = batch.column(1).to_numpy(zero_copy_only=False).copy()
             keep[1:] |= same
             keep[:-1] |= same
-            # a row carried on because its successor was unknown keeps what was found of its predecessor
             last = batch.slice(batch.num_rows - 1)
-            if keep[-1]:
-                last = last.set_column(2, "known", pa.array([True]))
-            out = batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
-            yield _named(out)
-        if last is not None and last.column(2)[0].as_py():
-            yield _named(last)
+            last = pa.RecordBatch.from_arrays([last.column(0), pa.array([bool(keep[-1])]), last.column(2), last.column(3)], batch.schema.names)
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1])).select([2, 3])
+        if last is not None:
+            yield last.filter(last.column(1)).select([2, 3])
 
-    def _named(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(3), b.column(4), pc.coalesce(b.column(1), b.column(0))], ["row", "place", "gram"])
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, place int, gram long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, place int")
 
 
 # ---- contexts: the bytes before and after an anchor
@@ -279,17 +273,17 @@ def _rows(kind: int, n: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(out, list(types))
 
 
-#: Kinds of rows a shard gives: windows that repeat, suffixes to merge, single windows of common grams.
+#: Kinds of rows: windows that repeat, suffixes to merge, single windows of common grams.
 MARK, SUFFIX, WINDOW = 0, 1, 2
 
 
 def _shard(piece: list[tuple], before: int, length: int) -> Iterator[pa.RecordBatch]:
     """The suffixes of a piece of a shard in order, equal contexts folded into the earliest."""
-    block, gram, row, place, right, hot = (np.concatenate(x) for x in zip(*piece))
+    block, gram, row, place, right = (np.concatenate(x) for x in zip(*piece))
     left = np.minimum(place, before)
     group, by = np.unique(gram, return_inverse=True)
     first = np.lexsort((place, row, by))
-    block, gram, row, place, right, hot, left, by = (x[first] for x in (block, gram, row, place, right, hot, left, by))
+    block, gram, row, place, right, left, by = (x[first] for x in (block, gram, row, place, right, left, by))
     order, common = interleave([*_eights(block[:, before:]), *_eights(block[:, :before]), left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)], by)
     width = 8 * (-(-length // 8) + -(-before // 8) + 1)
     head = common < width
@@ -297,16 +291,11 @@ def _shard(piece: list[tuple], before: int, length: int) -> Iterator[pa.RecordBa
     if len(fold):
         yield _rows(MARK, len(fold), row=row[fold], place=place[fold], mask=_valid(left[fold], right[fold], before, length).view(np.int64))
     stay = order[head]
-    cold = stay[~hot[stay]]
-    if len(cold):
-        yield _rows(SUFFIX, len(cold), key=gram[cold].view(np.int64), row=row[cold], place=place[cold], after=right[cold], context=_binary(block[cold]))
-    warm = np.sort(stay[hot[stay]])
-    if len(warm):
-        yield from _windows(block[warm], row[warm], place[warm], left[warm], right[warm], before, length)
+    yield _rows(SUFFIX, len(stay), key=gram[stay].view(np.int64), row=row[stay], place=place[stay], after=right[stay], context=_binary(block[stay]))
 
 
 def _windows(block: np.ndarray, row: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, before: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Every window around anchors of common grams, the earliest of each text of it; rows come in order of time."""
+    """Every window around anchors of common grams, folded into the earliest of each text; rows come in order of time."""
     for o in range(before + 1):
         ok = np.flatnonzero((left >= o) & (right >= length - o))
         if not len(ok):
@@ -333,7 +322,7 @@ def _binary(block: np.ndarray) -> pa.Array:
 
 
 def shards(texts: DataFrame, length: int) -> DataFrame:
-    """Rows of the three kinds for texts (row, text, places): places of repeated anchors, -1 - place for common grams."""
+    """Marks and suffixes for texts (row, text, places): the places of repeated anchors."""
     before = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,14 +333,12 @@ def shards(texts: DataFrame, length: int) -> DataFrame:
                 count = pc.list_value_length(lists).to_numpy()
                 place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 owner = np.repeat(np.arange(j - i), count)
-                hot = place < 0
-                place = np.where(hot, -1 - place, place)
                 row = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
                 for k in range(0, len(place), PIECE // 4):
-                    p, o, w = place[k : k + PIECE // 4], owner[k : k + PIECE // 4], hot[k : k + PIECE // 4]
+                    p, o = place[k : k + PIECE // 4], owner[k : k + PIECE // 4]
                     low, high = offs[o], offs[o + 1]
                     at = low + p
-                    piece.append((_context(data, low, high, at, before, length), grams.at(data, at), row[o], p, np.minimum(high - at, length), w))
+                    piece.append((_context(data, low, high, at, before, length), grams.at(data, at), row[o], p, np.minimum(high - at, length)))
                     n += len(p)
                     if n >= PIECE:
                         yield from _shard(piece, before, length)
@@ -362,30 +349,45 @@ def shards(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("row", "text", "places").mapInArrow(run, _FOUND)
 
 
+def _columns(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """key, row, place, after and the contexts of suffixes."""
+    key, row, place, after = (t.column(k).to_numpy() for k in range(4))
+    raw, offs = tx.string_buffers(t.column(4))
+    return key, row, place.astype(np.int64), after, raw[offs[0] : offs[-1]].reshape(len(key), -1)
+
+
 def merged(suffixes: DataFrame, length: int) -> DataFrame:
     """(row, place, mask) of the suffixes with a repeated window: the shards' runs of each gram are merged."""
     before = length - GRAM
 
-    def merge(t: pa.Table) -> pa.RecordBatch:
-        key, row, place, after = (t.column(k).to_numpy() for k in range(4))
-        raw, offs = tx.string_buffers(t.column(4))
-        block = raw[offs[0] : offs[-1]].reshape(len(key), -1)
-        group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1])))
-        when = np.empty(len(key), np.int64)
-        when[np.lexsort((place, row))] = np.arange(len(key))
-        place = place.astype(np.int64)
-        mask = repeats(block, group, np.minimum(place, before), after, when, before, length)
-        at = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(place[at].astype(np.int32)), pa.array(mask[at].view(np.int64))], ["row", "place", "mask"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tx.whole_groups(batches, 1, PIECE):
-            yield merge(t)
+            key, row, place, after, block = _columns(t)
+            group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1])))
+            when = np.empty(len(key), np.int64)
+            when[np.lexsort((place, row))] = np.arange(len(key))
+            mask = repeats(block, group, np.minimum(place, before), after, when, before, length)
+            at = np.flatnonzero(mask)
+            yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(place[at].astype(np.int32)), pa.array(mask[at].view(np.int64))], ["row", "place", "mask"])
 
     rows = suffixes.select("key", "row", "place", "after", "context")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, place int, mask long")
 
 
+def windows(suffixes: DataFrame, length: int) -> DataFrame:
+    """Marks and windows for the suffixes of common grams, taken apart into their offsets."""
+    before = length - GRAM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, row, place, after, block = _columns(batch)
+                at = np.lexsort((place, row))
+                yield from _windows(block[at], row[at], place[at], np.minimum(place, before)[at], after[at], before, length)
+
+    return suffixes.select("key", "row", "place", "after", "context").mapInArrow(run, _FOUND)
+
+
 def _later(windows: DataFrame) -> DataFrame:
     """(row, place, mask) of all windows but the earliest of each text; no group is held."""
 
@@ -458,12 +460,19 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(docs.sparkSession) as passing:
         texts = _ordered(slim, passing)
-        open_ = passing.written(repeated_anchors(anchor_rows(texts.select("row", "text"), length)), "anchors")
-        common = open_.groupBy("gram").count().where(F.col("count") > hot).select("gram", F.lit(True).alias("common"))
-        signed = F.when(F.col("common"), -1 - F.col("place")).otherwise(F.col("place"))
-        places = open_.join(common, "gram", "left").groupBy("row").agg(F.collect_list(signed).alias("places"))
+        places = repeated_anchors(anchor_rows(texts.select("row", "text"), length)).groupBy("row").agg(F.collect_list("place").alias("places"))
+        places = passing.written(places, "anchors")
         found = passing.written(shards(texts.join(places, "row"), length), "suffixes")
-        marks = found.where(F.col("kind") == MARK).select("row", "place", "mask")
-        marks = marks.union(merged(found.where(F.col("kind") == SUFFIX), length)).union(_later(found.where(F.col("kind") == WINDOW)))
+        suffixes = found.where(F.col("kind") == SUFFIX)
+        common = passing.written(suffixes.groupBy("key").count().where(F.col("count") > hot).select("key"), "common")
+        parts = [found.where(F.col("kind") == MARK)]
+        if common.head(1):
+            apart = passing.written(windows(suffixes.join(common, "key", "left_semi"), length), "windows")
+            parts += [apart.where(F.col("kind") == MARK), _later(apart.where(F.col("kind") == WINDOW))]
+            suffixes = suffixes.join(common, "key", "left_anti")
+        marks = merged(suffixes, length)
+        for part in parts:
+            marks = marks.union(part.select("row", "place", "mask"))
+        marks = passing.written(marks, "marks")
         marks = marks.groupBy("row").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
         return written(_cut(texts.join(marks, "row", "left").select("doc_id", "text", "marks"), length), "repeats")

@@ -81,7 +81,7 @@ def test_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_merge, "PIECE", 40)
     rows = list(enumerate(corpus(4, 30)))
     want = brute(rows, 100)
-    left, low = {}, 0
+    left = {}
     before = 100 - GRAM
     # the same steps without Spark, so that the bound reaches them
     grams, held = Grams(), []
@@ -92,7 +92,7 @@ def test_small_pieces(spark, monkeypatch):
         left[i] = np.zeros(len(raw), bool)
         for a in at.tolist():
             one = np.array([a])
-            held.append((suffix_merge._context(raw, offs[:1], offs[1:], one, before, 100), grams.at(raw, one), np.array([i]), one, np.minimum(offs[1:] - one, 100), np.array([False])))
+            held.append((suffix_merge._context(raw, offs[:1], offs[1:], one, before, 100), grams.at(raw, one), np.array([i]), one, np.minimum(offs[1:] - one, 100)))
     out, suffixes = [], []
     for k in range(0, len(held), 40):
         for b in suffix_merge._shard(held[k : k + 40], before, 100):
@@ -110,7 +110,7 @@ def test_small_pieces(spark, monkeypatch):
             if m >> o & 1:
                 left[r][p - o : p - o + 100] = True
     for k, (i, t) in enumerate(rows):
-        assert left[i].sum() == want[k][0] - len(want[k][2]), (i, low)
+        assert left[i].sum() == want[k][0] - len(want[k][2])
 
 
 def test_interleave_is_the_sorted_order():
