@@ -1,70 +1,136 @@
 """Connected components of masks, and filters over them. A component's id is its smallest linear voxel index.
 
-A slice is labelled in one NumPy call (slices are the unit of storage and bounded by the acquisition); components of
-different slices are merged as a graph of components, not of voxels.
+Tiles of a slice, or blocks of a volume, are labelled with the rim of their neighbours in one NumPy call each; components
+that meet at a seam are merged as a graph of components and of the voxels that two tiles see.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.derived import C
 from ..sources.store import Scratch, written
+from . import blocks
 from .graph import connected, roots
 from .morphology import dilate, erode, mask_except
 
-LABELLED = "volume_id string, z int, y int, x int, label long"
-
-
-def plane_labels(y: np.ndarray, x: np.ndarray, eight: bool) -> np.ndarray:
-    """Index of the first voxel (row-major) of each voxel's component; y and x must be in row-major order."""
-    w = int(x.max()) + 3 if len(x) else 3
-    at = y.astype(np.int64) * w + x + 1
-    links = []
-    for step in (1, w, *((w - 1, w + 1) if eight else ())):
-        k = np.minimum(np.searchsorted(at, at + step), len(at) - 1)
-        hit = np.flatnonzero(at[k] == at + step)
-        links.append((hit, k[hit]))
-    a, b = (np.concatenate([p[s] for p in links]) for s in (0, 1))
-    return roots(len(at), a, b)
-
-
-def label_2d(mask: DataFrame, dims: DataFrame, connectivity: int = 4) -> DataFrame:
-    """(C, label) with components within slices, 4- or 8-connected."""
-    eight = connectivity == 8
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["y", "x"], ignore_index=True)
-        i = f["i"].to_numpy()
-        f["label"] = i[plane_labels(f["y"].to_numpy(), f["x"].to_numpy(), eight)]
-        return f[[*C, "label"]]
-
-    both = mask.select(*C).distinct().join(dims.select("volume_id", "h", "w"), "volume_id")
-    rows = both.select(*C, ((F.col("z").cast("long") * F.col("h") + F.col("y")) * F.col("w") + F.col("x")).alias("i"))
-    return rows.groupBy("volume_id", "z").applyInPandas(run, LABELLED)
-
-
-def label_3d(mask: DataFrame, dims: DataFrame, connectivity: int = 6) -> DataFrame:
-    """(C, label): 6- or 26-connected over slices. Slices are labelled first, then touching labels are linked."""
-    flat = written(label_2d(mask, dims, 4 if connectivity == 6 else 8), "slices")
-    reach = [F.lit(0)] if connectivity == 6 else [F.lit(k) for k in (-1, 0, 1)]
-    below = flat.select("volume_id", (F.col("z") + 1).alias("z"), F.explode(F.array(*[F.col("y") + k for k in reach])).alias("y"), "x", F.col("label").alias("other"))
-    below = below.select("volume_id", "z", "y", F.explode(F.array(*[F.col("x") + k for k in reach])).alias("x"), "other")
-    links = flat.join(below, C).select("volume_id", "label", "other").distinct()
-    with Scratch(mask.sparkSession) as passing:
-        # one number for a component of a volume, in the order of the ids within it; a row a volume
-        width = dims.agg(F.max(F.col("d").cast("long") * F.col("h") * F.col("w")).alias("width"))
+#: Tiles of slices and blocks of volumes that one task labels at a time.
+TILE = (8, 256, 256)
+CUBE = (32, 128, 128)
+
+_MET = blocks.VOXEL + ", label long, other long"
+
+
+def half_steps(connectivity: int) -> list[tuple[int, int, int]]:
+    """One step of each pair of opposite ones, for 4 and 8 neighbours in a slice, 6 and 26 in a volume."""
+    reach = 1 if connectivity in (6, 26) else 0
+    steps = [(z, y, x) for z in range(-reach, reach + 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (z, y, x) > (0, 0, 0)]
+    return [s for s in steps if connectivity in (8, 26) or sum(map(abs, s)) == 1]
+
+
+def _parts(on: np.ndarray, steps: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, part): the set places of a dense array, and the number of the first place of each one's component."""
+    places = np.flatnonzero(on)
+    ids = np.full(on.shape, -1)
+    ids.reshape(-1)[places] = np.arange(len(places))
+    pairs = []
+    for step in steps:
+        one = ids[tuple(slice(max(0, -s), n - max(0, s)) for s, n in zip(step, on.shape))]
+        two = ids[tuple(slice(max(0, s), n - max(0, -s)) for s, n in zip(step, on.shape))]
+        both = (one >= 0) & (two >= 0)
+        pairs.append((one[both], two[both]))
+    a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    return places, roots(len(places), a, b)
+
+
+class _Tile:
+    """The components of a block with its halo, named by the smallest index of their own voxels."""
+
+    def __init__(self, b: blocks.Block, on: np.ndarray, steps: list[tuple[int, int, int]]):
+        at, part = _parts(on, steps)
+        inside = np.zeros(on.shape, bool)
+        b.inner(inside)[...] = True
+        self.own = inside.reshape(-1)[at]
+        self.place = [c[at] for c in b.places(inside=False)]
+        z, y, x = (c.astype(np.int64) for c in self.place)
+        self.index = (z * b.dims[1] + y) * b.dims[2] + x
+        none = np.iinfo(np.int64).max
+        names = np.full(len(at), none)
+        np.minimum.at(names, part[self.own], self.index[self.own])
+        self.label = names[part]
+        self.named = self.label < none
+        self.part = part
+        # own voxels that lie in a neighbour's halo
+        shown = np.zeros(len(at), bool)
+        for c, o, n, size, (before, after) in zip(self.place, b.origin, b.shape, b.dims, b.halo):
+            shown |= (c < o + after) & (o > 0) | (c >= o + n - before) & (o + n < size)
+        self.shown = shown & self.own
+
+    def has(self, some: np.ndarray) -> np.ndarray:
+        """Places whose component has one of the given places."""
+        out = np.zeros(len(self.part), bool)
+        out[self.part[some]] = True
+        return out[self.part]
+
+    def rows(self, b: blocks.Block, at: np.ndarray, label: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
+        """Rows of _MET: a voxel and its label, or a link."""
+        volume = pa.array([b.volume_id], pa.string()).take(pa.array(np.zeros(len(at), np.int64)))
+        return pa.RecordBatch.from_arrays([volume, *(pa.array(c[at]) for c in self.place), pa.array(label), pa.nulls(len(at), pa.int64()) if other is None else pa.array(other)], [*C, "label", "other"])
+
+    def links(self, b: blocks.Block) -> pa.RecordBatch:
+        """A component with each of its voxels that two blocks see."""
+        at = np.flatnonzero(self.named & (~self.own | self.shown & (self.index != self.label)))
+        return self.rows(b, at, self.label[at], self.index[at])
+
+
+def _solved(links: DataFrame, dims: DataFrame) -> DataFrame:
+    """(volume_id, label, top): the smallest end of each component of links (volume_id, label, other) within volumes.
+
+    Ends are indices of voxels, or numbers below 0, one a slice at most.
+    """
+    with Scratch(links.sparkSession) as passing:
+        # one number for an end of a volume, in the order of the ends within it; a row a volume
+        width = dims.agg(F.max((F.col("d") + 1).cast("long") * (F.col("h") * F.col("w") + 2)).alias("width"), F.max(F.col("d") + 1).cast("long").alias("low"))
         place = F.row_number().over(Window.orderBy("volume_id")).cast("long")
         codes = passing.written(dims.select("volume_id", place.alias("place")).crossJoin(F.broadcast(width)), "codes")
-        code = lambda c: F.col("place") * F.col("width") + F.col(c)
+        code = lambda c: F.col("place") * F.col("width") + F.col("low") + F.col(c)
         found = connected(links.join(codes, "volume_id").select(code("label").alias("a"), code("other").alias("b")))
-        wide = codes.agg(F.max("width")).first()[0] or 1
-        found = found.select(F.expr(f"node div {wide}L").alias("place"), (F.col("node") % wide).alias("label"), (F.col("component") % wide).alias("top"))
-        found = written(found.join(codes.select("place", "volume_id"), "place").drop("place"), "tops")
-    return flat.join(found, ["volume_id", "label"], "left").select(*C, F.coalesce("top", "label").alias("label"))
+        size = codes.agg(F.max("width"), F.max("low")).first()
+        wide, low = size[0] or 1, size[1] or 0
+        found = found.select(F.expr(f"node div {wide}L").alias("place"), (F.col("node") % wide - low).alias("label"), (F.col("component") % wide - low).alias("top"))
+        return written(found.join(codes.select("place", "volume_id"), "place").drop("place"), "tops")
+
+
+def _labelled(mask: DataFrame, dims: DataFrame, connectivity: int, size: tuple[int, int, int]) -> DataFrame:
+    steps = half_steps(connectivity)
+    deep = int(connectivity in (6, 26))
+
+    def f(b: blocks.Block) -> pa.RecordBatch:
+        t = _Tile(b, b.present, steps)
+        own = np.flatnonzero(t.own)
+        both = pa.Table.from_batches([t.rows(b, own, t.label[own], None), t.links(b)]).combine_chunks()
+        return (both.to_batches() or [t.rows(b, own, t.label[own], None)])[0]
+
+    rows = mask.select(*C, F.lit(1.0).alias("value"))
+    met = written(blocks.on_blocks(rows, dims, ((deep, deep), (1, 1), (1, 1)), f, _MET, size=size, border="missing"), "tiles")
+    flat, links = met.where("other is null").drop("other"), met.where("other is not null").select("volume_id", "label", "other").distinct()
+    if not links.head(1):
+        return flat
+    return flat.join(_solved(links, dims), ["volume_id", "label"], "left").select(*C, F.coalesce("top", "label").alias("label"))
+
+
+def label_2d(mask: DataFrame, dims: DataFrame, connectivity: int = 4, tile: tuple[int, int, int] = TILE) -> DataFrame:
+    """(C, label) with components within slices, 4- or 8-connected. Tiles are labelled first; components that meet at
+    a seam are linked there."""
+    return _labelled(mask, dims, connectivity, tile)
+
+
+def label_3d(mask: DataFrame, dims: DataFrame, connectivity: int = 6, tile: tuple[int, int, int] = CUBE) -> DataFrame:
+    """(C, label): 6- or 26-connected over slices, in the same way from blocks."""
+    return _labelled(mask, dims, connectivity, tile)
 
 
 def label_by_bins(bins: DataFrame, dims: DataFrame, connectivity: int = 26) -> DataFrame:
@@ -125,26 +191,33 @@ def relabel_by_priority(labels: DataFrame, z: tuple[int, int], y: tuple[int, int
     return labels.join(seen.select("volume_id", "label", place.alias("rank")), ["volume_id", "label"]).select(*C, F.col("rank").alias("label"))
 
 
-def fill_plane(y: np.ndarray, x: np.ndarray, h: int, w: int) -> np.ndarray:
-    """The mask with its holes (background that no 4-path joins to the border) filled."""
-    full = np.zeros((h + 2, w + 2), bool)
-    full[y + 1, x + 1] = True
-    by, bx = np.nonzero(~full)
-    first = plane_labels(by, bx, False)
-    out = np.zeros_like(full)
-    out[by, bx] = first == first[0]
-    return ~out[1:-1, 1:-1]
-
-
-def fill_holes(mask: DataFrame, dims: DataFrame) -> DataFrame:
-    """Per slice."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        y, x = np.nonzero(fill_plane(f["y"].to_numpy(), f["x"].to_numpy(), int(f["h"].iloc[0]), int(f["w"].iloc[0])))
-        return pd.DataFrame({"volume_id": f["volume_id"].iloc[0], "z": f["z"].iloc[0], "y": y.astype(np.int32), "x": x.astype(np.int32)})
-
-    both = mask.select(*C).join(dims.select("volume_id", "h", "w"), "volume_id")
-    return both.groupBy("volume_id", "z").applyInPandas(run, "volume_id string, z int, y int, x int")
+def fill_holes(mask: DataFrame, dims: DataFrame, tile: tuple[int, int, int] = TILE) -> DataFrame:
+    """The mask with its holes (background that no 4-path in its slice joins to the border) filled.
+
+    The background of each tile falls into components: those that end within it are decided there, those that reach a
+    seam are linked with their neighbours' and with the border of their slice, which has one number below 0.
+    """
+    steps = half_steps(4)
+
+    def f(b: blocks.Block) -> pa.RecordBatch:
+        z, y, x = b.places(inside=False)
+        within = (y >= 0) & (y < b.dims[1]) & (x >= 0) & (x < b.dims[2])
+        t = _Tile(b, ~b.present & within.reshape(b.present.shape), steps)
+        border = (t.place[1] == 0) | (t.place[1] == b.dims[1] - 1) | (t.place[2] == 0) | (t.place[2] == b.dims[2] - 1)
+        out, met = t.has(border), t.has(~t.own | t.shown)
+        closed = np.flatnonzero(t.own & ~out & ~met)
+        asked = np.flatnonzero(t.own & ~out & met)
+        ends = np.flatnonzero(t.named & border & met)
+        parts = [t.rows(b, closed, np.full(len(closed), -1), None), t.rows(b, asked, t.label[asked], None), t.links(b), t.rows(b, ends, t.label[ends], -1 - t.place[0][ends].astype(np.int64))]
+        both = pa.Table.from_batches(parts).combine_chunks()
+        return (both.to_batches() or parts[:1])[0]
+
+    rows = mask.select(*C, F.lit(1.0).alias("value"))
+    met = written(blocks.on_blocks(rows, dims, ((0, 0), (1, 1), (1, 1)), f, _MET, size=tile, border="missing", slices=True), "background")
+    inner, links = met.where("other is null").drop("other"), met.where("other is not null").select("volume_id", "label", "other").distinct()
+    if links.head(1):
+        inner = inner.join(_solved(links, dims).where("top < 0 and label >= 0").select("volume_id", "label"), ["volume_id", "label"], "left_anti")
+    return mask.select(*C).distinct().union(inner.select(*C))
 
 
 def closed_region_fill(mask: DataFrame, dims: DataFrame) -> DataFrame:

@@ -1,17 +1,18 @@
 """Feature maps of slices and their slab statistics, and distances to masks.
 
-A slice's maps are computed once (one NumPy call a slice); means and variances over a slab of slices are sums over
-slices listed at their neighbours, so no map is recomputed.
+A slice's maps are one NumPy call; a task holds a few slices with the margins of their slabs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.derived import C
+from . import blocks
 from .windows import gaussian_weights
 
 SIGMAS = (3, 5, 7)
@@ -33,7 +34,8 @@ def _convolved(v: np.ndarray, by_row: np.ndarray, by_col: np.ndarray) -> np.ndar
     """v with mirrored ends under a kernel down the rows and one along the columns."""
     for axis, w in ((0, by_row), (1, by_col)):
         r = len(w) // 2
-        v = np.apply_along_axis(lambda t: np.convolve(np.pad(t, r, mode="symmetric"), w, "valid"), axis, v)  # noqa: B023
+        wide = np.pad(v, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+        v = np.lib.stride_tricks.sliding_window_view(wide, len(w), axis) @ w
     return v
 
 
@@ -100,29 +102,27 @@ def feature_maps(v: np.ndarray) -> np.ndarray:
     return np.nan_to_num(np.stack(maps + [wiener(v, k) for k in (1, 3, 5)]), nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def slice_features(df: DataFrame) -> DataFrame:
-    """(C, f): the maps of every slice as an array a voxel; a slice must be dense."""
+def feature_bank(df: DataFrame, dims: DataFrame, thickness: int = 2, slices: int = 8) -> DataFrame:
+    """(C, f): mean and variance of each map over the slab z - thickness .. z + thickness; zeros in the margin slices.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["y", "x"], ignore_index=True)
-        h, w = int(f["y"].max()) + 1, int(f["x"].max()) + 1
-        maps = feature_maps(f["value"].to_numpy(float).reshape(h, w)).reshape(len(MAPS), -1).T.astype(np.float32)
-        return f[[*C]].assign(f=list(maps))
-
-    return df.select(*C, "value").groupBy("volume_id", "z").applyInPandas(run, "volume_id string, z int, y int, x int, f array<float>")
-
-
-def feature_bank(df: DataFrame, dims: DataFrame, thickness: int = 2) -> DataFrame:
-    """(C, f): mean and variance of each map over the slab z - thickness .. z + thickness; zeros in the margin slices."""
-    n = 2 * thickness + 1
-    flat = slice_features(df).withColumn("t", F.explode(F.sequence(F.col("z") - thickness, F.col("z") + thickness)))
-    k = range(len(MAPS))
-    sums = flat.groupBy("volume_id", F.col("t").alias("z"), "y", "x").agg(*[F.sum(F.col("f")[i].cast("double")).alias(f"s{i}") for i in k], *[F.sum(F.col("f")[i].cast("double") ** 2).alias(f"q{i}") for i in k])
-    both = sums.join(dims, "volume_id").where((F.col("z") >= 0) & (F.col("z") < F.col("d")))
-    inner = (F.col("z") >= thickness) & (F.col("z") < F.col("d") - thickness)
-    mean = [F.col(f"s{i}") / n for i in k]
-    var = [F.greatest(F.lit(0.0), F.col(f"q{i}") / n - (F.col(f"s{i}") / n) ** 2) for i in k]
-    return both.select(*C, F.transform(F.array(*mean, *var), lambda v: F.when(inner, v).otherwise(0.0).cast("float")).alias("f"))
+    A task holds `slices` whole slices (their spectra need them) and the slab's margins, whose maps it computes again, so
+    that voxels are exchanged once and maps never are. Slices must be dense.
+    """
+    t, n = thickness, 2 * thickness + 1
+
+    def f(b: blocks.Block) -> pa.RecordBatch:
+        out = np.zeros((*b.shape, 2 * len(MAPS)), np.float32)
+        maps: dict[int, np.ndarray] = {}
+        for k in range(b.shape[0]):
+            z = b.origin[0] + k
+            if t <= z < b.dims[0] - t:
+                maps = {j: maps[j] if j in maps else feature_maps(b.values[j]).astype(np.float32).astype(float) for j in range(k, k + n)}
+                mean = sum(maps.values()) / n
+                square = sum(m * m for m in maps.values()) / n
+                out[k] = np.concatenate([mean, np.maximum(0, square - mean * mean)]).transpose(1, 2, 0)
+        return blocks.voxel_rows(b, {"f": out}, b.present[t : t + b.shape[0]])
+
+    return blocks.on_blocks(df, dims, ((t, t), (0, 0), (0, 0)), f, blocks.VOXEL + ", f array<float>", size=(slices, blocks.WHOLE, blocks.WHOLE))
 
 
 def z_aggregate(df: DataFrame, thickness: int, kind: str = "mean") -> DataFrame:

@@ -1,20 +1,23 @@
-"""Local-window operators along voxel lines.
+"""Local-window operators.
 
-A box filter is three passes of window functions partitioned by the two other coordinates, so every pass is spread
-over all lines of a volume. Frames are ranges of coordinates: an even size n covers [-n/2, n/2 - 1]. Maxima and
-minima over truncated frames equal those under mirroring; sums mirror the border rows first, as often as the frame is
-longer than the axis. dims (volume_id, d, h, w) is a row a volume; Spark broadcasts it by its measured size.
+Separable filters (boxes, Gaussians) work on blocks with halos, made by one exchange for all axes and sums. Frames are
+ranges of coordinates: an even size n covers [-n/2, n/2 - 1]. Borders are mirrored, as often as a frame is longer than the
+axis; maxima and minima over truncated frames equal those under mirroring. Operators of a single axis or of next
+neighbours are window functions along voxel lines. dims (volume_id, d, h, w) is a row a volume; Spark broadcasts it by its
+measured size.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.derived import C
 from ..sources.store import written
+from . import blocks
 
 
 def frame(size: int) -> tuple[int, int]:
@@ -27,14 +30,6 @@ def line(axis: str, before: int, after: int, extra: tuple[str, ...] = ()) -> obj
     return Window.partitionBy(*others, *extra).orderBy(axis).rangeBetween(-before, after)
 
 
-def box_extreme(df: DataFrame, col: str, size: dict[str, int], fn) -> DataFrame:
-    """fn (F.min or F.max) of col over a box, axis by axis."""
-    for axis, n in size.items():
-        if n > 1:
-            df = df.withColumn(col, fn(col).over(line(axis, *frame(n))))
-    return df
-
-
 def mirrored(df: DataFrame, axis: str, before: int, after: int, dims: DataFrame) -> DataFrame:
     """df with its lines mirrored at their ends (d c b a | a b c d | d c b a), again and again as far as the frame reaches."""
     n = F.col("_n")
@@ -45,40 +40,45 @@ def mirrored(df: DataFrame, axis: str, before: int, after: int, dims: DataFrame)
     return both.withColumn("_at", F.explode(near)).drop(axis).withColumnRenamed("_at", axis)
 
 
-def box_sum(df: DataFrame, cols: list[str], size: dict[str, int], dims: DataFrame) -> DataFrame:
-    """Sums of cols over a box with mirrored borders."""
-    for axis, n in size.items():
-        if n > 1:
-            wide = mirrored(df, axis, *frame(n), dims)
-            w = line(axis, *frame(n))
-            wide = wide.select(*C, "_n", *[c for c in df.columns if c not in (*C, *cols)], *[F.sum(c).over(w).alias(c) for c in cols])
-            df = wide.where((F.col(axis) >= 0) & (F.col(axis) < F.col("_n"))).drop("_n")
-    return df
+def halo(size: tuple[int, int, int]) -> tuple:
+    """The voxels before and after a box around every voxel, by axis."""
+    return tuple(frame(n) for n in size)
+
+
+def _box(a: np.ndarray, size: tuple[int, int, int]) -> np.ndarray:
+    """Sums over a box; the array shrinks by the box less one."""
+    for axis, n in enumerate(size):
+        a = blocks.summed(a, axis, n)
+    return a
+
 
+def local_contrast_normalize(df: DataFrame, dims: DataFrame, size: tuple[int, int, int] = (3, 20, 20), eps: float = 1e-5, clip: bool = False) -> DataFrame:
+    """(v - min) / (max - min + eps) in a box around every voxel, clamped to 0..1 if `clip`."""
 
-def local_contrast_normalize(df: DataFrame, size: tuple[int, int, int] = (3, 20, 20), eps: float = 1e-5) -> DataFrame:
-    """(v - min) / (max - min + eps) in a box around every voxel."""
-    box = dict(zip("zyx", size))
-    both = df.select(*C, "value", F.col("value").alias("lo"), F.col("value").alias("hi"))
-    for axis, n in box.items():
-        if n > 1:
-            w = line(axis, *frame(n))
-            both = both.select(*C, "value", F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi"))
-    return both.select(*C, ((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo") + F.lit(eps))).alias("value"))
+    def f(b: blocks.Block) -> dict[str, np.ndarray]:
+        lo = hi = b.values
+        for axis, n in enumerate(size):
+            lo, hi = blocks.slid(lo, axis, n, np.minimum), blocks.slid(hi, axis, n, np.maximum)
+        out = (b.inner(b.values) - lo) / (hi - lo + eps)
+        return {"value": np.clip(out, 0, 1) if clip else out}
 
+    return blocks.filtered(df, dims, halo(size), f)
 
-def local_normalize_2d(df: DataFrame, w: int = 20, eps: float = 1e-6) -> DataFrame:
+
+def local_normalize_2d(df: DataFrame, dims: DataFrame, w: int = 20, eps: float = 1e-6) -> DataFrame:
     """As above in a slice over a window of 2w - 1, clamped to 0..1."""
-    out = local_contrast_normalize(df, (1, 2 * w - 1, 2 * w - 1), eps)
-    return out.select(*C, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value"))).alias("value"))
+    return local_contrast_normalize(df, dims, (1, 2 * w - 1, 2 * w - 1), eps, clip=True)
 
 
 def local_moments(df: DataFrame, size: tuple[int, int, int], dims: DataFrame) -> DataFrame:
     """(C, value, mean, var): mean and E[x^2] - E[x]^2 over a box with mirrored borders."""
     n = size[0] * size[1] * size[2]
-    sums = box_sum(df.select(*C, F.col("value").alias("s"), (F.col("value") * F.col("value")).alias("s2")), ["s", "s2"], dict(zip("zyx", size)), dims)
-    m = F.col("s") / n
-    return sums.join(df.select(*C, "value"), C).select(*C, "value", m.alias("mean"), (F.col("s2") / n - m * m).alias("var"))
+
+    def f(b: blocks.Block) -> dict[str, np.ndarray]:
+        m = _box(b.values, size) / n
+        return {"value": b.inner(b.values), "mean": m, "var": _box(b.values * b.values, size) / n - m * m}
+
+    return blocks.filtered(df, dims, halo(size), f, ("value", "mean", "var"))
 
 
 def local_variance(df: DataFrame, size: tuple[int, int, int], dims: DataFrame) -> DataFrame:
@@ -87,24 +87,30 @@ def local_variance(df: DataFrame, size: tuple[int, int, int], dims: DataFrame) -
 
 def local_standardize(df: DataFrame, k: int, dims: DataFrame, eps: float = 1e-2) -> DataFrame:
     """(v - m) / (sqrt(max(q - m^2, 0)) + eps): the mean m over (k, k, 3), the mean square q over (2k, 2k, 3), axes z, y, x."""
-    mean = box_sum(df.select(*C, F.col("value").alias("s")), ["s"], {"z": k, "y": k, "x": 3}, dims)
-    square = box_sum(df.select(*C, (F.col("value") * F.col("value")).alias("q")), ["q"], {"z": 2 * k, "y": 2 * k, "x": 3}, dims)
-    m = F.col("s") / (3 * k * k)
-    std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / (12 * k * k) - m * m))
-    return df.select(*C, "value").join(mean, C).join(square, C).select(*C, ((F.col("value") - m) / (std + F.lit(eps))).alias("value"))
+    wide, near = (2 * k, 2 * k, 3), (k, k, 3)
+
+    def f(b: blocks.Block) -> dict[str, np.ndarray]:
+        spare = tuple(slice(w[0] - n[0], v - (w[1] - n[1])) for w, n, v in zip(halo(wide), halo(near), b.values.shape))
+        m = _box(b.values[spare], near) / (3 * k * k)
+        q = _box(b.values * b.values, wide) / (12 * k * k)
+        return {"value": (b.inner(b.values) - m) / (np.sqrt(np.maximum(0, q - m * m)) + eps)}
+
+    return blocks.filtered(df, dims, halo(wide), f)
 
 
 def enhance_by_variance(edge: DataFrame, win: int, dims: DataFrame) -> DataFrame:
     """(C, value, weight): an edge map weighted by 1 minus its relative local variance (variance over the mean square, in a
     cube of win), scaled to the volume's range."""
-    n = win**3
-    sums = box_sum(edge.select(*C, F.col("value").alias("s"), (F.col("value") * F.col("value")).alias("q")), ["s", "q"], {a: win for a in "zyx"}, dims)
-    m, q = F.col("s") / n, F.col("q") / n
-    rel = written(sums.select(*C, ((q - m * m) / (q + F.lit(1e-6))).alias("rel")), "relative")
+    size = (win, win, win)
+
+    def f(b: blocks.Block) -> dict[str, np.ndarray]:
+        m, q = _box(b.values, size) / win**3, _box(b.values * b.values, size) / win**3
+        return {"value": b.inner(b.values), "rel": (q - m * m) / (q + 1e-6)}
+
+    rel = written(blocks.filtered(edge, dims, halo(size), f, ("value", "rel")), "relative")
     ends = written(rel.groupBy("volume_id").agg(F.min("rel").alias("lo"), F.max("rel").alias("hi")), "ends")
     weight = 1 - (F.col("rel") - F.col("lo")) / (F.col("hi") - F.col("lo") + F.lit(1e-8))
-    both = edge.join(rel, C).join(ends, "volume_id")
-    return both.select(*C, (F.col("value") * weight).alias("value"), weight.alias("weight"))
+    return rel.join(ends, "volume_id").select(*C, (F.col("value") * weight).alias("value"), weight.alias("weight"))
 
 
 def mode_filter(labels: DataFrame, classes: list[int], w: int) -> DataFrame:
@@ -138,11 +144,21 @@ def gaussian_axis(df: DataFrame, axis: str, sigma: float, dims: DataFrame) -> Da
     return wide.select(*C, "_n", total.alias("value")).where((F.col(axis) >= 0) & (F.col(axis) < F.col("_n"))).select(*C, "value")
 
 
+def smoothed(v: np.ndarray, sigma: tuple[float, float, float]) -> np.ndarray:
+    """A block under Gaussian weights by axis; it uses up its halo."""
+    for axis, s in enumerate(sigma):
+        if s > 0:
+            v = blocks.weighted(v, axis, gaussian_weights(s))
+    return v
+
+
+def gaussian_halo(sigma: tuple[float, float, float]) -> tuple:
+    return tuple((int(4 * s + 0.5),) * 2 if s > 0 else (0, 0) for s in sigma)
+
+
 def gaussian_smooth(df: DataFrame, sigma: tuple[float, float, float], dims: DataFrame) -> DataFrame:
     """Separable Gaussian smoothing with mirrored borders; sigma by (z, y, x)."""
-    for axis, s in zip("zyx", sigma):
-        df = gaussian_axis(df, axis, s, dims)
-    return df
+    return blocks.filtered(df, dims, gaussian_halo(sigma), lambda b: {"value": smoothed(b.values, sigma)})
 
 
 def smooth_and_threshold(df: DataFrame, sigma: tuple[float, float, float], t: float, dims: DataFrame) -> DataFrame:
@@ -151,9 +167,16 @@ def smooth_and_threshold(df: DataFrame, sigma: tuple[float, float, float], t: fl
 
 def dog_energy(df: DataFrame, s1: float, s2: float, dims: DataFrame) -> DataFrame:
     """|G(s1) - G(s2)| in a slice, divided by its mean over the volume."""
-    a = gaussian_smooth(df, (0, s1, s1), dims).withColumnRenamed("value", "a")
-    b = gaussian_smooth(df, (0, s2, s2), dims).withColumnRenamed("value", "b")
-    return _over_mean(a.join(b, C).select(*C, F.abs(F.col("a") - F.col("b")).alias("value")))
+    wide = gaussian_halo((0, max(s1, s2), max(s1, s2)))
+
+    def f(b: blocks.Block) -> dict[str, np.ndarray]:
+        parts = []
+        for s in (s1, s2):
+            spare = tuple(slice(w - n, v - w + n) for (w, _), (n, _), v in zip(wide, gaussian_halo((0, s, s)), b.values.shape))
+            parts.append(smoothed(b.values[spare], (0, s, s)))
+        return {"value": np.abs(parts[0] - parts[1])}
+
+    return _over_mean(blocks.filtered(df, dims, wide, f))
 
 
 def _over_mean(df: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def propagate_labels(voxels: DataFrame, seed: DataFrame, negative: DataFrame, di
     scorer(normalised voxels, vetted labels so far, round) gives predictions (C, area, edge): this is where a model trains.
     """
     spark = voxels.sparkSession
-    normal = written(local_contrast_normalize(voxels), "normal")
+    normal = written(local_contrast_normalize(voxels, dims), "normal")
     labels = seed
     for k in range(rounds):
         vetted = written(vetted_labels(labels, seed, dims, max_height=max_height), "vetted")

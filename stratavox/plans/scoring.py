@@ -1,7 +1,7 @@
 """Tiled scoring with a user's function, and clustering of feature vectors.
 
-A scorer maps a dict with `features` (n, ph, pw, k) to scores (n, ph, pw). Tiles are scored where their rows are;
-overlaps are averaged (or maximised) by one partially aggregated grouping over voxels.
+A scorer maps a dict with `features` (n, ph, pw, k) to scores (n, ph, pw). Tiles are cut from blocks of voxels; overlaps
+are averaged (or maximised) by one grouping over voxels.
 """
 
 from __future__ import annotations
@@ -10,60 +10,63 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import sigmoid
-from ..operators.sampling import extract_patches
+from ..operators import blocks
 from ..operators.windows import gaussian_smooth
-from ..sources.derived import C, grid
+from ..sources.derived import C
 
 
-def tile_origins(dims: DataFrame, patch: int, stride: int, thickness: int, dedupe: bool = False) -> DataFrame:
-    """(patch_id, volume_id, z, y0, x0): tiles at every stride, clamped into the slice; a clamped origin may repeat.
+#: Tiles given to the scorer at once.
+TILES_PER_CALL = 32
 
-    An error where a slice is smaller than the patch.
-    """
-    if dims.where((F.col("h") < patch) | (F.col("w") < patch)).head(1):
-        raise ValueError("a slice is smaller than the patch")
-    steps = lambda n: F.transform(F.sequence(F.lit(0), F.col(n) - 1, F.lit(stride)), lambda s: F.least(s, F.col(n) - patch))
-    steps_of = (lambda n: F.array_distinct(steps(n))) if dedupe else steps
-    z = F.when(F.col("d") > 2 * thickness, F.sequence(F.lit(thickness), F.col("d") - thickness - 1)).otherwise(F.array().cast("array<int>"))
-    o = dims.withColumn("z", F.explode(z)).select("*", F.posexplode(steps_of("h")).alias("iy", "y0"))
-    o = o.select("*", F.posexplode(steps_of("w")).alias("ix", "x0"))
-    name = F.concat_ws(":", "volume_id", *[F.col(c).cast("string") for c in ("z", "iy", "ix")])
-    return o.select(name.alias("patch_id"), "volume_id", "z", "y0", "x0")
-
-
-def _scored(pixels: DataFrame, origins: DataFrame, scorer: Callable, patch: int) -> DataFrame:
-    """(C, score) with a row for each pixel of each tile; pixels: extract_patches with arrays in `value`."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["py", "px"])
-        x = np.stack(f["value"].to_numpy()).reshape(1, patch, patch, -1)
-        return f[["patch_id", "py", "px"]].assign(score=np.asarray(scorer({"features": x})).reshape(-1))
 
-    out = pixels.groupBy("patch_id").applyInPandas(run, "patch_id string, py int, px int, score double")
-    both = out.join(origins, "patch_id")
-    return both.select("volume_id", "z", (F.col("y0") + F.col("py")).alias("y"), (F.col("x0") + F.col("px")).alias("x"), "score")
-
-
-def merge_tiles(scores: DataFrame, dims: DataFrame, fuse: str = "avg", threshold: float = 0.5) -> DataFrame:
-    """(C, value): sigmoids of the tiles' scores, averaged (or 1 where any is above the threshold); null without a tile,
-    0 in the margin slices."""
-    p = sigmoid(F.col("score"))
-    how = F.avg(p) if fuse == "avg" else F.max((p > threshold).cast("double"))
-    merged = scores.groupBy(*C).agg(how.alias("value"), F.lit(True).alias("seen"))
-    lit = scores.select("volume_id", "z").distinct().withColumn("scored", F.lit(True))
-    full = grid(dims).join(lit, ["volume_id", "z"], "left").join(merged, C, "left")
-    return full.select(*C, F.when(F.col("scored").isNull(), F.lit(0.0)).otherwise(F.col("value")).alias("value"))
+def score_tiles(features: DataFrame, scorer: Callable, dims: DataFrame, patch: int = 160, stride: int = 120, thickness: int = 2, fuse: str = "avg", sigma: tuple | None = None, dedupe: bool = False, threshold: float = 0.5) -> DataFrame:
+    """(C, value) of features (C, f): sliding tiles, overlaps fused, then smoothed if sigma is given.
 
+    value: sigmoids of the tiles' scores, averaged (or 1 where any is above the threshold); null without a tile, 0 in the
+    margin slices. Tiles start at every stride, clamped into the slice; a clamped origin may repeat, unless dedupe. An error
+    where a slice is smaller than the patch. Slices must be dense.
 
-def score_tiles(features: DataFrame, scorer: Callable, dims: DataFrame, patch: int = 160, stride: int = 120, thickness: int = 2, fuse: str = "avg", sigma: tuple | None = None, dedupe: bool = False, threshold: float = 0.5) -> DataFrame:
-    """(C, value) of features (C, f): sliding tiles, overlaps fused, then smoothed if sigma is given."""
-    origins = tile_origins(dims, patch, stride, thickness, dedupe)
-    pixels = extract_patches(origins, features.withColumnRenamed("f", "value"), patch, patch)
-    out = merge_tiles(_scored(pixels, origins, scorer, patch), dims, fuse, threshold)
+    A task cuts the tiles that begin in a block from the block and what lies after it, and adds up their scores; only
+    these sums meet those of other blocks.
+    """
+    if dims.where((F.col("h") < patch) | (F.col("w") < patch)).head(1):
+        raise ValueError("a slice is smaller than the patch")
+    edge = stride * max(1, round(2 * patch / stride))
+
+    def starts(n: int, low: int, own: int) -> list[int]:
+        at = [min(s, n - patch) for s in range(0, n, stride)]
+        return [s - low for s in (dict.fromkeys(at) if dedupe else at) if low <= s < low + own]
+
+    def f(b: blocks.Block) -> pa.RecordBatch:
+        x = b.values if b.values.ndim == 4 else b.values[..., None]
+        total, n = np.zeros(x.shape[:3]), np.zeros(x.shape[:3], np.int64)
+        tiles = [(y, x) for y in starts(b.dims[1], b.origin[1], b.shape[1]) for x in starts(b.dims[2], b.origin[2], b.shape[2])]
+        for k in range(b.shape[0]):
+            if not thickness <= b.origin[0] + k < b.dims[0] - thickness:
+                n[k, : b.shape[1], : b.shape[2]] = 1  # a margin slice: 0
+                continue
+            for i in range(0, len(tiles), TILES_PER_CALL):
+                some = tiles[i : i + TILES_PER_CALL]
+                out = np.asarray(scorer({"features": np.stack([x[k, p : p + patch, q : q + patch] for p, q in some])}), float)
+                for (p, q), s in zip(some, 1 / (1 + np.exp(-out.reshape(len(some), patch, patch)))):
+                    at = (k, slice(p, p + patch), slice(q, q + patch))
+                    total[at] = total[at] + s if fuse == "avg" else np.maximum(total[at], s > threshold)
+                    n[at] += 1
+        given = n > 0
+        given[:, : b.shape[1], : b.shape[2]] = True  # own voxels, with or without a tile
+        at = np.flatnonzero(given.reshape(-1))
+        z, y, x = (c[at] for c in b.places(inside=False))
+        volume = pa.array([b.volume_id], pa.string()).take(pa.array(np.zeros(len(at), np.int64)))
+        return pa.RecordBatch.from_arrays([volume, *map(pa.array, (z, y, x)), pa.array(total.reshape(-1)[at]), pa.array(n.reshape(-1)[at])], [*C, "total", "n"])
+
+    sums = blocks.on_blocks(features, dims, ((0, 0), (0, patch - 1), (0, patch - 1)), f, blocks.VOXEL + ", total double, n long", "f", (1, edge, edge), "missing")
+    n = F.sum("n")
+    value = F.sum("total") / n if fuse == "avg" else F.max("total")
+    out = sums.groupBy(*C).agg(F.when(n > 0, value).alias("value"))
     return gaussian_smooth(out.na.fill(0.0, ["value"]), sigma, dims) if sigma else out
 
 

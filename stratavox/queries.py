@@ -392,12 +392,12 @@ def _n1(size: tuple[int, int, int]) -> str:
 
 @query("n1_local_contrast", _n1((3, 20, 20)) % "(value - lo) / (hi - lo + 1e-5)", "value")
 def _(t):
-    return wi.local_contrast_normalize(t.vox)
+    return wi.local_contrast_normalize(t.vox, t.dims)
 
 
 @query("n2_local_normalize_2d", _n1((1, 11, 11)) % "greatest(0, least(1, (value - lo) / (hi - lo + 1e-6)))", "value")
 def _(t):
-    return wi.local_normalize_2d(t.vox, 6)
+    return wi.local_normalize_2d(t.vox, t.dims, 6)
 
 
 def _moments(size: tuple[int, int, int]) -> str:

@@ -56,12 +56,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def written(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write df as Parquet to the shared folder and read it back: lineage ends there, and sizes are known."""
+    def written(self, df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
+        """Write df as Parquet (with a codec other than the session's) to the shared folder and read it back: lineage
+        ends there, and sizes are known."""
         path = new_path(self.spark, tag)
         self.paths.append(path)
         with _shuffles_end(self.spark):
-            df.write.parquet(path)
+            df.write.parquet(path, compression=codec)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:

@@ -66,8 +66,9 @@ def windowed(v, size, fn):
 @pytest.mark.parametrize("size", [(3, 4, 5), (15, 30, 23)])
 def test_box_sums_mirror_as_often_as_the_window_reaches(spark, size):
     df, dims = volume(spark, BOX)
-    got = dense(wi.box_sum(df, ["value"], dict(zip("zyx", size)), dims), BOX.shape)
-    assert np.allclose(got, windowed(BOX, size, np.sum))
+    out = wi.local_moments(df, size, dims)
+    mean = windowed(BOX, size, np.mean)
+    assert np.allclose(dense(out, BOX.shape, "mean"), mean) and np.allclose(dense(out, BOX.shape, "var"), windowed(BOX**2, size, np.mean) - mean**2)
 
 
 def test_local_standardize(spark):
