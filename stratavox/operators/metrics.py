@@ -71,6 +71,19 @@ def cross_model_matrix(metrics: DataFrame, columns: list) -> DataFrame:
     return metrics.groupBy("model_cell").pivot("data_cell", columns).agg(F.avg("iou"))
 
 
+def cross_model_totals(metrics: DataFrame, columns: list, by: list[str] | None = None, total: str = "all") -> DataFrame:
+    """The matrix with totals: rows and a column named `total` hold the mean over all models, over all tested cell types, and
+    over both, and, for each further key in `by` (such as the ratio), over all its values.
+
+    One pass over the metrics: the grouping sets of a cube.
+    """
+    keys = ["model_cell", "data_cell", *(by or [])]
+    cells = metrics.cube(*keys).agg(F.avg("iou").alias("iou"), *[F.grouping(k).alias(f"{k}_all") for k in keys])
+    named = [F.when(F.col(f"{k}_all") == 1, F.lit(total)).otherwise(F.col(k).cast("string")).alias(k) for k in keys]
+    down = [k for k in keys if k != "data_cell"]
+    return cells.select(*named, "iou").groupBy(*down).pivot("data_cell", [*map(str, columns), total]).agg(F.first("iou"))
+
+
 def box_summary(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """Quartiles and whiskers (the last values within 1.5 interquartile ranges) of each group."""
     both = df.join(quantiles(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by)

@@ -26,38 +26,55 @@ def _with_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
     return df.join(written(df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]), "stats"), by)
 
 
-def quantiles(df: DataFrame, by: list[str], col: str, qs: dict[str, float], bins: int = 4096, rest: int = 200_000) -> DataFrame:
+def _ranks_below(rows: DataFrame, ranks: DataFrame, by: list[str], part: Column) -> DataFrame:
+    """For each rank, the part of its range [lo, hi] that it lies in: its number of values m, and its first and last one.
+
+    Values under lo count as one part ahead of the others.
+    """
+    spans = ranks.select(*by, "lo", "hi").distinct()
+    counts = rows.join(spans, by).where(F.col("v") <= F.col("hi"))
+    counts = counts.withColumn("part", F.when(F.col("v") >= F.col("lo"), part)).groupBy(*by, "lo", "hi", "part").agg(F.count("*").alias("m"), F.min("v").alias("first"), F.max("v").alias("last"))
+    before = Window.partitionBy(*by, "lo", "hi").orderBy(F.col("part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).where("part is not null")
+    both = ranks.join(counts, [*by, "lo", "hi"]).where((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("m")))
+    return both.select(*by, "q", "at", "k", "m", "first", "last")
+
+
+def quantiles(df: DataFrame, by: list[str], col: str, qs: dict[str, float], bins: int = 4096, rest: int = 200_000, accuracy: int = 10_000) -> DataFrame:
     """(by, a column for each of qs): exact quantiles with linear interpolation, null and NaN left out.
 
-    Each wanted rank has a range of values that holds it. As long as more than `rest` values lie in a range, a pass over the
-    rows counts them in `bins` parts of it and takes the part with the rank; then the few distinct values left are
-    counted. Counts are aggregated partially, so no group is held anywhere whatever its size.
+    A first pass keeps a mergeable sketch of each group, which brackets every wanted rank by 4 / accuracy of the values;
+    a second one counts the values below and the distinct ones within. Groups of up to `rest` values need no bracket; where
+    a bracket holds more, passes count its values in `bins` parts first. All counts are aggregated partially, so no group
+    is held anywhere whatever its size.
     """
     rows = df.select(*by, F.col(col).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for name, q in qs.items()]))
-    ranks = ends.withColumn("w", wanted).select("*", "w.q", F.col("w.at").alias("at")).withColumn("k", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
-    # rank k is the (k - below)-th value of [lo, hi]
-    ranks = written(ranks.select(*by, "q", "at", "k", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside")), "ranks")
-    part = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
-    for _ in range(12):
-        if not ranks.where((F.col("inside") > rest) & (F.col("lo") < F.col("hi"))).head(1):
+    wide = 4.0 / accuracy
+    ends = [min(1.0, max(0.0, q + s * wide)) for q in qs.values() for s in (-1, 1)]
+    sketch = F.percentile_approx("v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias("s")
+    groups = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), sketch)
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), (F.lit(q) * (F.col("n") - 1)).alias("at"), F.col("s")[2 * i].alias("lo"), F.col("s")[2 * i + 1].alias("hi")) for i, (name, q) in enumerate(qs.items())]))
+    ranks = groups.withColumn("w", wanted).select("*", "w.q", "w.at", "w.lo", "w.hi").withColumn("k", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    few = F.col("n") <= rest
+    ranks = ranks.select(*by, "q", "at", "k", "n", "least", "most", F.when(few, F.col("least")).otherwise(F.col("lo")).alias("lo"), F.when(few, F.col("most")).otherwise(F.col("hi")).alias("hi"))
+    ranks = written(ranks.withColumn("inside", F.when(few, F.col("n")).otherwise(F.ceil(F.col("n") * F.lit(3 * wide)))), "ranks")
+    part = F.when(F.col("lo") < F.col("hi"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")).otherwise(0)
+    for sure in (False, True):
+        for _ in range(12):
+            if not ranks.where((F.col("inside") > rest) & (F.col("lo") < F.col("hi"))).head(1):
+                break
+            near = _ranks_below(rows, ranks, by, part)
+            ranks = written(near.select(*by, "q", "at", "k", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("m").alias("inside")), "ranks")
+        found = _ranks_below(rows, ranks, by, F.col("v"))
+        low, high = F.min_by("first", "k"), F.max_by("first", "k")
+        cut = found.groupBy(*by, "q").agg((low + (high - low) * (F.max("at") - F.floor(F.max("at")))).alias("cut"), F.count("*").alias("found"))
+        out = written(cut.groupBy(*by).agg(*[F.max(F.when(F.col("q") == name, F.col("cut"))).alias(name) for name in qs], F.sum("found").alias("found")), "quantiles")
+        if sure or out.agg(F.sum("found")).first()[0] == (ranks.count() or None):
             break
-        spans = ranks.select(*by, "lo", "hi").distinct()
-        counts = rows.join(spans, by).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        counts = counts.withColumn("part", F.when(F.col("lo") < F.col("hi"), part).otherwise(0)).groupBy(*by, "lo", "hi", "part").agg(F.count("*").alias("m"), F.min("v").alias("first"), F.max("v").alias("last"))
-        before = Window.partitionBy(*by, "lo", "hi").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
-        both = ranks.join(counts, [*by, "lo", "hi"]).where((F.col("k") - F.col("below") >= F.col("before")) & (F.col("k") - F.col("below") < F.col("before") + F.col("m")))
-        ranks = written(both.select(*by, "q", "at", "k", F.col("first").alias("lo"), F.col("last").alias("hi"), (F.col("below") + F.col("before")).alias("below"), F.col("m").alias("inside")), "ranks")
-    spans = ranks.select(*by, "lo", "hi").distinct()
-    counts = rows.join(spans, by).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).groupBy(*by, "lo", "hi", "v").agg(F.count("*").alias("m"))
-    before = Window.partitionBy(*by, "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    both = ranks.join(counts, [*by, "lo", "hi"]).where((F.col("k") - F.col("below") >= F.col("before")) & (F.col("k") - F.col("below") < F.col("before") + F.col("m")))
-    low, high = F.min_by("v", "k"), F.max_by("v", "k")
-    cut = both.groupBy(*by, "q").agg((low + (high - low) * (F.max("at") - F.floor(F.max("at")))).alias("cut"))
-    return written(cut.groupBy(*by).agg(*[F.max(F.when(F.col("q") == name, F.col("cut"))).alias(name) for name in qs]), "quantiles")
+        # a rank outside of its bracket: begin with the whole range
+        whole = groups.withColumn("w", wanted).select("*", "w.q", "w.at").withColumn("k", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+        ranks = written(whole.select(*by, "q", "at", "k", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("n").alias("inside")), "ranks")
+    return out.drop("found")
 
 
 def minmax_normalize(df: DataFrame) -> DataFrame:

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import edge_regions, fill_holes, filter_by_line_overlap, intersect_regions, label_2d, label_3d, refine_label, relabel_by_priority, remove_small
 from ..operators.features import distance_map, distance_weight
 from ..operators.matching import filter_by_shape, fill_edge_boxes
+from ..operators.metrics import line_coefficient
 from ..operators.morphology import dilate, mask_except, mask_union
 from ..operators.pixel import apply_mask, percentile_threshold, quantiles, resample_z
 from ..operators.regions import region_solidity, shape_vectors
 from ..operators.windows import gaussian_smooth, local_contrast_normalize, mode_filter
 from ..sources.derived import C
-from ..sources.store import written
+from ..sources.store import passing_tables, removed, written
 from ..sources.volumes import write_labels
 from .scoring import cluster_voxels
 
@@ -62,23 +65,64 @@ def refine_round(pred: DataFrame, base: DataFrame, seed: DataFrame, negative: Da
 
 
 def soft_negatives(labels: DataFrame, dims: DataFrame, radius: float = 30.0) -> DataFrame:
+    """(C, value): weights of what is far from the labels."""
     return distance_weight(distance_map(labels, dims), radius)
 
 
-def propagate_labels(voxels: DataFrame, seed: DataFrame, negative: DataFrame, dims: DataFrame, scorer: Callable[[DataFrame, DataFrame, int], DataFrame], path: str, rounds: int = 5, max_height: int = 10, **params) -> DataFrame:
+@dataclass
+class Round:
+    """What a model learns a round from: normalised voxels (C, value), vetted labels and negatives (C), the weights of soft
+    negatives (C, value), and each volume's weight of lines (volume_id, ratio)."""
+
+    number: int
+    voxels: DataFrame
+    labels: DataFrame
+    negative: DataFrame
+    soft: DataFrame
+    line_weight: DataFrame
+
+
+def _finished(spark: SparkSession, path: str) -> int:
+    """Rounds that ended, from the first on, by their markers beside path."""
+    try:
+        rows = spark.read.schema("round int").json(f"{path}-rounds").distinct().collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    done = {r["round"] for r in rows}
+    return next(k for k in range(len(done) + 1) if k not in done)
+
+
+def propagate_labels(voxels: DataFrame, seed: DataFrame, negative: DataFrame, dims: DataFrame, scorer: Callable[[Round], DataFrame], path: str, rounds: int = 5, max_height: int = 10, radius: float = 200.0, start: int | None = None, **params) -> DataFrame:
     """Rounds of refinement, each reading what the last one wrote under path; the last round's labels.
 
-    scorer(normalised voxels, vetted labels so far, round) gives predictions (C, area, edge): this is where a model trains.
+    scorer(Round) gives predictions (C, area, edge): this is where a model trains. A round that ends leaves a marker; a run
+    that is started again goes on after the last round that ended (or from round `start` on, writing it and those after
+    it anew). The tables that led to a round's labels are removed when these are written.
     """
     spark = voxels.sparkSession
-    normal = written(local_contrast_normalize(voxels, dims), "normal")
-    labels = seed
-    for k in range(rounds):
-        vetted = written(vetted_labels(labels, seed, dims, max_height=max_height), "vetted")
-        pred = written(scorer(normal, vetted, k), "scores")
-        write_labels(refine_round(pred, labels, seed, negative, dims, max_height=max_height, **params), path, k)
-        labels = spark.read.parquet(path).where(F.col("iteration") == k).select(*C)
-    return labels
+    done = _finished(spark, path)
+    first = min(done, rounds) if start is None else start
+    if not 0 <= first <= done:
+        raise ValueError(f"round {first} needs the labels of the round before it; {done} have ended")
+    of = lambda k: spark.read.parquet(path).where(F.col("iteration") == k).select(*C) if k >= 0 else seed.select(*C)
+    if first < done:  # what was written after it is void
+        removed(spark, f"{path}-rounds")
+        for k in range(first):
+            spark.createDataFrame([(k,)], "round int").write.mode("append").json(f"{path}-rounds")
+    with passing_tables(spark):
+        normal = written(local_contrast_normalize(voxels, dims), "normal") if first < rounds else None
+        for k in range(first, rounds):
+            with passing_tables(spark):
+                labels = written(of(k - 1), "labels")
+                vetted = written(vetted_labels(labels, seed, dims, max_height=max_height), "vetted")
+                soft = written(soft_negatives(labels, dims, radius), "soft")
+                weight = written(line_coefficient(vetted, dims), "weights")
+                pred = written(scorer(Round(k, normal, vetted, negative, soft, weight)), "scores")
+                write_labels(refine_round(pred, labels, seed, negative, dims, max_height=max_height, **params), path, k)
+            spark.createDataFrame([(k,)], "round int").write.mode("append").json(f"{path}-rounds")
+    return of(rounds - 1)
 
 
 def texture_mask(features: DataFrame, voxels: DataFrame, dims: DataFrame, box: tuple, k: int = 3, w: int = 3, grow: int = 3, seed: int = 1) -> DataFrame:

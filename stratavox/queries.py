@@ -5,6 +5,7 @@ Real numbers are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -770,7 +771,10 @@ def _(t):
 
 @query("j1_align_layers", f"{PRED0}; SELECT p.volume_id, p.z, p.y, p.x, v.value, area, v.value >= 160 AS is_seed, v.value < 8 AS is_negative FROM pred p JOIN voxels v USING ({CC})", "value area")
 def _(t):
-    return volumes.align_layers(t.vox, {"area": t.pred.select(*C, F.col("area").alias("value"))}, {"is_seed": t.seed, "is_negative": t.negative})
+    t.kept()
+    name = lambda layer: f"layer_{uuid.uuid4().hex}_{layer}"
+    stored = {layer: volumes.store_layer(rows, name(layer), 16) for layer, rows in {"raw": t.vox, "area": t.pred.select(*C, F.col("area").alias("value")), "is_seed": t.seed, "is_negative": t.negative}.items()}
+    return volumes.align_stored(t.spark, stored["raw"], {"area": stored["area"]}, {k: stored[k] for k in ("is_seed", "is_negative")})
 
 
 @query("j2_extract_patches", f"{PATCHES}; SELECT patch_id, v.z - p.z AS dz, v.y - y0 AS py, v.x - x0 AS px, value FROM patches p JOIN voxels v ON v.volume_id = p.volume_id AND v.z BETWEEN p.z - 1 AND p.z + 1 AND v.y BETWEEN y0 AND y0 + 11 AND v.x BETWEEN x0 AND x0 + 11", "value")
@@ -848,6 +852,11 @@ def _(t):
     return me.cross_model_matrix(t.events.select(F.col("cell").alias("model_cell"), F.col("method").alias("data_cell"), F.col("value").alias("iou")), [0, 1, 2])
 
 
+@query("e4_cross_model_totals", f"{EV}, c AS (SELECT CASE WHEN grouping(cell) = 1 THEN 'all' ELSE cell END AS model_cell, CASE WHEN grouping(ratio) = 1 THEN 'all' ELSE CAST(ratio AS VARCHAR) END AS ratio, CASE WHEN grouping(method) = 1 THEN 'all' ELSE CAST(method AS VARCHAR) END AS data_cell, avg(value) AS iou FROM ev GROUP BY CUBE (cell, method, ratio)); SELECT model_cell, ratio, any_value(iou) FILTER (data_cell = '0') AS \"0\", any_value(iou) FILTER (data_cell = '1') AS \"1\", any_value(iou) FILTER (data_cell = '2') AS \"2\", any_value(iou) FILTER (data_cell = 'all') AS \"all\" FROM c GROUP BY 1, 2", '"0" "1" "2" "all"', base=False)
+def _(t):
+    return me.cross_model_totals(t.events.select(F.col("cell").alias("model_cell"), F.col("method").alias("data_cell"), "ratio", F.col("value").alias("iou")), [0, 1, 2], ["ratio"])
+
+
 @query("e5_box_summary", f"{EV}, q AS (SELECT ratio, method, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM ev GROUP BY 1, 2); SELECT ratio, method, n, q1, median, q3, min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS low, max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS high FROM ev JOIN q USING (ratio, method) GROUP BY ALL", "q1 median q3 low high", base=False)
 def _(t):
     return me.box_summary(t.events, ["ratio", "method"], "value")
@@ -1050,8 +1059,9 @@ def _(t):
 
 @query("l4_propagate_labels")
 def _(t):
-    def scorer(normal, labels, k):
-        return normal.select(*C, F.col("value").alias("area"), (1 - F.col("value")).alias("edge"))
+    def scorer(r):
+        # brighter is likelier, less so far from what is known
+        return r.voxels.join(r.soft.withColumnRenamed("value", "far"), C).select(*C, (F.col("value") - F.col("far")).alias("area"), (1 - F.col("value")).alias("edge"))
 
     return jobs.propagate_labels(t.vox, t.seed, t.negative, t.dims, scorer, new_path(t.spark, "rounds"), 2, hull_times=1.3, line_share=0.3)
 
@@ -1059,10 +1069,10 @@ def _(t):
 @query("t1_streaming_iou", f"{P3}; SELECT run, volume_id, tp, fp, fn, iou, fpr, dice FROM iou", "iou fpr dice")
 def _(t):
     t.kept()
-    from .streaming.iou import prediction_stream, streaming_iou
+    from .streaming.iou import prediction_stream, streaming_iou, with_ends
 
     root = new_path(t.spark, "stream")
     hit = px.percentile_threshold(derived.predictions(t.vox), 0.9, 0.5, ("run", "volume_id"), "area").select("run", *C)
-    hit.repartition(4, "z").write.parquet(f"{root}/in")
+    with_ends(hit).repartition(4, "z").write.parquet(f"{root}/in")
     out = streaming_iou(written(t.gt, "gt"), prediction_stream(t.spark, f"{root}/in", files=2), t.dims, f"{root}/counts", f"{root}/checkpoint")
     return out.select("run", "volume_id", "tp", "fp", "fn", "iou", "fpr", "dice")

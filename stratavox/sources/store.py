@@ -76,6 +76,21 @@ class Scratch:
         self.remove()
 
 
+_SCOPES: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what `written` stores within; for steps whose result is stored elsewhere before they end."""
+    with Scratch(spark) as scope:
+        _SCOPES.append(scope)
+        try:
+            yield
+        finally:
+            _SCOPES.remove(scope)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """The same for a table that a result goes on reading; it stays until the shared folder is cleared."""
-    return Scratch(df.sparkSession).written(df, tag)
+    """The same for a table that a result goes on reading; it stays until the innermost passing_tables ends, or else until
+    the shared folder is cleared."""
+    return (_SCOPES[-1] if _SCOPES else Scratch(df.sparkSession)).written(df, tag)

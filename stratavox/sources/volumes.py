@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .derived import C, grid
-from .store import written
+from .store import new_path, written
 
 
 def read_voxels(spark: SparkSession, path: str) -> DataFrame:
@@ -202,6 +202,40 @@ def align_layers(base: DataFrame, values: dict[str, DataFrame], masks: dict[str,
     return base
 
 
+#: Lets joins on voxels keep to tables that are bucketed by slice.
+_BY_SLICE = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def store_layer(df: DataFrame, name: str, buckets: int = 200) -> str:
+    """Store a layer (C, ...) as a table of the catalog, bucketed by slice; returns the name.
+
+    Layers of one number of buckets lie alike, so voxels of several layers meet without an exchange.
+    """
+    rows = df.repartition(buckets, "volume_id", "z")
+    rows.write.mode("overwrite").bucketBy(buckets, "volume_id", "z").sortBy(*C).option("path", new_path(df.sparkSession, name)).saveAsTable(name)
+    return name
+
+
+def joined_stored(spark: SparkSession, base: str, values: dict[str, str], masks: dict[str, str]) -> DataFrame:
+    """align_layers of layers stored by store_layer. Masks must not repeat a voxel."""
+    out = spark.table(base)
+    for name, layer in values.items():
+        out = out.join(spark.table(layer).select(*C, F.col("value").alias(name)).hint("merge"), C, "left")
+    for name, mask in masks.items():
+        out = out.join(spark.table(mask).select(*C, F.lit(True).alias(name)).hint("merge"), C, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
+
+
+def align_stored(spark: SparkSession, base: str, values: dict[str, str], masks: dict[str, str]) -> DataFrame:
+    """The same as a stored table, from a plan without an exchange."""
+    before = spark.conf.get(_BY_SLICE)
+    spark.conf.set(_BY_SLICE, "false")
+    try:
+        return written(joined_stored(spark, base, values, masks), "aligned")
+    finally:
+        spark.conf.set(_BY_SLICE, before)
+
+
 def available_runs(expected: DataFrame, present: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """Runs with a prediction, and whether they have a baseline: a missing baseline drops the baseline alone."""
     own = expected.join(present.select(*keys).distinct(), keys, "left_semi")

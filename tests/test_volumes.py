@@ -1,6 +1,8 @@
 """Volume operators against direct NumPy computation on small volumes, and jobs on drawn ones."""
 
 import itertools
+import os
+import tempfile
 
 import numpy as np
 import pytest
@@ -15,7 +17,7 @@ from stratavox.operators import regions as re_
 from stratavox.operators import sampling as sa
 from stratavox.operators import windows as wi
 from stratavox.plans import jobs, scoring
-from stratavox.sources import volumes
+from stratavox.sources import store, volumes
 
 VOXEL = "volume_id string, z int, y int, x int"
 
@@ -401,15 +403,128 @@ def test_labels_are_vetted_by_shape(spark):
     assert cells(jobs.vetted_labels(b, s, dims)) == at(seed) | {(1, y, x) for y in range(12, 18) for x in range(12, 18)}
     seen = []
 
-    def scorer(normal, labels, k):
-        seen.append(cells(labels))
-        return normal.select("volume_id", "z", "y", "x", F.lit(0.0).alias("area"), F.lit(0.0).alias("edge"))
-
-    import tempfile
+    def scorer(r):
+        seen.append((r.number, cells(r.labels), cells(r.negative), r.line_weight.first().ratio))
+        soft = dense(r.soft, shape)
+        last = seed
+        d = np.sqrt(np.array([min((np.subtract(p, q) ** 2).sum() for q in zip(*np.nonzero(last))) for p in np.ndindex(shape)]).reshape(shape))
+        assert np.allclose(soft, 0.1 * np.maximum(0, 1 / (1 + np.exp(-(d - 6) / 1.0)) - 0.01))
+        return r.voxels.select("volume_id", "z", "y", "x", F.lit(0.0).alias("area"), F.lit(0.0).alias("edge"))
 
     v, _ = volume(spark, np.arange(np.prod(shape), dtype=float).reshape(shape))
-    got = jobs.propagate_labels(v, s, s.limit(0), dims, scorer, tempfile.mkdtemp() + "/rounds", 2)
-    assert cells(got) == at(seed) and seen == [at(seed)] * 2
+    negative = s.limit(3)
+    path = tempfile.mkdtemp() + "/rounds"
+    got = jobs.propagate_labels(v, s, negative, dims, scorer, path, 2, radius=6.0)
+    gone = cells(negative)
+    assert [(k, labels, neg) for k, labels, neg, _ in seen] == [(k, at(seed), gone) for k in range(2)]
+    assert seen[0][3] == me.line_coefficient(s, dims).first().ratio
+    assert cells(got) == at(seed) - gone
+
+
+def test_rounds_go_on_where_they_ended(spark):
+    """A run that is killed within a round and started again equals an unbroken one; so does one begun at a round."""
+    rng = np.random.default_rng(4)
+    v = rng.random((3, 16, 16)) * 0.3
+    v[0, 2:8, 2:8] = v[1, 3:9, 3:9] = v[2, 8:14, 8:14] = 0.9
+    df, dims = volume(spark, v)
+    s = mask(spark, np.pad(np.ones((1, 6, 6), bool), ((0, 2), (2, 8), (2, 8))))[0]
+    calls = []
+
+    def scorer(r, fail=None):
+        calls.append(r.number)
+        if r.number == fail:
+            raise RuntimeError("killed")
+        # the circle of light widens with the rounds
+        area = F.when(F.col("z") <= r.number, F.col("value")).otherwise(0.0)
+        return df.select("volume_id", "z", "y", "x", area.alias("area"), F.lit(0.0).alias("edge"))
+
+    run = lambda path, f=scorer, rounds=3, **more: cells(jobs.propagate_labels(df, s, s.limit(0), dims, f, path, rounds, threshold=0.1, line_share=0.0, **more))
+    home = tempfile.mkdtemp()
+    whole = run(f"{home}/a")
+    assert calls == [0, 1, 2] and len(whole) > 36
+    for stop in (0, 1, 2):
+        path = f"{home}/b{stop}"
+        with pytest.raises(RuntimeError):
+            run(path, lambda r, stop=stop: scorer(r, stop))
+        calls.clear()
+        assert run(path) == whole and calls == list(range(stop, 3))
+        calls.clear()
+        assert run(path) == whole and calls == []
+    assert run(path, start=1) == whole and calls == [1, 2]
+    calls.clear()
+    assert run(path, rounds=2, start=0) == {c for c in run(f"{home}/a", rounds=2)} and calls == [0, 1]
+    with pytest.raises(ValueError):
+        run(f"{home}/c", start=1)
+    left = [d for d in os.listdir(store.shared_dir(spark).removeprefix("file://") + "/stratavox") if d.split("-")[0] in ("vetted", "scores", "soft", "normal", "weights")]
+    assert left == []
+
+
+def test_sketched_quantiles_are_exact(spark):
+    """Groups above the bound, brackets from sketches of several accuracies, and passes within them."""
+    rng = np.random.default_rng(9)
+    groups = {"a": rng.normal(size=4000), "b": rng.integers(0, 40, 3000).astype(float), "c": np.array([5.0]), "d": np.repeat(1.0, 2500)}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, v double").repartition(6)
+    qs = {"q0": 0.0, "q1": 0.003, "q2": 0.5, "q3": 0.9, "q4": 1.0}
+    for accuracy, rest in ((10_000, 100), (100, 1000), (50, 60)):
+        got = {r.g: r for r in px.quantiles(df, ["g"], "v", qs, 16, rest, accuracy).collect()}
+        for g, v in groups.items():
+            assert np.allclose([got[g][n] for n in qs], np.quantile(v, list(qs.values())), rtol=1e-12, atol=1e-12)
+
+
+def test_totals_of_the_matrix(spark):
+    rows = [("a", 0, 30, 0.5), ("a", 1, 30, 0.7), ("b", 0, 50, 0.1), ("b", 0, 30, 0.2), (None, 1, 50, 0.9)]
+    df = spark.createDataFrame(rows, "model_cell string, data_cell int, ratio int, iou double")
+    got = {(r.model_cell, r.ratio): (r["0"], r["1"], r["all"]) for r in me.cross_model_totals(df, [0, 1], ["ratio"]).collect()}
+    mean = lambda *v: sum(v) / len(v)
+    near = lambda x, y: all(a == b or abs(a - b) < 1e-12 for a, b in zip(x, y))
+    assert near(got["all", "all"], (mean(0.5, 0.1, 0.2), mean(0.7, 0.9), mean(0.5, 0.7, 0.1, 0.2, 0.9)))
+    assert near(got["b", "30"], (0.2, None, 0.2)) and near(got[None, "all"], (None, 0.9, 0.9)) and near(got["all", "30"], (mean(0.5, 0.2), 0.7, mean(0.5, 0.7, 0.2)))
+    assert len(got) == 10
+
+
+def test_stored_layers_meet_without_an_exchange(spark):
+    rng = np.random.default_rng(2)
+    v = rng.random((4, 6, 5))
+    df, _ = volume(spark, v)
+    m = df.where("value > 0.6").select("volume_id", "z", "y", "x")
+    names = [volumes.store_layer(rows, f"test_layer_{k}", 4) for k, rows in enumerate((df, df.where("value < 0.8"), m))]
+    spark.conf.set(volumes._BY_SLICE, "false")
+    plan = volumes.joined_stored(spark, names[0], {"other": names[1]}, {"on": names[2]})._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset(volumes._BY_SLICE)
+    assert plan.count("SortMergeJoin") >= 2 and "Exchange" not in plan
+    got = volumes.align_stored(spark, names[0], {"other": names[1]}, {"on": names[2]}).collect()
+    assert len(got) == v.size
+    for r in got:
+        x = v[r.z, r.y, r.x]
+        assert r.value == x and r.other == (x if x < 0.8 else None) and r.on == (x > 0.6)
+    for n in names:
+        spark.sql(f"drop table {n}")
+
+
+def test_slices_arrive_and_end(spark):
+    """Repeats within and across batches count once, state falls when slices end, and late rows change nothing."""
+    rng = np.random.default_rng(7)
+    truth, pred = rng.random((3, 9, 9)) < 0.5, rng.random((3, 9, 9)) < 0.5
+    gt, dims = mask(spark, truth)
+    row = lambda z, y, x: (0, "v", z, y, x)
+    at = lambda z: [row(z, int(y), int(x)) for y, x in zip(*np.nonzero(pred[z]))]
+    batches = [at(0)[:20] + at(0)[:5], at(0)[10:] + at(1)[:9] + [row(1, 99, 0)], [row(0, None, None)] + at(2), at(0)[:7] + [row(0, 0, 0), row(1, None, None)] + at(1), [row(2, None, None), row(0, None, None)]]
+    home = tempfile.mkdtemp()
+    from stratavox.streaming.iou import prediction_stream, slice_counts, streaming_counts
+
+    states = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "run int, volume_id string, z int, y int, x int").coalesce(1).write.parquet(f"{home}/in/{k}")
+    stream = prediction_stream(spark, f"{home}/in/*")
+    for k in range(len(batches)):  # in order
+        os.utime(next(f"{home}/in/{k}/{n}" for n in os.listdir(f"{home}/in/{k}") if n.endswith("parquet") and not n.startswith(".")), (1e9 + k, 1e9 + k))
+    query = streaming_counts(gt, stream, dims).writeStream.outputMode("update").foreachBatch(lambda df, b: df.write.mode("overwrite").parquet(f"{home}/out/batch={b}")).option("checkpointLocation", f"{home}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in map(dict, query.recentProgress) if p["stateOperators"]]
+    counts = spark.read.parquet(f"{home}/out")
+    got = {r.z: (r.tp, r.fp) for r in slice_counts(counts).collect()}
+    assert got == {z: (int((pred[z] & truth[z]).sum()), int((pred[z] & ~truth[z]).sum())) for z in range(3)}
+    assert max(states) == 2 and states[-1] <= 1 and states[0] == 1
 
 
 def test_candidates_of_all_methods(spark):
