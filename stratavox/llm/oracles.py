@@ -66,3 +66,39 @@ s AS (SELECT d.*, perspective, CASE WHEN speaker = perspective THEN '<|assistant
 o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_, length(head) AS h FROM s),
 b AS (SELECT *, min(at_) OVER (PARTITION BY conv_id, perspective, part) AS start FROM o)
 SELECT conv_id, perspective, part, min(place) AS first_turn, CAST(any_value(start) AS BIGINT) AS start, count(*) AS n_turns, count(*) FILTER (speaker = perspective) AS n_own, string_agg(head || body, '' ORDER BY place) AS text, coalesce(string_agg((at_ - start + h) || ':' || (at_ - start + h + length(body)), ',' ORDER BY place) FILTER (speaker = perspective), '') AS loss_spans FROM b GROUP BY conv_id, perspective, part"""
+
+
+def suffix_merge(length: int) -> str:
+    """Every string of `length` bytes; all but the first of equal ones mark what they cover."""
+    return f"""
+WITH t AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+s AS (SELECT doc_id, h, unnest(range(0, greatest(0, octet_length(h) - {length - 1}))) AS pos FROM t),
+w AS MATERIALIZED (SELECT doc_id, pos, md5_number(h[pos + 1 : pos + {length}]) AS k FROM s),
+m AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS r FROM w) WHERE r > 1),
+g AS (SELECT doc_id, pos, sum(CASE WHEN pos > last + {length} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM m)),
+span AS (SELECT doc_id, min(pos) AS a, max(pos) + {length} AS b FROM g GROUP BY doc_id, part),
+piece AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM span),
+cut AS (SELECT doc_id, string_agg(CASE WHEN a > p THEN hex(h[p + 1 : a]) ELSE '' END, '' ORDER BY a) AS head, max(b) AS stop, sum(b - a) AS gone, count(*) AS n FROM piece JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, CAST(octet_length(h) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(CASE WHEN n IS NULL THEN h ELSE unhex(head || CASE WHEN stop < octet_length(h) THEN hex(h[stop + 1 : octet_length(h)]) ELSE '' END) END) AS kept_sha256
+FROM t LEFT JOIN cut USING (doc_id)"""
+
+
+def spelling(thin: int, min_letters: int, min_count: int, ratio: int) -> str:
+    """CRC-32 from a table of 256 entries made by its rule; near words by words with one letter left out or masked."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE steps AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+low AS (SELECT doc_id, translate(w, '{upper}', '{upper.lower()}') AS w, count(*) AS n FROM tok GROUP BY 1, 2),
+raw AS (SELECT w, n, hex(encode(CAST(doc_id AS VARCHAR) || ':' || w)) AS x FROM low),
+crc AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) AS h FROM raw, steps),
+thinned AS (SELECT CASE WHEN h % {thin} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM crc),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM thinned GROUP BY 1 HAVING length(word) >= {min_letters} AND sum(n) >= {min_count}),
+holes AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest, length(word) AS len FROM v, (SELECT unnest(range(1, (SELECT max(length(word)) + 1 FROM v))) AS i) WHERE i <= length(word)),
+pairs AS (SELECT a.word, b.word AS near, b.n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.len = b.len AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM holes a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM holes a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min_by(near, (-n, near)) AS near, max(n) AS near_n FROM pairs GROUP BY 1),
+forms AS MATERIALIZED (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {ratio} * v.n THEN near END AS form, CASE WHEN near_n >= {ratio} * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM forms f JOIN walk USING (word) JOIN forms e ON e.word = walk.root WHERE e.form IS NULL"""

@@ -131,4 +131,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_reputation": oracles.url_reputation(URL_RULES),
     "op4_mixing": oracles.mixing(**MIX),
     "op7_chat_rotation": oracles.CHAT_ROTATION,
+    "op11_suffix_merge": oracles.suffix_merge(100),
+    "op13_spelling_variants": oracles.spelling(97, 5, 3, 2),
 }
