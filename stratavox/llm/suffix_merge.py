@@ -452,27 +452,34 @@ def _ordered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.written(docs.orderBy(F.col("doc_id").asc_nulls_first(), "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) for every row: spans of UTF-8 bytes covered by a string of `length` bytes that also
-    starts earlier (a smaller id, or further ahead in the same text), and the bytes left."""
-    if not GRAM < length <= GRAM + 63:
-        raise ValueError(f"length must be over {GRAM} and at most {GRAM + 63}")
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    with Scratch(docs.sparkSession) as passing:
-        texts = _ordered(slim, passing)
-        places = repeated_anchors(anchor_rows(texts.select("row", "text"), length)).groupBy("row").agg(F.collect_list("place").alias("places"))
-        places = passing.written(places, "anchors")
-        found = passing.written(shards(texts.join(places, "row"), length), "suffixes")
+def _marks(texts: DataFrame, length: int, hot: int, out: Scratch) -> DataFrame:
+    """(row, place, mask) of all repeated windows of texts (row, text), stored in out; what led to it is removed."""
+    with Scratch(texts.sparkSession) as passing:
+        with Scratch(texts.sparkSession) as before:
+            places = repeated_anchors(anchor_rows(texts.select("row", "text"), length)).groupBy("row").agg(F.collect_list("place").alias("places"))
+            places = before.written(places, "anchors", "zstd")
+            found = passing.written(shards(texts.join(places, "row"), length), "suffixes", "zstd")
         suffixes = found.where(F.col("kind") == SUFFIX)
         common = passing.written(suffixes.groupBy("key").count().where(F.col("count") > hot).select("key"), "common")
         parts = [found.where(F.col("kind") == MARK)]
         if common.head(1):
-            apart = passing.written(windows(suffixes.join(common, "key", "left_semi"), length), "windows")
+            apart = passing.written(windows(suffixes.join(common, "key", "left_semi"), length), "windows", "zstd")
             parts += [apart.where(F.col("kind") == MARK), _later(apart.where(F.col("kind") == WINDOW))]
             suffixes = suffixes.join(common, "key", "left_anti")
         marks = merged(suffixes, length)
         for part in parts:
             marks = marks.union(part.select("row", "place", "mask"))
-        marks = passing.written(marks, "marks")
+        return out.written(marks, "marks", "zstd")
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept) for every row: spans of UTF-8 bytes covered by a string of `length` bytes that also
+    starts earlier (a smaller id, or further ahead in the same text), and the bytes left."""
+    if not GRAM < length <= GRAM + 63:
+        raise ValueError(f"length must be over {GRAM} and at most {GRAM + 63}")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with Scratch(docs.sparkSession) as passing:
+        texts = _ordered(slim, passing)
+        marks = _marks(texts, length, hot, passing)
         marks = marks.groupBy("row").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
         return written(_cut(texts.join(marks, "row", "left").select("doc_id", "text", "marks"), length), "repeats")
