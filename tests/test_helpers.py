@@ -12,7 +12,7 @@ from stratavox.operators import morphology as mo
 from stratavox.operators import pixel as px
 from stratavox.operators import regions as re_
 from stratavox.operators import windows as wi
-from stratavox.plans.scoring import tile_origins
+from stratavox.plans.scoring import score_tiles
 
 VOXEL = "volume_id string, z int, y int, x int"
 
@@ -129,7 +129,7 @@ def test_constant_volumes_and_small_slices(spark):
     assert {r.value for r in px.zscore(flat).collect()} == {0.0}
     assert px.value_bins(flat, 3).count() == 0
     with pytest.raises(ValueError):
-        tile_origins(dims, 4, 2, 0)
+        score_tiles(flat.select("volume_id", "z", "y", "x", F.array("value").alias("f")), lambda b: b["features"][..., 0], dims, 4, 2, 0)
 
 
 def test_projection_needs_both_sides(spark):
