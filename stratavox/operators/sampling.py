@@ -97,7 +97,7 @@ def drop_regions(labels: DataFrame, ratio: float, seed: int) -> DataFrame:
     w = Window.partitionBy("volume_id")
     place = F.row_number().over(w.orderBy(seeded(F.col("label"), seed), "label"))
     gone = ids.withColumn("k", place).withColumn("n", F.count("*").over(w)).where(F.col("k") <= F.floor(F.col("n") * ratio)).select("volume_id", "label")
-    return labels.join(F.broadcast(gone) if gone.limit(100_001).count() <= 100_000 else gone, ["volume_id", "label"], "left_anti").select(*C, "label")
+    return labels.join(written(gone, "dropped"), ["volume_id", "label"], "left_anti").select(*C, "label")
 
 
 def drop_region_slices(labels: DataFrame, ratio: float, seed: int) -> DataFrame:
