@@ -49,3 +49,11 @@ def test_rings_and_chains_take_one_exchange(spark):
     assert plan(one).count("Exchange") == 1
     steps = mo.erode(mo.dilate(mo.dilate(mask, (1, 3, 4), dims), (1, 3, 4), dims), (1, 3, 4), 2)
     assert cells(one) == cells(steps)
+
+
+def test_edges_close_regions_on_blocks(spark):
+    on = np.zeros((1, 20, 20), bool)
+    on[0, 5:15, 5:15] = True
+    on[0, 7:13, 7:13] = False
+    out = co.closed_region_fill(mask_of(spark, on), dims_of(spark, 1, 20, 20))
+    assert "LeftAnti" not in plan(out) and len(cells(out)) == 36
