@@ -51,6 +51,14 @@ def test_rings_and_chains_take_one_exchange(spark):
     assert cells(one) == cells(steps)
 
 
+def test_weights_need_one_grouping(spark):
+    dense = spark.createDataFrame([("v", 0, 0, x, x / 10) for x in range(4)], VOXEL + ", soft double")
+    m = lambda *xs: spark.createDataFrame([("v", 0, 0, x) for x in xs], VOXEL)
+    out = me.supervision_weights(dense, m(1), m(2, 9), m(3).withColumn("ring", F.lit("inner")))
+    assert "Join" not in plan(out)
+    assert sorted((r.x, r.weight) for r in out.collect()) == [(0, 0.0), (1, 1.0), (2, 1.0), (3, 0.0)]
+
+
 def test_edges_close_regions_on_blocks(spark):
     on = np.zeros((1, 20, 20), bool)
     on[0, 5:15, 5:15] = True
