@@ -41,6 +41,15 @@ def vectors(rng, n):
     return np.round(np.exp(rng.normal(size=(n, 9))) * [1, 1, 1, 1, 1, 1, 1, 0.01, 0.001], 5)
 
 
+def test_overlay_aggregates_numbers(spark):
+    raw = spark.createDataFrame([("v", 0, 0, x, 300.0 * x) for x in range(3)], VOXEL + ", value double")
+    preds = spark.createDataFrame([("v", 0, 0, 0, "a", 0.9), ("v", 0, 0, 0, "b", 0.6), ("v", 0, 0, 1, "a", 0.5)], VOXEL + ", class string, p double")
+    colors = spark.createDataFrame([("a", 0, 1, 2, 3), ("b", 1, 4, 5, 6)], "class string, place int, r int, g int, b int")
+    out = volumes.overlay_classes(raw, preds, colors)
+    assert "max_by" not in plan(out)
+    assert sorted((r.x, r.r, r.g, r.b) for r in out.collect()) == [(0, 4, 5, 6), (1, 255, 255, 255), (2, 255, 255, 255)]
+
+
 def test_rings_and_chains_take_one_exchange(spark):
     on = np.random.default_rng(5).random((2, 40, 37)) < 0.1
     mask, dims = mask_of(spark, on), dims_of(spark, 2, 40, 37)
