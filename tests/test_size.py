@@ -41,6 +41,10 @@ def vectors(rng, n):
     return np.round(np.exp(rng.normal(size=(n, 9))) * [1, 1, 1, 1, 1, 1, 1, 0.01, 0.001], 5)
 
 
+def test_voxels_are_not_joined(spark):
+    assert "SortMergeJoin" not in plan(derived.voxels(spark, DATA))
+
+
 def test_overlay_aggregates_numbers(spark):
     raw = spark.createDataFrame([("v", 0, 0, x, 300.0 * x) for x in range(3)], VOXEL + ", value double")
     preds = spark.createDataFrame([("v", 0, 0, 0, "a", 0.9), ("v", 0, 0, 0, "b", 0.6), ("v", 0, 0, 1, "a", 0.5)], VOXEL + ", class string, p double")
