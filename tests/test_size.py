@@ -78,3 +78,19 @@ def test_edges_close_regions_on_blocks(spark):
     on[0, 7:13, 7:13] = False
     out = co.closed_region_fill(mask_of(spark, on), dims_of(spark, 1, 20, 20))
     assert "LeftAnti" not in plan(out) and len(cells(out)) == 36
+
+
+def test_modes_on_blocks(spark):
+    on = np.random.default_rng(6).integers(0, 3, (1, 9, 11))
+    rows = spark.createDataFrame([("v", 0, y, x, int(on[0, y, x])) for y in range(9) for x in range(11)], VOXEL + ", label int")
+    out = wi.mode_filter(rows, [0, 1, 2], 2, dims_of(spark, 1, 9, 11))
+    assert "Window" not in plan(out) and sorted(out.collect()) == sorted(wi.mode_filter(rows, [0, 1, 2], 2).collect())
+
+
+def test_distances_need_no_whole_plane(spark):
+    on = np.random.default_rng(7).random((9, 12, 70)) < 0.01
+    out = fe.distance_map(mask_of(spark, on), dims_of(spark, 9, 12, 70))
+    assert "FlatMapGroups" not in plan(out)
+    at = np.argwhere(on)
+    want = {p: np.sqrt(((at - p) ** 2).sum(1).min()) for p in np.ndindex(on.shape)}
+    assert all(abs(want[r.z, r.y, r.x] - r.value) < 1e-9 for r in out.collect())
