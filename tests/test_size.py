@@ -94,3 +94,9 @@ def test_distances_need_no_whole_plane(spark):
     at = np.argwhere(on)
     want = {p: np.sqrt(((at - p) ** 2).sum(1).min()) for p in np.ndindex(on.shape)}
     assert all(abs(want[r.z, r.y, r.x] - r.value) < 1e-9 for r in out.collect())
+
+
+def test_perimeters_are_summed_by_block(spark):
+    labels = mask_of(spark, np.random.default_rng(9).random((2, 12, 12)) < 0.6).withColumn("label", F.lit(5).cast("long"))
+    out = re_.region_perimeter(labels, 8, dims_of(spark, 2, 12, 12))
+    assert "Generate" not in plan(out) and out.count() == 1
