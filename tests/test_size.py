@@ -41,6 +41,17 @@ def vectors(rng, n):
     return np.round(np.exp(rng.normal(size=(n, 9))) * [1, 1, 1, 1, 1, 1, 1, 0.01, 0.001], 5)
 
 
+def test_hu_pairs_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(ma, "MEMBERS", 3)
+    monkeypatch.setattr(ma, "PAIRS_PER_TASK", 10)
+    base = np.random.default_rng(4).normal(size=(5, 7))
+    m = base[np.arange(40) % 5 * (np.arange(40) < 30)]
+    rows = spark.createDataFrame([("v", k, 1, x.tolist()) for k, x in enumerate(m)], "volume_id string, label long, size long, v array<double>")
+    cos = m @ m.T / (np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(m, axis=1) + 1e-8)
+    got = [(r.label_a, r.label_b) for r in ma.hu_similarity(rows, rows, 0.9).collect()]
+    assert sorted(got) == [tuple(p) for p in np.argwhere(cos >= 0.9).tolist()]
+
+
 def test_voxels_are_not_joined(spark):
     assert "SortMergeJoin" not in plan(derived.voxels(spark, DATA))
 
