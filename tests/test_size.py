@@ -52,6 +52,16 @@ def test_hu_pairs_of_many_copies(spark, monkeypatch):
     assert sorted(got) == [tuple(p) for p in np.argwhere(cos >= 0.9).tolist()]
 
 
+def test_equal_grids_count_once(spark, monkeypatch):
+    monkeypatch.setattr(ma, "CELLS_PER_PASS", 1)
+    rows = [("v", 0, 0, 10 * k + x, k) for k in range(12) for x in range(3 + k % 2)]
+    labels = spark.createDataFrame(rows, VOXEL + ", label long")
+    calls, before = [], ma.Scratch.written
+    monkeypatch.setattr(ma.Scratch, "written", lambda self, df, tag, *a: (calls.append(tag), before(self, df, tag, *a))[1])
+    assert ma.filter_by_shape_3d(labels, labels, 1.0).count() == 12
+    assert calls.count("met") <= 8  # two shapes
+
+
 def test_voxels_are_not_joined(spark):
     assert "SortMergeJoin" not in plan(derived.voxels(spark, DATA))
 
