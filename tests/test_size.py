@@ -41,6 +41,27 @@ def vectors(rng, n):
     return np.round(np.exp(rng.normal(size=(n, 9))) * [1, 1, 1, 1, 1, 1, 1, 0.01, 0.001], 5)
 
 
+def test_resampling_holds_no_square_of_the_depth(spark):
+    v = np.random.default_rng(0).normal(size=(3000, 2))
+    tracemalloc.start()
+    px.resampled(v, 2.0)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert top < 3000 * 3000  # bytes
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_resampling_in_blocks_of_slices(spark, order):
+    v = np.random.default_rng(1).normal(size=(300, 1, 2)) * 100
+    df = spark.createDataFrame([("v", z + 5, 3, x + 2, float(v[z, 0, x])) for z in range(300) for x in range(2)], VOXEL + ", value double")
+    out = px.resample_z(df, 1.7, order)
+    assert "FlatMapGroups" not in plan(out)
+    got = {(r.z, r.x): r.value for r in out.collect()}
+    want = px.resampled(v.reshape(300, 2), 1.7, order)
+    assert len(got) == want.size
+    assert np.allclose([[got[z, x + 2] for x in range(2)] for z in range(len(want))], want, rtol=0, atol=1e-10)
+
+
 def test_hu_pairs_of_many_copies(spark, monkeypatch):
     monkeypatch.setattr(ma, "MEMBERS", 3)
     monkeypatch.setattr(ma, "PAIRS_PER_TASK", 10)
