@@ -62,6 +62,22 @@ def test_resampling_in_blocks_of_slices(spark, order):
     assert np.allclose([[got[z, x + 2] for x in range(2)] for z in range(len(want))], want, rtol=0, atol=1e-10)
 
 
+def test_shapes_meet_a_few_templates_first(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v, t = vectors(rng, 60), vectors(rng, 40)
+    v[::7, 7] = 0
+    rows = lambda m: spark.createDataFrame([("v", k, 10, 1, x.tolist()) for k, x in enumerate(m)], "volume_id string, label long, size long, euler long, v array<double>")
+    tol = 0.95
+    ends = (1 + tol) / 2 * (np.ptp(t, axis=0) + 1e-8)
+    want = {k for k, x in enumerate(v) if (np.abs(x - t.mean(0)) < ends).all() and (np.abs(x - t) / (np.abs(t) + 1e-8) <= tol).all(1).any()}
+    for few in (1, 40):
+        monkeypatch.setattr(ma, "FIRST", few)
+        assert {r.label for r in ma.match_shapes(rows(v), rows(t), 1 - tol, 0.5).collect()} == want
+    # what fits a template itself needs no pairs
+    monkeypatch.setattr(ma, "_within_bands", None)
+    assert len(want) and ma.match_shapes(rows(t), rows(t), 0.5, 0.5).count() == sum((np.abs(x - t.mean(0)) < 0.75 * (np.ptp(t, axis=0) + 1e-8)).all() for x in t)
+
+
 def test_hu_pairs_of_many_copies(spark, monkeypatch):
     monkeypatch.setattr(ma, "MEMBERS", 3)
     monkeypatch.setattr(ma, "PAIRS_PER_TASK", 10)
