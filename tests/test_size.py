@@ -78,6 +78,18 @@ def test_shapes_meet_a_few_templates_first(spark, monkeypatch):
     assert len(want) and ma.match_shapes(rows(t), rows(t), 0.5, 0.5).count() == sum((np.abs(x - t.mean(0)) < 0.75 * (np.ptp(t, axis=0) + 1e-8)).all() for x in t)
 
 
+def test_hu_filter_meets_a_few_templates_first(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v, t = rng.normal(size=(80, 7)), rng.normal(size=(30, 7))
+    rows = lambda m: spark.createDataFrame([("v", k, 10, x.tolist()) for k, x in enumerate(m)], "volume_id string, label long, size long, v array<double>")
+    cos = v @ t.T / (np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(t, axis=1) + 1e-8)
+    for few in (1, 30):
+        monkeypatch.setattr(ma, "FIRST", few)
+        assert {r.label for r in ma.filter_by_hu(rows(v), rows(t), 0.6, 0.5).collect()} == set(np.flatnonzero((cos >= 0.6).any(1)).tolist())
+    monkeypatch.setattr(ma, "_alike", None)
+    assert ma.filter_by_hu(rows(t), rows(t), 0.999, 0.5).count() == 30
+
+
 def test_hu_pairs_of_many_copies(spark, monkeypatch):
     monkeypatch.setattr(ma, "MEMBERS", 3)
     monkeypatch.setattr(ma, "PAIRS_PER_TASK", 10)
