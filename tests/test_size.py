@@ -166,6 +166,20 @@ def test_distances_need_no_whole_plane(spark):
     assert all(abs(want[r.z, r.y, r.x] - r.value) < 1e-9 for r in out.collect())
 
 
+def test_hulls_of_deep_regions_are_spread(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    p = np.unique(np.rint(rng.normal(size=(300, 3)) * [12, 4, 3]).astype(int), axis=0)
+    p -= p.min(0)
+    flat = [(z, z, 2) for z in range(9)]
+    rows = [("v", *map(int, c), 1) for c in p] + [("v", z, y + 90, x, 2) for z, y, x in flat] + [("v", 3, 70, 3, 3)]
+    labels = spark.createDataFrame(rows, VOXEL + ", label long")
+    monkeypatch.setattr(re_, "SLAB", 5)
+    out = re_.region_solidity_3d(labels)
+    assert "FlatMapGroups" not in plan(out)
+    ends = np.array([(z, y, x) for z, y in {(a, b) for a, b, _ in p.tolist()} for x in (min(c for a, b, c in p.tolist() if (a, b) == (z, y)), max(c for a, b, c in p.tolist() if (a, b) == (z, y)))])
+    assert {r.label: r.hull for r in out.collect()} == {1: max(len(p), re_.hull_voxels(ends)), 2: 9, 3: 1}
+
+
 def test_perimeters_are_summed_by_block(spark):
     labels = mask_of(spark, np.random.default_rng(9).random((2, 12, 12)) < 0.6).withColumn("label", F.lit(5).cast("long"))
     out = re_.region_perimeter(labels, 8, dims_of(spark, 2, 12, 12))
